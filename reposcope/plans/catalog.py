@@ -33,7 +33,7 @@ def query(name: str, oracle: str | None = None):
 # ---------------------------------------------------------------------------
 
 def raw_files(spark, sf):
-    return corpus.raw_files(spark, sf)
+    return corpus.files_table(spark, sf)
 
 
 def files(spark, sf):

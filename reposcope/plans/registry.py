@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_files"]
+_MODULES = ["q_files", "q_graph"]
 
 
 def all_queries():

@@ -13,6 +13,9 @@ exact same rows.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,6 +217,34 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.element_at("path", -1).alias("name"), "excluded", "content", "n_bytes")
 
 
+def _materialized_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    from reposcope.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark)
+    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:16]
+    return f"{base.rstrip('/')}/reposcope_corpus/{tag}/{name}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(hpath)
+
+
+def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest step: the derived file table written once, clustered by repo_id
+    (one write per session and scale factor) into the shared checkpoint
+    folder, so every feature job reads Parquet instead of re-deriving files
+    from the raw text. Survives executor loss (a plain Parquet table)."""
+    path = _materialized_path(spark, sf_dir, "files")
+    if not _exists(spark, path):
+        df = raw_files(spark, sf_dir)
+        n = max(spark.sparkContext.defaultParallelism, 1)
+        (df.repartition(n, "repo_id").sortWithinPartitions("repo_id", "ord")
+           .write.mode("overwrite").parquet(path))
+    return spark.read.parquet(path)
+
+
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     ids = docs.select(F.floor(F.col("doc_id") / FILES_PER_REPO).cast("bigint").alias("repo_id")).distinct()

@@ -11,4 +11,12 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Read one driver table. A table stored in fewer splits than the cluster
+    has task slots (a single small file) is spread round-robin so that the
+    regex-heavy text work is not confined to one task; a large table already
+    has enough splits and is read as is."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
+    return df
