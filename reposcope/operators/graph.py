@@ -53,8 +53,8 @@ def shortest_paths(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     frontier join edges -> anti join visited, until the frontier is empty.
     Lineage is cut every round with a reliable checkpoint.
     Returns (repo_id, s, v, d) for every reachable pair (d(s, s) = 0)."""
-    e = edges.select("repo_id", F.col("src").alias("v"), F.col("dst").alias("w"))
-    nodes = graph_nodes(edges)
+    e = cut_lineage(edges.select("repo_id", F.col("src").alias("v"), F.col("dst").alias("w")))
+    nodes = graph_nodes(e.select("repo_id", F.col("v").alias("src"), F.col("w").alias("dst")))
     visited = cut_lineage(nodes.select("repo_id", F.col("node").alias("s"), F.col("node").alias("v"),
                                        F.lit(0).alias("d")))
     frontier = visited
