@@ -30,6 +30,8 @@ WORD_PIECE_RE2 = WS + r"*(?:" + WORD_RE2 + ")"
 # Header block: leading run of blank lines and lines starting with '#'.
 HEADER = r"^(?:(?:[ \t\x0B\f\r]*+|#[^\n]*+)(?:\n|$))++"
 HEADER_RE2 = r"^(?:(?:[ \t\x0B\f\r]*|#[^\n]*)(?:\n|$))+"
+# 13a punctuation class: { to ~, [ to `, space to &, ( to +, : to @, and /
+BLEU_PUNCT = r"([{-~\[-`\x20-&(-+:-@/])"
 
 
 def col(c) -> Column:
@@ -142,7 +144,7 @@ def bleu_tokens(c) -> Column:
     x = F.replace(x, F.lit("&lt;"), F.lit("<"))
     x = F.replace(x, F.lit("&gt;"), F.lit(">"))
     x = F.concat(F.lit(" "), x, F.lit(" "))
-    x = F.regexp_replace(x, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
+    x = F.regexp_replace(x, BLEU_PUNCT, " $1 ")
     x = F.regexp_replace(x, r"([^0-9])([\.,])", "$1 $2 ")
     x = F.regexp_replace(x, r"([\.,])([^0-9])", " $1 $2")
     x = F.regexp_replace(x, r"([0-9])(-)", "$1 $2 ")
