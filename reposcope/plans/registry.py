@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_files", "q_graph", "q_labels", "q_split", "q_eval", "q_context", "q_report"]
+_MODULES = ["q_files", "q_graph", "q_labels", "q_split", "q_eval", "q_context", "q_report", "q_sources"]
 
 
 def all_queries():
