@@ -23,8 +23,9 @@ ARCHIVE_SCHEMA = ("user string, repo string, path_str string, n_bytes long, data
 
 
 def _decode_lenient(content_bin) -> F.Column:
-    """UTF-8 decode, invalid sequences dropped."""
-    return F.regexp_replace(F.decode(content_bin, "UTF-8"), "�", "")
+    """UTF-8 decode, invalid sequences dropped (strict ``decode`` raises on
+    them in Spark 4; ``make_valid_utf8`` replaces them with U+FFFD first)."""
+    return F.regexp_replace(F.make_valid_utf8(content_bin.cast("string")), "�", "")
 
 
 def _finish(df: DataFrame) -> DataFrame:
