@@ -65,7 +65,9 @@ def shortest_paths(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         new = cut_lineage(step.join(visited, ["repo_id", "s", "v"], "left_anti"))
         if new.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(new))
+        # visited is a union of checkpointed frontiers: shallow lineage, and
+        # only the new frontier is written each round
+        visited = visited.unionByName(new)
         frontier = new
     return visited
 

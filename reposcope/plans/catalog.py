@@ -61,6 +61,17 @@ def setups(spark, sf):
     return FL.pick_setup(FL.filter_ignored(raw_files(spark, sf)))
 
 
+def features(spark, sf):
+    """Feature stage (J7 output) stored once per scale factor, like the
+    reference pipeline's feature file; the ``assemble_features`` query itself
+    always recomputes it."""
+    from reposcope.operators import features as FE
+    return corpus.stage_table(
+        spark, sf, "features",
+        lambda: FE.assemble_features(pyfiles(spark, sf), repos(spark, sf), readmes(spark, sf), setups(spark, sf)),
+        ("repo_id", "ord"))
+
+
 def astr(c, sep="."):
     return F.array_join(F.col(c) if isinstance(c, str) else c, sep)
 

@@ -10,7 +10,7 @@ from reposcope.functions import text as T
 from reposcope.operators import context as CX
 from reposcope.operators import features as FE
 from reposcope.operators import weak as WK
-from reposcope.plans.catalog import _sq, duck, pyfiles, query, readmes, repos, setups, tree
+from reposcope.plans.catalog import _sq, duck, features, query, readmes, repos, tree
 from reposcope.plans.q_files import PIECE, TOK, WSCLS, _cleanse_duck
 from reposcope.plans.q_labels import _FEATS, _PROBA
 from reposcope.sources.corpus import sql_text
@@ -163,8 +163,7 @@ def _ctx_dummy(spark, sf):
 def _scores(spark, sf):
     """Default entry-point scores: label-model posterior with fixed LF
     accuracies (deterministic, so the context is checkable)."""
-    f = FE.assemble_features(pyfiles(spark, sf), repos(spark, sf), readmes(spark, sf), setups(spark, sf))
-    v = FE.votes(f)
+    v = FE.votes(features(spark, sf))
     return v.select("repo_id", "path_str",
                     F.round(WK.posterior({c: WK.DEFAULT_ACC for c in P.VOTE_NAMES}, 0.5), 6).alias("score"))
 

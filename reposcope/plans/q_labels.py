@@ -12,7 +12,7 @@ from reposcope.operators import features as FE
 from reposcope.operators import rank as RK
 from reposcope.operators import stats as ST
 from reposcope.operators import weak as WK
-from reposcope.plans.catalog import BLACKLIST_SQL, duck, pyfiles, query, readmes, repos, setups
+from reposcope.plans.catalog import BLACKLIST_SQL, duck, features, pyfiles, query, readmes, repos, setups
 from reposcope.plans.q_files import INHERIT_DUCK, _CONTENT_DUCK, _FILENAME_DUCK
 from reposcope.plans.q_graph import _GRAPH, _README_MENTION, _SETUP_MENTION
 
@@ -52,7 +52,7 @@ votes AS (
 
 
 def _feats(spark, sf):
-    return FE.assemble_features(pyfiles(spark, sf), repos(spark, sf), readmes(spark, sf), setups(spark, sf))
+    return features(spark, sf)
 
 
 def _votes(spark, sf):
@@ -63,7 +63,8 @@ def _votes(spark, sf):
 SELECT repo_id, path_str, content_chars, level, num_inherited, is_setup_entrypoint, is_mentioned_in_readme,
        rank, num_importers, num_importees, bottom_rank FROM feats"""))
 def _assemble_features(spark, sf):
-    return _feats(spark, sf).select("repo_id", "path_str", "content_chars", "level", "num_inherited",
+    f = FE.assemble_features(pyfiles(spark, sf), repos(spark, sf), readmes(spark, sf), setups(spark, sf))
+    return f.select("repo_id", "path_str", "content_chars", "level", "num_inherited",
                                     "is_setup_entrypoint", "is_mentioned_in_readme", "rank",
                                     "num_importers", "num_importees", "bottom_rank")
 

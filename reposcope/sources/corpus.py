@@ -231,20 +231,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingest step: the derived file table written once, clustered by repo_id
-    (one write per session and scale factor) into the shared checkpoint
-    folder, so every feature job reads Parquet instead of re-deriving files
-    from the raw text. Survives executor loss (a plain Parquet table)."""
-    path = _materialized_path(spark, sf_dir, "files")
+def stage_table(spark: SparkSession, sf_dir: str, name: str, build, sort_cols=("repo_id",)) -> DataFrame:
+    """A pipeline stage written once per scale factor into the shared
+    checkpoint folder, clustered by repo_id, and read back as Parquet by every
+    later job (survives executor loss; no recomputation of upstream regex
+    work). ``build()`` returns the DataFrame to store."""
+    path = _materialized_path(spark, sf_dir, name)
     if not _exists(spark, path):
-        df = raw_files(spark, sf_dir)
+        df = build()
         n = max(spark.sparkContext.defaultParallelism, 1)
-        (df.repartition(n, "repo_id").sortWithinPartitions("repo_id", "ord")
+        (df.repartition(n, "repo_id").sortWithinPartitions(*sort_cols)
            .write.mode("overwrite").parquet(path))
     return spark.read.parquet(path)
 
 
+def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest step: the derived file table (see ``stage_table``)."""
+    return stage_table(spark, sf_dir, "files", lambda: raw_files(spark, sf_dir), ("repo_id", "ord"))
+
+
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     ids = docs.select(F.floor(F.col("doc_id") / FILES_PER_REPO).cast("bigint").alias("repo_id")).distinct()
