@@ -17,6 +17,15 @@ from reposcope.operators import graph as G
 from reposcope.operators import resolve as R
 
 
+FEATURE_GROUPS: dict = {}
+"""Extra feature groups, name -> fn(pyfiles) -> DataFrame(repo_id, path_str, cols...).
+Registered groups are left-joined into the assembled table (missing -> NULL)."""
+
+
+def register_feature_group(name: str, fn) -> None:
+    FEATURE_GROUPS[name] = fn
+
+
 def assemble_features(pyfiles: DataFrame, repos: DataFrame, readmes: DataFrame,
                       setups: DataFrame) -> DataFrame:
     """Every feature group joined on (repo_id, path_str), blacklist applied
@@ -43,6 +52,8 @@ def assemble_features(pyfiles: DataFrame, repos: DataFrame, readmes: DataFrame,
     out = (base.join(content, key).join(names, key).join(inherit, key)
            .join(setup_m, key).join(readme_m, key)
            .join(g, ["repo_id", "node"], "left"))
+    for fn in FEATURE_GROUPS.values():
+        out = out.join(fn(pyfiles), key, "left")
     return out.where(~FL.blacklisted("path")).drop("path", "node")
 
 

@@ -310,3 +310,74 @@ def markdown_text(c, max_spans: int = 10) -> Column:
 
     spans = F.flatten(F.transform(paras, spans_of))
     return F.array_join(F.slice(spans, 1, max_spans), "\n")
+
+
+# ---------------------------------------------------------------- ROUGE-Lsum
+
+SENTENCE_SPLIT = r"(?<=[.!?])[ \t\n\x0B\f\r]++"
+
+
+def sentence_tokens(c) -> Column:
+    """One sentence per element (split after . ! ?), each tokenised
+    like ROUGE; empty sentences dropped."""
+    sents = F.split(T.strip_ws(c), SENTENCE_SPLIT)
+    toks = F.transform(sents, lambda s: T.rouge_tokens(s))
+    return F.filter(toks, lambda t: F.size(t) > 0)
+
+
+def _lcs_indices(a: list[str], b: list[str]) -> list[int]:
+    """Indices into ``a`` of one longest common subsequence with ``b``."""
+    n, m = len(a), len(b)
+    dp = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        ai, row, nxt = a[i], dp[i], dp[i + 1]
+        for j in range(m):
+            nxt[j + 1] = row[j] + 1 if ai == b[j] else max(row[j + 1], nxt[j])
+    out, i, j = [], n, m
+    while i > 0 and j > 0:
+        if a[i - 1] == b[j - 1]:
+            out.append(i - 1)
+            i -= 1
+            j -= 1
+        elif dp[i - 1][j] >= dp[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def summary_lcs_f1(ref_sents: list[list[str]], pred_sents: list[list[str]]) -> float:
+    """Summary-level union-LCS F1 with token-count clipping."""
+    from collections import Counter
+    n_ref = sum(len(s) for s in ref_sents)
+    n_pred = sum(len(s) for s in pred_sents)
+    if n_ref == 0 or n_pred == 0:
+        return 0.0
+    cnt_r = Counter(t for s in ref_sents for t in s)
+    cnt_p = Counter(t for s in pred_sents for t in s)
+    hits = 0
+    for r in ref_sents:
+        union: set[int] = set()
+        for p in pred_sents:
+            union.update(_lcs_indices(r, p))
+        for i in sorted(union):
+            t = r[i]
+            if cnt_p[t] > 0 and cnt_r[t] > 0:
+                hits += 1
+                cnt_p[t] -= 1
+                cnt_r[t] -= 1
+    prec, rec = hits / n_pred, hits / n_ref
+    return 0.0 if prec + rec == 0 else 2 * prec * rec / (prec + rec)
+
+
+@F.pandas_udf(Ty.DoubleType())
+def lsum_udf(ref: pd.Series, pred: pd.Series) -> pd.Series:
+    def conv(x):
+        return [list(s) for s in x] if x is not None else []
+    return pd.Series([summary_lcs_f1(conv(r), conv(p)) for r, p in zip(ref, pred)], dtype="float64")
+
+
+def rouge_lsum(pairs: DataFrame, key: str = "pair_id", pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """ROUGE-Lsum F1 per pair (sentence split, union LCS)."""
+    p = pairs.select(key, sentence_tokens(pred).alias("sp"), sentence_tokens(ref).alias("sr"))
+    return p.select(key, F.round(lsum_udf("sr", "sp"), 6).alias("rougeLsum"))

@@ -75,3 +75,21 @@ def rank_summary(scored: DataFrame) -> DataFrame:
     best = best_per_repo(scored)
     n = scored.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_candidates"))
     return best.select("repo_id", F.col("path_str").alias("best_path"), "score").join(n, "repo_id")
+
+
+def save_model(model: LinearRegressionModel, path: str) -> None:
+    """Persist the ranker (Spark ML writer) with its feature order."""
+    model.write().overwrite().save(path)
+    spark = SparkSession.getActiveSession()
+    cols = getattr(model, "_reposcope_cols")
+    spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "i int, col string") \
+        .write.mode("overwrite").parquet(path.rstrip("/") + "_columns")
+
+
+def load_model(path: str) -> LinearRegressionModel:
+    """Load a ranker saved by ``save_model``."""
+    model = LinearRegressionModel.load(path)
+    spark = SparkSession.getActiveSession()
+    cols = [r.col for r in spark.read.parquet(path.rstrip("/") + "_columns").orderBy("i").collect()]
+    model._reposcope_cols = cols  # type: ignore[attr-defined]
+    return model

@@ -133,3 +133,14 @@ def responses(requests: DataFrame, contexts: DataFrame, model: str = "echo") ->
                       F.lit(0).alias("index"), F.lit(None).cast("double").alias("logprobs"))
     return j.select(F.sha2(F.concat_ws(":", F.col("repo_id").cast("string"), F.col("prompt")), 256).alias("id"),
                     F.lit(model).alias("model"), F.array(choice).alias("choices"))
+
+
+def write_report(metrics: DataFrame, path: str) -> None:
+    """Metric report as JSON (a single small row: one output file)."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_html_docs(docs: DataFrame, path: str) -> None:
+    """HTML documents stored as (file_name, html) Parquet rows, written in
+    parallel by every partition (a per-file writer can be layered on top)."""
+    docs.write.mode("overwrite").parquet(path)

@@ -118,6 +118,12 @@ def _rouge_l(spark, sf):
     return M.rouge_l(pairs(spark, sf))
 
 
+@query("rouge_lsum")
+def _rouge_lsum(spark, sf):
+    """Per-pair ROUGE-Lsum F1 (sentence split + union LCS)."""
+    return M.rouge_lsum(pairs(spark, sf))
+
+
 @query("stem_tokens")
 def _stem_tokens(spark, sf):
     """Porter stems of the distinct ROUGE tokens of all pairs."""

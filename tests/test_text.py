@@ -67,3 +67,9 @@ def test_bleu_tokens(spark):
 def test_markdown_text(spark):
     md = "# Title\n\nFirst *bold* line\nsecond `code` line\n\n```python\nimport x\n```\n\n- item\n\nLast."
     assert _one(spark, M.markdown_text("x"), md) == "First \n line\nsecond \n line\nLast."
+
+
+def test_summary_lcs_identity_and_disjoint():
+    s = [["the", "cat", "sat"], ["on", "the", "mat"]]
+    assert M.summary_lcs_f1(s, s) == 1.0
+    assert M.summary_lcs_f1(s, [["dog", "ran"]]) == 0.0
