@@ -38,10 +38,11 @@ def prompt_parts(kind: str, project_name: Column | None, use_prompt: bool,
 
 def hash_order(tree: DataFrame) -> DataFrame:
     """L1: deterministic pseudo-random file order per repository:
-    key = sha256(repo_seed || path), repo_seed = sha256 of the sorted names."""
-    seed = tree.groupBy("repo_id").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("name")), ""), 256).alias("_seed"))
-    # names only (short strings); bounded by the per-repository file cap
+    key = sha256(repo_seed || path). The seed depends only on the set of file
+    names (bit_xor of 60-bit md5 prefixes: a partial aggregate, nothing is
+    collected per repository, so a huge repository costs no memory)."""
+    name_bits = F.conv(F.substring(F.md5("name"), 1, 15), 16, 10).cast("bigint")
+    seed = tree.groupBy("repo_id").agg(F.md5(F.bit_xor(name_bits).cast("string")).alias("_seed"))
     return tree.join(seed, "repo_id").withColumn(
         "hkey", F.sha2(F.concat("_seed", "path_str"), 256)).drop("_seed")
 

@@ -110,21 +110,23 @@ def resolve_all_roots(modules: DataFrame, imports: DataFrame,
 
 
 def choose_root(resolved: DataFrame) -> DataFrame:
-    """Root with most distinct resolved imports, then the shortest, then
-    the lexicographically smallest (the source leaves that tie to set order)."""
-    score = resolved.groupBy("repo_id", "root_key").agg(F.first("root").alias("root"),
-                                                         F.count(F.lit(1)).alias("n_resolved"))
-    w = Window.partitionBy("repo_id").orderBy(F.col("n_resolved").desc(), F.size("root"), "root_key")
-    return score.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """Keep the resolutions of the best root per repository: most distinct
+    resolved imports, then the shortest root, then the lexicographically
+    smallest (the source leaves that tie to set order). Two windows over one
+    pass, so the resolution is not computed twice by a self-join."""
+    w_root = Window.partitionBy("repo_id", "root_key")
+    w_repo = Window.partitionBy("repo_id").orderBy(F.col("n_resolved").desc(), F.size("root"), "root_key")
+    r = (resolved.withColumn("n_resolved", F.count(F.lit(1)).over(w_root))
+         .withColumn("_root_rank", F.dense_rank().over(w_repo)))
+    return r.where(F.col("_root_rank") == 1).drop("_root_rank")
 
 
 def import_edges(modules: DataFrame, imports: DataFrame,
                  max_modules: int = P.ROOT_PRUNE_MODULES) -> tuple[DataFrame, DataFrame]:
     """(edges(repo_id, importer, importee), roots(repo_id, root, root_key, n_resolved))."""
-    resolved = resolve_all_roots(modules, imports, max_modules)
-    best = choose_root(resolved)
-    edges = (resolved.join(best.select("repo_id", "root_key"), ["repo_id", "root_key"])
-             .select("repo_id", "importer", F.col("target").alias("importee")))
+    chosen = choose_root(resolve_all_roots(modules, imports, max_modules))
+    edges = chosen.select("repo_id", "importer", F.col("target").alias("importee"))
+    best = chosen.select("repo_id", "root", "root_key", "n_resolved").dropDuplicates(["repo_id"])
     return edges, best
 
 
@@ -140,10 +142,8 @@ def readme_targets(modules: DataFrame, readme_imports: DataFrame,
     mods = (modules.select("repo_id", "module").join(repos_with, "repo_id", "left_semi")
             .unionByName(repos_with.select("repo_id", ph.alias("module"))))
     imps = readme_imports.select("repo_id", ph.alias("module"), "imp")
-    resolved = resolve_all_roots(mods, imps, max_modules)
-    best = choose_root(resolved)
-    return (resolved.join(best.select("repo_id", "root_key"), ["repo_id", "root_key"])
-            .select("repo_id", F.col("target").alias("module")).distinct())
+    chosen = choose_root(resolve_all_roots(mods, imps, max_modules))
+    return chosen.select("repo_id", F.col("target").alias("module")).distinct()
 
 
 def mention_vote(flag: Column, repo_has_any: Column, available: Column) -> Column:

@@ -50,7 +50,8 @@ def _prompt_sql(kind: str, use_prompt: bool) -> tuple[str, str]:
 
 
 _HORDER = """
-hseed AS (SELECT repo_id, sha256(array_to_string(list_sort(list(name)), '')) AS seed FROM tree GROUP BY repo_id),
+hseed AS (SELECT repo_id, md5(CAST(bit_xor(CAST(('0x' || substr(md5(name), 1, 15)) AS BIGINT)) AS VARCHAR)) AS seed
+          FROM tree GROUP BY repo_id),
 horder AS (SELECT t.*, sha256(s.seed || t.path_str) AS hkey FROM tree t JOIN hseed s ON t.repo_id = s.repo_id)"""
 
 _NAMES = """
