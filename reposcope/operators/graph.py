@@ -83,7 +83,9 @@ def node_ranks(edges: DataFrame) -> DataFrame:
 
 
 def import_features(edges: DataFrame) -> DataFrame:
-    """Rank, importers, importees, max rank and the two votes per node."""
+    """Rank, importers, importees, max rank and the two votes per node.
+    The edge table is materialised once and shared by the BFS and the degrees."""
+    edges = cut_lineage(edges)
     ranks = node_ranks(edges)
     deg = graph_degree(edges)
     f = ranks.join(deg, ["repo_id", "node"])
