@@ -14,9 +14,15 @@ from reposcope.functions import text as T
 from reposcope.operators import filters as FL
 
 
-def _module_parts(from_col: Column, item: Column) -> Column:
+def _module_parts(from_col: Column, item: Column, compat: bool = False) -> Column:
     """from-part + item split on '.'; a from-part made only of dots means that
-    many levels up (one '' per dot)."""
+    many levels up (one '' per dot). ``compat`` keeps the source's splitting
+    (``'..'`` gives three empty parts; a trailing space stays in the part)."""
+    if compat:
+        from_parts = (F.when(from_col == "", F.array().cast("array<string>"))
+                      .when(from_col == ".", F.array(F.lit("")))
+                      .otherwise(F.split(from_col, r"\.")))
+        return F.concat(from_parts, F.split(item, r"\."))
     f = F.trim(from_col)
     from_parts = (F.when(f == "", F.array().cast("array<string>"))
                   .when(f.rlike(r"^\.+$"), F.array_repeat(F.lit(""), F.length(f)))
@@ -24,9 +30,9 @@ def _module_parts(from_col: Column, item: Column) -> Column:
     return F.concat(from_parts, F.split(item, r"\."))
 
 
-def import_arrays(content: Column) -> Column:
+def import_arrays(content: Column, compat: bool = False) -> Column:
     """X1 for one text: ARRAY<ARRAY<STRING>> of imported module paths (not
-    yet distinct). Aliases (``a as b``) are dropped."""
+    yet distinct). Aliases (``a as b``) are dropped unless ``compat``."""
     g_from = F.regexp_extract_all(content, F.lit(P.IMPORT_JAVA), 1)
     g_par = F.regexp_extract_all(content, F.lit(P.IMPORT_JAVA), 2)
     g_plain = F.regexp_extract_all(content, F.lit(P.IMPORT_JAVA), 3)
@@ -35,9 +41,12 @@ def import_arrays(content: Column) -> Column:
     def per_stmt(m):
         lst = F.when(m["p"] != "", m["p"]).otherwise(m["l"])
         lst = F.regexp_replace(lst, P.IMPORT_LIST_NOISE, " ")
-        items = F.transform(F.split(lst, ","), lambda s: F.regexp_replace(F.trim(s), r" +as +.*$", ""))
+        if compat:
+            items = F.transform(F.split(lst, ","), lambda s: F.trim(s))
+        else:
+            items = F.transform(F.split(lst, ","), lambda s: F.regexp_replace(F.trim(s), r" +as +.*$", ""))
         items = F.filter(items, lambda s: s != "")
-        return F.transform(items, lambda s: _module_parts(m["f"], s))
+        return F.transform(items, lambda s: _module_parts(m["f"], s, compat))
 
     return F.flatten(F.transform(z, per_stmt))
 
@@ -100,9 +109,11 @@ def setup_entrypoint_modules(content: Column) -> Column:
     return F.array_distinct(F.transform(ok2, lambda parts: F.transform(F.split(parts[0], r"\."), lambda s: F.trim(s))))
 
 
-def module_exec_mentions(content: Column) -> Column:
-    """``python[23] -m pkg.mod`` module paths (trailing whitespace needed)."""
-    mods = F.regexp_extract_all(content, F.lit(P.MODULE_EXEC_RE), 1)
+def module_exec_mentions(content: Column, compat: bool = False) -> Column:
+    """``python[23] -m pkg.mod`` module paths; ``compat`` requires a
+    trailing blank as the source does (a mention ending the text is missed)."""
+    pat = P.MODULE_EXEC_COMPAT_RE if compat else P.MODULE_EXEC_RE
+    mods = F.regexp_extract_all(content, F.lit(pat), 1)
     return F.array_distinct(F.transform(mods, lambda m: F.split(m, r"\.")))
 
 

@@ -53,3 +53,9 @@ def test_inheritance_counts(spark):
     df = spark.createDataFrame(rows, "repo_id long, path_str string, content string")
     got = {r.path_str: r.num_inherited for r in X.inheritance_counts(df).collect()}
     assert got == {"a.py": 3, "b.py": 0, "c.py": 1}
+
+
+def test_module_exec_at_end_of_text(spark):
+    df = spark.createDataFrame([("run python -m pkg.cli",)], "content string")
+    assert [tuple(m) for m in df.select(X.module_exec_mentions(F.col("content"))).first()[0]] == [("pkg", "cli")]
+    assert df.select(X.module_exec_mentions(F.col("content"), compat=True)).first()[0] == []
