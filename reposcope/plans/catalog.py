@@ -45,10 +45,20 @@ def repos(spark, sf):
     return corpus.repos(spark, sf)
 
 
-def tree(spark, sf):
+def tree_all(spark, sf):
+    """Repository trees before the repository gate."""
     return FL.tree_files(raw_files(spark, sf))
 
 
+def tree(spark, sf):
+    """Trees of repositories that pass the P10 gate (as in the source, only
+    gated repositories reach feature extraction). This bounds every
+    per-repository group (windows, collects) by the gate's file cap."""
+    t = tree_all(spark, sf)
+    ok = FL.repo_gate(t).where("reason = 'ok'").select("repo_id")
+    return t.join(ok, "repo_id", "left_semi")
+
+
 def pyfiles(spark, sf):
     return X.modules(tree(spark, sf))
 
@@ -104,7 +114,9 @@ def duck(body: str) -> str:
         f"raw_flag AS (SELECT *, {ignored} AS ignored FROM raw_files)",
         "files AS (SELECT repo_id, ord, path, path_str, name, excluded, content, n_bytes FROM raw_flag WHERE NOT ignored)",
         f"repos AS ({corpus.repos_sql('duckdb')})",
-        f"tree AS (SELECT * FROM files WHERE NOT {readme_cand} AND NOT {root_setup})",
+        f"tree_all AS (SELECT * FROM files WHERE NOT {readme_cand} AND NOT {root_setup})",
+        f"tree AS (SELECT * FROM tree_all WHERE repo_id IN (SELECT repo_id FROM tree_all GROUP BY repo_id "
+        f"HAVING count(*) BETWEEN 1 AND {P.MAX_REPO_FILES} AND count_if({base} <> '' AND NOT excluded) > 0))",
         f"py AS (SELECT *, list_concat(path[1:len(path) - 1], [base]) AS module FROM "
         f"(SELECT *, {base} AS base FROM tree) t WHERE base <> '' AND NOT excluded)",
         f"readmes AS (SELECT repo_id, arg_min(name, (length(name), ord)) AS name, "

@@ -8,6 +8,7 @@ from reposcope.functions import patterns as P
 from reposcope.functions import text as T
 from reposcope.operators import metrics as M
 from reposcope.plans.catalog import _sq, duck, query, readmes
+from reposcope.sources import corpus
 from reposcope.sources.tables import read_table
 
 WS = "[ \\t\\n\\x0B\\f\\r]"
@@ -163,8 +164,17 @@ ev_lp AS (SELECT e.item_id, e.pos, e.w2 AS token,
 ppl AS (SELECT item_id, round(exp(-avg(logprob)), 6) AS perplexity FROM ev_lp WHERE pos BETWEEN 1 AND 511 GROUP BY item_id)"""
 
 
+def _stored_lm(spark, sf):
+    """Bigram LM trained once per scale factor (model stage)."""
+    def train():
+        big, ctx, v = M.train_bigram_lm(read_table(spark, sf, "documents"))
+        return [big, ctx, spark.range(1).select(F.lit(v).cast("long").alias("vocab"))]
+    big, ctx, v = corpus.model_tables(spark, sf, "bigram_lm", train)
+    return big, ctx, int(v.first()["vocab"])
+
+
 def _ppl(spark, sf):
-    big, ctx, v = M.train_bigram_lm(read_table(spark, sf, "documents"))
+    big, ctx, v = _stored_lm(spark, sf)
     lp = M.token_logprobs(read_table(spark, sf, "benchmark"), "item_id", "text", big, ctx, v)
     return M.perplexity(lp, "item_id", 512)
 
@@ -216,7 +226,18 @@ dl_out AS (SELECT x.{key}, coalesce(b.pred, 'none') AS pred_lang FROM {tbl} x LE
 
 
 def _lang_model(spark, sf):
-    return M.train_language_model(read_table(spark, sf, "documents"))
+    """Trigram language model trained once per scale factor (model stage)."""
+    counts, lang = corpus.model_tables(
+        spark, sf, "langid", lambda: list(M.train_language_model(read_table(spark, sf, "documents"))))
+    return counts, lang
+
+
+@query("train_language_model", duck(_LANG + """
+SELECT lang, round(log_prior, 6) AS log_prior, round(log_den, 6) AS log_den FROM li_lang"""))
+def _train_language_model(spark, sf):
+    """T6 training step (always retrains): per-language prior and denominator."""
+    _, lang = M.train_language_model(read_table(spark, sf, "documents"))
+    return lang.select("lang", F.round("log_prior", 6).alias("log_prior"), F.round("log_den", 6).alias("log_den"))
 
 
 @query("detect_language", duck(_LANG + "," + _detect_duck("documents", "doc_id", "text") + "\nSELECT * FROM dl_out"))

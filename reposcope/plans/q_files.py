@@ -10,7 +10,7 @@ from reposcope.operators import extract as X
 from reposcope.operators import filters as FL
 from reposcope.operators import stats as ST
 from reposcope.plans.catalog import (astr, duck, files, pyfiles, query, raw_files, readmes,
-                                     repos, r6, setups, tree, _sq)
+                                     repos, r6, setups, tree, tree_all, _sq)
 from reposcope.sources.tables import read_table
 
 TOK = _sq(T.TOKEN_RE2)
@@ -120,9 +120,9 @@ SELECT repo_id, n_files, n_python,
             WHEN n_python = 0 THEN 'no_python_file' ELSE 'ok' END AS reason
 FROM (SELECT repo_id, count(*) AS n_files,
              count_if(regexp_extract(name, '{_sq(P.PYTHON_FILE)}', 1) <> '' AND NOT excluded) AS n_python
-      FROM tree GROUP BY repo_id) g"""))
+      FROM tree_all GROUP BY repo_id) g"""))
 def _repo_gate(spark, sf):
-    return FL.repo_gate(tree(spark, sf))
+    return FL.repo_gate(tree_all(spark, sf))
 
 
 @query("filter_blacklist", duck(

@@ -231,7 +231,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def stage_table(spark: SparkSession, sf_dir: str, name: str, build, sort_cols=("repo_id",)) -> DataFrame:
+def stage_table(spark: SparkSession, sf_dir: str, name: str, build, sort_cols=("repo_id",),
+                key: str = "repo_id") -> DataFrame:
     """A pipeline stage written once per scale factor into the shared
     checkpoint folder, clustered by repo_id, and read back as Parquet by every
     later job (survives executor loss; no recomputation of upstream regex
@@ -242,13 +243,29 @@ def stage_table(spark: SparkSession, sf_dir: str, name: str, build, sort_cols=("
         # REBALANCE: AQE sizes output partitions to the advisory size (not to
         # the core count) and splits the partition of a hot repository; the
         # sort keeps each file clustered by repo_id for row-group pruning.
-        (df.hint("rebalance", "repo_id").sortWithinPartitions(*sort_cols)
+        (df.hint("rebalance", key).sortWithinPartitions(*sort_cols)
            .write.mode("overwrite").parquet(path))
     out = spark.read.parquet(path)
     slots = spark.sparkContext.defaultParallelism
     if out.rdd.getNumPartitions() < slots:
         # a small stage (tests, small scale factors) still uses every task slot
-        out = out.repartition(slots, "repo_id")
+        out = out.repartition(slots, key)
+    return out
+
+
+def model_tables(spark: SparkSession, sf_dir: str, name: str, train) -> list[DataFrame]:
+    """Model stage: ``train()`` returns several DataFrames that are trained
+    together once per scale factor and stored (scoring jobs read them back,
+    like a model file)."""
+    paths = [_materialized_path(spark, sf_dir, f"{name}_{i}") for i in range(8)]
+    if not _exists(spark, paths[0]):
+        for p, df in zip(paths, train()):
+            df.write.mode("overwrite").parquet(p)
+    out = []
+    for p in paths:
+        if not _exists(spark, p):
+            break
+        out.append(spark.read.parquet(p))
     return out
 
 
