@@ -8,7 +8,6 @@ the LCS kernel of ROUGE-L (bit-parallel, Arrow batches).
 
 from __future__ import annotations
 
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -145,10 +144,6 @@ def rouge_l(pairs: DataFrame, key: str = "pair_id", pred: str = "prediction", re
     return per.select(key, F.round(f1, 6).alias("rougeL"))
 
 
-def rouge_l_pairs(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    return rouge_l(pairs, key)
-
-
 # ---------------------------------------------------------------- stemming
 
 @F.pandas_udf(Ty.StringType())

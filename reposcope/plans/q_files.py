@@ -10,7 +10,7 @@ from reposcope.operators import extract as X
 from reposcope.operators import filters as FL
 from reposcope.operators import stats as ST
 from reposcope.plans.catalog import (astr, duck, files, pyfiles, query, raw_files, readmes,
-                                     repos, r6, setups, tree, tree_all, _sq)
+                                     repos, setups, tree, tree_all, _sq)
 from reposcope.sources.tables import read_table
 
 TOK = _sq(T.TOKEN_RE2)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reposcope.functions import patterns as P
@@ -173,5 +172,3 @@ def _rank_files(spark, sf):
     scored = RK.score(model, data, P.FEATURE_NAMES)
     return RK.rank_summary(scored)
 
-
-_ = Window  # noqa: F401 (re-exported for query modules that extend this one)
