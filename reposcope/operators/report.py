@@ -143,3 +143,15 @@ def write_html_docs(docs: DataFrame, path: str) -> None:
     """HTML documents stored as (file_name, html) Parquet rows, written in
     parallel by every partition (a per-file writer can be layered on top)."""
     docs.write.mode("overwrite").parquet(path)
+
+
+def write_predictions(preds: DataFrame, path: str) -> None:
+    """Prediction rows as JSON lines (one folder per system)."""
+    preds.write.mode("errorifexists").json(path)
+
+
+def read_predictions(spark, paths: list[str]) -> DataFrame:
+    """Read one or several prediction JSONL folders; the system is the
+    folder name of each row's source file."""
+    df = spark.read.json(paths)
+    return df.withColumn("system", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))

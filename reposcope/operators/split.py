@@ -42,8 +42,13 @@ def global_rank(df: DataFrame, order_col: str, rank_col: str = "pos") -> DataFra
 
 
 def temporal_split(repos: DataFrame, date: str = P.SPLIT_DATE, ts_col: str = "created_at") -> DataFrame:
-    """Created strictly after ``date`` -> held out, else train."""
-    held = F.col(ts_col).cast("timestamp") > F.lit(date).cast("timestamp")
+    """Created strictly after ``date`` -> held out, else train. String
+    dates (dataset metadata) are parsed as ISO-8601 with an optional 'Z' (T11)."""
+    from pyspark.sql.types import StringType
+    from reposcope.functions.text import parse_iso_timestamp
+    ts = (parse_iso_timestamp(ts_col) if isinstance(repos.schema[ts_col].dataType, StringType)
+          else F.col(ts_col).cast("timestamp"))
+    held = ts > F.lit(date).cast("timestamp")
     return repos.withColumn("split", F.when(held, F.lit("heldout")).otherwise(F.lit("train")))
 
 

@@ -141,3 +141,17 @@ def _serve_requests(spark, sf):
     reqs = readmes(spark, sf).select("repo_id", T.truncate_words("content", INPUT_TOKENS).alias("prompt"))
     ctx = CX.ctx_random_file(tree(spark, sf), r, MAX_TOKENS, use_prompt=False)
     return RP.responses(reqs, ctx)
+
+
+@query("read_predictions", duck(_ALL + """
+SELECT full_name, system, md5(result) AS result_md5 FROM preds"""))
+def _read_predictions(spark, sf):
+    """S7 + J9: per-system prediction JSONL folders read back and aligned."""
+    from reposcope.plans.q_sources import _run_dir
+    run = _run_dir(spark, "predictions")
+    for system in SYSTEMS:
+        RP.write_predictions(_preds(spark, sf, system).drop("system"), f"{run}/{system}")
+    back = RP.read_predictions(spark, [f"{run}/{s}" for s in SYSTEMS])
+    aligned = RP.align_systems(back, SYSTEMS)
+    return back.join(aligned.select("full_name"), "full_name").select(
+        "full_name", "system", F.md5("result").alias("result_md5"))

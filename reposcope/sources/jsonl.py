@@ -106,8 +106,19 @@ def flatten_tree(records: DataFrame, key: str = "full_name", max_depth: int = 64
             break
     from pyspark.sql import Window
     w = Window.partitionBy(key).orderBy("pos")
-    return files.select(key, "path", F.array_join("path", "/").alias("path_str"), "name", "excluded", "content",
+    flat = files.select(key, "path", F.array_join("path", "/").alias("path_str"), "name", "excluded", "content",
                         (F.row_number().over(w) - 1).cast("int").alias("ord"))
+    return assert_unique_paths(flat, key)
+
+
+def assert_unique_paths(flat: DataFrame, key: str = "full_name") -> DataFrame:
+    """P5: a path occurring twice in one repository is an error (raised while
+    the rows are produced, no extra pass)."""
+    from pyspark.sql import Window
+    n = F.count(F.lit(1)).over(Window.partitionBy(key, "path_str"))
+    return flat.withColumn("_n", n).withColumn(
+        "path_str", F.when(F.col("_n") == 1, F.col("path_str")).otherwise(
+            F.raise_error(F.concat(F.lit("duplicate path in repository: "), F.col("path_str"))))).drop("_n")
 
 
 def attach_meta(records: DataFrame, meta: DataFrame, key: str = "full_name") -> DataFrame:

@@ -101,3 +101,17 @@ def test_scan_archives(spark):
     files, status = scan.scan_archives(spark, root)
     assert {(r.repo, r.path_str) for r in files.collect()} == {("u/good", "main.py"), ("u/good", "pkg/mod.py")}
     assert {(r.repo, r.status) for r in status.collect()} == {("good", "ok"), ("bad", "bad_zip")}
+
+
+def test_temporal_split_parses_iso_strings(spark):
+    df = spark.createDataFrame([("a", "2020-06-12T00:00:00Z"), ("b", "2020-06-13T10:00:00Z"), ("c", "2019-01-01")],
+                               "full_name string, created_at string")
+    got = {r.full_name: r.split for r in SP.temporal_split(df).collect()}
+    assert got == {"a": "train", "b": "heldout", "c": "train"}
+
+
+def test_duplicate_paths_raise(spark):
+    import pytest
+    df = spark.createDataFrame([("r", "a.py"), ("r", "a.py")], "full_name string, path_str string")
+    with pytest.raises(Exception):
+        jsonl.assert_unique_paths(df).collect()
