@@ -12,13 +12,18 @@ STAT_METRICS = ["n_reference_tokens", "n_repo_tokens", "n_excluded", "n_files"]
 
 def repo_stats(tree: DataFrame, readmes: DataFrame, repos: DataFrame) -> DataFrame:
     """A2: per repository reference tokens, repo tokens (sum over Python
-    files), #Python files and #excluded (excluded or not Python).
-    One partial+final aggregate keyed by repo_id; no per-repo lists."""
+    files), #Python files, #excluded (excluded or not Python) and the
+    per-file token counts in path order. One aggregate keyed by repo_id; the
+    only list is one number per file (bounded by the repository gate)."""
     is_py = (T.python_base_name("name") != "") & ~F.col("excluded")
-    per_repo = tree.groupBy("repo_id").agg(
-        F.count_if(~is_py).alias("n_excluded"),
-        F.count_if(is_py).alias("n_files"),
-        F.sum(F.when(is_py, T.token_count("content")).otherwise(F.lit(0))).alias("n_repo_tokens"))
+    per_file = tree.select("repo_id", "path_str", is_py.alias("_py"),
+                           F.when(is_py, T.token_count("content")).alias("_n"))
+    per_repo = per_file.groupBy("repo_id").agg(
+        F.count_if(~F.col("_py")).alias("n_excluded"),
+        F.count_if(F.col("_py")).alias("n_files"),
+        F.sum(F.coalesce("_n", F.lit(0))).alias("n_repo_tokens"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_py"), F.struct("path_str", "_n")))),
+                                 lambda x: x["_n"].cast("string")), ",").alias("n_file_tokens"))
     ref = readmes.select("repo_id", T.token_count("content").alias("n_reference_tokens"))
     return (repos.select("repo_id", "full_name")
             .join(per_repo, "repo_id", "left")
@@ -27,7 +32,8 @@ def repo_stats(tree: DataFrame, readmes: DataFrame, repos: DataFrame) -> DataFra
                     F.coalesce("n_reference_tokens", F.lit(0)).cast("bigint").alias("n_reference_tokens"),
                     F.coalesce("n_repo_tokens", F.lit(0)).cast("bigint").alias("n_repo_tokens"),
                     F.coalesce("n_files", F.lit(0)).cast("bigint").alias("n_files"),
-                    F.coalesce("n_excluded", F.lit(0)).cast("bigint").alias("n_excluded")))
+                    F.coalesce("n_excluded", F.lit(0)).cast("bigint").alias("n_excluded"),
+                    F.coalesce("n_file_tokens", F.lit("")).alias("n_file_tokens")))
 
 
 def corpus_summary(stats: DataFrame, metrics: list[str] = STAT_METRICS) -> DataFrame:

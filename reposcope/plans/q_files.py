@@ -35,9 +35,11 @@ fs AS (SELECT repo_id,
          count_if(NOT (regexp_extract(name, '{_sq(P.PYTHON_FILE)}', 1) <> '' AND NOT excluded)) AS n_excluded,
          count_if(regexp_extract(name, '{_sq(P.PYTHON_FILE)}', 1) <> '' AND NOT excluded) AS n_files,
          sum(CASE WHEN regexp_extract(name, '{_sq(P.PYTHON_FILE)}', 1) <> '' AND NOT excluded
-                  THEN len(regexp_extract_all(content, '{TOK}')) ELSE 0 END) AS n_repo_tokens
+                  THEN len(regexp_extract_all(content, '{TOK}')) ELSE 0 END) AS n_repo_tokens,
+         string_agg(CASE WHEN regexp_extract(name, '{_sq(P.PYTHON_FILE)}', 1) <> '' AND NOT excluded
+                  THEN CAST(len(regexp_extract_all(content, '{TOK}')) AS VARCHAR) END, ',' ORDER BY path_str) AS n_file_tokens
        FROM tree GROUP BY repo_id)
-SELECT r.full_name,
+SELECT r.full_name, coalesce(fs.n_file_tokens, '') AS n_file_tokens,
        CAST(coalesce(len(regexp_extract_all(m.content, '{TOK}')), 0) AS BIGINT) AS n_reference_tokens,
        CAST(coalesce(fs.n_repo_tokens, 0) AS BIGINT) AS n_repo_tokens,
        CAST(coalesce(fs.n_files, 0) AS BIGINT) AS n_files,
