@@ -1,9 +1,10 @@
 """Weak supervision over the vote matrix.
 
 The vote matrix is never collected: summaries are aggregates, and the label
-model runs EM over the *distinct vote patterns* (at most 3^14, in practice a
-few hundred), where every iteration is one DataFrame aggregate returning 2x14
-numbers to the driver.
+model runs EM over the histogram of *distinct vote patterns* (sufficient
+statistics, at most 3^14 rows whatever the corpus size, in practice a few
+hundred): in numpy after one size-checked collect, or as one DataFrame
+aggregate per iteration above the size limit.
 """
 
 from __future__ import annotations
@@ -71,16 +72,50 @@ def label_proba(votes: DataFrame, acc: dict[str, float] | None = None, prior: fl
     return votes.select("repo_id", "path_str", F.round(posterior(acc, prior, lfs), 6).alias("proba"))
 
 
+MAX_LOCAL_PATTERNS = 200_000
+
+
+def _em_local(rows, lfs, n_iter, tol, init_acc, prior, learn_prior):
+    """EM on the pattern histogram in numpy (same update as the distributed loop)."""
+    import numpy as np
+    v = np.array([[r[c] for c in lfs] for r in rows], dtype=np.int8)
+    n = np.array([r["n"] for r in rows], dtype=np.float64)
+    pos, neg, voted = (v == 1), (v == 0), (v != -1)
+    acc = np.full(len(lfs), init_acc)
+    for _ in range(n_iter):
+        a = np.clip(acc, 1e-6, 1 - 1e-6)
+        w = np.log(a / (1 - a))
+        logit = math.log(prior / (1 - prior)) + (pos * w).sum(1) - (neg * w).sum(1)
+        q = 1.0 / (1.0 + np.exp(-logit))
+        agree = (n[:, None] * (pos * q[:, None] + neg * (1 - q[:, None]))).sum(0)
+        tot = (n[:, None] * voted).sum(0)
+        new = np.where(tot > 0, (agree + 1.0) / (tot + 2.0), acc)
+        new_prior = prior
+        if learn_prior and n.sum() > 0:
+            new_prior = float(min(max((n * q).sum() / n.sum(), 1e-3), 1 - 1e-3))
+        delta = float(np.abs(new - acc).max()) + abs(new_prior - prior)
+        acc, prior = new, new_prior
+        if delta < tol:
+            break
+    return {c: float(x) for c, x in zip(lfs, acc)}, prior
+
+
 def fit_label_model(votes: DataFrame, lfs: list[str] = P.VOTE_NAMES, n_iter: int = 500,
                     tol: float = 1e-7, init_acc: float = 0.7, prior: float = 0.5,
                     learn_prior: bool = False) -> tuple[dict[str, float], float, DataFrame]:
     """M3: unsupervised LF accuracies by EM (one-coin Dawid-Skene) over the
-    distinct vote patterns. Each iteration is one aggregate over the pattern
-    table; the driver only holds the 14 accuracies. Returns (acc, prior,
-    patterns) where patterns carries the final posterior per pattern."""
+    distinct vote patterns (sufficient statistics: at most 3^len(lfs) rows,
+    whatever the data size). A histogram within ``MAX_LOCAL_PATTERNS`` is
+    fitted in numpy after one bounded collect; a larger one runs one
+    DataFrame aggregate per iteration. Per-file votes never leave the
+    executors. Returns (acc, prior, patterns) with the posterior per pattern."""
     from reposcope.session import cut_lineage
 
     patterns = cut_lineage(votes.groupBy(*lfs).agg(F.count(F.lit(1)).alias("n")))
+    n_patterns = patterns.count()
+    if n_patterns <= MAX_LOCAL_PATTERNS:
+        acc, prior = _em_local(patterns.collect(), lfs, n_iter, tol, init_acc, prior, learn_prior)
+        return acc, prior, patterns.select(*lfs, "n", posterior(acc, prior, lfs).alias("proba"))
     acc = {c: init_acc for c in lfs}
     for _ in range(n_iter):
         post = posterior(acc, prior, lfs)
