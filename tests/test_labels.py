@@ -65,3 +65,24 @@ def test_context_budget(spark):
     names = CX.ctx_file_names(tree, repos, 100, use_prompt=True, order="traversal").first().context
     assert names.startswith('Here is a a Python project called "proj" with following files:')
     assert "a.py b.py c.bin" in names
+
+
+def test_ranker_save_load_and_report(spark):
+    import json
+    import os
+    import tempfile
+    from reposcope.operators import report as RP
+    rows = [(r, f"{r}/f{j}", j, float(j), float(2 * j)) for r in range(3) for j in range(4)]
+    df = spark.createDataFrame(rows, "repo_id long, path_str string, ord int, feat double, target double")
+    model = RK.fit_pairwise_ranker(df, ["feat"], "target")
+    base = tempfile.mkdtemp(prefix="rs-model-")
+    RK.save_model(model, base + "/ranker")
+    back = RK.load_model(base + "/ranker")
+    a = [r.score for r in RK.score(model, df, ["feat"]).orderBy("path_str").collect()]
+    b = [r.score for r in RK.score(back, df, ["feat"]).orderBy("path_str").collect()]
+    assert a == b
+    RP.write_report(RK.coefficients(back, spark), base + "/report")
+    files = [f for f in os.listdir(base + "/report") if f.endswith(".json")]
+    assert len(files) == 1
+    with open(os.path.join(base, "report", files[0])) as fh:
+        assert {json.loads(line)["feature"] for line in fh} == {"feat"}
