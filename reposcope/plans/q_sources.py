@@ -91,3 +91,36 @@ def _stream_requests(spark, sf):
     return out.select("id", "model", F.col("choices")[0]["text"].alias("text"))
 
 
+
+
+_SCANNED = """
+SELECT r.name AS repo, f.path_str,
+       f.excluded OR coalesce(regexp_matches(left(f.content, 1024), '[\\x00-\\x06\\x0B\\x0E-\\x1A\\x1C-\\x1F\\x7F]'), false) AS excluded,
+       md5(CASE WHEN f.excluded THEN NULL ELSE f.content END) AS content_md5
+FROM files f JOIN repos r ON f.repo_id = r.repo_id"""
+
+
+@query("scan_files", duck(_SCANNED))
+def _scan_files(spark, sf):
+    """S1 (+P1-P4): the derived corpus written as a real directory tree by the
+    executors, then scanned with the binaryFile source."""
+    from reposcope.sources import scan
+    from reposcope.plans.catalog import raw_files
+    root = _run_dir(spark, "tree")
+    rows = raw_files(spark, sf).join(repos(spark, sf).select("repo_id", F.col("name").alias("repo")), "repo_id")
+    scan.write_file_tree(rows, root)
+    got = scan.scan_files(spark, root)
+    return got.select("repo", "path_str", "excluded", F.md5("content").alias("content_md5"))
+
+
+@query("scan_archives", duck(_SCANNED.replace("r.name AS repo", "r.full_name AS repo")))
+def _scan_archives(spark, sf):
+    """One zip per repository written by the executors, then unpacked in
+    Arrow batches; archive status per repository."""
+    from reposcope.sources import scan
+    from reposcope.plans.catalog import raw_files
+    root = _run_dir(spark, "archives")
+    r = repos(spark, sf).select("repo_id", F.split("full_name", "/")[0].alias("user"), F.col("name").alias("repo"))
+    scan.write_archives(raw_files(spark, sf).join(r, "repo_id"), root)
+    files, _ = scan.scan_archives(spark, root)
+    return files.select("repo", "path_str", "excluded", F.md5("content").alias("content_md5"))

@@ -1,10 +1,11 @@
-"""File-system and archive sources.
-
-``scan_files`` reads a directory of repositories with the ``binaryFile``
-source: the size rule is pushed into the scan (``length`` is a pushable
-column) and file content is only decoded for rows that survive the path
-rules. ``scan_archives`` unpacks ``<user>/<repo>/repo.zip`` archives inside
-Arrow batches (``mapInPandas``), one archive per row, never on the driver.
+"""File-system and archive sources (S1, S2, P1-P4) and their writers.
+
+``scan_files`` walks a directory of repositories on the executors (Spark's
+file index would hide ``__init__.py``), reading content only below the size
+limit. ``scan_archives`` reads ``<user>/<repo>/repo.zip`` with the
+``binaryFile`` source and unpacks each archive inside Arrow batches
+(``mapInPandas``), never on the driver. ``write_file_tree`` /
+``write_archives`` produce such inputs from a file table, from the executors.
 """
 
 from __future__ import annotations
@@ -41,15 +42,45 @@ def _finish(df: DataFrame) -> DataFrame:
         F.element_at("path", -1).alias("name"))
 
 
+def _walk(batches, root: str):
+    from pyarrow.fs import FileSelector, FileType
+    fs, base = _fs_and_path(root)
+    for b in batches:
+        rows = []
+        for repo in b["repo"]:
+            top = f"{base}/{repo}"
+            for info in fs.get_file_info(FileSelector(top, recursive=True)):
+                if info.type != FileType.File:
+                    continue
+                rel = info.path[len(top) + 1:]
+                # P2 before any IO: content is read only below the size limit
+                data = None
+                if info.size < P.MAX_FILE_BYTES:
+                    with fs.open_input_stream(info.path) as src:
+                        data = src.read()
+                rows.append((repo, rel, info.size, data))
+        yield pd.DataFrame(rows, columns=["repo", "path_str", "n_bytes", "data"])
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """``root/<repo>/<path...>`` -> flat file rows
-    (repo, path ARRAY, path_str, name, excluded, content, n_bytes)."""
-    root = root.rstrip("/")
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + _escape_re(root.split(":", 1)[-1].lstrip("/")) + "/", "")
-    df = raw.select(F.split(rel, "/", 2).alias("_p"), F.col("length").alias("n_bytes"), F.col("content").alias("data"))
-    df = df.select(F.col("_p")[0].alias("repo"), F.col("_p")[1].alias("path_str"), "n_bytes", "data")
-    return _finish(df)
+    (repo, path ARRAY, path_str, name, excluded, content, n_bytes).
+
+    Spark's file index hides names starting with '_' or '.', which would drop
+    every ``__init__.py``; so this is a custom scan: the driver lists only the
+    top-level repository directories (metadata, as Spark's own file listing
+    does), and executors walk and read each repository (``mapInPandas``),
+    reading content only for files under the size limit. P1-P4 follow as
+    column rules."""
+    from pyarrow.fs import FileSelector, FileType
+    fs, base = _fs_and_path(root)
+    repos = sorted(i.base_name for i in fs.get_file_info(FileSelector(base)) if i.type == FileType.Directory)
+    slots = spark.sparkContext.defaultParallelism
+    listing = spark.createDataFrame([(r,) for r in repos], "repo string")
+    listing = listing.repartition(max(1, min(len(repos), slots * 4)))
+    rows = listing.mapInPandas(lambda it: _walk(it, root),
+                               schema="repo string, path_str string, n_bytes long, data binary")
+    return _finish(rows)
 
 
 def _escape_re(s: str) -> str:
@@ -85,3 +116,59 @@ def scan_archives(spark: SparkSession, repo_root: str) -> tuple[DataFrame, DataF
     files = _finish(rows.where(F.col("status") == "ok").drop("status")
                     .withColumn("repo", F.concat_ws("/", "user", "repo")))
     return files, status
+
+
+# ---------------------------------------------------------------- writers (tree / archives)
+
+_BINARY_PLACEHOLDER = bytes(range(256))
+
+
+def _fs_and_path(uri: str):
+    import pyarrow.fs as pafs
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _write_files(batches, root: str):
+    import pyarrow.fs as pafs
+    fs, base = _fs_and_path(root)
+    for b in batches:
+        for repo, path_str, content in zip(b["repo"], b["path_str"], b["content"]):
+            target = f"{base}/{repo}/{path_str}"
+            fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            data = _BINARY_PLACEHOLDER if content is None else content.encode("utf-8")
+            with fs.open_output_stream(target) as out:
+                out.write(data)
+        yield pd.DataFrame({"n": [len(b)]})
+    _ = pafs
+
+
+def write_file_tree(files: DataFrame, root: str) -> int:
+    """Write (repo, path_str, content) rows as real files ``root/<repo>/<path>``
+    from the executors (pyarrow file systems: local, HDFS, object stores).
+    Deterministic paths make a retried task overwrite its own files. Rows with
+    NULL content (excluded binaries) get a binary placeholder."""
+    out = files.select("repo", "path_str", "content").mapInPandas(
+        lambda it: _write_files(it, root), schema="n long")
+    return int(out.agg(F.sum("n")).first()[0] or 0)
+
+
+def _zip_repo(key, pdf: pd.DataFrame, root: str) -> pd.DataFrame:
+    fs, base = _fs_and_path(root)
+    user, repo = key
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for path_str, content in zip(pdf["path_str"], pdf["content"]):
+            z.writestr("repo/" + path_str, _BINARY_PLACEHOLDER if content is None else content.encode("utf-8"))
+    target = f"{base}/{user}/{repo}/repo.zip"
+    fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(target) as out:
+        out.write(buf.getvalue())
+    return pd.DataFrame({"user": [user], "repo": [repo], "n_files": [len(pdf)]})
+
+
+def write_archives(files: DataFrame, root: str) -> int:
+    """One ``<user>/<repo>/repo.zip`` per repository, built inside the task
+    that holds the repository's rows (groups bounded by the repository gate)."""
+    out = files.select("user", "repo", "path_str", "content").groupBy("user", "repo").applyInPandas(
+        lambda k, p: _zip_repo(k, p, root), schema="user string, repo string, n_files long")
+    return int(out.agg(F.sum("n_files")).first()[0] or 0)

@@ -71,7 +71,8 @@ def test_stream_rerun_adds_nothing(spark):
 
 def test_scan_files(spark):
     root = tempfile.mkdtemp(prefix="rs-scan-")
-    files = {"r1/main.py": b"print(1)\n", "r1/pkg/__pycache__/x.pyc": b"\x00\x01", "r1/big.txt": b"a" * 100001,
+    files = {"r1/main.py": b"print(1)\n", "r1/pkg/__init__.py": b"", "r1/pkg/__pycache__/x.pyc": b"\x00\x01",
+             "r1/big.txt": b"a" * 100001,
              "r1/bin.dat": b"\x00\x01\x02abc", "r1/bad.txt": b"ok\xffok"}
     for rel, data in files.items():
         os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
@@ -80,6 +81,7 @@ def test_scan_files(spark):
     got = {(r.repo, r.path_str): (r.excluded, r.content) for r in scan.scan_files(spark, root).collect()}
     assert ("r1", "pkg/__pycache__/x.pyc") not in got
     assert got[("r1", "main.py")] == (False, "print(1)\n")
+    assert got[("r1", "pkg/__init__.py")] == (False, "")
     assert got[("r1", "big.txt")] == (True, None)
     assert got[("r1", "bin.dat")] == (True, None)
     assert got[("r1", "bad.txt")] == (False, "okok")
