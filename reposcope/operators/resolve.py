@@ -95,9 +95,13 @@ def resolve_all_roots(modules: DataFrame, imports: DataFrame,
     ir = imports.select("repo_id", F.col("module").alias("importer"), "imp").join(roots, "repo_id")
     rel_i = F.slice("importer", F.size("root") + 1, F.greatest(F.size("importer") - F.size("root"), F.lit(0)))
     abs_p = F.concat("root", "imp")
+    # for the empty root the relative keys equal the absolute ones and the
+    # absolute mode wins every tie, so they are not generated at all
+    rel_keys = F.when(F.size("root") == 0, F.array().cast("array<array<string>>")).otherwise(
+        resolution_keys(rel_i, F.col("imp")))
     tagged = F.concat(
         F.transform(resolution_keys(F.col("importer"), abs_p), lambda k: F.struct(k.alias("key"), F.lit(0).alias("mode"))),
-        F.transform(resolution_keys(rel_i, F.col("imp")), lambda k: F.struct(k.alias("key"), F.lit(1).alias("mode"))))
+        F.transform(rel_keys, lambda k: F.struct(k.alias("key"), F.lit(1).alias("mode"))))
     keyed = ir.select("repo_id", "root_key", "root", "importer", "imp", F.explode(tagged).alias("k"))
     keyed = keyed.select("repo_id", "root_key", "root", "importer", "imp",
                          key_str(F.col("k.key")).alias("ckey"), F.col("k.mode").alias("mode"))

@@ -51,7 +51,8 @@ def duck_resolve(prefix: str, mods: str, imps: str, max_modules: int = 500) -> s
 {p}_keyed AS (
   SELECT repo_id, importer, imp, root, root_key, 0 AS mode, unnest({duck_keys('importer', 'abs_p')}) AS key FROM {p}_ir
   UNION ALL
-  SELECT repo_id, importer, imp, root, root_key, 1 AS mode, unnest({duck_keys('rel_i', 'imp')}) AS key FROM {p}_ir),
+  SELECT repo_id, importer, imp, root, root_key, 1 AS mode, unnest({duck_keys('rel_i', 'imp')}) AS key FROM {p}_ir
+  WHERE len(root) > 0),
 {p}_matched AS (
   SELECT k.repo_id, k.importer, k.imp, k.root, k.root_key, k.mode, c.cand, c.clen, c.is_init, c.cand_key
   FROM {p}_keyed k JOIN {p}_cands c
