@@ -117,7 +117,7 @@ def html_escape(c) -> Column:
     x = F.replace(x, F.lit(">"), F.lit("&gt;"))
     x = F.replace(x, F.lit('"'), F.lit("&quot;"))
     x = F.replace(x, F.lit("'"), F.lit("&#x27;"))
-    return F.replace(x, F.lit("\n"), F.lit("<br/>"))
+    return F.replace(x, F.lit("\n"), F.lit(P.HTML_NEWLINE))
 
 
 def parse_iso_timestamp(c) -> Column:

@@ -12,7 +12,7 @@ from reposcope.functions import patterns as P
 from reposcope.functions import text as T
 from reposcope.operators import filters as FL
 
-PROMPT_COLOR = "#2B547E"
+PROMPT_COLOR = P.HTML_PROMPT_COLOR
 
 
 def echo_generator(context, input_text, continuation_tokens: int = 64):
@@ -71,10 +71,10 @@ def report_html(pred: DataFrame, title: str = "generation result") -> DataFrame:
     html = F.concat(
         F.lit(f"<html><body><h2>{title}</h2><hr>"),
         F.lit('<h4><a href="'), F.col("html_url"), F.lit('">'), F.col("full_name"), F.lit("</a></h4>"),
-        esc(F.coalesce("description", F.lit(""))), F.lit("<hr><h4>Generated readme</h4>"),
+        esc(F.coalesce("description", F.lit(""))), F.lit(P.HTML_RULE + P.HTML_GENERATED),
         F.lit(f'<span style="color:{PROMPT_COLOR}">'), esc(F.col("input_text")), F.lit("</span>"), esc(rest),
-        F.lit("<hr><h4>Reference</h4>"), esc(F.col("reference")),
-        F.lit("<hr><h4>Context</h4>"), esc(F.col("context")), F.lit("</body></html>"))
+        F.lit(P.HTML_RULE + P.HTML_REFERENCE), esc(F.col("reference")),
+        F.lit(P.HTML_RULE + P.HTML_CONTEXT), esc(F.col("context")), F.lit("</body></html>"))
     return pred.select(F.concat(F.translate("full_name", "/", "."), F.lit(".html")).alias("file_name"),
                        html.alias("html"))
 
@@ -99,7 +99,8 @@ def ab_report(preds: DataFrame, systems: list[str], seed: int = P.SHUFFLE_SEED,
     p = ab_blind(p, "full_name", "system", seed)
     esc = T.html_escape
     rest = _checked_rest(F.col("result"), F.col("input_text"))
-    section = F.concat(F.lit("<h4>Generated readme "), F.col("position").cast("string"), F.lit("</h4>"),
+    head, tail = P.HTML_GENERATED_N.split("{}")
+    section = F.concat(F.lit(head), F.col("position").cast("string"), F.lit(tail),
                        F.lit(f'<span style="color:{PROMPT_COLOR}">'), esc(F.col("input_text")), F.lit("</span>"),
                        esc(rest))
     s = p.select("repo_id", "full_name", "html_url", "description", "reference", "system", "position",
@@ -108,11 +109,12 @@ def ab_report(preds: DataFrame, systems: list[str], seed: int = P.SHUFFLE_SEED,
         F.first("html_url").alias("html_url"), F.first("description").alias("description"),
         F.first("reference").alias("reference"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "section"))),
-                                 lambda x: x["section"]), "<hr>").alias("sections"))
+                                 lambda x: x["section"]), P.HTML_RULE).alias("sections"))
     html = F.concat(
         F.lit(f"<html><body><h2>{title}</h2><hr>"),
         F.lit('<h4><a href="'), F.col("html_url"), F.lit('">'), F.col("full_name"), F.lit("</a></h4>"),
-        esc(F.coalesce("description", F.lit(""))), F.lit("<hr>"), F.col("sections"), F.lit("<hr><h4>Reference</h4>"),
+        esc(F.coalesce("description", F.lit(""))), F.lit(P.HTML_RULE), F.col("sections"),
+        F.lit(P.HTML_RULE + P.HTML_REFERENCE),
         esc(F.col("reference")), F.lit("</body></html>"))
     rid = F.col("repo_id").cast("string")
     docs = per.select(F.concat(F.when(F.length(rid) >= 4, rid).otherwise(F.lpad(rid, 4, "0")), F.lit("_"),

@@ -40,7 +40,7 @@ def _esc(x: str) -> str:
     y = f"replace({y}, '>', '&gt;')"
     y = f"replace({y}, '\"', '&quot;')"
     y = f"replace({y}, '''', '&#x27;')"
-    return f"replace({y}, chr(10), '<br/>')"
+    return f"replace({y}, chr(10), '{P.HTML_NEWLINE}')"
 
 
 def _pred_duck(system: str, ctx_cte: str) -> str:
@@ -77,10 +77,10 @@ def _edit_record(spark, sf):
 
 
 _HTML_V1 = ("'<html><body><h2>generation result</h2><hr>' || '<h4><a href=\"' || html_url || '\">' || full_name || "
-            "'</a></h4>' || " + _esc("coalesce(description, '')") + " || '<hr><h4>Generated readme</h4>' || "
+            "'</a></h4>' || " + _esc("coalesce(description, '')") + f" || '{P.HTML_RULE}{P.HTML_GENERATED}' || "
             "'<span style=\"color:" + RP.PROMPT_COLOR + "\">' || " + _esc("input_text") + " || '</span>' || "
-            + _esc("substr(result, length(input_text) + 1)") + " || '<hr><h4>Reference</h4>' || " + _esc("reference")
-            + " || '<hr><h4>Context</h4>' || " + _esc("context") + " || '</body></html>'")
+            + _esc("substr(result, length(input_text) + 1)") + f" || '{P.HTML_RULE}{P.HTML_REFERENCE}' || " + _esc("reference")
+            + f" || '{P.HTML_RULE}{P.HTML_CONTEXT}' || " + _esc("context") + " || '</body></html>'")
 
 
 @query("report_html", duck(_PRED + f"""
@@ -115,18 +115,19 @@ def _ab_blind(spark, sf):
     return mappings
 
 
-_SECTION = ("'<h4>Generated readme ' || CAST(position AS VARCHAR) || '</h4>' || '<span style=\"color:"
+_GEN_HEAD, _GEN_TAIL = P.HTML_GENERATED_N.split("{}")
+_SECTION = ("'" + _GEN_HEAD + "' || CAST(position AS VARCHAR) || '" + _GEN_TAIL + "' || '<span style=\"color:"
             + RP.PROMPT_COLOR + "\">' || " + _esc("input_text") + " || '</span>' || "
             + _esc("substr(result, length(input_text) + 1)"))
 
 
 @query("ab_report", duck(_BLIND + f""",
 per AS (SELECT repo_id, full_name, any_value(html_url) AS html_url, any_value(description) AS description,
-               any_value(reference) AS reference, array_to_string(list({_SECTION} ORDER BY position), '<hr>') AS sections
+               any_value(reference) AS reference, array_to_string(list({_SECTION} ORDER BY position), '{P.HTML_RULE}') AS sections
         FROM blind GROUP BY repo_id, full_name),
 docs AS (SELECT CASE WHEN length(CAST(repo_id AS VARCHAR)) >= 4 THEN CAST(repo_id AS VARCHAR) ELSE lpad(CAST(repo_id AS VARCHAR), 4, '0') END || '_' || replace(full_name, '/', '.') || '.html' AS file_name,
                 '<html><body><h2>generation result</h2><hr>' || '<h4><a href="' || html_url || '">' || full_name ||
-                '</a></h4>' || {_esc("coalesce(description, '')")} || '<hr>' || sections || '<hr><h4>Reference</h4>' ||
+                '</a></h4>' || {_esc("coalesce(description, '')")} || '{P.HTML_RULE}' || sections || '{P.HTML_RULE}{P.HTML_REFERENCE}' ||
                 {_esc('reference')} || '</body></html>' AS html FROM per)
 SELECT file_name, md5(html) AS html_md5 FROM docs"""))
 def _ab_report(spark, sf):
