@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,23 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 REMEMBERED = 400_000
 
 
+def newer_letters() -> str:
+    """Ranges, for a character class, of letters and numbers that came after Python's own tables.
+
+    Pattern engines know different editions of Unicode; on these characters alone they may differ.
+    """
+    known = regex.compile(r"[\p{L}\p{N}\s]").match
+    out, begin = [], None
+    for c in range(sys.maxunicode + 2):
+        new = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn" and known(chr(c)) is not None
+        if new and begin is None:
+            begin = c
+        elif not new and begin is not None:
+            out.append(f"{chr(begin)}-{chr(c - 1)}")
+            begin = None
+    return "".join(out)
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary file."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -44,6 +64,7 @@ class Vocabulary:
     ranks: dict[int, tuple[int, int]]  # left * size + right -> (rank, merged id)
     first: np.ndarray  # id of each single byte
     added: list[tuple[str, int]]
+    newer: str = ""
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -69,7 +90,7 @@ class Vocabulary:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             ranks.setdefault(ids[left] * size + ids[right], (rank, ids[left + right]))
         first = np.array([ids[c] for c in letters], dtype=np.int64)
-        return cls(tokens, ranks, first, sorted(added, key=lambda x: -len(x[0])))
+        return cls(tokens, ranks, first, sorted(added, key=lambda x: -len(x[0])), newer_letters())
 
 
 class _Numbers(dict):
@@ -85,7 +106,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.split = regex.compile(PRETOKEN).findall
+        self.findall = regex.compile(PRETOKEN).findall
+        self.newer = re.compile(f"[{vocabulary.newer}]").search if vocabulary.newer else lambda _: None
         self.size = len(vocabulary.tokens)
         self.by_rank = {rank: (pair // self.size, pair % self.size, new) for pair, (rank, new) in vocabulary.ranks.items()}
         none = len(vocabulary.ranks)
@@ -104,8 +126,17 @@ class Encoder:
         self.numbers = _Numbers()
         self.flat, self.length = np.empty(0, np.uint32), np.empty(0, np.int64)
 
-    def pieces(self, text: str) -> list[str]:
-        """Pre-tokens; an added token has a leading NUL pair that no pre-token index shares."""
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens; where the pattern engines may differ, as the library's own engine cuts them."""
+        if self.newer(text) is None:
+            return self.findall(text)
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        cuts = ByteLevel(add_prefix_space=False).pre_tokenize_str(text)
+        return [text[a:b] for _, (a, b) in cuts]
+
+    def pieces(self, text: str) -> list:
+        """Pre-tokens; an added token comes as a tuple, which no pre-token equals."""
         if self.special is None:
             return self.split(text)
         out: list[str] = []

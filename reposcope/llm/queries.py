@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from reposcope.llm import bpe
+from reposcope.llm import bpe, decontaminate
 
 QUERIES = {
+    "op8_wu_manber": (decontaminate.op8, decontaminate.OP8_SQL),
     "op9_bpe": (bpe.op9, None),
 }

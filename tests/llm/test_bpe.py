@@ -24,7 +24,7 @@ def vocabulary():
 
 
 ODD = ["", " ", "a", "aaaaaaa", "  two  spaces \n\n x", "It's we'll I'M 12345 ½ Ⅳ", "é́ ñ ß 漢字 😀😀", "\x00\x1c\x1f\x85   x",
-       "a<|endoftext|>b<|endoftext|><|endoftext|>", "<|endoftext|", "x" * 5000, "ab" * 3000 + " " * 50, "�​"]
+       "a<|endoftext|>b<|endoftext|><|endoftext|>", "<|endoftext|", "x" * 5000, "ab" * 3000 + " " * 50, "�​", "a\u088f1\U000323b0b \ua7cfx"]
 
 
 def test_odd_texts_match_the_library(library, vocabulary):
