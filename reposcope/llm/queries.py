@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reposcope.llm import bpe, decontaminate
+from reposcope.llm import bpe, decontaminate, pii
 
 QUERIES = {
+    "op6_pii": (pii.op6, None),
     "op8_wu_manber": (decontaminate.op8, decontaminate.OP8_SQL),
     "op9_bpe": (bpe.op9, None),
 }
