@@ -42,12 +42,13 @@ def crc_mod(key: Column, m: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "utf-8")), F.lit(m))
 
 
-def in_shards(df: DataFrame, key: str, size: Column, target: int, out: str = "_shard", samples: int = 16) -> DataFrame:
+def in_shards(df: DataFrame, key: str, size: Column, target: int, out: str = "_shard", samples: int = 16, also: DataFrame | None = None) -> DataFrame:
     """Adds the number of a contiguous range of ``key``; a range holds about ``target`` of ``size``.
 
     The bounds come from rows picked by a hash of the key with a chance in proportion to their
     size, so they are the same in each run over the same rows, whatever the partitions. The driver
-    holds about ``samples`` keys per range. Equal keys share a range; null keys come last.
+    holds about ``samples`` keys per range. Equal keys share a range; null keys come last. With
+    ``also`` the column is added to that frame instead, by the bounds of ``df``.
     """
     last = np.iinfo(np.int64).max
     k = F.coalesce(F.col(key).cast("long"), F.lit(last))
@@ -61,6 +62,7 @@ def in_shards(df: DataFrame, key: str, size: Column, target: int, out: str = "_s
         .toPandas()
     )
     bounds = picked_bounds(picked["k"].to_numpy(), picked["w"].to_numpy(), samples)
+    df = df if also is None else also
     if not bounds:
         return df.withColumn(out, F.lit(0))
     # the number of bounds not above the key, by binary search over one array literal

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reposcope.llm import bpe, decontaminate, pii, quality_trees
+from reposcope.llm import bpe, decontaminate, pii, quality_trees, warc
 
 QUERIES = {
+    "op4_warc": (warc.op4, warc.OP4_SQL),
     "op10_quality_trees": (quality_trees.op10, None),
     "op6_pii": (pii.op6, None),
     "op8_wu_manber": (decontaminate.op8, decontaminate.OP8_SQL),
