@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reposcope.llm import bpe, decontaminate, pii, quality_trees, warc
+from reposcope.llm import bpe, decontaminate, line_rules, pii, quality_trees, warc
 
 QUERIES = {
+    "op3_line_rules": (line_rules.op3, line_rules.OP3_SQL),
     "op4_warc": (warc.op4, warc.OP4_SQL),
     "op10_quality_trees": (quality_trees.op10, None),
     "op6_pii": (pii.op6, None),
