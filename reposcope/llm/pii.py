@@ -107,7 +107,7 @@ def _char_map() -> dict[str, str]:
 
 
 CHAR_MAP = _char_map()
-_MAPPED = re.compile("[" + "".join(re.escape(c) for c in sorted(CHAR_MAP)) + "]")
+_MAPPED = frozenset(CHAR_MAP)
 
 #: fixed values: number words of the four languages of the corpus
 DIGIT_WORDS = {
@@ -121,16 +121,16 @@ _DIGIT_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(
     rf"\b(?:plus[ -]+)?(?:{_DIGIT_WORD}|[0-9])(?:(?:[ ,-]{{1,2}}|[ ]?(?:dot|point|punkt|punto|\.)[ ]?)(?:{_DIGIT_WORD}|[0-9])){{2,}}\b", re.I)
 _SPELLED_PART = re.compile(rf"{_DIGIT_WORD}|[0-9]|plus|dot|point|punkt|punto|\.", re.I)
-_SPELLED_HINT = re.compile(rf"\b{_DIGIT_WORD}[ ,-]{{1,2}}(?:(?:dot|point) )?(?:{_DIGIT_WORD}|[0-9])\b", re.I)
-
 _AT, _DOT = "at|arobase|arroba|klammeraffe|ät", "dot|punkt|point|punto|d0t"
-_BRACKETED = re.compile(rf"[ ]?[\[({{<][ ]?(?:({_AT}|@)|({_DOT}|\.))[ ]?[\])}}>][ ]?|[ ]?(?:_|-)(?:(at)|(dot))(?:_|-)[ ]?", re.I)
+_AT_WORDS, _DOT_WORDS = frozenset(_AT.split("|")), frozenset(_DOT.split("|"))
+_BRACKETED = re.compile(rf"[\[({{<][ ]?(?:({_AT}|@)|(?:{_DOT}|\.))[ ]?[\])}}>][ ]?", re.I)
+_JOINED = re.compile(r"[_-](?:(at)|dot)[_-][ ]?", re.I)
 #: endings that a bare "at ... dot ..." must have, so that prose is left alone
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|us|ca|au|de|fr|es|it|nl|be|ch|at|eu|se|no|dk|fi|pl|pt|ru|jp|cn|in|br|mx|example|test|invalid"
 _BARE = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:{_DOT}) [A-Za-z0-9_%+-]+)?( (?:{_AT}) |[ ]?@[ ]?)[A-Za-z0-9-]+(?:(?:[ ](?:{_DOT})[ ]|\.)[A-Za-z0-9-]+)*"
     rf"(?:[ ](?:{_DOT})[ ]|\.)(?:{ENDINGS})\b", re.I)
-_BARE_HINT = re.compile(rf" (?:{_AT}) [A-Za-z0-9-]+(?: (?:{_DOT}) |\.)|@[ ]?[A-Za-z0-9-]+(?: (?:{_DOT}) |\.)|[ ]@[ ]| (?:{_DOT}) [A-Za-z0-9-]+(?: (?:{_DOT})| (?:{_AT})|@)", re.I)
+_AT_HOST = re.compile(rf" (?:{_AT}) [a-z0-9-]+\.[a-z0-9]")
 _BARE_PART = re.compile(rf" (?:{_AT}) |[ ]?@[ ]?| (?:{_DOT}) ", re.I)
 _SPLIT_AT = re.compile(rf" (?:{_AT}) ", re.I)
 
@@ -164,14 +164,32 @@ class Rewriting:
         )
 
 
+# Each transducer first looks, at little cost, for what every match of its pattern holds.
 def _letters(text: str) -> list[tuple[int, int, str]]:
-    if text.isascii():
+    if text.isascii() or not (there := _MAPPED.intersection(text)):
         return []
-    return [(m.start(), m.end(), CHAR_MAP[m[0]]) for m in _MAPPED.finditer(text)]
+    found = re.finditer("[" + "".join(map(re.escape, there)) + "]", text)
+    return [(m.start(), m.end(), CHAR_MAP[m[0]]) for m in found]
+
+
+_CLASS_OF = {k.encode(): v for k, v in (dict.fromkeys(DIGIT_WORDS, "1") | dict.fromkeys("0123456789", "2") | dict.fromkeys((*_DOT_WORDS, "plus"), "3")).items()}
+_THREE = re.compile("[123]{3}")
+#: word characters stay, other ASCII bytes separate; some other signs that may adjoin a word
+_LOOSE = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+_SIGNS = [c.encode() for c in "“”‘’„«»…¿¡"]
+
+
+def _may_spell(text: str) -> bool:
+    raw = text.lower().encode("utf-8", "surrogatepass").translate(_LOOSE)
+    if not text.isascii():
+        for sign in _SIGNS:
+            raw = raw.replace(sign, b" ")
+    kinds = "".join([_CLASS_OF.get(w, "0") for w in raw.split()])
+    return kinds.count("1") >= 2 and _THREE.search(kinds) is not None
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    if not _SPELLED_HINT.search(text):
+    if not _may_spell(text):
         return []
     out = []
     for m in _SPELLED.finditer(text):
@@ -182,11 +200,29 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
 
 
 def _brackets(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m[1] or m[3] else ".") for m in _BRACKETED.finditer(text)]
+    found = []
+    if "(" in text or "[" in text or "{" in text or "<" in text:
+        found += _BRACKETED.finditer(text)
+    if "_" in text or "-" in text:
+        found += _JOINED.finditer(text)
+    out, floor = [], 0
+    for m in sorted(found, key=lambda m: m.start()):
+        start = m.start() - (m.start() > floor and text[m.start() - 1] == " ")
+        if start >= floor:
+            out.append((start, m.end(), "@" if m[1] or "@" in m[0] else "."))
+            floor = m.end()
+    return out
+
+
+def _may_be_bare(text: str) -> bool:
+    if "@" in text:
+        return True
+    low = text.lower()
+    return not _DOT_WORDS.isdisjoint(low.split()) or (" at " in low or " ar" in low or " kl" in low or " ät " in low) and _AT_HOST.search(low) is not None
 
 
 def _bare(text: str) -> list[tuple[int, int, str]]:
-    if not _BARE_HINT.search(text):
+    if not _may_be_bare(text):
         return []
     out = []
     for m in _BARE.finditer(text):

@@ -54,6 +54,7 @@ def test_plain_cases(text):
     ("ｊane＠example．com", "email", "ｊane＠example．com"),
     ("jane@exam​ple.com", "email", "jane@exam​ple.com"),
     ("call plus one five five five zero one two three four five six ok", "phone", "plus one five five five zero one two three four five six"),
+    ("(“plus one five five five zero one two three four five”)", "phone", "plus one five five five zero one two three four five"),
     ("ip １９２.168.0.1 ok", "ip", "１９２.168.0.1"),
     ("card 4111–1111–1111–1111 ok", "card", "4111–1111–1111–1111"),
     ("ip one nine two dot one six eight dot one dot one end", "ip", "one nine two dot one six eight dot one dot one"),
