@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reposcope.llm import bpe, decontaminate, jaccard, line_rules, pii, quality_trees, warc
+from reposcope.llm import bpe, decontaminate, jaccard, line_rules, pii, quality_trees, suffix_dedup, warc
 
 QUERIES = {
+    "op1_suffix_dedup": (suffix_dedup.op1, None),
     "op5_jaccard_join": (jaccard.op5, None),
     "op3_line_rules": (line_rules.op3, line_rules.OP3_SQL),
     "op4_warc": (warc.op4, warc.OP4_SQL),
