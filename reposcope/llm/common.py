@@ -42,16 +42,14 @@ def crc_mod(key: Column, m: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "utf-8")), F.lit(m))
 
 
-def in_shards(df: DataFrame, key: str, size: Column, target: int, out: str = "_shard", samples: int = 16, also: DataFrame | None = None) -> DataFrame:
-    """Adds the number of a contiguous range of ``key``; a range holds about ``target`` of ``size``.
+def shard_bounds(df: DataFrame, key: str, size: Column, target: int, samples: int = 16) -> list[int]:
+    """Bounds of contiguous ranges of ``key`` that hold about ``target`` of ``size`` each.
 
-    The bounds come from rows picked by a hash of the key with a chance in proportion to their
-    size, so they are the same in each run over the same rows, whatever the partitions. The driver
-    holds about ``samples`` keys per range. Equal keys share a range; null keys come last. With
-    ``also`` the column is added to that frame instead, by the bounds of ``df``.
+    They come from rows picked by a hash of the key with a chance in proportion to their size, so
+    they are the same in each run over the same rows, whatever the partitions. The driver holds
+    about ``samples`` keys per range.
     """
-    last = np.iinfo(np.int64).max
-    k = F.coalesce(F.col(key).cast("long"), F.lit(last))
+    k = _key(key)
     weight = size.cast("double") * (float(samples) / float(target))
     unit = F.shiftrightunsigned(F.xxhash64(k, F.lit(7)), 11).cast("double") / float(1 << 53)
     picked = (
@@ -61,12 +59,21 @@ def in_shards(df: DataFrame, key: str, size: Column, target: int, out: str = "_s
         .orderBy("k")
         .toPandas()
     )
-    bounds = picked_bounds(picked["k"].to_numpy(), picked["w"].to_numpy(), samples)
-    df = df if also is None else also
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    # the number of bounds not above the key, by binary search over one array literal
-    return df.withColumn(out, _search(k, bounds, 0, len(bounds)))
+    return picked_bounds(picked["k"].to_numpy(), picked["w"].to_numpy(), samples)
+
+
+def shard_of(key: str, bounds: list[int]) -> Column:
+    """The number of bounds that are not above the key. Equal keys share a range; null keys come last."""
+    return _search(_key(key), bounds, 0, len(bounds)) if bounds else F.lit(0)
+
+
+def in_shards(df: DataFrame, key: str, size: Column, target: int, out: str = "_shard", also: DataFrame | None = None) -> DataFrame:
+    """``df``, or ``also`` by the bounds of ``df``, with the number of each row's range."""
+    return (df if also is None else also).withColumn(out, shard_of(key, shard_bounds(df, key, size, target)))
+
+
+def _key(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(int(np.iinfo(np.int64).max)))
 
 
 def picked_bounds(keys: np.ndarray, weights: np.ndarray, samples: int) -> list[int]:
