@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reposcope.llm import bpe, decontaminate, jaccard, line_rules, ngram_lm, pii, quality_trees, suffix_dedup, warc
+from reposcope.llm import bpe, decontaminate, jaccard, licenses, line_rules, ngram_lm, pii, quality_trees, suffix_dedup, warc
 
 QUERIES = {
+    "op7_licenses": (licenses.op7, licenses.OP7_SQL),
     "op2_interpolated_lm": (ngram_lm.op2, None),
     "op1_suffix_dedup": (suffix_dedup.op1, None),
     "op5_jaccard_join": (jaccard.op5, None),
