@@ -9,11 +9,10 @@ from reposcope.functions import text as T
 from reposcope.operators import context as CX
 from reposcope.operators import report as RP
 from reposcope.plans.catalog import _sq, duck, query, readmes, repos, tree
-from reposcope.plans.q_context import (MAX_TOKENS, _HORDER, _RANDOM_FIRST, _file_names_duck, _single_duck,
-                                       _trunc)
+from reposcope.plans.q_context import MAX_TOKENS, _HORDER, _RANDOM_FIRST, _file_names_duck, _single_duck
 from reposcope.plans.q_files import WSCLS
 
-INPUT_TOKENS = 20
+INPUT_TOKENS = 0  # of the README, as a prompt
 SYSTEMS = ["random_file", "file_names"]
 
 
@@ -25,6 +24,8 @@ def _preds(spark, sf, system):
 
 
 def _words_duck(x: str, n: int) -> str:
+    if n == 0:
+        return "''"
     wp = _sq(T.WORD_PIECE_RE2)
     pieces = f"regexp_extract_all({x}, '{wp}')"
     return f"(CASE WHEN len({pieces}) < {n} THEN {x} ELSE array_to_string({pieces}[1:{n}], '') END)"
@@ -40,12 +41,11 @@ def _esc(x: str) -> str:
     y = f"replace({y}, '>', '&gt;')"
     y = f"replace({y}, '\"', '&quot;')"
     y = f"replace({y}, '''', '&#x27;')"
-    return f"replace({y}, chr(10), '{P.HTML_NEWLINE}')"
+    return f"replace({y}, chr(10), '<br/>')"
 
 
 def _pred_duck(system: str, ctx_cte: str) -> str:
-    gen = (f"(CASE WHEN length(input_text) > 0 THEN input_text || ' ' || {_trunc('context', '64')} "
-           f"ELSE {_trunc('context', '64')} END)")
+    gen = "(CASE WHEN length(input_text) > 0 THEN input_text || ' ' || context ELSE context END)"
     return f"""
 pred_{system} AS (
   SELECT repo_id, full_name, html_url, description, input_text, reference, context, '{system}' AS system,
@@ -76,11 +76,23 @@ def _edit_record(spark, sf):
                     F.md5("edit.text").alias("edit_text_md5"))
 
 
-_HTML_V1 = ("'<html><body><h2>generation result</h2><hr>' || '<h4><a href=\"' || html_url || '\">' || full_name || "
-            "'</a></h4>' || " + _esc("coalesce(description, '')") + f" || '{P.HTML_RULE}{P.HTML_GENERATED}' || "
-            "'<span style=\"color:" + RP.PROMPT_COLOR + "\">' || " + _esc("input_text") + " || '</span>' || "
-            + _esc("substr(result, length(input_text) + 1)") + f" || '{P.HTML_RULE}{P.HTML_REFERENCE}' || " + _esc("reference")
-            + f" || '{P.HTML_RULE}{P.HTML_CONTEXT}' || " + _esc("context") + " || '</body></html>'")
+def _page_duck(title: str, body: str) -> str:
+    """The report page as a SQL template: {name} stands for an escaped column."""
+    cells = {"n": _esc("full_name"), "u": _esc("coalesce(html_url, '')"), "a": _esc("coalesce(description, '')")}
+    return (f"format('<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"utf-8\"><title>{title}</title><style>{{}}</style></head>"
+            "<body><header><h1>{}</h1><dl><dt>Repository</dt><dd>{}</dd><dt>About</dt><dd>{}</dd></dl></header>"
+            f"<main>{{}}</main></body></html>', '{RP.PAGE_STYLE}', {cells['n']}, {cells['u']}, {cells['a']}, {body})")
+
+
+def _article_duck(kind: str, caption: str, body: str) -> str:
+    return f"format('<article class=\"{kind}\"><h2>{{}}</h2><p>{{}}</p></article>', {caption}, {body})"
+
+
+_OUTPUT = f"'<mark>' || {_esc('input_text')} || '</mark>' || {_esc('substr(result, length(input_text) + 1)')}"
+_TRUTH = _article_duck("truth", "'Readme of the repository'", _esc("reference"))
+_HTML_V1 = _page_duck("Readme generation", " || ".join([
+    _article_duck("output", "'Written by the model'", _OUTPUT), _TRUTH,
+    _article_duck("input", "'What the model was given'", _esc("context"))]))
 
 
 @query("report_html", duck(_PRED + f"""
@@ -115,20 +127,15 @@ def _ab_blind(spark, sf):
     return mappings
 
 
-_GEN_HEAD, _GEN_TAIL = P.HTML_GENERATED_N.split("{}")
-_SECTION = ("'" + _GEN_HEAD + "' || CAST(position AS VARCHAR) || '" + _GEN_TAIL + "' || '<span style=\"color:"
-            + RP.PROMPT_COLOR + "\">' || " + _esc("input_text") + " || '</span>' || "
-            + _esc("substr(result, length(input_text) + 1)"))
+_PART = _article_duck("candidate", "'Candidate ' || CAST(position AS VARCHAR)", _OUTPUT)
 
 
 @query("ab_report", duck(_BLIND + f""",
 per AS (SELECT repo_id, full_name, any_value(html_url) AS html_url, any_value(description) AS description,
-               any_value(reference) AS reference, array_to_string(list({_SECTION} ORDER BY position), '{P.HTML_RULE}') AS sections
+               any_value(reference) AS reference, array_to_string(list({_PART} ORDER BY position), '') AS parts
         FROM blind GROUP BY repo_id, full_name),
 docs AS (SELECT CASE WHEN length(CAST(repo_id AS VARCHAR)) >= 4 THEN CAST(repo_id AS VARCHAR) ELSE lpad(CAST(repo_id AS VARCHAR), 4, '0') END || '_' || replace(full_name, '/', '.') || '.html' AS file_name,
-                '<html><body><h2>generation result</h2><hr>' || '<h4><a href="' || html_url || '">' || full_name ||
-                '</a></h4>' || {_esc("coalesce(description, '')")} || '{P.HTML_RULE}' || sections || '{P.HTML_RULE}{P.HTML_REFERENCE}' ||
-                {_esc('reference')} || '</body></html>' AS html FROM per)
+                {_page_duck('Readme comparison', 'parts || ' + _TRUTH)} AS html FROM per)
 SELECT file_name, md5(html) AS html_md5 FROM docs"""))
 def _ab_report(spark, sf):
     docs, _ = RP.ab_report(_all_preds(spark, sf), SYSTEMS)
