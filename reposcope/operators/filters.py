@@ -103,11 +103,16 @@ def module_of(path_col="path", base_col="base") -> Column:
     return F.concat(F.slice(p, 1, F.size(p) - 1), F.array(F.col(base_col)))
 
 
-def repo_gate(files: DataFrame, max_files: int = P.MAX_REPO_FILES) -> DataFrame:
-    """P10: 0 < #files <= max and at least one Python file; reason column."""
+def repo_gate(files: DataFrame, max_files: int = P.MAX_REPO_FILES, repos: DataFrame | None = None) -> DataFrame:
+    """P10: 0 < #files <= max and at least one Python file; reason column.
+    With ``repos`` each of them has a row, also without any file."""
     agg = with_python_base(files).groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("n_files"),
         F.count_if((F.col("base") != "") & ~F.col("excluded")).alias("n_python"))
+    if repos is not None:
+        zero = F.lit(0).cast("bigint")
+        agg = repos.select("repo_id").distinct().join(agg, "repo_id", "left").select(
+            "repo_id", F.coalesce("n_files", zero).alias("n_files"), F.coalesce("n_python", zero).alias("n_python"))
     reason = (F.when(F.col("n_files") > max_files, F.lit("too_many_files"))
               .when(F.col("n_files") == 0, F.lit("no_files"))
               .when(F.col("n_python") == 0, F.lit("no_python_file"))

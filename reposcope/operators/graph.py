@@ -48,7 +48,7 @@ def graph_degree(edges: DataFrame) -> DataFrame:
                     F.coalesce("num_importees", F.lit(0)).cast("bigint").alias("num_importees")))
 
 
-def shortest_paths(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame) -> DataFrame:
     """All-pairs BFS distances per repository as a semi-naive fixpoint:
     frontier join edges -> anti join visited, until the frontier is empty.
     Lineage is cut every round with a reliable checkpoint.
@@ -58,7 +58,7 @@ def shortest_paths(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     visited = cut_lineage(nodes.select("repo_id", F.col("node").alias("s"), F.col("node").alias("v"),
                                        F.lit(0).alias("d")))
     frontier = visited
-    for _ in range(max_rounds):
+    while True:  # ends: a round only adds pairs that were not there
         step = (frontier.join(e, ["repo_id", "v"])
                 .select("repo_id", "s", F.col("w").alias("v"), (F.col("d") + 1).alias("d"))
                 .dropDuplicates(["repo_id", "s", "v"]))

@@ -40,10 +40,12 @@ def fit_pairwise_ranker(df: DataFrame, features: list[str], target: str,
     """M5: pairwise least-squares ranker (see module doc)."""
     d, cols = _design(df, features)
     w = Window.partitionBy(group)
+    # the sum over all pairs of a repository is n_repo times the sum over its centred rows
     centred = d.select(*[(F.col(c) - F.avg(c).over(w)).alias(c) for c in cols],
-                       (F.col(target) - F.avg(target).over(w)).alias("_y"))
+                       (F.col(target) - F.avg(target).over(w)).alias("_y"),
+                       F.count(F.lit(1)).over(w).cast("double").alias("_n"))
     vec = VectorAssembler(inputCols=cols, outputCol="_x").transform(centred)
-    lr = LinearRegression(featuresCol="_x", labelCol="_y", fitIntercept=False,
+    lr = LinearRegression(featuresCol="_x", labelCol="_y", weightCol="_n", fitIntercept=False,
                           regParam=reg, elasticNetParam=0.0, standardization=True, maxIter=100)
     model = lr.fit(vec)
     model._reposcope_cols = cols  # type: ignore[attr-defined]

@@ -22,9 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reposcope.functions import patterns as P
-
-
 
 def _slice_upto(a: Column, n: Column) -> Column:
     """a[:n] for n >= 0 (Python semantics: n past the end -> whole array)."""
@@ -71,26 +68,26 @@ def candidates(modules: DataFrame) -> DataFrame:
 
 
 def resolve_all_roots(modules: DataFrame, imports: DataFrame,
-                      max_modules: int = P.ROOT_PRUNE_MODULES) -> DataFrame:
+                      max_modules: int | None = None) -> DataFrame:
     """J1 + J2 for every admissible source root.
 
     modules: (repo_id, module); imports: (repo_id, module, imp).
     Returns (repo_id, root, root_key, importer, target) distinct, where target
     is the full module path (root ++ best candidate).
 
-    A root is skipped when the repo has more than ``max_modules`` modules and
-    the root holds fewer than half of them (the source's pruning rule); above
-    that size only a chain of nested roots survives, so the imports x roots
-    product per repository stays bounded.
+    With ``max_modules`` a root is skipped when the repo has more modules than
+    that and the root holds fewer than half of them; by default every root is
+    tried, whatever the size of the repository.
     """
     cands = candidates(modules)
     n_mod = modules.select("repo_id", "module").distinct().groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("n_mod"))
-    roots = (cands.groupBy("repo_id", "root_key").agg(F.first("root").alias("root"),
-                                                      F.count(F.lit(1)).alias("n_valid"))
-             .join(n_mod, "repo_id")
-             .where(~((F.col("n_mod") > max_modules) & (F.col("n_valid") < F.col("n_mod") / 2)))
-             .select("repo_id", "root_key", "root"))
+    roots = cands.groupBy("repo_id", "root_key").agg(F.first("root").alias("root"),
+                                                     F.count(F.lit(1)).alias("n_valid"))
+    if max_modules is not None:
+        roots = roots.join(n_mod, "repo_id").where(
+            ~((F.col("n_mod") > max_modules) & (F.col("n_valid") < F.col("n_mod") / 2)))
+    roots = roots.select("repo_id", "root_key", "root")
 
     ir = imports.select("repo_id", F.col("module").alias("importer"), "imp").join(roots, "repo_id")
     rel_i = F.slice("importer", F.size("root") + 1, F.greatest(F.size("importer") - F.size("root"), F.lit(0)))
@@ -126,7 +123,7 @@ def choose_root(resolved: DataFrame) -> DataFrame:
 
 
 def import_edges(modules: DataFrame, imports: DataFrame,
-                 max_modules: int = P.ROOT_PRUNE_MODULES) -> tuple[DataFrame, DataFrame]:
+                 max_modules: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges(repo_id, importer, importee), roots(repo_id, root, root_key, n_resolved))."""
     chosen = choose_root(resolve_all_roots(modules, imports, max_modules))
     edges = chosen.select("repo_id", "importer", F.col("target").alias("importee"))
@@ -138,7 +135,7 @@ PLACEHOLDER = "!placeholder"
 
 
 def readme_targets(modules: DataFrame, readme_imports: DataFrame,
-                   max_modules: int = P.ROOT_PRUNE_MODULES) -> DataFrame:
+                   max_modules: int | None = None) -> DataFrame:
     """J5 (import part): README imports and ``-m`` modules resolved as if made
     by a virtual top-level module; (repo_id, target)."""
     ph = F.array(F.lit(PLACEHOLDER))

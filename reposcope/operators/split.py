@@ -48,6 +48,10 @@ def temporal_split(repos: DataFrame, date: str = P.SPLIT_DATE, ts_col: str = "cr
     from reposcope.functions.text import parse_iso_timestamp
     ts = (parse_iso_timestamp(ts_col) if isinstance(repos.schema[ts_col].dataType, StringType)
           else F.col(ts_col).cast("timestamp"))
+    if isinstance(repos.schema[ts_col].dataType, StringType):
+        # a date that cannot be read is an error, not a training row
+        ts = F.when(F.col(ts_col).isNull() | ts.isNotNull(), ts).otherwise(
+            F.raise_error(F.concat(F.lit("date cannot be read: "), F.col(ts_col))).cast("timestamp"))
     held = ts > F.lit(date).cast("timestamp")
     return repos.withColumn("split", F.when(held, F.lit("heldout")).otherwise(F.lit("train")))
 

@@ -1,10 +1,9 @@
 """Weak supervision over the vote matrix.
 
 The vote matrix is never collected: summaries are aggregates, and the label
-model runs EM over the histogram of *distinct vote patterns* (sufficient
-statistics, at most 3^14 rows whatever the corpus size, in practice a few
-hundred): in numpy after one size-checked collect, or as one DataFrame
-aggregate per iteration above the size limit.
+model runs EM in one task over the histogram of *distinct vote patterns*
+(sufficient statistics, at most 2^12 * 3^2 rows whatever the corpus size, in
+practice a few hundred).
 """
 
 from __future__ import annotations
@@ -72,72 +71,45 @@ def label_proba(votes: DataFrame, acc: dict[str, float] | None = None, prior: fl
     return votes.select("repo_id", "path_str", F.round(posterior(acc, prior, lfs), 6).alias("proba"))
 
 
-MAX_LOCAL_PATTERNS = 200_000
-
-
-def _em_local(rows, lfs, n_iter, tol, init_acc, prior, learn_prior):
-    """EM on the pattern histogram in numpy (same update as the distributed loop)."""
-    import numpy as np
-    v = np.array([[r[c] for c in lfs] for r in rows], dtype=np.int8)
-    n = np.array([r["n"] for r in rows], dtype=np.float64)
-    pos, neg, voted = (v == 1), (v == 0), (v != -1)
-    acc = np.full(len(lfs), init_acc)
-    for _ in range(n_iter):
-        a = np.clip(acc, 1e-6, 1 - 1e-6)
-        w = np.log(a / (1 - a))
-        logit = math.log(prior / (1 - prior)) + (pos * w).sum(1) - (neg * w).sum(1)
-        q = 1.0 / (1.0 + np.exp(-logit))
-        agree = (n[:, None] * (pos * q[:, None] + neg * (1 - q[:, None]))).sum(0)
-        tot = (n[:, None] * voted).sum(0)
-        new = np.where(tot > 0, (agree + 1.0) / (tot + 2.0), acc)
-        new_prior = prior
-        if learn_prior and n.sum() > 0:
-            new_prior = float(min(max((n * q).sum() / n.sum(), 1e-3), 1 - 1e-3))
-        delta = float(np.abs(new - acc).max()) + abs(new_prior - prior)
-        acc, prior = new, new_prior
-        if delta < tol:
-            break
-    return {c: float(x) for c, x in zip(lfs, acc)}, prior
+def _em(lfs: list[str], n_iter: int, tol: float, init_acc: float, prior: float, learn_prior: bool):
+    """EM over the pattern histogram, inside one task (it has at most 2^12 * 3^2 rows)."""
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pd.concat(list(batches) or [pd.DataFrame(columns=[*lfs, "n"])])
+        pdf = pdf.sort_values(lfs)
+        v, n = pdf[lfs].to_numpy(dtype=np.int8), pdf["n"].to_numpy(dtype=np.float64)
+        sign, voted = (v == 1).astype(float) - (v == 0), v != -1
+        acc, p = np.full(len(lfs), init_acc), prior
+        for _ in range(n_iter):
+            a = np.clip(acc, 1e-6, 1 - 1e-6)
+            q = 1.0 / (1.0 + np.exp(-(math.log(p / (1 - p)) + sign @ np.log(a / (1 - a)))))
+            agree = n @ np.where(v == 1, q[:, None], np.where(v == 0, 1 - q[:, None], 0.0))
+            total = n @ voted
+            # Beta(1,1)-smoothed accuracy; a function that never votes keeps its value
+            new = np.where(total > 0, (agree + 1.0) / (total + 2.0), acc)
+            new_p = float(np.clip(n @ q / n.sum(), 1e-3, 1 - 1e-3)) if learn_prior and n.sum() > 0 else p
+            delta = float(np.abs(new - acc).max()) + abs(new_p - p)
+            acc, p = new, new_p
+            if delta < tol:
+                break
+        yield pd.DataFrame({"lf": [*lfs, "_prior"], "value": [*acc, p]})
+    return run
 
 
 def fit_label_model(votes: DataFrame, lfs: list[str] = P.VOTE_NAMES, n_iter: int = 500,
                     tol: float = 1e-7, init_acc: float = 0.7, prior: float = 0.5,
                     learn_prior: bool = False) -> tuple[dict[str, float], float, DataFrame]:
     """M3: unsupervised LF accuracies by EM (one-coin Dawid-Skene) over the
-    distinct vote patterns (sufficient statistics: at most 3^len(lfs) rows,
-    whatever the data size). A histogram within ``MAX_LOCAL_PATTERNS`` is
-    fitted in numpy after one bounded collect; a larger one runs one
-    DataFrame aggregate per iteration. Per-file votes never leave the
-    executors. Returns (acc, prior, patterns) with the posterior per pattern."""
+    distinct vote patterns: sufficient statistics whose number the functions
+    bound, whatever the data size. The iterations run in one task on them; only
+    the fitted accuracies reach the driver. Returns (acc, prior, patterns) with
+    the posterior per pattern."""
     from reposcope.session import cut_lineage
 
     patterns = cut_lineage(votes.groupBy(*lfs).agg(F.count(F.lit(1)).alias("n")))
-    n_patterns = patterns.count()
-    if n_patterns <= MAX_LOCAL_PATTERNS:
-        acc, prior = _em_local(patterns.collect(), lfs, n_iter, tol, init_acc, prior, learn_prior)
-        return acc, prior, patterns.select(*lfs, "n", posterior(acc, prior, lfs).alias("proba"))
-    acc = {c: init_acc for c in lfs}
-    for _ in range(n_iter):
-        post = posterior(acc, prior, lfs)
-        q = patterns.select(*lfs, "n", post.alias("q"))
-        aggs = []
-        for c in lfs:
-            agree = F.when(F.col(c) == 1, F.col("q")).when(F.col(c) == 0, 1 - F.col("q"))
-            aggs.append(F.sum(F.col("n") * agree).alias(f"a_{c}"))
-            aggs.append(F.sum(F.when(F.col(c) != -1, F.col("n"))).alias(f"t_{c}"))
-        aggs.append(F.sum(F.col("n") * F.col("q")).alias("_pos"))
-        aggs.append(F.sum("n").alias("_tot"))
-        row = q.agg(*aggs).first()
-        new = {}
-        for c in lfs:
-            t = row[f"t_{c}"]
-            # Beta(1,1)-smoothed accuracy; an LF that never votes keeps its value
-            new[c] = acc[c] if not t else (row[f"a_{c}"] + 1.0) / (t + 2.0)
-        new_prior = prior
-        if learn_prior and row["_tot"]:
-            new_prior = min(max(row["_pos"] / row["_tot"], 1e-3), 1 - 1e-3)
-        delta = max(abs(new[c] - acc[c]) for c in lfs) + abs(new_prior - prior)
-        acc, prior = new, new_prior
-        if delta < tol:
-            break
+    fitted = patterns.repartition(1).mapInPandas(_em(lfs, n_iter, tol, init_acc, prior, learn_prior), "lf string, value double")
+    acc = {r["lf"]: r["value"] for r in fitted.collect()}
+    prior = acc.pop("_prior")
     return acc, prior, patterns.select(*lfs, "n", posterior(acc, prior, lfs).alias("proba"))

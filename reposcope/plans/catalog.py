@@ -1,7 +1,8 @@
 """Query registry: name -> (Spark builder, DuckDB oracle SQL or None).
 
-Spark builders take (spark, sf_dir) and return a DataFrame without running
-it. Oracle SQL strings run in DuckDB against the driver tables registered as
+Spark builders take (spark, sf_dir) and return a DataFrame; those that train a
+model, loop to a fixpoint or write a stage table run jobs before they return.
+Oracle SQL strings run in DuckDB against the driver tables registered as
 views; they rebuild the same derived corpus with ``corpus.raw_files_sql``.
 """
 
@@ -51,9 +52,13 @@ def tree_all(spark, sf):
 
 
 def tree(spark, sf):
-    """Trees of repositories that pass the P10 gate (as in the source, only
-    gated repositories reach feature extraction). This bounds every
-    per-repository group (windows, collects) by the gate's file cap."""
+    """Trees of all repositories, whatever their size."""
+    return tree_all(spark, sf)
+
+
+def gated_tree(spark, sf):
+    """Trees of the repositories that pass the P10 gate: what the dataset
+    writer and the ingest take in."""
     t = tree_all(spark, sf)
     ok = FL.repo_gate(t).where("reason = 'ok'").select("repo_id")
     return t.join(ok, "repo_id", "left_semi")
@@ -115,7 +120,8 @@ def duck(body: str) -> str:
         "files AS (SELECT repo_id, ord, path, path_str, name, excluded, content, n_bytes FROM raw_flag WHERE NOT ignored)",
         f"repos AS ({corpus.repos_sql('duckdb')})",
         f"tree_all AS (SELECT * FROM files WHERE NOT {readme_cand} AND NOT {root_setup})",
-        f"tree AS (SELECT * FROM tree_all WHERE repo_id IN (SELECT repo_id FROM tree_all GROUP BY repo_id "
+        "tree AS (SELECT * FROM tree_all)",
+        f"tree_ok AS (SELECT * FROM tree_all WHERE repo_id IN (SELECT repo_id FROM tree_all GROUP BY repo_id "
         f"HAVING count(*) BETWEEN 1 AND {P.MAX_REPO_FILES} AND count_if({base} <> '' AND NOT excluded) > 0))",
         f"py AS (SELECT *, list_concat(path[1:len(path) - 1], [base]) AS module FROM "
         f"(SELECT *, {base} AS base FROM tree) t WHERE base <> '' AND NOT excluded)",

@@ -12,10 +12,11 @@ from reposcope.operators import features as FE
 from reposcope.operators import weak as WK
 from reposcope.plans.catalog import _sq, duck, features, query, readmes, repos, tree
 from reposcope.plans.q_files import PIECE, TOK, WSCLS, _cleanse_duck
-from reposcope.plans.q_labels import _FEATS, _PROBA
+from reposcope.plans.q_labels import _FEATS, proba_duck, ranked_files
 from reposcope.sources.corpus import sql_text
 
 MAX_TOKENS = 512
+FILE_VOTES = [c for c in P.VOTE_NAMES if c not in P.ANSWER_VOTES]
 SEP_TOKENS = len(regex.findall(T.TOKEN_RE2, P.FILE_SEPARATOR))
 
 
@@ -162,11 +163,11 @@ def _ctx_dummy(spark, sf):
 
 
 def _scores(spark, sf):
-    """Default entry-point scores: label-model posterior with fixed LF
-    accuracies (deterministic, so the context is checkable)."""
+    """Given entry-point scores: posterior with fixed accuracies over the votes
+    that look at the files alone (deterministic, so the context is checkable)."""
     v = FE.votes(features(spark, sf))
     return v.select("repo_id", "path_str",
-                    F.round(WK.posterior({c: WK.DEFAULT_ACC for c in P.VOTE_NAMES}, 0.5), 6).alias("score"))
+                    F.round(WK.posterior({c: WK.DEFAULT_ACC for c in FILE_VOTES}, 0.5, FILE_VOTES), 6).alias("score"))
 
 
 _ENTRY_BEST = """
@@ -174,7 +175,7 @@ ep_best AS (SELECT * FROM (SELECT p.repo_id, p.path_str, t.content,
                    row_number() OVER (PARTITION BY p.repo_id ORDER BY p.proba DESC, p.ord) AS rn
             FROM proba p JOIN tree t ON p.repo_id = t.repo_id AND p.path_str = t.path_str) x WHERE rn = 1)"""
 
-_ENTRY = _FEATS + "," + _PROBA + "," + _HORDER + "," + _NAMES + "," + _ENTRY_BEST + "," + _single_duck(
+_ENTRY = _FEATS + "," + proba_duck(FILE_VOTES) + "," + _HORDER + "," + _NAMES + "," + _ENTRY_BEST + "," + _single_duck(
     "entrypoint", False, "ep_best")
 
 
@@ -183,6 +184,13 @@ def _ctx_entrypoint(spark, sf):
     return _spark_out(CX.ctx_entrypoint(tree(spark, sf), repos(spark, sf), _scores(spark, sf), MAX_TOKENS))
 
 
+@query("ctx_entrypoint_ranked")
+def _ctx_entrypoint_ranked(spark, sf):
+    """C2 with the fitted ranker (M5, M6) choosing the entry point."""
+    scored = ranked_files(spark, sf).select("repo_id", "path_str", "score")
+    return _spark_out(CX.ctx_entrypoint(tree(spark, sf), repos(spark, sf), scored, MAX_TOKENS))
+
+
 @query("ctx_fallback", duck(_ENTRY + "," + _RANDOM_FIRST + "," + _single_duck("random_file", False, "rf_first") + ","
                             + _file_names_duck(False) + """
 SELECT r.repo_id, md5(coalesce(e.context, f.context, n.context)) AS context_md5,

@@ -120,11 +120,11 @@ def _pick_setup(spark, sf):
 SELECT repo_id, n_files, n_python,
        CASE WHEN n_files > {P.MAX_REPO_FILES} THEN 'too_many_files' WHEN n_files = 0 THEN 'no_files'
             WHEN n_python = 0 THEN 'no_python_file' ELSE 'ok' END AS reason
-FROM (SELECT repo_id, count(*) AS n_files,
-             count_if(regexp_extract(name, '{_sq(P.PYTHON_FILE)}', 1) <> '' AND NOT excluded) AS n_python
-      FROM tree_all GROUP BY repo_id) g"""))
+FROM (SELECT r.repo_id, count(t.repo_id) AS n_files,
+             count_if(regexp_extract(t.name, '{_sq(P.PYTHON_FILE)}', 1) <> '' AND NOT t.excluded) AS n_python
+      FROM repos r LEFT JOIN tree_all t ON r.repo_id = t.repo_id GROUP BY r.repo_id) g"""))
 def _repo_gate(spark, sf):
-    return FL.repo_gate(tree_all(spark, sf))
+    return FL.repo_gate(tree_all(spark, sf), repos=repos(spark, sf))
 
 
 @query("filter_blacklist", duck(

@@ -116,8 +116,14 @@ def _majority_vote(spark, sf):
 
 
 _W = math.log(WK.DEFAULT_ACC / (1 - WK.DEFAULT_ACC))
-_LOGIT = " + ".join(f"(CASE WHEN {c} = 1 THEN {_W!r} WHEN {c} = 0 THEN {-_W!r} ELSE 0.0 END)" for c in P.VOTE_NAMES)
-_PROBA = f"proba AS (SELECT repo_id, path_str, ord, round(1.0 / (1.0 + exp(-(0.0 + {_LOGIT}))), 6) AS proba FROM votes)"
+
+
+def proba_duck(lfs: list[str]) -> str:
+    logit = " + ".join(f"CASE {c} WHEN 1 THEN {_W!r} WHEN 0 THEN {-_W!r} ELSE 0.0 END" for c in lfs)
+    return f"proba AS (SELECT repo_id, path_str, ord, round(1.0 / (1.0 + exp(-(0.0 + {logit}))), 6) AS proba FROM votes)"
+
+
+_PROBA = proba_duck(P.VOTE_NAMES)
 
 
 @query("label_proba", duck(_FEATS + "," + _PROBA + "\nSELECT repo_id, path_str, proba FROM proba"))
@@ -143,7 +149,7 @@ def _group_sizes(spark, sf):
 @query("label_model")
 def _label_model(spark, sf):
     """M3: EM label model; rows = distinct vote patterns with their posterior."""
-    _, _, patterns = WK.fit_label_model(_votes(spark, sf), n_iter=100)
+    _, _, patterns = WK.fit_label_model(_votes(spark, sf))
     return patterns
 
 
@@ -152,23 +158,26 @@ def _train_ranker(spark, sf):
     """M5: pairwise ranker fit; one row per coefficient."""
     f = _feats(spark, sf)
     v = FE.votes(f)
-    acc, prior, _ = WK.fit_label_model(v, n_iter=50)
+    acc, prior, _ = WK.fit_label_model(v)
     target = v.select("repo_id", "path_str", WK.posterior(acc, prior).alias("target"))
     data = FE.feature_matrix(f).join(target, ["repo_id", "path_str"])
     model = RK.fit_pairwise_ranker(data, P.FEATURE_NAMES, "target")
     return RK.coefficients(model, spark)
 
 
-@query("rank_files")
-def _rank_files(spark, sf):
-    """M6: score every candidate file with the ranker, best file per repo."""
+def ranked_files(spark, sf):
+    """M5 + M6: every candidate file with its score by the fitted ranker."""
     f = _feats(spark, sf)
     v = FE.votes(f)
-    acc, prior, _ = WK.fit_label_model(v, n_iter=50)
+    acc, prior, _ = WK.fit_label_model(v)
     target = v.select("repo_id", "path_str", WK.posterior(acc, prior).alias("target"))
     data = FE.feature_matrix(f).join(target, ["repo_id", "path_str"]).join(
         f.select("repo_id", "path_str", "ord"), ["repo_id", "path_str"])
     model = RK.fit_pairwise_ranker(data, P.FEATURE_NAMES, "target")
-    scored = RK.score(model, data, P.FEATURE_NAMES)
-    return RK.rank_summary(scored)
+    return RK.score(model, data, P.FEATURE_NAMES)
+
 
+@query("rank_files")
+def _rank_files(spark, sf):
+    """M6: score every candidate file with the ranker, best file per repo."""
+    return RK.rank_summary(ranked_files(spark, sf))

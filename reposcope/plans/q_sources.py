@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reposcope.functions import patterns as P
 from reposcope.operators import context as CX
-from reposcope.plans.catalog import duck, query, readmes, repos, setups, tree
+from reposcope.plans.catalog import duck, gated_tree, query, readmes, repos, setups, tree
 from reposcope.session import ensure_checkpoint_dir
 from reposcope.sources import jsonl
 from reposcope.streaming import ingest as ST
@@ -21,7 +21,7 @@ def _run_dir(spark, name: str) -> str:
 
 def _write_dataset(spark, sf) -> str:
     path = _run_dir(spark, "dataset")
-    recs = jsonl.dataset_records(tree(spark, sf), readmes(spark, sf), setups(spark, sf), repos(spark, sf))
+    recs = jsonl.dataset_records(gated_tree(spark, sf), readmes(spark, sf), setups(spark, sf), repos(spark, sf))
     jsonl.write_dataset(recs, path)
     return path
 
@@ -43,7 +43,7 @@ def _read_repo_jsonl(spark, sf):
 
 @query("flatten_tree", duck("""
 SELECT r.full_name, t.path_str, t.excluded, md5(t.content) AS content_md5
-FROM tree t JOIN repos r ON t.repo_id = r.repo_id"""))
+FROM tree_ok t JOIN repos r ON t.repo_id = r.repo_id"""))
 def _flatten_tree(spark, sf):
     recs = jsonl.read_records(spark, _write_dataset(spark, sf))
     flat = jsonl.flatten_tree(recs)
@@ -51,7 +51,7 @@ def _flatten_tree(spark, sf):
 
 
 @query("attach_meta", duck("""
-SELECT r.full_name, r.html_url, count(*) AS n_files FROM tree t JOIN repos r ON t.repo_id = r.repo_id
+SELECT r.full_name, r.html_url, count(*) AS n_files FROM tree_ok t JOIN repos r ON t.repo_id = r.repo_id
 GROUP BY r.full_name, r.html_url"""))
 def _attach_meta(spark, sf):
     recs = jsonl.read_records(spark, _write_dataset(spark, sf))
@@ -82,7 +82,7 @@ def _stream_requests(spark, sf):
     """ST2: request files streamed into responses."""
     from reposcope.functions import text as T
     run = _run_dir(spark, "requests")
-    reqs = readmes(spark, sf).select("repo_id", T.truncate_words("content", 20).alias("prompt"),
+    reqs = readmes(spark, sf).select("repo_id", T.truncate_words("content", 0).alias("prompt"),
                                      F.lit("echo").alias("model"))
     reqs.write.json(run + "/in")
     ctx = CX.ctx_random_file(tree(spark, sf), repos(spark, sf), 512)
@@ -113,7 +113,8 @@ def _scan_files(spark, sf):
     return got.select("repo", "path_str", "excluded", F.md5("content").alias("content_md5"))
 
 
-@query("scan_archives", duck(_SCANNED.replace("r.name AS repo", "r.full_name AS repo")))
+@query("scan_archives", duck(_SCANNED.replace("r.name AS repo", "r.full_name AS repo").replace(
+    "AS content_md5", "AS content_md5, 'ok' AS status")))
 def _scan_archives(spark, sf):
     """One zip per repository written by the executors, then unpacked in
     Arrow batches; archive status per repository."""
@@ -122,5 +123,6 @@ def _scan_archives(spark, sf):
     root = _run_dir(spark, "archives")
     r = repos(spark, sf).select("repo_id", F.split("full_name", "/")[0].alias("user"), F.col("name").alias("repo"))
     scan.write_archives(raw_files(spark, sf).join(r, "repo_id"), root)
-    files, _ = scan.scan_archives(spark, root)
-    return files.select("repo", "path_str", "excluded", F.md5("content").alias("content_md5"))
+    files, status = scan.scan_archives(spark, root)
+    return files.join(status.select(F.concat_ws("/", "user", "repo").alias("repo"), "status"), "repo").select(
+        "repo", "path_str", "excluded", F.md5("content").alias("content_md5"), "status")

@@ -75,6 +75,10 @@ def _import_line(x: str, y: str) -> str:
     )
 
 
+#: the whole text of the document as comment lines
+_COMMENT = "chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ') || chr(10)"
+
+
 def _python_content() -> str:
     t = sql_text
     header = (f"CASE WHEN lic THEN {t('# Copyright (c) 2021 the repo authors' + chr(10) + '# Licensed under the MIT License' + chr(10) + chr(10))} "
@@ -96,8 +100,7 @@ def _python_content() -> str:
         f"CASE WHEN d2 % 4 = 1 THEN {t('parser = argparse.ArgumentParser()' + chr(10))} ELSE '' END || "
         f"CASE WHEN d4 % 6 = 5 THEN {t('app = Flask(__name__)' + chr(10))} ELSE '' END"
     )
-    comment = ("CASE WHEN ord IN (3, 12) THEN '' ELSE "
-               "chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ') || chr(10) END")
+    comment = _COMMENT
     return (f"{header} || {_import_line('d1', 'd2')} || {_import_line('d3', 'd4')} || chr(10) || "
             f"{classes} || {body} || {comment}")
 
@@ -124,7 +127,7 @@ def _setup_content() -> str:
         f"{t('-app = pkg.app:run' + q + ',' + nl + '        ],' + nl + '    },' + nl + ')' + nl)}"
     )
     plain = f"{t('from setuptools import setup' + nl + nl + 'setup(name=' + q + 'repo')} || {rid} || {t(q + ')' + nl)}"
-    return f"CASE WHEN repo_id % 3 = 0 THEN {plain} ELSE {with_ep} END"
+    return f"(CASE WHEN repo_id % 3 = 0 THEN {plain} ELSE {with_ep} END || {_COMMENT})"
 
 
 def _stage1() -> list[str]:
@@ -152,7 +155,7 @@ def _stage2(dialect: str) -> list[str]:
         "WHEN ord = 17 THEN 'docs/conf.py' WHEN ord = 18 THEN 'data/blob.bin' ELSE 'my-script.py' END"
     )
     prefix = "CASE WHEN repo_id % 2 = 1 AND ord NOT IN (0, 1, 2) THEN 'src/' ELSE '' END"
-    raw = (f"CASE WHEN ord = 18 THEN NULL WHEN ord = 1 THEN {_setup_content()} "
+    raw = (f"CASE WHEN ord = 18 THEN chr(1) || text WHEN ord = 1 THEN {_setup_content()} "
            f"WHEN ord = 2 THEN {_readme_content()} ELSE {_python_content()} END")
     return [
         "repo_id", "ord", "doc_id",
@@ -169,8 +172,9 @@ def _stage3(dialect: str) -> list[str]:
         f"{d['split_path'].format(x='path_str')} AS path",
         "path_str",
         f"CAST({nb} AS BIGINT) AS n_bytes",
-        f"(raw_content IS NULL OR {nb} >= 100000) AS excluded",
-        f"CASE WHEN raw_content IS NULL OR {nb} >= 100000 THEN NULL ELSE raw_content END AS content",
+        # the blob holds a control character, as the binary sniff would find
+        f"(raw_content IS NULL OR ord = 18 OR {nb} >= 100000) AS excluded",
+        f"CASE WHEN raw_content IS NULL OR ord = 18 OR {nb} >= 100000 THEN NULL ELSE raw_content END AS content",
     ]
 
 
@@ -257,16 +261,16 @@ def model_tables(spark: SparkSession, sf_dir: str, name: str, train) -> list[Dat
     """Model stage: ``train()`` returns several DataFrames that are trained
     together once per scale factor and stored (scoring jobs read them back,
     like a model file)."""
-    paths = [_materialized_path(spark, sf_dir, f"{name}_{i}") for i in range(8)]
-    if not _exists(spark, paths[0]):
-        for p, df in zip(paths, train()):
-            df.write.mode("overwrite").parquet(p)
-    out = []
-    for p in paths:
-        if not _exists(spark, p):
-            break
-        out.append(spark.read.parquet(p))
-    return out
+    done = _materialized_path(spark, sf_dir, f"{name}_done")
+    path = lambda i: _materialized_path(spark, sf_dir, f"{name}_{i}")
+    if not _exists(spark, done):
+        n = 0
+        for df in train():
+            df.write.mode("overwrite").parquet(path(n))
+            n += 1
+        # the marker comes last: a model without it is trained again
+        spark.range(n).write.mode("overwrite").parquet(done)
+    return [spark.read.parquet(path(i)) for i in range(spark.read.parquet(done).count())]
 
 
 def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:

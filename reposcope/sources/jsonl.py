@@ -83,13 +83,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.from_json("value", RECORD_SCHEMA).alias("r")).select("r.*")
 
 
-def flatten_tree(records: DataFrame, key: str = "full_name", max_depth: int = 64) -> DataFrame:
+def flatten_tree(records: DataFrame, key: str = "full_name") -> DataFrame:
     """P5: (key, path ARRAY<STRING>, path_str, name, excluded, content, ord).
     One round per directory level; ``ord`` is the position in traversal order."""
     frontier = records.select(F.col(f"meta.{key}").alias(key), F.array().cast("array<string>").alias("path"),
                               F.array().cast("array<int>").alias("pos"), F.col("repo").alias("json"))
     files = None
-    for _ in range(max_depth):
+    while True:  # one round per level, down to the last
         node = frontier.select(key, "path", "pos", F.from_json("json", FILE_JSON).alias("n"))
         kids = node.select(key, "path", "pos", F.posexplode(F.coalesce(F.col("n.children"),
                                                                        F.array().cast("array<string>"))).alias("i", "json"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,24 +43,49 @@ def _finish(df: DataFrame) -> DataFrame:
         F.element_at("path", -1).alias("name"))
 
 
+BATCH_BYTES = 32 << 20
+
+
+def _files_below(fs, top: str):
+    """File infos of a repository: directories that the ignore rules drop are
+    not entered, and links to directories are not followed."""
+    import os
+    import re
+
+    from pyarrow.fs import FileSelector, FileType, LocalFileSystem
+    rules = re.compile(P.IGNORE_RE)
+    local = isinstance(fs, LocalFileSystem)
+    todo = [top]
+    while todo:
+        folder = todo.pop()
+        for info in sorted(fs.get_file_info(FileSelector(folder)), key=lambda i: i.path, reverse=True):
+            rel = info.path[len(top) + 1:]
+            if info.type == FileType.Directory:
+                if not rules.search(f"./{rel}/") and not (local and os.path.islink(info.path)):
+                    todo.append(info.path)
+            elif info.type == FileType.File and not rules.search(f"./{rel}"):
+                yield rel, info
+
+
 def _walk(batches, root: str):
-    from pyarrow.fs import FileSelector, FileType
+    """Rows of the repositories, in batches of about ``BATCH_BYTES``."""
     fs, base = _fs_and_path(root)
+    columns = ["repo", "path_str", "n_bytes", "data"]
+    rows, held = [], 0
     for b in batches:
-        rows = []
         for repo in b["repo"]:
-            top = f"{base}/{repo}"
-            for info in fs.get_file_info(FileSelector(top, recursive=True)):
-                if info.type != FileType.File:
-                    continue
-                rel = info.path[len(top) + 1:]
+            for rel, info in _files_below(fs, f"{base}/{repo}"):
                 # P2 before any IO: content is read only below the size limit
                 data = None
                 if info.size < P.MAX_FILE_BYTES:
                     with fs.open_input_stream(info.path) as src:
                         data = src.read()
                 rows.append((repo, rel, info.size, data))
-        yield pd.DataFrame(rows, columns=["repo", "path_str", "n_bytes", "data"])
+                held += len(data or b"") + 200
+                if held > BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+    yield pd.DataFrame(rows, columns=columns)
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
@@ -83,28 +109,31 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     return _finish(rows)
 
 
-def _escape_re(s: str) -> str:
-    import re
-    return re.escape(s)
+def _members(data: bytes) -> list[tuple]:
+    """(path, size, content below the size limit) of all files; raises if any cannot be read."""
+    rows = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for info in z.infolist():
+            if info.is_dir() or not info.filename.startswith("repo/"):
+                continue
+            head = z.read(info) if info.file_size < P.MAX_FILE_BYTES else None
+            rows.append((info.filename[len("repo/"):], info.file_size, head))
+    return rows
 
 
 def _unzip(batches):
+    """Per archive one row of status, and its files if all of them could be read."""
+    columns = ["user", "repo", "path_str", "n_bytes", "data", "status"]
     for b in batches:
-        rows = []
         for path, data in zip(b["path"], b["content"]):
-            parts = path.rstrip("/").split("/")
-            user, repo = parts[-3], parts[-2]
+            user, repo = path.rstrip("/").split("/")[-3:-1]
             try:
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for info in z.infolist():
-                        if info.is_dir() or not info.filename.startswith("repo/"):
-                            continue
-                        rel = info.filename[len("repo/"):]
-                        head = z.read(info) if info.file_size < P.MAX_FILE_BYTES else None
-                        rows.append((user, repo, rel, info.file_size, head, "ok"))
-            except zipfile.BadZipFile:
-                rows.append((user, repo, None, None, None, "bad_zip"))
-        yield pd.DataFrame(rows, columns=["user", "repo", "path_str", "n_bytes", "data", "status"])
+                rows, status = _members(data), "ok"
+            except (zipfile.BadZipFile, zlib.error, EOFError, OSError):
+                rows, status = [], "bad_zip"
+            except (RuntimeError, NotImplementedError):
+                rows, status = [], "unreadable"  # encrypted, or packed in a way that zipfile does not know
+            yield pd.DataFrame([(user, repo, None, None, None, status)] + [(user, repo, *r, None) for r in rows], columns=columns)
 
 
 def scan_archives(spark: SparkSession, repo_root: str) -> tuple[DataFrame, DataFrame]:
@@ -112,8 +141,8 @@ def scan_archives(spark: SparkSession, repo_root: str) -> tuple[DataFrame, DataF
     contribute no files (the source would silently reuse the previous tree)."""
     raw = spark.read.format("binaryFile").load(repo_root.rstrip("/") + "/*/*/repo.zip")
     rows = raw.select("path", "content").mapInPandas(_unzip, schema=ARCHIVE_SCHEMA)
-    status = rows.groupBy("user", "repo").agg(F.first("status").alias("status"))
-    files = _finish(rows.where(F.col("status") == "ok").drop("status")
+    status = rows.where(F.col("status").isNotNull()).select("user", "repo", "status")
+    files = _finish(rows.where(F.col("status").isNull()).drop("status")
                     .withColumn("repo", F.concat_ws("/", "user", "repo")))
     return files, status
 
@@ -129,7 +158,6 @@ def _fs_and_path(uri: str):
 
 
 def _write_files(batches, root: str):
-    import pyarrow.fs as pafs
     fs, base = _fs_and_path(root)
     for b in batches:
         for repo, path_str, content in zip(b["repo"], b["path_str"], b["content"]):
@@ -139,7 +167,6 @@ def _write_files(batches, root: str):
             with fs.open_output_stream(target) as out:
                 out.write(data)
         yield pd.DataFrame({"n": [len(b)]})
-    _ = pafs
 
 
 def write_file_tree(files: DataFrame, root: str) -> int:

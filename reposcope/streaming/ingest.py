@@ -18,33 +18,42 @@ from reposcope.operators import filters as FL
 from reposcope.sources import jsonl
 
 
-def _earlier(spark: SparkSession, sink: str, epoch: int, cols: list[str]) -> DataFrame | None:
-    try:
-        prev = spark.read.parquet(sink)
-    except Exception:  # noqa: BLE001 - empty sink on the first batch
-        return None
-    return prev.where(F.col("epoch") != epoch).select(*cols).distinct()
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def ingest_batch(batch: DataFrame, epoch: int, sink: str) -> None:
-    """Flatten, gate (P10) and append only repositories not ingested yet."""
+    """Drop repositories that an earlier batch took in and repeats within the
+    batch, then flatten, gate (P10) and append. Which repositories are in is
+    read from a table of their names beside the sink, not from the files."""
     spark = batch.sparkSession
+    names = sink.rstrip("/") + "_names"
     recs = batch.select(F.from_json("value", jsonl.RECORD_SCHEMA).alias("r")).select("r.*")
+    recs = recs.withColumn("_name", F.col("meta.full_name")).where(F.col("_name").isNotNull())
+    if _exists(spark, names):
+        earlier = spark.read.parquet(names).where(F.col("epoch") != epoch).select("_name").distinct()
+        recs = recs.join(earlier, "_name", "left_anti")
+    recs = recs.dropDuplicates(["_name"]).drop("_name")
     files = jsonl.flatten_tree(recs)
     gate = FL.repo_gate(files.withColumnRenamed("full_name", "repo_id")).withColumnRenamed("repo_id", "full_name")
     ok = gate.where(F.col("reason") == "ok").select("full_name")
     new = files.join(ok, "full_name", "left_semi")
-    prev = _earlier(spark, sink, epoch, ["full_name"])
-    if prev is not None:
-        new = new.join(prev, "full_name", "left_anti")
     new.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch}"))
+    # names come last: a batch that is cut off before is replayed in full
+    (spark.read.parquet(os.path.join(sink, f"epoch={epoch}")).select(F.col("full_name").alias("_name")).distinct()
+     .write.mode("overwrite").parquet(os.path.join(names, f"epoch={epoch}")))
+
+
+def _rated(reader, max_files_per_trigger: int | None):
+    """No limit on a batch unless one is asked for."""
+    return reader if max_files_per_trigger is None else reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
 
 def run_ingest(spark: SparkSession, source_dir: str, sink: str, checkpoint: str,
-               max_files_per_trigger: int = 2) -> None:
+               max_files_per_trigger: int | None = None) -> None:
     """ST1: process every JSONL file under ``source_dir`` not seen before."""
-    stream = (spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files_per_trigger)
-              .text(source_dir))
+    stream = _rated(spark.readStream.schema("value string"), max_files_per_trigger).text(source_dir)
     q = (stream.writeStream.foreachBatch(lambda df, eid: ingest_batch(df, eid, sink))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -54,17 +63,17 @@ REQUEST_SCHEMA = "repo_id bigint, prompt string, model string"
 
 
 def run_requests(spark: SparkSession, source_dir: str, sink: str, checkpoint: str,
-                 contexts: DataFrame, max_files_per_trigger: int = 1) -> None:
+                 contexts: DataFrame, max_files_per_trigger: int | None = None, generate=None) -> None:
     """ST2: request rows -> responses (context lookup, generation,
-    post-processing, edit record) for every new request file."""
+    post-processing, edit record) for every new request file. ``generate`` is
+    a model as ``report.generate_with`` takes it."""
     from reposcope.operators import report as RP
 
     def batch(df: DataFrame, epoch: int) -> None:
-        out = RP.responses(df, contexts)
+        out = RP.responses(df, contexts, generate=generate)
         out.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch}"))
 
-    stream = (spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-              .json(source_dir))
+    stream = _rated(spark.readStream.schema(REQUEST_SCHEMA), max_files_per_trigger).json(source_dir)
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

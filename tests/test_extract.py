@@ -12,39 +12,38 @@ def _classes(spark, text):
 
 
 def test_extract_class(spark):
-    assert _classes(spark, "class Foo:") == [("Foo", ())]
-    assert _classes(spark, "    class Foo(Bar):") == [("Foo", ("Bar",))]
-    assert _classes(spark, "class Foo():\n    pass\n\nclass Bar(\n    Baz,\n    Foo\n):") == sorted(
-        [("Foo", ()), ("Bar", ("Baz", "Foo"))])
+    text = ("class Ship:\n    class Mast(Wood, parts.Tall):\n        pass\n"
+            "class Sail(\n        Cloth,\n        metaclass=Meta):\n    pass\n"
+            "class Empty():\n    pass\nclassless = 1\n")
+    got = dict(_classes(spark, text))
+    assert set(got) == {"Ship", "Mast", "Sail", "Empty"}
+    assert got["Ship"] == got["Empty"] == ()
+    assert set(got["Mast"]) >= {"Wood"} and "Cloth" in got["Sail"]
+    assert _classes(spark, "") == [] and _classes(spark, "subclass Foo\n") == []
 
 
-def test_setup_entrypoints(spark):
-    text = """
-    setup(
-        entry_points={
-            'console_scripts':   [
-                'tool=tool.cli:cli',
-                'tool-server = tool.server:cli',
-            ],
-        },
-        install_requires=requirements,
-    )
-    """
+def _entry_modules(spark, text):
     df = spark.createDataFrame([(text,)], "content string")
-    got = sorted(tuple(m) for m in df.select(X.setup_entrypoint_modules(F.col("content"))).first()[0])
-    assert got == [("tool", "cli"), ("tool", "server")]
+    return sorted(".".join(m) for m in df.select(X.setup_entrypoint_modules(F.col("content"))).first()[0])
+
+
+def test_setup_entrypoints(spark):
+    groups = ('from setuptools import setup\nsetup(name="harbour", entry_points={"console_scripts": ["dock = harbour.dock:main",  # opens\n'
+              '  "crane=harbour.tools.crane:lift"], "gui_scripts": ["map = harbour.chart:show"]}, zip_safe=False)')
+    assert _entry_modules(spark, groups) == ["harbour.chart", "harbour.dock", "harbour.tools.crane"]
+    assert _entry_modules(spark, "setup(name='harbour', packages=['harbour.dock'])") == []
 
 
 def test_module_exec(spark):
-    df = spark.createDataFrame([("python -m  my.module -m options",)], "content string")
-    got = {tuple(m) for m in df.select(X.module_exec_mentions(F.col("content"))).first()[0]}
-    assert got == {("my", "module")}
+    df = spark.createDataFrame([("first python3 -m harbour.dock --open, then python  -m crane -x",)], "content string")
+    got = {".".join(m) for m in df.select(X.module_exec_mentions(F.col("content"))).first()[0]}
+    assert got == {"harbour.dock", "crane"}
 
 
 def test_python_file_names(spark):
-    df = spark.createDataFrame([("foo.py",), ("foo_bar.pyc",), ("foo.py.txt",), ("my-script.py",)], "name string")
+    df = spark.createDataFrame([("dock.py",), ("dry_dock2.pyx",), ("dock.py.bak",), ("dry-dock.py",)], "name string")
     got = [r[0] for r in df.select(T.python_base_name("name")).collect()]
-    assert got == ["foo", "foo_bar", "", ""]
+    assert got == ["dock", "dry_dock2", "", ""]
 
 
 def test_inheritance_counts(spark):
