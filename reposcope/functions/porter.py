@@ -1,7 +1,7 @@
-"""Porter (1980) suffix-stripping stemmer, used for ROUGE token stemming.
-
-Applied only to the distinct-token table (see ``metrics.stem_tokens``), so
-its cost is per vocabulary entry, not per token occurrence.
+"""Suffix-stripping stemmer (Porter 1980 with the usual later extensions), used
+for ROUGE token stemming: irregular words, short ``-ies`` / ``-ied``, ``y`` to
+``i`` only after a consonant, ``-bli``, ``-fulli``, ``-logi`` and repeated
+``-alli``.
 """
 
 from __future__ import annotations
@@ -43,9 +43,9 @@ def _double_cons(w: str) -> bool:
 
 
 def _cvc(w: str) -> bool:
-    if len(w) < 3:
-        return False
-    return (_cons(w, len(w) - 3) and not _cons(w, len(w) - 2) and _cons(w, len(w) - 1)
+    if len(w) == 2:
+        return not _cons(w, 0) and _cons(w, 1)
+    return (len(w) > 2 and _cons(w, len(w) - 3) and not _cons(w, len(w) - 2) and _cons(w, len(w) - 1)
             and w[-1] not in "wxy")
 
 
@@ -60,21 +60,45 @@ def _replace(w: str, suffix: str, repl: str, cond) -> tuple[str, bool]:
 
 # Suffix rules of steps 2-4 (fixed values of the algorithm).
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
-          ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+          ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
           ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
-          ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
+          ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+          ("fulli", "ful")]
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""),
           ("ness", "")]
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou",
           "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
+# Words that the rules would spoil (fixed values).
+_IRREGULAR = {"skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+              "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+              "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+              "exceed": "exceed", "succeed": "succeed"}
+
+
+def _step2(w: str) -> str:
+    if w.endswith("alli") and _m(w[:-4]) > 0:
+        return _step2(w[:-2])
+    if w.endswith("logi"):
+        return w[:-1] if _m(w[:-3]) > 0 else w
+    for suf, rep in _STEP2:
+        w2, hit = _replace(w, suf, rep, lambda s: _m(s) > 0)
+        if hit:
+            return w2
+    return w
+
+
 def stem(word: str) -> str:
     w = word.lower()
+    if w in _IRREGULAR:
+        return _IRREGULAR[w]
     if len(w) <= 2:
         return w
     # step 1a
-    if w.endswith("sses"):
+    if w.endswith("ies") and len(w) == 4:
+        w = w[:-1]
+    elif w.endswith("sses"):
         w = w[:-2]
     elif w.endswith("ies"):
         w = w[:-2]
@@ -84,7 +108,9 @@ def stem(word: str) -> str:
         w = w[:-1]
     # step 1b
     extra = False
-    if w.endswith("eed"):
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _m(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):
@@ -99,14 +125,9 @@ def stem(word: str) -> str:
         elif _m(w) == 1 and _cvc(w):
             w += "e"
     # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w.endswith("y") and len(w) > 2 and _cons(w, len(w) - 2):
         w = w[:-1] + "i"
-    # step 2
-    for suf, rep in _STEP2:
-        w2, hit = _replace(w, suf, rep, lambda s: _m(s) > 0)
-        if hit:
-            w = w2
-            break
+    w = _step2(w)
     # step 3
     for suf, rep in _STEP3:
         w2, hit = _replace(w, suf, rep, lambda s: _m(s) > 0)
@@ -130,6 +151,6 @@ def stem(word: str) -> str:
         if m > 1 or (m == 1 and not _cvc(s)):
             w = s
     # step 5b
-    if _m(w) > 1 and _double_cons(w) and w.endswith("l"):
+    if w.endswith("ll") and _m(w[:-1]) > 1:
         w = w[:-1]
     return w

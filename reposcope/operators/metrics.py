@@ -133,9 +133,12 @@ def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
                       for x, y in zip(a, b)], dtype="int64")
 
 
-def rouge_l(pairs: DataFrame, key: str = "pair_id", pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """A10: ROUGE-L F1 per pair (LCS on whole token sequences), mean."""
+def rouge_l(pairs: DataFrame, key: str = "pair_id", pred: str = "prediction", ref: str = "reference",
+            stem: bool = False) -> DataFrame:
+    """A10: ROUGE-L F1 per pair (LCS on whole token sequences)."""
     p = pairs.select(key, T.rouge_tokens(pred).alias("tp"), T.rouge_tokens(ref).alias("tr"))
+    if stem:
+        p = stem_token_arrays(p, key, ["tp", "tr"])
     per = p.select(key, F.size("tp").alias("np_"), F.size("tr").alias("nr_"),
                    lcs_udf("tp", "tr").alias("lcs"))
     prec = F.col("lcs") / F.greatest(F.col("np_"), F.lit(1))
@@ -144,6 +147,15 @@ def rouge_l(pairs: DataFrame, key: str = "pair_id", pred: str = "prediction", re
     return per.select(key, F.round(f1, 6).alias("rougeL"))
 
 
+def rouge(pairs: DataFrame, key: str = "pair_id", pred: str = "prediction", ref: str = "reference",
+          stem: bool = True) -> DataFrame:
+    """A9-A11 as one row: the means of ROUGE-1, -2, -L and -Lsum over the pairs."""
+    n = rouge_n(pairs, key, pred, ref, stem=stem)
+    mean = lambda df, c: df.agg(F.round(F.avg(c), 6).alias(c))
+    return _one_row_join(_one_row_join(n, mean(rouge_l(pairs, key, pred, ref, stem), "rougeL")),
+                         mean(rouge_lsum(pairs, key, pred, ref, stem), "rougeLsum"))
+
+
 # ---------------------------------------------------------------- stemming
 
 @F.pandas_udf(Ty.StringType())
@@ -158,18 +170,18 @@ def stem_tokens(tokens: DataFrame, tok_col: str = "token") -> DataFrame:
     return d.select(tok_col, stem_udf(F.col(tok_col)).alias("stem"))
 
 
+@F.pandas_udf(Ty.ArrayType(Ty.StringType()))
+def stem_array_udf(arrays: pd.Series) -> pd.Series:
+    from functools import lru_cache
+
+    from reposcope.functions.porter import stem
+    one = lru_cache(1 << 16)(lambda w: w if len(w) <= 3 else stem(w))
+    return arrays.map(lambda a: None if a is None else [one(w) for w in a])
+
+
 def stem_token_arrays(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Replace every token of the array columns by its stem: explode with
-    position, join the distinct-token stem table, re-assemble in order."""
-    out = df
-    for c in cols:
-        e = df.select(key, F.posexplode(c).alias("pos", "token"))
-        st = stem_tokens(e, "token")
-        j = e.join(st, "token").groupBy(key).agg(
-            F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("_s"))
-        out = out.drop(c).join(j.select(key, F.transform("_s", lambda s: s["stem"]).alias(c)), key, "left") \
-            .withColumn(c, F.coalesce(F.col(c), F.array().cast("array<string>")))
-    return out
+    """Replace every token of the array columns by its stem, within the row."""
+    return df.withColumns({c: stem_array_udf(F.col(c)) for c in cols})
 
 
 # ---------------------------------------------------------------- language model (U3) and perplexity (A3, A4)
@@ -253,46 +265,44 @@ def detect_language(texts: DataFrame, key: str, text_col: str, counts: DataFrame
                     lang_col: str = "lang") -> DataFrame:
     """Argmax over languages of log prior + sum over the text's trigrams of
     log((c + 1) / (N_lang + V)); ties -> smaller language code; empty -> 'none'."""
-    g = texts.select(key, F.explode(char_trigrams(text_col)).alias("gram"))
-    gc = g.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("k"))
-    n = gc.groupBy(key).agg(F.sum("k").alias("n_grams"))
-    seen = gc.join(counts, "gram").groupBy(key, lang_col).agg(F.sum(F.col("k") * F.col("log_num")).alias("s"))
-    # every (text, language) pair: the language table is one row per language
-    allp = _with_langs(n, lang, lang_col)
-    sc = (allp.join(seen, [key, lang_col], "left")
-          .select(key, lang_col, (F.col("log_prior") + F.coalesce("s", F.lit(0.0))
-                                  - F.col("n_grams") * F.col("log_den")).alias("score")))
-    best = sc.withColumn("_r", F.round("score", 6)).groupBy(key).agg(
-        F.min_by(lang_col, F.struct(-F.col("_r"), F.col(lang_col))).alias("pred"))
+    langs = lang.select(lang_col, "log_prior", "log_den").orderBy(lang_col).collect()  # one row per language
+    by_lang = F.map_from_entries(F.collect_list(F.struct(lang_col, "log_num")))
+    # one row per gram with a value per language, so no text meets every language as a row
+    grams = counts.groupBy("gram").agg(by_lang.alias("m")).select(
+        F.col("gram").alias("g"), *[F.coalesce(F.try_element_at("m", F.lit(r[0])), F.lit(0.0)).alias(f"s{i}") for i, r in enumerate(langs)])
+    gc = texts.select(key, F.explode(char_trigrams(text_col)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("k"))
+    sums = gc.join(grams.hint("rebalance"), F.col("gram") == F.col("g"), "left").groupBy(key).agg(
+        F.sum("k").alias("n_grams"), *[F.coalesce(F.sum(F.col("k") * F.col(f"s{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(len(langs))])
+    scored = [F.struct((-F.round(F.lit(r["log_prior"]) + F.col(f"s{i}") - F.col("n_grams") * F.lit(r["log_den"]), 6)).alias("r"), F.lit(r[0]).alias("l"))
+              for i, r in enumerate(langs)]
+    best = sums.select(key, F.array_min(F.array(*scored))["l"].alias("pred")) if langs else sums.select(key, F.lit(None).cast("string").alias("pred"))
     return texts.select(key).join(best, key, "left").select(key, F.coalesce("pred", F.lit("none")).alias("pred_lang"))
 
 
-def _with_langs(n: DataFrame, lang: DataFrame, lang_col: str) -> DataFrame:
-    """Pair every text with every language. The language table has one row
-    per language (a handful), so it is broadcast with an explicit size check."""
-    n_langs = lang.count()
-    if n_langs > 1000:
-        raise ValueError(f"language table unexpectedly large: {n_langs}")
-    langs = [r[0] for r in lang.select(lang_col).collect()]
-    arr = F.array(*[F.lit(x) for x in sorted(langs)])
-    return n.select("*", F.explode(arr).alias(lang_col)).join(F.broadcast(lang), lang_col)
-
-
 # ---------------------------------------------------------------- markdown raw text (T5)
 
-FENCE = r"(?s)```.*?```"
+FENCE = r"(?s)```.*?```|~~~.*?~~~"
+# a paragraph underlined with = or - is a heading (possessive for Java; RE2 needs no such thing)
+UNDERLINED = r"(?m)(?:^ {0,3}[^\s#>*+|<=-][^\n]*+\n)++ {0,3}(?:=+|-+)[ \t]*$"
+UNDERLINED_RE2 = r"(?m)(?:^ {0,3}[^\s#>*+|<=-][^\n]*\n)+ {0,3}(?:=+|-+)[ \t]*$"
+HEADING = r"(?m)^ {0,3}#{1,6}(?:[ \t][^\n]*)?$"
+# a line of these begins a block of its own, also right under a paragraph
+STARTER = r"(?m)^( {0,3}(?:>|[-*+][ \t]|1[.)][ \t]))"
 BLOCK_SEP = r"\n[ \t]*\n"
 NON_PARAGRAPH = r"^[ ]{0,3}(?:#{1,6}(?:[ \t]|$)|>|[-*+][ \t]|[0-9]+[.)][ \t]|\||<|(?:-{3,}|\*{3,}|_{3,})[ \t]*$)|^(?: {4}|\t)"
 INLINE_SPAN = r"`[^`]*`|\*\*[^*]+\*\*|\*[^*\s][^*]*\*|!?\[[^\]]*\]\([^)]*\)|<[^>\s]+>"
 
 
-def markdown_text(c, max_spans: int = 10) -> Column:
+def markdown_text(c, max_spans: int | None = None) -> Column:
     """T5: raw text of top-level paragraphs: fenced code, headings, lists,
     quotes, tables, HTML and indented code are dropped; inline code, emphasis,
-    links and autolinks split a line into separate text spans; the first
-    ``max_spans`` spans are joined by newlines (the limit counts spans)."""
-    x = F.regexp_replace(T.col(c), FENCE, "\n\n")
-    x = F.regexp_replace(x, "\r\n?", "\n")
+    links and autolinks split a line into separate text spans; the spans, or
+    the first ``max_spans`` of them, are joined by newlines."""
+    x = F.regexp_replace(T.col(c), "\r\n?", "\n")
+    x = F.regexp_replace(x, FENCE, "\n\n")
+    x = F.regexp_replace(x, UNDERLINED, "\n\n")
+    x = F.regexp_replace(x, HEADING, "\n\n")
+    x = F.regexp_replace(x, STARTER, "\n\n$1")
     blocks = F.split(x, BLOCK_SEP)
     paras = F.filter(blocks, lambda b: (F.trim(F.regexp_replace(b, r"^\n+", "")) != "")
                      & ~F.regexp_replace(b, r"^\n+", "").rlike(NON_PARAGRAPH))
@@ -304,40 +314,49 @@ def markdown_text(c, max_spans: int = 10) -> Column:
         return F.filter(segs, lambda s: s != "")
 
     spans = F.flatten(F.transform(paras, spans_of))
-    return F.array_join(F.slice(spans, 1, max_spans), "\n")
+    return F.array_join(spans if max_spans is None else F.slice(spans, 1, max_spans), "\n")
 
 
 # ---------------------------------------------------------------- ROUGE-Lsum
 
-SENTENCE_SPLIT = r"(?<=[.!?])[ \t\n\x0B\f\r]++"
+SENTENCE_SPLIT = r"(?<=[.!?])[ \t\x0B\f\r]++|\n"
 
 
 def sentence_tokens(c) -> Column:
-    """One sentence per element (split after . ! ?), each tokenised
-    like ROUGE; empty sentences dropped."""
+    """One sentence per element (split after . ! ? and at line ends), each
+    tokenised like ROUGE; empty sentences dropped."""
     sents = F.split(T.strip_ws(c), SENTENCE_SPLIT)
     toks = F.transform(sents, lambda s: T.rouge_tokens(s))
     return F.filter(toks, lambda t: F.size(t) > 0)
 
 
 def _lcs_indices(a: list[str], b: list[str]) -> list[int]:
-    """Indices into ``a`` of one longest common subsequence with ``b``."""
-    n, m = len(a), len(b)
-    dp = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        ai, row, nxt = a[i], dp[i], dp[i + 1]
-        for j in range(m):
-            nxt[j + 1] = row[j] + 1 if ai == b[j] else max(row[j + 1], nxt[j])
-    out, i, j = [], n, m
+    """Indices into ``a`` of one longest common subsequence with ``b``.
+
+    Bit-parallel: row i holds, as bits, where the length of the common
+    subsequence of a[:i] grows along b; the way back counts them. Where two
+    ways are as long it leaves a token of ``a``, as the metric's table does.
+    """
+    if not a or not b:
+        return []
+    masks: dict[str, int] = {}
+    for j, tok in enumerate(b):
+        masks[tok] = masks.get(tok, 0) | (1 << j)
+    full = (1 << len(b)) - 1
+    grows, v = [0], full
+    for tok in a:
+        u = v & masks.get(tok, 0)
+        v = ((v + u) | (v - u)) & full
+        grows.append(v ^ full)
+    out, i, j = [], len(a), len(b)
     while i > 0 and j > 0:
         if a[i - 1] == b[j - 1]:
             out.append(i - 1)
-            i -= 1
+            i, j = i - 1, j - 1
+        elif (grows[i] & ((1 << j - 1) - 1)).bit_count() > (grows[i - 1] & ((1 << j) - 1)).bit_count():
             j -= 1
-        elif dp[i - 1][j] >= dp[i][j - 1]:
-            i -= 1
         else:
-            j -= 1
+            i -= 1
     return out[::-1]
 
 
@@ -372,7 +391,19 @@ def lsum_udf(ref: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series([summary_lcs_f1(conv(r), conv(p)) for r, p in zip(ref, pred)], dtype="float64")
 
 
-def rouge_lsum(pairs: DataFrame, key: str = "pair_id", pred: str = "prediction", ref: str = "reference") -> DataFrame:
+@F.pandas_udf(Ty.ArrayType(Ty.ArrayType(Ty.StringType())))
+def stem_sentences_udf(texts: pd.Series) -> pd.Series:
+    from functools import lru_cache
+
+    from reposcope.functions.porter import stem
+    one = lru_cache(1 << 16)(lambda w: w if len(w) <= 3 else stem(w))
+    return texts.map(lambda t: None if t is None else [[one(w) for w in s] for s in t])
+
+
+def rouge_lsum(pairs: DataFrame, key: str = "pair_id", pred: str = "prediction", ref: str = "reference",
+               stem: bool = False) -> DataFrame:
     """ROUGE-Lsum F1 per pair (sentence split, union LCS)."""
     p = pairs.select(key, sentence_tokens(pred).alias("sp"), sentence_tokens(ref).alias("sr"))
+    if stem:
+        p = p.withColumns({c: stem_sentences_udf(F.col(c)) for c in ("sp", "sr")})
     return p.select(key, F.round(lsum_udf("sr", "sp"), 6).alias("rougeLsum"))

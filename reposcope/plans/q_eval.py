@@ -190,10 +190,10 @@ def _perplexity_summary(spark, sf):
     return M.perplexity_summary(_ppl(spark, sf))
 
 
-@query("ngram_lm", duck(_LM + "\nSELECT w1, CAST(c1 AS BIGINT) AS c1 FROM lm_ctx"))
+@query("ngram_lm", duck(_LM + "\nSELECT w1, w2, CAST(c12 AS BIGINT) AS c12 FROM lm_big"))
 def _ngram_lm(spark, sf):
-    _, ctx, _ = M.train_bigram_lm(read_table(spark, sf, "documents"))
-    return ctx.select("w1", F.col("c1").cast("bigint").alias("c1"))
+    big, _, _ = M.train_bigram_lm(read_table(spark, sf, "documents"))
+    return big.select("w1", "w2", F.col("c12").cast("bigint").alias("c12"))
 
 
 # ---------------------------------------------------------------- language id / markdown
@@ -247,9 +247,11 @@ def _detect_language(spark, sf):
     return M.detect_language(d, "doc_id", "text", counts, lang)
 
 
-def _md_duck(x: str, max_spans: int = 10) -> str:
-    y = f"regexp_replace({x}, '{_sq(M.FENCE)}', chr(10) || chr(10), 'g')"
-    y = f"regexp_replace({y}, '\\r\\n?', chr(10), 'g')"
+def _md_duck(x: str, max_spans: int | None = None) -> str:
+    y = f"regexp_replace({x}, '\\r\\n?', chr(10), 'g')"
+    for rule in (M.FENCE, M.UNDERLINED_RE2, M.HEADING):
+        y = f"regexp_replace({y}, '{_sq(rule)}', chr(10) || chr(10), 'g')"
+    y = f"regexp_replace({y}, '{_sq(M.STARTER)}', chr(10) || chr(10) || '\\1', 'g')"
     blocks = f"string_split_regex({y}, '{_sq(M.BLOCK_SEP)}')"
     paras = (f"list_filter({blocks}, lambda b: trim(regexp_replace(b, '^\\n+', '')) <> '' AND NOT "
              f"regexp_matches(regexp_replace(b, '^\\n+', ''), '{_sq(M.NON_PARAGRAPH)}'))")
@@ -257,7 +259,7 @@ def _md_duck(x: str, max_spans: int = 10) -> str:
     spans = (f"flatten(list_transform({paras}, lambda b: list_filter(flatten(list_transform("
              f"string_split(regexp_replace(b, '^\\n+|\\n+$', '', 'g'), chr(10)), lambda ln: "
              f"string_split(regexp_replace({strip}, '{_sq(M.INLINE_SPAN)}', chr(1), 'g'), chr(1)))), lambda s: s <> '')))")
-    return f"array_to_string({spans}[1:{max_spans}], chr(10))"
+    return f"array_to_string({spans}{'' if max_spans is None else f'[1:{max_spans}]'}, chr(10))"
 
 
 @query("markdown_text", duck(f"""
@@ -265,12 +267,12 @@ SELECT repo_id, md5(raw) AS raw_md5, CAST(length(raw) AS BIGINT) AS n_chars
 FROM (SELECT repo_id, {_md_duck('content')} AS raw FROM readmes) t"""))
 def _markdown_text(spark, sf):
     r = readmes(spark, sf)
-    raw = M.markdown_text("content", P.RAW_TEXT_MAX_SPANS)
+    raw = M.markdown_text("content")
     return r.select("repo_id", F.md5(raw).alias("raw_md5"), F.length(raw).cast("bigint").alias("n_chars"))
 
 
 @query("readme_gate", duck(_LANG + f""",
-rg_raw AS (SELECT repo_id, name, excluded, content, left({_md_duck('content')}, {P.README_LANG_CHARS}) AS raw FROM readmes),
+rg_raw AS (SELECT repo_id, name, excluded, content, left({_md_duck('content', P.RAW_TEXT_MAX_SPANS)}, {P.README_LANG_CHARS}) AS raw FROM readmes),
 """ + _detect_duck("rg_raw", "repo_id", "raw").lstrip() + f"""
 SELECT r.repo_id,
        CASE WHEN m.repo_id IS NULL THEN 'missing' WHEN m.excluded THEN 'excluded'
@@ -296,16 +298,16 @@ def _readme_gate(spark, sf):
 
 @query("all_metrics")
 def _all_metrics(spark, sf):
-    """BLEU, smoothed BLEU and ROUGE on full texts and on markdown raw
+    """BLEU, smoothed BLEU and stemmed ROUGE-1/2/L/Lsum on full texts and on markdown raw
     text (first 10 spans); one row per variant."""
     p = pairs(spark, sf)
-    raw = p.select("pair_id", M.markdown_text("prediction").alias("prediction"),
-                   M.markdown_text("reference").alias("reference"))
+    raw = p.select("pair_id", M.markdown_text("prediction", P.RAW_TEXT_MAX_SPANS).alias("prediction"),
+                   M.markdown_text("reference", P.RAW_TEXT_MAX_SPANS).alias("reference"))
     out = None
     for name, df in (("full", p), ("raw_text", raw)):
         b = M.bleu(df).select(F.lit(name).alias("variant"), "bleu")
         bs = M.bleu(df, smooth=True).select(F.col("bleu").alias("bleus"))
-        r = M.rouge_n(df)
+        r = M.rouge(df)
         row = M._one_row_join(M._one_row_join(b, bs), r)
         out = row if out is None else out.unionByName(row)
     return out
