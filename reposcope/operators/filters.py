@@ -120,6 +120,19 @@ def repo_gate(files: DataFrame, max_files: int = P.MAX_REPO_FILES, repos: DataFr
     return agg.select("repo_id", "n_files", "n_python", reason.alias("reason"))
 
 
+def readme_gate(repos: DataFrame, readmes: DataFrame, languages: DataFrame, language: str = "en",
+                min_chars: int = P.MIN_README_CHARS) -> DataFrame:
+    """One row per repository: does its README exist, is it kept, long
+    enough, Markdown and in ``language``? ``languages``: (repo_id, pred_lang)
+    of the README's raw text."""
+    j = repos.select("repo_id").join(readmes, "repo_id", "left").join(languages, "repo_id", "left")
+    ext = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
+    reason = (F.when(F.col("name").isNull(), "missing").when(F.col("excluded"), "excluded")
+              .when(F.length("content") < min_chars, "too_short").when(ext != ".md", "not_markdown")
+              .when(F.col("pred_lang") != language, "not_english").otherwise("ok"))
+    return j.select("repo_id", reason.alias("reason"))
+
+
 def postprocess(c) -> Column:
     """Right-trim generated text."""
     return T.rstrip_ws(c)

@@ -271,29 +271,29 @@ def _markdown_text(spark, sf):
     return r.select("repo_id", F.md5(raw).alias("raw_md5"), F.length(raw).cast("bigint").alias("n_chars"))
 
 
-@query("readme_gate", duck(_LANG + f""",
+README_GATE = (_LANG + f""",
 rg_raw AS (SELECT repo_id, name, excluded, content, left({_md_duck('content', P.RAW_TEXT_MAX_SPANS)}, {P.README_LANG_CHARS}) AS raw FROM readmes),
-""" + _detect_duck("rg_raw", "repo_id", "raw").lstrip() + f"""
-SELECT r.repo_id,
+""" + _detect_duck("rg_raw", "repo_id", "raw").lstrip() + f""",
+rgate AS (SELECT r.repo_id,
        CASE WHEN m.repo_id IS NULL THEN 'missing' WHEN m.excluded THEN 'excluded'
             WHEN length(m.content) < {P.MIN_README_CHARS} THEN 'too_short'
             WHEN lower(regexp_extract(m.name, '(\\.[^.]*)$', 1)) <> '.md' THEN 'not_markdown'
             WHEN d.pred_lang <> 'en' THEN 'not_english' ELSE 'ok' END AS reason
-FROM repos r LEFT JOIN rg_raw m ON r.repo_id = m.repo_id LEFT JOIN dl_out d ON r.repo_id = d.repo_id"""))
-def _readme_gate(spark, sf):
+FROM repos r LEFT JOIN rg_raw m ON r.repo_id = m.repo_id LEFT JOIN dl_out d ON r.repo_id = d.repo_id)""")
+
+
+def readme_reasons(spark, sf):
+    from reposcope.operators import filters as FL
     from reposcope.plans.catalog import repos
-    counts, lang = _lang_model(spark, sf)
     r = readmes(spark, sf)
     raw = r.select("repo_id", F.substring(M.markdown_text("content", P.RAW_TEXT_MAX_SPANS), 1,
                                           P.README_LANG_CHARS).alias("raw"))
-    lang_of = M.detect_language(raw, "repo_id", "raw", counts, lang)
-    j = repos(spark, sf).select("repo_id").join(r, "repo_id", "left").join(lang_of, "repo_id", "left")
-    ext = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
-    reason = (F.when(F.col("name").isNull(), "missing").when(F.col("excluded"), "excluded")
-              .when(F.length("content") < P.MIN_README_CHARS, "too_short")
-              .when(ext != ".md", "not_markdown")
-              .when(F.col("pred_lang") != "en", "not_english").otherwise("ok"))
-    return j.select("repo_id", reason.alias("reason"))
+    return FL.readme_gate(repos(spark, sf), r, M.detect_language(raw, "repo_id", "raw", *_lang_model(spark, sf)))
+
+
+@query("readme_gate", duck(README_GATE + "\nSELECT repo_id, reason FROM rgate"))
+def _readme_gate(spark, sf):
+    return readme_reasons(spark, sf)
 
 
 @query("all_metrics")

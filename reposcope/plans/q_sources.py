@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reposcope.functions import patterns as P
 from reposcope.operators import context as CX
 from reposcope.plans.catalog import duck, gated_tree, query, readmes, repos, setups, tree
+from reposcope.plans.q_eval import README_GATE, readme_reasons
 from reposcope.session import ensure_checkpoint_dir
 from reposcope.sources import jsonl
 from reposcope.streaming import ingest as ST
@@ -26,12 +27,18 @@ def _write_dataset(spark, sf) -> str:
     return path
 
 
-@query("write_dataset")
+@query("write_dataset", duck(README_GATE + """
+SELECT r.full_name, CASE WHEN r.repo_id IN (SELECT repo_id FROM setups) THEN 1 ELSE 0 END AS n_removed
+FROM repos r WHERE r.repo_id IN (SELECT repo_id FROM tree_ok) AND r.repo_id IN (SELECT repo_id FROM rgate WHERE reason = 'ok')"""))
 def _write_dataset_q(spark, sf):
-    """S5 + P17: dataset JSONL written; one row per written line."""
-    path = _write_dataset(spark, sf)
-    recs = jsonl.read_records(spark, path)
-    return recs.select(F.col("meta.full_name").alias("full_name"), F.size("removed_files").alias("n_removed"))
+    """S5 + P10 + P11 + P17: dataset JSONL of the repositories that pass both
+    gates, read back; one row per written line."""
+    ok = readme_reasons(spark, sf).where("reason = 'ok'").select("repo_id")
+    path = _run_dir(spark, "dataset")
+    recs = jsonl.dataset_records(gated_tree(spark, sf).join(ok, "repo_id", "left_semi"), readmes(spark, sf), setups(spark, sf), repos(spark, sf))
+    jsonl.write_dataset(recs, path)
+    back = jsonl.read_records(spark, path)
+    return back.select(F.col("meta.full_name").alias("full_name"), F.size("removed_files").alias("n_removed"))
 
 
 @query("read_repo_jsonl", duck("""

@@ -54,14 +54,20 @@ def nest_tree(tree: DataFrame) -> DataFrame:
     return root.select("repo_id", _dir_json(F.lit("repo"), F.col("children")).alias("tree_json"))
 
 
-def dataset_records(tree: DataFrame, readmes: DataFrame, setups: DataFrame, repos: DataFrame) -> DataFrame:
-    """S5 + P17: one JSON line per repository (``setup.py`` appended to
-    ``removed_files`` when it was taken out)."""
+def dataset_records(tree: DataFrame, readmes: DataFrame, setups: DataFrame, repos: DataFrame,
+                    removed_files: DataFrame | None = None) -> DataFrame:
+    """S5 + P17: one JSON line per repository. ``removed_files`` (repo_id,
+    removed_files) is what earlier steps took out, as ``read_removed`` gives it;
+    ``setup.py`` is appended when it was taken out here."""
     nested = nest_tree(tree)
     rd = readmes.select("repo_id", _file_json(F.col("name"), F.col("excluded"), F.col("content")).alias("readme"))
     st = setups.select("repo_id", _file_json(F.col("name"), F.col("excluded"), F.col("content")).alias("setup"))
     j = repos.join(nested, "repo_id").join(rd, "repo_id", "left").join(st, "repo_id", "left")
-    removed = F.when(F.col("setup").isNotNull(), F.array(F.lit("setup.py"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    removed = F.when(F.col("setup").isNotNull(), F.array(F.lit("setup.py"))).otherwise(none)
+    if removed_files is not None:
+        j = j.join(removed_files.select("repo_id", F.col("removed_files").alias("_earlier")), "repo_id", "left")
+        removed = F.concat(F.coalesce("_earlier", none), removed)
     meta = F.to_json(F.struct(F.col("full_name"), F.col("name"), F.col("created_at").cast("string").alias("created_at"),
                               F.col("html_url"), F.col("description")))
     line = F.concat(F.lit('{"repo":'), F.col("tree_json"),
@@ -121,6 +127,26 @@ def assert_unique_paths(flat: DataFrame, key: str = "full_name") -> DataFrame:
             F.raise_error(F.concat(F.lit("duplicate path in repository: "), F.col("path_str"))))).drop("_n")
 
 
+def _sidecars(spark: SparkSession, pattern: str) -> DataFrame:
+    """(full_name, value): whole files, named by the two folders that hold them."""
+    raw = spark.read.option("wholetext", True).text(pattern)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    return raw.select(F.concat_ws("/", F.get(parts, F.size(parts) - 3), F.get(parts, F.size(parts) - 2)).alias("full_name"), "value")
+
+
+def read_meta(spark: SparkSession, root: str) -> DataFrame:
+    """``<root>/results/<user>/<repo>/meta.json``; a file that is no JSON object is skipped."""
+    kind = "struct<name:string, created_at:string, html_url:string, description:string>"
+    rows = _sidecars(spark, f"{root.rstrip('/')}/results/*/*/meta.json")
+    return rows.select("full_name", F.from_json("value", kind).alias("m")).where("m is not null").select("full_name", "m.*")
+
+
+def read_removed(spark: SparkSession, root: str) -> DataFrame:
+    """``<root>/<user>/<repo>/removed_files.json``, a JSON array of paths."""
+    rows = _sidecars(spark, f"{root.rstrip('/')}/*/*/removed_files.json")
+    return rows.select("full_name", F.coalesce(F.from_json("value", "array<string>"), F.array().cast("array<string>")).alias("removed_files"))
+
+
 def attach_meta(records: DataFrame, meta: DataFrame, key: str = "full_name") -> DataFrame:
     """Inner join with the metadata table; repositories without
     metadata are skipped."""

@@ -121,3 +121,21 @@ def test_truncations_are_prefixes(spark):
     df = spark.createDataFrame([("one two  three\nfour",)], "t string")
     got = df.select(T.truncate_tokens("t", 2).alias("a"), T.truncate_words("t", 0).alias("b")).first()
     assert "one two  three\nfour".startswith(got.a) and got.b == ""
+
+
+def test_sidecars_are_read_and_appended(spark, tmp_path):
+    for user, repo, meta, removed in (("u", "a", '{"name": "a", "html_url": "h"}', '["x.py"]'), ("u", "b", "no json", "[]"), ("v", "c", '{"name": "c"}', "broken")):
+        for top, name, text in (("results", "meta.json", meta), ("trees", "removed_files.json", removed)):
+            (tmp_path / top / user / repo).mkdir(parents=True)
+            (tmp_path / top / user / repo / name).write_text(text)
+    meta = {r.full_name: (r.name, r.html_url) for r in jsonl.read_meta(spark, str(tmp_path)).collect()}
+    assert meta["u/a"] == ("a", "h") and meta["v/c"] == ("c", None) and meta.get("u/b", (None, None)) == (None, None)
+    removed = jsonl.read_removed(spark, f"{tmp_path}/trees")
+    assert {r.full_name: r.removed_files for r in removed.collect()} == {"u/a": ["x.py"], "u/b": [], "v/c": []}
+    tree = spark.createDataFrame([(i, ["m.py"], "m.py", False, "x", 0) for i in (1, 2)], "repo_id long, path array<string>, name string, excluded boolean, content string, ord int")
+    one = spark.createDataFrame([(1, "setup.py", False, "s")], "repo_id long, name string, excluded boolean, content string")
+    repos = spark.createDataFrame([(1, "u/a", "a"), (2, "v/c", "c")], "repo_id long, full_name string, name string").selectExpr(
+        "*", "date'2020-01-01' as created_at", "'' as html_url", "'' as description")
+    earlier = repos.join(removed, "full_name").select("repo_id", "removed_files")
+    lines = [json.loads(r.value) for r in jsonl.dataset_records(tree, one.limit(0), one, repos, earlier).collect()]
+    assert {x["meta"]["full_name"]: x["removed_files"] for x in lines} == {"u/a": ["x.py", "setup.py"], "v/c": []}
