@@ -57,6 +57,15 @@ def _budget(prefix: Column, suffix: Column, max_tokens: int) -> Column:
         F.raise_error(F.lit("prompt does not fit into the token budget")))
 
 
+def context_budget(model_max: int, generation_max: int, slack: int = 4) -> int:
+    """Tokens left for the context: the model's maximum less what it may
+    write and a slack. Not to leave any is an error."""
+    left = model_max - generation_max - slack
+    if left <= 0:
+        raise ValueError(f"a model of {model_max} tokens has no room for a context beside {generation_max} + {slack}")
+    return left
+
+
 def sample_names(tree: DataFrame, n: int = P.N_FILE_NAMES, order: str = "hash") -> DataFrame:
     """First ``n`` file names per repository in file order, space-joined.
     Rank filter first (group-limit pushdown), then a bounded collect."""
@@ -176,21 +185,36 @@ def ctx_fallback(tree: DataFrame, repos: DataFrame, scores: DataFrame, max_token
 
 
 CREATORS = {
-    "all_data": ctx_all_data,
-    "entrypoint": ctx_entrypoint,
-    "random_file": ctx_random_file,
-    "file_names": ctx_file_names,
-    "dummy": ctx_dummy,
+    "all_data": lambda tree, repos, max_tokens, scores=None, **o: ctx_all_data(tree, repos, max_tokens, **o),
+    "entrypoint": lambda tree, repos, max_tokens, scores=None, **o: ctx_entrypoint(tree, repos, scores, max_tokens, **o),
+    "random_file": lambda tree, repos, max_tokens, scores=None, **o: ctx_random_file(tree, repos, max_tokens, **o),
+    "file_names": lambda tree, repos, max_tokens, scores=None, **o: ctx_file_names(tree, repos, max_tokens, **o),
+    "dummy": lambda tree, repos, max_tokens, scores=None, **o: ctx_dummy(repos),
+    "fallback": lambda tree, repos, max_tokens, scores=None, **o: ctx_fallback(tree, repos, scores, max_tokens, **o),
 }
-"""U4: context-creator registry by name."""
+"""U4: context creators by name, all called as (tree, repos, max_tokens, scores=...,
+use_prompt=..., order=...) -> (repo_id, context, ...)."""
+
+
+def create_context(name: str, tree: DataFrame, repos: DataFrame, max_tokens: int, **options) -> DataFrame:
+    if name not in CREATORS:
+        raise ValueError(f"no context creator {name!r}; there are {sorted(CREATORS)}")
+    return CREATORS[name](tree, repos, max_tokens, **options)
 
 
 def training_pairs(contexts: DataFrame, readmes: DataFrame, max_source_tokens: int,
                    max_target_tokens: int, source_prefix: str = "") -> DataFrame:
     """(context, reference) per repository; empty sides dropped, source
-    prefix added, both sides truncated to their token limits."""
+    prefix added, both sides truncated to their token limits (``padded`` gives
+    arrays of a fixed length)."""
     j = contexts.join(readmes.select("repo_id", F.col("content").alias("reference")), "repo_id")
     j = j.where((F.length("context") > 0) & (F.length("reference") > 0))
     src = T.truncate_tokens(F.concat(F.lit(source_prefix), F.col("context")), max_source_tokens)
     tgt = T.truncate_tokens("reference", max_target_tokens)
     return j.select("repo_id", src.alias("source"), tgt.alias("target"))
+
+
+def padded(tokens: Column, length: int, pad, ignore=None) -> Column:
+    """A token array cut or filled to ``length``; as labels, padding is ``ignore``."""
+    fill = F.lit(pad if ignore is None else ignore)
+    return F.slice(F.concat(tokens, F.array_repeat(fill, length)), 1, length)

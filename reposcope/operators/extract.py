@@ -51,11 +51,26 @@ def import_arrays(content: Column, compat: bool = False) -> Column:
     return F.flatten(F.transform(z, per_stmt))
 
 
+def file_signals(pyfiles: DataFrame) -> DataFrame:
+    """All that feature assembly takes from the text of a Python file, in one
+    pass and without the text: ``imports``, ``classes`` and the X7 columns. The
+    extractors below read these columns where a table has them."""
+    imports = F.array_distinct(import_arrays(F.col("content"))).alias("imports")
+    return pyfiles.select("repo_id", "path", "path_str", "name", "ord", "module", imports,
+                          class_arrays(F.col("content")).alias("classes"), *_content_columns())
+
+
 def extract_imports(pyfiles: DataFrame) -> DataFrame:
     """(repo_id, path_str, module, imp) with distinct imports per file.
     ``pyfiles`` must carry ``module`` (see ``modules``)."""
-    return (pyfiles.select("repo_id", "path_str", "module",
-                           F.explode(F.array_distinct(import_arrays(F.col("content")))).alias("imp")))
+    found = F.col("imports") if "imports" in pyfiles.columns else F.array_distinct(import_arrays(F.col("content")))
+    return pyfiles.select("repo_id", "path_str", "module", F.explode(found).alias("imp"))
+
+
+def class_arrays(content: Column) -> Column:
+    """X2 for one text: ARRAY<STRUCT<c, b>> of class names and raw base lists."""
+    return F.arrays_zip(F.regexp_extract_all(content, F.lit(P.CLASS_RE), 1).alias("c"),
+                        F.regexp_extract_all(content, F.lit(P.CLASS_RE), 2).alias("b"))
 
 
 def modules(files: DataFrame) -> DataFrame:
@@ -65,9 +80,7 @@ def modules(files: DataFrame) -> DataFrame:
 
 def extract_classes(pyfiles: DataFrame) -> DataFrame:
     """(repo_id, path_str, cls_idx, cls, bases ARRAY<STRING> distinct)."""
-    names = F.regexp_extract_all(F.col("content"), F.lit(P.CLASS_RE), 1)
-    bases = F.regexp_extract_all(F.col("content"), F.lit(P.CLASS_RE), 2)
-    z = F.arrays_zip(names.alias("c"), bases.alias("b"))
+    z = F.col("classes") if "classes" in pyfiles.columns else class_arrays(F.col("content"))
     df = pyfiles.select("repo_id", "path_str", F.posexplode(z).alias("cls_idx", "m"))
     base_list = F.transform(F.split(F.regexp_replace(F.col("m.b"), P.CLASS_BASE_NOISE, " "), ","), lambda s: F.trim(s))
     return df.select("repo_id", "path_str", "cls_idx", F.col("m.c").alias("cls"),
@@ -132,14 +145,19 @@ def readme_imports(content: Column) -> Column:
 
 def content_features(pyfiles: DataFrame) -> DataFrame:
     """Main-func / argument-parser / web-framework words, chars, too short."""
+    if "content_chars" in pyfiles.columns:
+        return pyfiles.select("repo_id", "path_str", *CONTENT_COLUMNS)
+    return pyfiles.select("repo_id", "path_str", *_content_columns())
+
+
+CONTENT_COLUMNS = ("contains_main_func", "contains_argument_parser", "contains_web_framework", "content_chars", "too_short")
+
+
+def _content_columns() -> list[Column]:
     c = F.col("content")
-    return pyfiles.select(
-        "repo_id", "path_str",
-        T.word_match(c, P.MAIN_FUNC_WORDS).alias("contains_main_func"),
-        T.word_match(c, P.ARGUMENT_PARSER_WORDS).alias("contains_argument_parser"),
-        T.word_match(c, P.WEB_FRAMEWORK_WORDS).alias("contains_web_framework"),
-        F.length(c).cast("bigint").alias("content_chars"),
-        (F.length(c) < P.TOO_SHORT_CHARS).alias("too_short"))
+    cols = [T.word_match(c, P.MAIN_FUNC_WORDS), T.word_match(c, P.ARGUMENT_PARSER_WORDS), T.word_match(c, P.WEB_FRAMEWORK_WORDS),
+            F.length(c).cast("bigint"), F.length(c) < P.TOO_SHORT_CHARS]
+    return [x.alias(n) for x, n in zip(cols, CONTENT_COLUMNS)]
 
 
 def filename_features(pyfiles: DataFrame, repos: DataFrame) -> DataFrame:

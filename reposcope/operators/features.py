@@ -15,6 +15,7 @@ from reposcope.operators import extract as X
 from reposcope.operators import filters as FL
 from reposcope.operators import graph as G
 from reposcope.operators import resolve as R
+from reposcope.session import stored
 
 
 FEATURE_GROUPS: dict = {}
@@ -22,14 +23,30 @@ FEATURE_GROUPS: dict = {}
 Registered groups are left-joined into the assembled table (missing -> NULL)."""
 
 
-def register_feature_group(name: str, fn) -> None:
+EXTRA_VOTES: list[str] = []
+"""Columns of registered groups that are votes in {-1, 0, 1}."""
+
+
+def register_feature_group(name: str, fn, votes: tuple[str, ...] = ()) -> None:
+    """``votes`` names the columns of the group that are labeling functions;
+    ``vote_names()`` then lists them after the built-in ones."""
     FEATURE_GROUPS[name] = fn
+    EXTRA_VOTES.extend(v for v in votes if v not in EXTRA_VOTES)
+
+
+def vote_names() -> list[str]:
+    return [*P.VOTE_NAMES, *EXTRA_VOTES]
 
 
 def assemble_features(pyfiles: DataFrame, repos: DataFrame, readmes: DataFrame,
                       setups: DataFrame) -> DataFrame:
     """Every feature group joined on (repo_id, path_str), blacklist applied
-    last (import features use blacklisted files as importers)."""
+    last (import features use blacklisted files as importers). The text of a
+    Python file is read once, for a narrow table that all groups share; a
+    registered group (U1) gets the files with their text."""
+    with_text = pyfiles
+    pyfiles = stored(X.file_signals(pyfiles), "signals")
+    readmes, setups = stored(readmes, "readmes"), stored(setups, "setups")
     content = X.content_features(pyfiles)
     names = X.filename_features(pyfiles, repos)
     inherit = X.inheritance_counts(pyfiles)
@@ -53,7 +70,7 @@ def assemble_features(pyfiles: DataFrame, repos: DataFrame, readmes: DataFrame,
            .join(setup_m, key).join(readme_m, key)
            .join(g, ["repo_id", "node"], "left"))
     for fn in FEATURE_GROUPS.values():
-        out = out.join(fn(pyfiles), key, "left")
+        out = out.join(fn(with_text), key, "left")
     return out.where(~FL.blacklisted("path")).drop("path", "node")
 
 
@@ -80,7 +97,8 @@ def votes(feats: DataFrame) -> DataFrame:
         c("is_setup_entrypoint").cast("int"),
         c("is_mentioned_in_readme").cast("int"),
     ]
-    return feats.select("repo_id", "path_str", *[x.alias(n) for x, n in zip(cols, P.VOTE_NAMES)])
+    extra = [c(v) for v in EXTRA_VOTES if v in feats.columns]
+    return feats.select("repo_id", "path_str", *[x.alias(n) for x, n in zip(cols, P.VOTE_NAMES)], *extra)
 
 
 def feature_matrix(feats: DataFrame) -> DataFrame:

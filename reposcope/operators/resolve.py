@@ -162,9 +162,15 @@ def readme_mentions(pyfiles: DataFrame, readmes: DataFrame, readme_imps: DataFra
          .join(path_hits.withColumn("p_hit", F.lit(True)), ["repo_id", "path_str"], "left")
          .join(readmes.select("repo_id", F.lit(True).alias("has_readme")), "repo_id", "left"))
     hit = F.coalesce(F.col("t_hit"), F.lit(False)) | F.coalesce(F.col("p_hit"), F.lit(False))
-    any_hit = F.max(hit.cast("int")).over(Window.partitionBy("repo_id")) == 1
-    return f.select("repo_id", "path_str",
-                    mention_vote(hit, any_hit, F.coalesce("has_readme", F.lit(False))).alias("is_mentioned_in_readme"))
+    f = _with_any(f.withColumn("hit", hit))
+    return f.select("repo_id", "path_str", mention_vote(F.col("hit"), F.col("any_hit"), F.coalesce("has_readme", F.lit(False))).alias(
+        "is_mentioned_in_readme"))
+
+
+def _with_any(f: DataFrame) -> DataFrame:
+    """``any_hit``: does the repository have a hit? One small row per repository, joined back."""
+    some = f.where("hit").groupBy("repo_id").agg(F.lit(True).alias("any_hit"))
+    return f.join(some, "repo_id", "left").withColumn("any_hit", F.coalesce("any_hit", F.lit(False)))
 
 
 def setup_mentions(pyfiles: DataFrame, entry_modules: DataFrame) -> DataFrame:
@@ -172,5 +178,5 @@ def setup_mentions(pyfiles: DataFrame, entry_modules: DataFrame) -> DataFrame:
     e = entry_modules.select("repo_id", "module").distinct().withColumn("e_hit", F.lit(True))
     f = pyfiles.select("repo_id", "path_str", "module").join(e, ["repo_id", "module"], "left")
     hit = F.coalesce(F.col("e_hit"), F.lit(False))
-    any_hit = F.max(hit.cast("int")).over(Window.partitionBy("repo_id")) == 1
-    return f.select("repo_id", "path_str", mention_vote(hit, any_hit, F.lit(True)).alias("is_setup_entrypoint"))
+    f = _with_any(f.withColumn("hit", hit))
+    return f.select("repo_id", "path_str", mention_vote(F.col("hit"), F.col("any_hit"), F.lit(True)).alias("is_setup_entrypoint"))

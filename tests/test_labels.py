@@ -86,3 +86,46 @@ def test_ranker_save_load_and_report(spark):
     assert len(files) == 1
     with open(os.path.join(base, "report", files[0])) as fh:
         assert {json.loads(line)["feature"] for line in fh} == {"feat"}
+
+
+def test_registered_group_adds_features_and_votes(spark):
+    from pyspark.sql import functions as F
+
+    from reposcope.operators import context as CX
+    from reposcope.operators import features as FE
+    from reposcope.plans import catalog as C
+
+    sf = "/root/testdata/sf0.001"
+    FE.register_feature_group("shout", lambda py: py.select("repo_id", "path_str", F.when(F.upper("name") == F.col("name"), 1).otherwise(-1).cast("int").alias("shouts")), ("shouts",))
+    try:
+        f = FE.assemble_features(C.pyfiles(spark, sf), C.repos(spark, sf), C.readmes(spark, sf), C.setups(spark, sf))
+        v = FE.votes(f)
+        assert FE.vote_names()[-1] == v.columns[-1] == "shouts"
+        assert v.select("shouts").distinct().collect()[0].shouts == -1
+        # the text of the Python files is not read again for each group
+        plan = v._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("signals") >= 0 and "raw_content" not in plan
+    finally:
+        FE.FEATURE_GROUPS.clear()
+        FE.EXTRA_VOTES.clear()
+    got = CX.create_context("file_names", C.tree(spark, sf), C.repos(spark, sf), CX.context_budget(800, 200))
+    assert got.count() == C.repos(spark, sf).count()
+    row = spark.range(1).select(CX.padded(F.array(F.lit(5), F.lit(6)), 4, 0).alias("a"), CX.padded(F.array(F.lit(5), F.lit(6)), 3, 0, -100).alias("b")).first()
+    assert row.a == [5, 6, 0, 0] and row.b == [5, 6, -100]
+
+
+def test_context_does_not_follow_the_readme(spark):
+    """The scores of the files stay the same when README and setup.py say something else."""
+    from pyspark.sql import functions as F
+
+    from reposcope.operators import features as FE
+    from reposcope.operators import weak as WK
+    from reposcope.plans import catalog as C
+    from reposcope.plans.q_context import FILE_VOTES
+
+    sf = "/root/testdata/sf0.001"
+    py, repos, readmes, setups = C.pyfiles(spark, sf), C.repos(spark, sf), C.readmes(spark, sf), C.setups(spark, sf)
+    score = lambda r, s: sorted(map(tuple, FE.votes(FE.assemble_features(py, repos, r, s)).select(
+        "repo_id", "path_str", F.round(WK.posterior({c: 0.7 for c in FILE_VOTES}, 0.5, FILE_VOTES), 6)).collect()))
+    other = readmes.withColumn("content", F.lit("```python\nimport pkg.app\n```\npkg/app.py"))
+    assert score(readmes, setups) == score(other, setups.withColumn("content", F.lit("setup()")))
