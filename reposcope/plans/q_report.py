@@ -142,13 +142,26 @@ def _ab_report(spark, sf):
     return docs.select("file_name", F.md5("html").alias("html_md5"))
 
 
-@query("serve_requests")
+RESPONSES = f"""
+SELECT sha256(CAST(c.repo_id AS VARCHAR) || ':') AS id, 'echo' AS model, md5({_rstrip('c.context')}) AS text_md5,
+       CAST(0 AS INT) AS edit_start, md5({_rstrip('c.context')}) AS edit_md5
+FROM random_file_ctx c JOIN readmes m ON c.repo_id = m.repo_id"""
+
+
+def response_columns(df):
+    """A response row as plain columns: its first choice and that choice's edit."""
+    choice = F.col("choices")[0]
+    return df.select("id", "model", F.md5(choice["text"]).alias("text_md5"),
+                     choice["edits"][0]["start"].cast("int").alias("edit_start"), F.md5(choice["edits"][0]["text"]).alias("edit_md5"))
+
+
+@query("serve_requests", duck(_HORDER + "," + _RANDOM_FIRST + "," + _single_duck("random_file", False, "rf_first") + RESPONSES))
 def _serve_requests(spark, sf):
     """Request rows (repository, prompt) -> response rows."""
     r = repos(spark, sf)
     reqs = readmes(spark, sf).select("repo_id", T.truncate_words("content", INPUT_TOKENS).alias("prompt"))
     ctx = CX.ctx_random_file(tree(spark, sf), r, MAX_TOKENS, use_prompt=False)
-    return RP.responses(reqs, ctx)
+    return response_columns(RP.responses(reqs, ctx))
 
 
 @query("read_predictions", duck(_ALL + """

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from reposcope.functions import patterns as P
 from reposcope.operators import context as CX
 from reposcope.plans.catalog import duck, gated_tree, query, readmes, repos, setups, tree
+from reposcope.plans.q_context import _HORDER, _RANDOM_FIRST, _single_duck
 from reposcope.plans.q_eval import README_GATE, readme_reasons
+from reposcope.plans.q_report import RESPONSES, response_columns
 from reposcope.session import ensure_checkpoint_dir
 from reposcope.sources import jsonl
 from reposcope.streaming import ingest as ST
@@ -84,7 +86,7 @@ def _stream_ingest(spark, sf):
     return spark.read.parquet(sink).groupBy("full_name").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-@query("stream_requests")
+@query("stream_requests", duck(_HORDER + "," + _RANDOM_FIRST + "," + _single_duck("random_file", False, "rf_first") + RESPONSES))
 def _stream_requests(spark, sf):
     """ST2: request files streamed into responses."""
     from reposcope.functions import text as T
@@ -94,10 +96,7 @@ def _stream_requests(spark, sf):
     reqs.write.json(run + "/in")
     ctx = CX.ctx_random_file(tree(spark, sf), repos(spark, sf), 512)
     ST.run_requests(spark, run + "/in", run + "/sink", run + "/checkpoint", ctx)
-    out = spark.read.parquet(run + "/sink")
-    return out.select("id", "model", F.col("choices")[0]["text"].alias("text"))
-
-
+    return response_columns(spark.read.parquet(run + "/sink"))
 
 
 _SCANNED = """
