@@ -382,5 +382,22 @@ def join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
 
 
+_P, _Q = SIMILARITY.numerator, SIMILARITY.denominator
+OP5_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+     s as (select distinct doc_id, sh from (select doc_id, unnest(
+             case when len(ws) >= {WORDS} then list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' '))
+                  when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w)),
+     n as (select doc_id, count(*) as n from s group by 1),
+     c as (select x.doc_id as a, y.doc_id as b, count(*) as shared_n from s x join s y on x.sh = y.sh and x.doc_id <> y.doc_id group by 1, 2),
+     l as (select a, b, shared_n = na.n and shared_n = nb.n as same from c join n na on na.doc_id = a join n nb on nb.doc_id = b
+           where {_P + _Q} * shared_n >= {_P} * (na.n + nb.n)),
+     r(doc_id, root) as (select doc_id, doc_id from documents union select l.b, r.root from r join l on l.a = r.doc_id),
+     k as (select doc_id, min(root) as class_id from r group by 1),
+     m as (select a as doc_id, count(*) as n_links, count(*) filter (where same) as n_copies from l group by 1)
+select doc_id, class_id, coalesce(n_links, 0) as n_links, coalesce(n_copies, 0) as n_copies from k left join m using (doc_id)
+"""
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ QUERIES = {
     "op7_licenses": (licenses.op7, licenses.OP7_SQL),
     "op2_interpolated_lm": (ngram_lm.op2, None),
     "op1_suffix_dedup": (suffix_dedup.op1, None),
-    "op5_jaccard_join": (jaccard.op5, None),
+    "op5_jaccard_join": (jaccard.op5, jaccard.OP5_SQL),
     "op3_line_rules": (line_rules.op3, line_rules.OP3_SQL),
     "op4_warc": (warc.op4, warc.OP4_SQL),
     "op10_quality_trees": (quality_trees.op10, None),
