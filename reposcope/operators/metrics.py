@@ -231,9 +231,12 @@ def perplexity_summary(ppl: DataFrame) -> DataFrame:
                    F.count(F.lit(1)).alias("n"))
 
 
-def gen_len(df: DataFrame, text_col: str) -> DataFrame:
-    """Mean generated length in tokens."""
-    return df.agg(F.round(F.avg(T.token_count(text_col).cast("double")), 6).alias("gen_len"))
+def gen_len(df: DataFrame, text_col: str, pad: str | None = None) -> DataFrame:
+    """Mean generated length in tokens, without those that equal ``pad``."""
+    n = T.token_count(text_col)
+    if pad is not None:
+        n = F.size(F.filter(F.regexp_extract_all(T.col(text_col), F.lit(T.TOKEN), 0), lambda t: t != pad))
+    return df.agg(F.round(F.avg(n.cast("double")), 6).alias("gen_len"))
 
 
 # ---------------------------------------------------------------- language id

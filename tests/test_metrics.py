@@ -85,3 +85,9 @@ def test_language_of_text_without_grams_seen(spark):
     got = {r.id: r.pred_lang for r in M.detect_language(texts, "id", "text", counts, lang).collect()}
     assert got[1] == "x" and got[2] == "y" and got[3] in ("x", "y") and got[4] == "none"
     assert counts.filter(F.col("log_num") <= 0).count() == 0
+
+
+def test_generated_length_leaves_padding_out(spark):
+    df = spark.createDataFrame([("a b _ _",), ("c _ _ _",)], "t string")
+    assert M.gen_len(df, "t").first().gen_len == 4.0
+    assert M.gen_len(df, "t", pad="_").first().gen_len == 1.5
