@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import crc_mod, shard_bounds, shard_of, table
+from reposcope.llm.common import crc_mod, pack_sorted, shard_bounds, shard_of, table, unpack_sorted
 from reposcope.llm.jaccard import by_group
 from reposcope.llm.shingles import mix, word_hashes
 
@@ -144,7 +144,7 @@ def _counting(order: int, buckets: int):
         batch, out = Batch(rows, order), []
         for n in range(1, order + 1):
             grams, counts = batch.grams[n - 1], batch.counts(n)
-            out += [(b, n, key[0].as_py(), grams[at].tobytes(), _pack(counts[at])) for b, at in by_bucket(grams, buckets)]
+            out += [(b, n, key[0].as_py(), pack_sorted(grams[at]), _pack(counts[at])) for b, at in by_bucket(grams, buckets)]
         return _table(out, _COUNTS)
 
     return run
@@ -155,7 +155,7 @@ def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, starts in by_group(batches, 2):
         for s, e in zip(starts, np.append(starts[1:], t.num_rows)):
             part = t.slice(s, e - s)
-            grams = [np.frombuffer(x, np.uint64) for x in part.column("grams").to_pylist()]
+            grams = [unpack_sorted(x) for x in part.column("grams").to_pylist()]
             counts = np.concatenate([_unpack(x) for x in part.column("counts").to_pylist()])
             kinds, back = np.unique(np.concatenate(grams), return_inverse=True)
             total = np.zeros(len(kinds), dtype=np.int64)
@@ -322,7 +322,8 @@ def score(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, b
     rows = text.select(shard_of("doc_id", bounds).cast("int").alias("batch"), "doc_id", (crc_mod(F.col("doc_id"), HELD_OUT_MOD) == 0).alias("held"), "text")
     by_batch = rows.groupBy("batch")
     counts = by_batch.applyInArrow(_counting(order, buckets), _sql(_COUNTS))
-    sums = counts.repartition(parts, "bucket", "n").sortWithinPartitions("bucket", "n", "batch").mapInArrow(_summing, _sql(_TOTALS))
+    place = F.col("bucket") * order + F.col("n") - 1  # a task for each bucket and order
+    sums = counts.repartitionById(max(parts, buckets * order), place).sortWithinPartitions("bucket", "n", "batch").mapInArrow(_summing, _sql(_TOTALS))
     totals = sums.filter("batch >= 0")
     cells = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_cells(order, buckets), _sql(_CELLS))
     corpus = sums.filter("batch < 0").select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("cell"), F.col("tokens").alias("n")), F.struct(F.lit(-2).cast("long").alias("cell"), F.col("kinds").alias("n")))).alias("x")).select("x.cell", "x.n")
