@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import in_shards, table
+from reposcope.llm.common import pack_sorted, shard_bounds, shard_of, table, unpack_sorted
 from reposcope.llm.jaccard import NO_ID, by_group
 from reposcope.llm.shingles import _BYTE, _INVERSE, mix, powers
 
@@ -258,7 +258,7 @@ def _holding(buckets: int):
     def run(key, rows):  # without type hints: Spark would read them
         batch = Batch(rows)
         anchors, n = np.unique(batch.anchor, return_counts=True)
-        out = [(key[0].as_py(), b, anchors[at].tobytes(), np.minimum(n[at], 0xFFFF).astype(np.uint16).tobytes()) for b, at in _by_bucket(anchors, buckets)]
+        out = [(key[0].as_py(), b, pack_sorted(anchors[at]), _pack(np.minimum(n[at], 0xFFFF).astype(np.uint16))) for b, at in _by_bucket(anchors, buckets)]
         return _table(out, _HELD)
 
     return run
@@ -269,8 +269,8 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, starts in by_group(batches, 1):
         for s, e in zip(starts, np.append(starts[1:], t.num_rows)):
             part = t.slice(s, e - s)
-            anchors = [np.frombuffer(x, np.uint64) for x in part.column("anchors").to_pylist()]
-            n = np.concatenate([np.frombuffer(x, np.uint16) for x in part.column("n").to_pylist()]).astype(np.int64)
+            anchors = [unpack_sorted(x) for x in part.column("anchors").to_pylist()]
+            n = np.concatenate([_unpack(x, np.uint16) for x in part.column("n").to_pylist()]).astype(np.int64)
             _, back, seen = np.unique(np.concatenate(anchors), return_inverse=True, return_counts=True)
             total = np.bincount(back, n)
             flag = np.where(seen > 1, np.where(total > HEAVY, 2, 1), 0).astype(np.uint8)[back]
@@ -427,11 +427,12 @@ def dedup(docs: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = B
     total = text.agg(F.sum(size).alias("n")).first()["n"] or 0
     buckets = 1 << max(0, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = in_shards(text, "doc_id", size, batch_bytes, out="batch").select(F.col("batch").cast("int"), "doc_id", "text")
+    bounds = shard_bounds(text, "doc_id", size, batch_bytes)
+    rows = text.select(shard_of("doc_id", bounds).cast("int").alias("batch"), "doc_id", "text")
     by_batch = rows.groupBy("batch")
 
     def at_buckets(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "bucket").sortWithinPartitions("bucket", "batch")
+        return df.repartitionById(max(n, buckets), F.col("bucket")).sortWithinPartitions("bucket", "batch")
 
     held = by_batch.applyInArrow(_holding(buckets), _sql(_HELD))
     flags = at_buckets(held.select("bucket", "batch", "anchors", "n")).mapInArrow(_sharing, _sql(_FLAGS))
