@@ -85,11 +85,6 @@ def shard_of(key: str, bounds: list[int]) -> Column:
     return _search(_key(key), bounds, 0, len(bounds)) if bounds else F.lit(0)
 
 
-def in_shards(df: DataFrame, key: str, size: Column, target: int, out: str = "_shard", also: DataFrame | None = None) -> DataFrame:
-    """``df``, or ``also`` by the bounds of ``df``, with the number of each row's range."""
-    return (df if also is None else also).withColumn(out, shard_of(key, shard_bounds(df, key, size, target)))
-
-
 def _key(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(int(np.iinfo(np.int64).max)))
 

@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import in_shards, shared_folder, table
+from reposcope.llm.common import shard_bounds, shard_of, shared_folder, table
 
 REVISIT_BYTES = 1000
 SHARD_BYTES = 16 << 20
@@ -203,10 +203,9 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     rows = rows.withColumn("size", F.coalesce(F.octet_length("html"), F.lit(0)) + 500)
     # notes are counted as rows of no size, so they change no bound; equal ids share a range
     notes = revisits(pages).select("page_id", "refers_to", "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).alias("size"))
-    sharded = in_shards(rows, "page_id", F.col("size"), shard_bytes, also=rows.unionByName(notes))
-    shards = sharded.select("_shard", "page_id", "refers_to", "digest", "url", "html")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = shards.repartition(n, "_shard").sortWithinPartitions("_shard", F.col("page_id").asc_nulls_last(), F.col("digest").asc_nulls_last(), "url", "html")
+    bounds = shard_bounds(rows, "page_id", F.col("size"), shard_bytes)
+    shards = rows.unionByName(notes).select(shard_of("page_id", bounds).alias("_shard"), "page_id", "refers_to", "digest", "url", "html")
+    sorted_ = shards.repartitionById(len(bounds) + 1, F.col("_shard")).sortWithinPartitions("_shard", F.col("page_id").asc_nulls_last(), F.col("digest").asc_nulls_last(), "url", "html")
     sorted_.mapInArrow(_writing(_uri(folder), roll_bytes), MANIFEST).write.json(f"{folder}/manifest")
     return manifest(spark, folder)
 
