@@ -6,6 +6,7 @@ import struct
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from reposcope.llm import bpe, decontaminate, line_rules, pii
@@ -75,3 +76,26 @@ def test_stages_fit_the_contract():
     assert {"pipeline", "op9_bpe"} <= set(entry.queries())
     assert all(v for v in entry.oracle_sql().values())
     assert "corpus_pipeline" in sys.modules
+
+
+def cut(docs):
+    """doc_id -> the text without the lines that more texts of the host than the limit hold."""
+    norm = lambda x: " ".join(WORD.findall(x)).lower()
+    held = {}
+    for r in docs:
+        for x in r.text.split("\n"):
+            if norm(x) and len(WORD.findall(x)) <= line_rules.LINE_WORDS:
+                held.setdefault((r.source, norm(x)), []).append((r.doc_id, r.text))
+    gone = {k: min(d for d, _ in at) for k, at in held.items() if len({t for _, t in at}) > line_rules.LINE_TEXTS}
+    return {r.doc_id: "\n".join(x for x in r.text.split("\n") if gone.get((r.source, norm(x)), r.doc_id) == r.doc_id) for r in docs}
+
+
+def test_first_stage_returns_texts_without_frequent_lines(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Terms of use | Contact\n"), "text")).otherwise(F.col("text"))
+    docs = docs.withColumn("source", F.lit("one")).withColumn("text", line).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    rows = docs.collect()
+    kept, texts = good(rows), cut(rows)
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.quality_rules(spark, docs, D).collect()}
+    assert got == {d: (texts[d], len(texts[d])) for d in kept}
+    assert sum(texts[r.doc_id] != r.text for r in rows if r.doc_id in kept) > 50
