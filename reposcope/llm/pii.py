@@ -3,11 +3,12 @@
 Plain identifiers (email, ip, card, phone) are found in the text as it stands. Then transducers
 rewrite a copy: look-alike characters, spelled digits, and disguised "at" and "dot" become what
 they stand for, and each rewritten stretch remembers where it came from. Identifiers found in the
-copy that take in a rewritten stretch are mapped back to source characters and added, unless they
-overlap a plain span. Offsets are code points, ends are exclusive.
+copy that take in a rewritten stretch are mapped back to source characters and added, unless a plain
+span of their kind covers them whole: a plain span is often but a piece of a disguised identifier.
+Offsets are code points, ends are exclusive.
 
-Cases: a null or empty text has no spans; overlapping spans of different kinds are all listed, and
-redaction puts one mark over what they cover together; texts of any length take time in proportion
+Cases: a null or empty text has no spans; overlapping spans are all listed, and redaction puts one
+mark over what they cover together; texts of any length take time in proportion
 to their length (each pattern starts at most once per run of its characters); repeated rows are
 independent. Other columns are passed over by ``spans`` and kept by ``redact``.
 """
@@ -250,24 +251,37 @@ def rewritten(text: str) -> list[Rewriting]:
     return chain
 
 
-def all_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(plain spans, plain and added spans), each by kind and then by start."""
-    base = plain(text)
+def _disguised(text: str) -> list[Span]:
+    """Identifiers of the rewritten text that take in a rewritten stretch, in source offsets."""
     chain = rewritten(text)
-    if not chain:
-        return base, base
-    taken = sorted((s, e) for _, s, e in base)
-    added = []
-    for kind, start, end in plain(chain[-1].text):
+    out = []
+    for kind, start, end in plain(chain[-1].text) if chain else ():
         changed = False
         for step in reversed(chain):
             start, end, here = step.source(start, end)
             changed |= here
-        if changed and end > start and not _overlaps(taken, start, end):
-            added.append((kind, start, end))
-    if not added:
-        return base, base
-    return base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+        if changed and end > start:
+            out.append((kind, start, end))
+    return out
+
+
+def _in_order(spans: set[Span]) -> list[Span]:
+    return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+
+
+def whole_spans(text: str) -> tuple[list[Span], list[Span]]:
+    """(plain spans, plain and added spans), each by kind and then by start. Added spans may overlap plain ones."""
+    base = plain(text)
+    added = [(k, s, e) for k, s, e in _disguised(text) if not any(k == kind and a <= s and e <= b for kind, a, b in base)]
+    return base, _in_order({*base, *added}) if added else base
+
+
+def all_spans(text: str) -> tuple[list[Span], list[Span]]:
+    """As ``whole_spans``, but only with those added spans that lie clear of the plain ones."""
+    base, spans_ = whole_spans(text)
+    taken = [(s, e) for _, s, e in base]
+    known = set(base)
+    return base, [x for x in spans_ if x in known or not _overlaps(taken, x[1], x[2])]
 
 
 def _overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
@@ -299,7 +313,7 @@ SPANS_SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base string,
 
 def _finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        both = [all_spans(t or "") for t in batch.column(1).to_pylist()]
+        both = [whole_spans(t or "") for t in batch.column(1).to_pylist()]
         counts = [pa.array([sum(s[0] == k for s in b) for b, _ in both], pa.int64()) for k in KINDS]
         lists = [pa.array([listed(x[i]) for x in both], pa.string()) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *lists], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"])
@@ -314,7 +328,7 @@ def spans(docs: DataFrame) -> DataFrame:
 def _redacting(text_at: int, chars_at: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else redacted(t, all_spans(t)[1]) for t in batch.column(text_at).to_pylist()]
+            texts = [None if t is None else redacted(t, whole_spans(t)[1]) for t in batch.column(text_at).to_pylist()]
             columns = list(batch.columns)
             columns[text_at] = pa.array(texts, pa.string())
             if chars_at is not None:

@@ -64,6 +64,30 @@ def test_disguises_map_back(text, kind, part):
     assert [(k, text[s:e]) for k, s, e in spans if (k, s, e) not in base] == [(kind, part)]
 
 
+@pytest.mark.parametrize("text,piece,part", [
+    ("à jаne@example.com ok", "ne@example.com", "jаne@example.com"),  # Cyrillic a
+    ("to jane@example.cоm ok", "jane@example.c", "jane@example.cоm"),  # Cyrillic o
+    ("to jane dot doe@example.com ok", "doe@example.com", "jane dot doe@example.com"),
+])
+def test_a_plain_piece_does_not_hide_the_whole(spark, text, piece, part):
+    spans = [("email", text.index(x), text.index(x) + len(x)) for x in (part, piece)]
+    assert pii.whole_spans(text) == (spans[1:], sorted(spans))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (found,), (out,) = pii.spans(docs).collect(), pii.redact(docs).collect()
+    assert (found.n_email, found.base, found.spans) == (1, pii.listed(spans[1:]), pii.listed(sorted(spans)))
+    assert out.text == text.replace(part, "[EMAIL]")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a@.+-1 4(）１а​", max_size=40))
+def test_whole_spans_hold_all_others(text):
+    base, spans = pii.whole_spans(text)
+    assert base == brute(text) and set(pii.all_spans(text)[1]) <= set(spans) and len(set(spans)) == len(spans)
+    for k, s, e in set(spans) - set(base):
+        assert 0 <= s < e <= len(text)
+        assert not any(k == kind and a <= s and e <= b for kind, a, b in base)
+
+
 @pytest.mark.parametrize("text", ["Look at this dot on the map", "we met at noon. Dot com was there", "one two three four", "un deux trois soleil",
                                   "He stayed at home and one or two of them left", "Ввод данных 12 и 15", "at dot at dot com", "", " "])
 def test_prose_is_left_alone(text):
