@@ -131,6 +131,19 @@ ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|us|ca|au|de|fr|es|it|nl
 _BARE = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:{_DOT}) [A-Za-z0-9_%+-]+)?( (?:{_AT}) |[ ]?@[ ]?)[A-Za-z0-9-]+(?:(?:[ ](?:{_DOT})[ ]|\.)[A-Za-z0-9-]+)*"
     rf"(?:[ ](?:{_DOT})[ ]|\.)(?:{ENDINGS})\b", re.I)
+#: any other ending will do after a spelled "dot", unless the words about it are those of a sentence
+_PROSE = "a|an|the|this|that|these|those|each|every|any|some|one|which|what|his|her|its|our|your|their|my|no"
+_SENTENCE = frozenset("on|of|or|and|the|that|this|these|those|with|from|for|but|if|when|where|which|who|what|was|were|are|had|has|have|will|would|can|could|than|then|there|they|he|she|you|we|is|as|to|so|by|up|out|into|not".split("|"))
+_BARE_ANY = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:{_DOT}) [A-Za-z0-9_%+-]+)?"
+    rf"(?: at (?!(?:{_PROSE})(?![A-Za-z0-9-]))(?P<a>[A-Za-z0-9-]++(?:(?: d[o0]t |\.)[A-Za-z0-9-]++)++)"
+    rf"|(?: (?:{_AT}) |[ ]?@[ ]?)(?<! at )(?P<b>[A-Za-z0-9-]++(?:(?: (?:{_DOT}) |\.)[A-Za-z0-9-]++)++))", re.I)
+#: numbers with a spelled dot between some of them
+_SPELLED_DOT = re.compile(rf"[0-9] (?:{_DOT}) [0-9]", re.I)
+_FOUR_PARTS = re.compile(rf"(?<![0-9])[0-9]++(?:(?: (?:{_DOT}) |\.)[0-9]++){{3}}", re.I)
+_DIGIT_RUN = re.compile(r"[0-9]+")
+_DOT_PART = re.compile(rf" (?:{_DOT}) ", re.I)
+_DOMAIN_DOT = re.compile(rf" (?:{_DOT}) |\.", re.I)
 _AT_HOST = re.compile(rf" (?:{_AT}) [a-z0-9-]+\.[a-z0-9]")
 _BARE_PART = re.compile(rf" (?:{_AT}) |[ ]?@[ ]?| (?:{_DOT}) ", re.I)
 _SPLIT_AT = re.compile(rf" (?:{_AT}) ", re.I)
@@ -215,6 +228,14 @@ def _brackets(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _dotted(text: str) -> list[tuple[int, int, str]]:
+    """Spelled dots between four numbers of at most 255."""
+    if not _SPELLED_DOT.search(text):
+        return []
+    found = (m for m in _FOUR_PARTS.finditer(text) if all(map(_small, _DIGIT_RUN.findall(_DOT_PART.sub(".", m[0])))))
+    return [(p.start(), p.end(), ".") for m in found for p in _DOT_PART.finditer(text, m.start(), m.end())]
+
+
 def _may_be_bare(text: str) -> bool:
     if "@" in text:
         return True
@@ -222,22 +243,37 @@ def _may_be_bare(text: str) -> bool:
     return not _DOT_WORDS.isdisjoint(low.split()) or (" at " in low or " ar" in low or " kl" in low or " ät " in low) and _AT_HOST.search(low) is not None
 
 
+def _any_ending(text: str) -> Iterator[tuple[int, int]]:
+    """Bare addresses with a spelled dot in their domain, up to the last part that can be an ending."""
+    for m in _BARE_ANY.finditer(text):
+        start, end = m.span("a" if m["a"] else "b")
+        dots = list(_DOMAIN_DOT.finditer(text, start, end))
+        spelled = next((i for i, d in enumerate(dots) if d[0] != "."), len(dots))
+        for i in range(len(dots) - 1, spelled - 1, -1):
+            stop = dots[i + 1].start() if i + 1 < len(dots) else end
+            last = text[dots[i].end() : stop]
+            if len(last) >= 2 and last.isalpha() and last.lower() not in _SENTENCE:
+                yield m.start(), stop
+                break
+
+
 def _bare(text: str) -> list[tuple[int, int, str]]:
     if not _may_be_bare(text):
         return []
-    out = []
-    for m in _BARE.finditer(text):
-        whole = m[0]
-        if "@" not in whole and not _SPLIT_AT.search(whole):
+    found = [m.span() for m in _BARE.finditer(text) if "@" in m[0] or _SPLIT_AT.search(m[0])]
+    out, floor = [], 0
+    for start, end in sorted([*found, *_any_ending(text)], key=lambda x: (x[0], -x[1])):
+        if start < floor:
             continue
-        for p in _BARE_PART.finditer(text, m.start(), m.end()):
+        floor = end
+        for p in _BARE_PART.finditer(text, start, end):
             put = "@" if "@" in p[0] or _SPLIT_AT.fullmatch(p[0]) else "."
             if p[0] != put:
                 out.append((p.start(), p.end(), put))
     return out
 
 
-TRANSDUCERS = (_letters, _spelled, _brackets, _bare)
+TRANSDUCERS = (_letters, _spelled, _brackets, _dotted, _bare)
 
 
 def rewritten(text: str) -> list[Rewriting]:

@@ -94,6 +94,34 @@ def test_prose_is_left_alone(text):
     assert pii.all_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("text,kind,part", [
+    ("host 192 dot 168 dot 1 dot 20 is up", "ip", "192 dot 168 dot 1 dot 20"),
+    ("la ip 10 punto 0 Punto 0.1, si", "ip", "10 punto 0 Punto 0.1"),
+    ("at 8 [dot] 8 dot 4 dot 4.", "ip", "8 [dot] 8 dot 4 dot 4"),
+    *((f"write jane at site dot {e}, please", "email", f"jane at site dot {e}") for e in ("dev", "ai", "app", "me", "xyz", "nz", "ie", "kr")),
+    ("write jane dot doe at mail.site dot ai. Or call", "email", "jane dot doe at mail.site dot ai"),
+    ("escribe a jane arroba sitio punto dev hoy", "email", "jane arroba sitio punto dev"),
+    ("jane at site dot dev dot on the way", "email", "jane at site dot dev"),
+])
+def test_dot_disguises_map_back(text, kind, part):
+    base, spans = pii.whole_spans(text)
+    assert base == [] and [(k, text[s:e]) for k, s, e in spans] == [(kind, part)]
+
+
+@pytest.mark.parametrize("text", ["look at the dot product of two", "he arrived at this point where it ends", "at some point in time we left", "shown at each dot above",
+                                  "chapter 1 dot 2 dot 3", "300 dot 1 dot 1 dot 1", "from 1 point 5 to 2 point 5", "she looked at him. Dot dev is one", "at one dot or two dots"])
+def test_prose_with_dots_is_left_alone(text):
+    assert pii.whole_spans(text) == ([], [])
+
+
+def test_dot_runs_are_quick():
+    began = time.time()
+    for unit in ("1 dot ", "a dot ", "a at b dot ", "a @ b dot ", "a at b.", "a arroba b punto ", "a@b dot c "):
+        pii.whole_spans(unit * (200_000 // len(unit)))
+        pii.whole_spans("a at " + unit * (200_000 // len(unit)))
+    assert time.time() - began < 60
+
+
 def test_long_runs_are_quick():
     began = time.time()
     for unit in ("a", "1", "1.", "+1", "@", "a@", "one ", "a at ", " dot ", "1 ", "[at]", "a.b dot "):
