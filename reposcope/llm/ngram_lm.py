@@ -34,7 +34,7 @@ from reposcope.llm.common import crc_mod, pack_sorted, shard_bounds, shard_of, t
 from reposcope.llm.jaccard import by_group
 from reposcope.llm.shingles import mix, word_hashes
 
-ORDER = 2
+ORDER = 3
 HELD_OUT_MOD = 10
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20

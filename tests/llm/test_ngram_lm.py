@@ -128,6 +128,13 @@ def test_model_beats_base_on_held_out(spark):
     assert set(rows.columns) == {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
 
 
+def test_query_uses_trigrams(spark, tmp_path):
+    rows = corpus(60)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, round(r.score, 6)) for r in q.op2(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(model(rows, 3, q.learn(3, *cells_of(rows, 3))), key=repr)
+
+
 def test_learning_prefers_the_informative_order():
     # tokens whose bigram estimate is 1 and whose unigram is rare
     cells = np.array([((5 * 256 + 1) * 256) + 9], dtype=np.int64)
