@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices whose column ``at`` holds about ``limit`` bytes of text, or one row."""
+    for batch in batches:
+        column = batch.column(at)
+        if not len(column):
+            continue
+        wide = column.cast(pa.large_string())
+        ends = np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1, 8 * wide.offset)
+        part = (ends[1:] - ends[0] - 1).clip(0) // limit
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for lo, hi in zip(starts, [*starts[1:], len(wide)]):
+            yield batch.slice(int(lo), int(hi - lo))
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """Ascending 64-bit values whose lowest bits are much alike, in about six bytes each.
 

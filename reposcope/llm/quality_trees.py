@@ -101,7 +101,7 @@ class Trees:
         return 1 / (1 + np.exp(-(self.prior + self.value[at].sum(axis=1))))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ridge: float = RIDGE) -> Trees:
     """Second-order boosting of the logistic loss; each level's split search is one histogram pass."""
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     prior = float(np.log(share / (1 - share)))
@@ -115,24 +115,24 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     root, feature, limit, child, value = [], [], [], [], []
 
     def node(g: float, h: float) -> int:
-        feature.append(-1), limit.append(0.0), child.append(0), value.append(-RATE * g / (h + RIDGE))
+        feature.append(-1), limit.append(0.0), child.append(0), value.append(-RATE * g / (h + ridge))
         return len(feature) - 1
 
     offset = np.arange(k) * BINS
-    for _ in range(TREES):
+    for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
         g, h = p - y, np.maximum(p * (1 - p), 1e-9)
         root.append(node(g.sum(), h.sum()))
         where, open_ = np.zeros(n, dtype=np.int64), [root[-1]]
         at = np.full(n, root[-1])
-        for _ in range(DEPTH):
+        for _ in range(depth):
             m = len(open_)
             slot = where[:, None] * (k * BINS) + offset + binned
             live = where >= 0
             cells = slot[live].ravel()
             hg, hh = (np.bincount(cells, np.repeat(v[live], k), m * k * BINS).reshape(m, k, BINS).cumsum(axis=2) for v in (g, h))
             tg, th = hg[:, :1, -1:], hh[:, :1, -1:]
-            gain = hg**2 / (hh + RIDGE) + (tg - hg) ** 2 / (th - hh + RIDGE) - tg**2 / (th + RIDGE)
+            gain = hg**2 / (hh + ridge) + (tg - hg) ** 2 / (th - hh + ridge) - tg**2 / (th + ridge)
             gain[(hh < LEAST / 4) | (th - hh < LEAST / 4)] = -1
             for f in range(k):
                 gain[:, f, len(edges[f]) :] = -1

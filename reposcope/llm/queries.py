@@ -1,8 +1,8 @@
-"""Queries of the ten operators: name -> (function of (spark, sf_dir), DuckDB SQL or None)."""
+"""Queries of the operators: name -> (function of (spark, sf_dir), DuckDB SQL or None)."""
 
 from __future__ import annotations
 
-from reposcope.llm import bpe, decontaminate, jaccard, licenses, line_rules, ngram_lm, pii, quality_trees, suffix_dedup, warc
+from reposcope.llm import bpe, decontaminate, jaccard, licenses, line_rules, ngram_lm, periodic_runs, pii, quality_trees, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op7_licenses": (licenses.op7, licenses.OP7_SQL),
@@ -15,4 +15,6 @@ QUERIES = {
     "op6_pii": (pii.op6, None),
     "op8_wu_manber": (decontaminate.op8, decontaminate.OP8_SQL),
     "op9_bpe": (bpe.op9, None),
+    "op12_toxicity": (toxicity.op12, None),
+    "op13_periodic_runs": (periodic_runs.op13, None),
 }

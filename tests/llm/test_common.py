@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -27,3 +28,12 @@ def test_bounds_do_not_depend_on_partitions(spark):
     assert c.shard_bounds(df.limit(0), "k", F.col("w"), 5000) == []
     null = spark.createDataFrame([(None,)], "k long").select(c.shard_of("k", bounds[0]).alias("s")).first()
     assert null.s == len(bounds[0])
+
+
+def test_text_slices_keep_rows_and_bound_bytes():
+    texts = ["a" * 5, None, "", "é" * 40, "b" * 9, None, "c" * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    for source in (batch, batch.slice(2, 5), batch.slice(0, 0)):
+        parts = list(c.text_slices([source], 1, 10))
+        assert sum((p.column(1).to_pylist() for p in parts), []) == source.column(1).to_pylist()
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()[1:]) <= 10 for p in parts)
