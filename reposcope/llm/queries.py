@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reposcope.llm import bpe, decontaminate, jaccard, licenses, line_rules, ngram_lm, periodic_runs, pii, quality_trees, suffix_dedup, toxicity, warc
+from reposcope.llm import bpe, decontaminate, jaccard, licenses, line_rules, ngram_lm, periodic_runs, pii, quality_trees, ranked_search, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op7_licenses": (licenses.op7, licenses.OP7_SQL),
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_pii": (pii.op6, None),
     "op8_wu_manber": (decontaminate.op8, decontaminate.OP8_SQL),
     "op9_bpe": (bpe.op9, None),
+    "op11_ranked_search": (ranked_search.op11, ranked_search.OP11_SQL),
     "op12_toxicity": (toxicity.op12, None),
     "op13_periodic_runs": (periodic_runs.op13, None),
 }
