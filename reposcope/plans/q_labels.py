@@ -7,13 +7,16 @@ import math
 from pyspark.sql import functions as F
 
 from reposcope.functions import patterns as P
+from reposcope.operators import boost as B
 from reposcope.operators import features as FE
+from reposcope.operators import moments as MO
 from reposcope.operators import rank as RK
 from reposcope.operators import stats as ST
 from reposcope.operators import weak as WK
 from reposcope.plans.catalog import BLACKLIST_SQL, duck, features, pyfiles, query, readmes, repos, setups
 from reposcope.plans.q_files import INHERIT_DUCK, _CONTENT_DUCK, _FILENAME_DUCK
 from reposcope.plans.q_graph import _GRAPH, _README_MENTION, _SETUP_MENTION
+from reposcope.sources import corpus
 
 _FEATS = (_GRAPH + "," + INHERIT_DUCK + "," + _CONTENT_DUCK + "," + _FILENAME_DUCK + "," + _README_MENTION
           + "," + _SETUP_MENTION + f""",
@@ -146,35 +149,102 @@ def _group_sizes(spark, sf):
     return ST.group_sizes(_feats(spark, sf), "repo_id")
 
 
-@query("label_model")
-def _label_model(spark, sf):
-    """M3: EM label model; rows = distinct vote patterns with their posterior."""
+@query("label_model_em")
+def _label_model_em(spark, sf):
+    """EM with one accuracy per function; rows = distinct vote patterns with their posterior."""
     _, _, patterns = WK.fit_label_model(_votes(spark, sf))
     return patterns
 
 
-@query("train_ranker")
-def _train_ranker(spark, sf):
-    """M5: pairwise ranker fit; one row per coefficient."""
+_LF_NAMES = "['" + "', '".join(P.VOTE_NAMES) + "']"
+#: the moments and their closed-form solution, step by step, on the rows of votes themselves
+_MOMENTS = "cast_votes AS (SELECT row_number() OVER () AS r, * FROM votes),\nind AS (" + " UNION ALL ".join(
+    f"SELECT r, {2 * i} + {c} AS i FROM cast_votes WHERE {c} >= 0" for i, c in enumerate(P.VOTE_NAMES)) + f"""),
+m0 AS (SELECT count(*) AS total FROM votes),
+m1 AS (SELECT i, count(*) AS n, count(*) / any_value(CAST(total AS DOUBLE)) AS m FROM ind, m0 GROUP BY i),
+m2 AS (SELECT a.i AS i, b.i AS j, count(*) AS n FROM ind a JOIN ind b ON a.r = b.r AND a.i < b.i GROUP BY ALL),
+m3 AS (SELECT a.i AS i, b.i AS j, c.i AS k, count(*) AS n FROM ind a JOIN ind b ON a.r = b.r AND a.i < b.i
+       JOIN ind c ON a.r = c.r AND b.i < c.i GROUP BY ALL),
+grid AS (SELECT a.i AS i, b.i AS j, a.m AS mi, b.m AS mj, coalesce(m2.n, 0) / CAST(total AS DOUBLE) AS pr
+         FROM m0, m1 a JOIN m1 b ON a.i // 2 <> b.i // 2
+         LEFT JOIN m2 ON least(a.i, b.i) = m2.i AND greatest(a.i, b.i) = m2.j),
+cov AS (SELECT *, pr - mi * mj AS c FROM grid),
+above AS (SELECT a.i, sum(a.c * b.c * c.c) AS v FROM cov a JOIN cov b ON a.i = b.i JOIN cov c ON a.j = c.i AND b.j = c.j GROUP BY a.i),
+below AS (SELECT m1.i, sum(c.c * c.c) AS v FROM m1 JOIN cov c ON c.i // 2 <> m1.i // 2 AND c.j // 2 <> m1.i // 2 GROUP BY m1.i),
+sgn AS (SELECT i, CASE WHEN sum(c * CASE j % 2 WHEN 1 THEN 1.0 ELSE -1.0 END) >= 0 THEN 1.0 ELSE -1.0 END AS v FROM cov GROUP BY i),
+xs AS (SELECT m1.i, m1.m, coalesce(s.v, 1.0) * CASE WHEN a.v > 0 AND b.v > 0 THEN sqrt(a.v / b.v) ELSE 0.0 END AS x
+       FROM m1 LEFT JOIN above a ON m1.i = a.i LEFT JOIN below b ON m1.i = b.i LEFT JOIN sgn s ON m1.i = s.i),
+tri AS (SELECT coalesce(m3.n, 0) / CAST(total AS DOUBLE) - a.m * bc.pr - b.m * ac.pr - c.m * ab.pr + 2 * a.m * b.m * c.m AS t,
+               a.x * b.x * c.x AS product
+        FROM m0, xs a JOIN xs b ON a.i < b.i AND a.i // 2 <> b.i // 2 JOIN xs c ON b.i < c.i AND b.i // 2 <> c.i // 2
+        JOIN grid ab ON ab.i = a.i AND ab.j = b.i JOIN grid ac ON ac.i = a.i AND ac.j = c.i JOIN grid bc ON bc.i = b.i AND bc.j = c.i
+        LEFT JOIN m3 ON m3.i = a.i AND m3.j = b.i AND m3.k = c.i),
+skew AS (SELECT CASE WHEN sum(product * product) > 0 THEN sum(t * product) / sum(product * product) ELSE 0.0 END AS s FROM tri),
+bal AS (SELECT least(greatest(0.5 - coalesce(s, 0.0) / (2 * sqrt(4 + coalesce(s, 0.0) * coalesce(s, 0.0))), {MO.BALANCE[0]}), {MO.BALANCE[1]}) AS p FROM skew),
+rates AS (SELECT i, {_LF_NAMES}[CAST(i // 2 + 1 AS INT)] AS lf, CAST(i % 2 AS INT) AS vote, p,
+                 least(greatest(m + (1 - p) * x / sqrt(p * (1 - p)), {MO.LEAST_RATE} * m), 1.0) AS r1,
+                 least(greatest(m - p * x / sqrt(p * (1 - p)), {MO.LEAST_RATE} * m), 1.0) AS r0 FROM xs, bal)"""
+
+
+@query("label_moments", duck(_FEATS + "," + _MOMENTS + """
+SELECT NULL::INT AS i, NULL::INT AS j, NULL::INT AS k, total AS n FROM m0
+UNION ALL SELECT CAST(i AS INT), NULL, NULL, n FROM m1
+UNION ALL SELECT CAST(i AS INT), CAST(j AS INT), NULL, n FROM m2
+UNION ALL SELECT CAST(i AS INT), CAST(j AS INT), CAST(k AS INT), n FROM m3"""))
+def _label_moments(spark, sf):
+    """M3: counts of votes, and of pairs and triples of votes cast together."""
+    return MO.vote_moments(MO.vote_patterns(_votes(spark, sf)))
+
+
+@query("label_model", duck(_FEATS + "," + _MOMENTS + """
+SELECT lf, vote, round(r1, 6) AS rate_1, round(r0, 6) AS rate_0, round(ln(r1 / r0), 6) AS weight, round(p, 6) AS balance FROM rates"""))
+def _label_model(spark, sf):
+    """M3: label model from agreement moments; one row per function and vote."""
+    return MO.weights(MO.fit(_votes(spark, sf)), spark)
+
+
+@query("label_proba_fitted", duck(_FEATS + "," + _MOMENTS + """,
+odds AS (SELECT v.repo_id, v.path_str, any_value(ln(b.p / (1 - b.p))) + coalesce(sum(ln(t.r1 / t.r0)), 0.0) AS o
+         FROM cast_votes v CROSS JOIN bal b LEFT JOIN ind ON ind.r = v.r LEFT JOIN rates t ON t.i = ind.i GROUP BY ALL)
+SELECT repo_id, path_str, round(1.0 / (1.0 + exp(-o)), 6) AS proba FROM odds"""))
+def _label_proba_fitted(spark, sf):
+    """M4 with the fitted weights of M3."""
+    v = _votes(spark, sf)
+    return v.select("repo_id", "path_str", F.round(MO.fit(v).posterior(), 6).alias("proba"))
+
+
+def _training_rows(spark, sf):
+    """Features of every candidate file with the posterior of the fitted label model as target."""
     f = _feats(spark, sf)
     v = FE.votes(f)
-    acc, prior, _ = WK.fit_label_model(v)
-    target = v.select("repo_id", "path_str", WK.posterior(acc, prior).alias("target"))
-    data = FE.feature_matrix(f).join(target, ["repo_id", "path_str"])
-    model = RK.fit_pairwise_ranker(data, P.FEATURE_NAMES, "target")
+    target = v.select("repo_id", "path_str", MO.fit(v).posterior().alias("target"))
+    return FE.feature_matrix(f).join(target, ["repo_id", "path_str"]).join(f.select("repo_id", "path_str", "ord"), ["repo_id", "path_str"])
+
+
+def _fitted_ranker(spark, sf):
+    return B.fit_boosted_ranker(_training_rows(spark, sf), P.FEATURE_NAMES, "target")
+
+
+@query("train_ranker")
+def _train_ranker(spark, sf):
+    """M5: boosted pairwise ranker; one row per node of its trees."""
+    return B.nodes(_fitted_ranker(spark, sf), spark)
+
+
+@query("train_ranker_linear")
+def _train_ranker_linear(spark, sf):
+    """The linear pairwise ranker; one row per coefficient."""
+    model = RK.fit_pairwise_ranker(_training_rows(spark, sf), P.FEATURE_NAMES, "target")
     return RK.coefficients(model, spark)
 
 
 def ranked_files(spark, sf):
-    """M5 + M6: every candidate file with its score by the fitted ranker."""
-    f = _feats(spark, sf)
-    v = FE.votes(f)
-    acc, prior, _ = WK.fit_label_model(v)
-    target = v.select("repo_id", "path_str", WK.posterior(acc, prior).alias("target"))
-    data = FE.feature_matrix(f).join(target, ["repo_id", "path_str"]).join(
-        f.select("repo_id", "path_str", "ord"), ["repo_id", "path_str"])
-    model = RK.fit_pairwise_ranker(data, P.FEATURE_NAMES, "target")
-    return RK.score(model, data, P.FEATURE_NAMES)
+    """M5 + M6: every candidate file with its score by the fitted ranker, a stage written once."""
+    def build():
+        rows = _training_rows(spark, sf)
+        return B.score(B.fit_boosted_ranker(rows, P.FEATURE_NAMES, "target"), rows)
+
+    return corpus.stage_table(spark, sf, "ranked_files", build, ("repo_id", "ord"))
 
 
 @query("rank_files")
