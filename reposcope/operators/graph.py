@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reposcope.session import cut_lineage
+from reposcope.operators.split import global_rank
+from reposcope.session import cut_lineage, stored
 
 
 def keyed_edges(edges: DataFrame) -> DataFrame:
@@ -48,49 +49,61 @@ def graph_degree(edges: DataFrame) -> DataFrame:
                     F.coalesce("num_importees", F.lit(0)).cast("bigint").alias("num_importees")))
 
 
-def shortest_paths(edges: DataFrame) -> DataFrame:
-    """All-pairs BFS distances per repository as a semi-naive fixpoint:
-    frontier join edges -> anti join visited, until the frontier is empty.
-    Lineage is cut every round with a reliable checkpoint.
-    Returns (repo_id, s, v, d) for every reachable pair (d(s, s) = 0)."""
-    e = cut_lineage(edges.select("repo_id", F.col("src").alias("v"), F.col("dst").alias("w")))
-    nodes = graph_nodes(e.select("repo_id", F.col("v").alias("src"), F.col("w").alias("dst")))
-    visited = cut_lineage(nodes.select("repo_id", F.col("node").alias("s"), F.col("node").alias("v"),
-                                       F.lit(0).alias("d")))
-    frontier = visited
-    while True:  # ends: a round only adds pairs that were not there
-        step = (frontier.join(e, ["repo_id", "v"])
-                .select("repo_id", "s", F.col("w").alias("v"), (F.col("d") + 1).alias("d"))
-                .dropDuplicates(["repo_id", "s", "v"]))
-        new = cut_lineage(step.join(visited, ["repo_id", "s", "v"], "left_anti"))
-        if new.isEmpty():
-            break
-        # visited is a union of checkpointed frontiers: shallow lineage, and
-        # only the new frontier is written each round
-        visited = visited.unionByName(new)
-        frontier = new
-    return visited
+def numbered_nodes(edges: DataFrame) -> DataFrame:
+    """(repo_id, node, id): the nodes of a repository have consecutive numbers."""
+    nodes = graph_nodes(edges).withColumn("_k", F.struct("repo_id", "node"))
+    return global_rank(nodes, "_k", "id").drop("_k")
+
+
+def last_growth(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, last): the last round in which the set of sources that reach a node grew.
+
+    edges: (v, w) node numbers. A set is kept as one row per 64 consecutive
+    numbers that hold a source, a long with a bit each; a round sends the bits
+    that a row gained along the edges, ORs them per target and keeps what is
+    new. One table (v, chunk, bits, fresh, last) is written per round.
+    """
+    bit = F.expr("shiftleft(1L, CAST(id % 64 AS INT))")
+    state = stored(ids.select(F.col("id").alias("v"), F.floor(F.col("id") / 64).alias("chunk"), bit.alias("bits"),
+                              bit.alias("fresh"), F.lit(0).alias("last")), "reach")
+    none, round_ = F.lit(0).cast("long"), 0
+    while True:  # ends: bits are only ever added
+        round_ += 1
+        sent = (state.where("fresh <> 0").join(edges, "v")
+                .select(F.col("w").alias("v"), "chunk", none.alias("bits"), F.col("fresh").alias("sent"), F.lit(0).alias("last")))
+        kept = state.select("v", "chunk", "bits", none.alias("sent"), "last")
+        merged = kept.unionByName(sent).groupBy("v", "chunk").agg(
+            F.bit_or("bits").alias("bits"), F.bit_or("sent").alias("sent"), F.max("last").alias("last"))
+        gained = F.col("sent").bitwiseAND(F.bitwise_not("bits"))
+        state = stored(merged.select("v", "chunk", F.col("bits").bitwiseOR(F.col("sent")).alias("bits"), gained.alias("fresh"),
+                                     F.when(gained != 0, F.lit(round_)).otherwise(F.col("last")).alias("last")), "reach")
+        if state.where("fresh <> 0").isEmpty():
+            return state.groupBy(F.col("v").alias("id")).agg(F.max("last").alias("last"))
 
 
 def node_ranks(edges: DataFrame) -> DataFrame:
     """rank = max over all sources of the shortest-path length to the
-    node (unreachable counts as 0), then gaps closed (dense rank from 0)."""
-    dist = shortest_paths(edges)
-    raw = dist.groupBy("repo_id", "v").agg(F.max("d").alias("raw_rank"))
+    node (unreachable counts as 0), then gaps closed (dense rank from 0). A
+    source at distance d joins a node's set in round d, so the largest distance
+    is the last round with growth."""
+    ids = numbered_nodes(edges)
+    by = lambda end, as_: ids.select("repo_id", F.col("node").alias(end), F.col("id").alias(as_))
+    hops = stored(edges.select("repo_id", "src", "dst").join(by("src", "v"), ["repo_id", "src"])
+                  .join(by("dst", "w"), ["repo_id", "dst"]).select("v", "w"), "hops")
+    raw = ids.join(last_growth(hops, ids), "id").select("repo_id", "node", F.col("last").alias("raw_rank"))
+    # gaps are closed on the distinct ranks of a repository, a few rows whatever its size
     w = Window.partitionBy("repo_id").orderBy("raw_rank")
-    return raw.select("repo_id", F.col("v").alias("node"),
-                      (F.dense_rank().over(w) - 1).cast("bigint").alias("rank"))
+    dense = raw.select("repo_id", "raw_rank").distinct().withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
+    return raw.join(dense, ["repo_id", "raw_rank"]).select("repo_id", "node", "rank")
 
 
 def import_features(edges: DataFrame) -> DataFrame:
     """Rank, importers, importees, max rank and the two votes per node.
-    The edge table is materialised once and shared by the BFS and the degrees."""
+    The edge table is materialised once and shared by the ranks and the degrees."""
     edges = cut_lineage(edges)
-    ranks = node_ranks(edges)
-    deg = graph_degree(edges)
-    f = ranks.join(deg, ["repo_id", "node"])
-    max_rank = F.max("rank").over(Window.partitionBy("repo_id"))
-    f = f.withColumn("max_rank", max_rank)
+    ranks = cut_lineage(node_ranks(edges))
+    top = ranks.groupBy("repo_id").agg(F.max("rank").alias("max_rank"))
+    f = ranks.join(graph_degree(edges), ["repo_id", "node"]).join(top, "repo_id")
     return f.select(
         "repo_id", "node", "rank", "num_importers", "num_importees",
         (F.col("rank") == F.col("max_rank")).alias("bottom_rank"),
