@@ -14,9 +14,12 @@ With 32 bands of 4 values a pair at exactly 0.8 shares no band with probability
 loses it with about 1e-6, and every pair within a cluster is compared, found in a bucket or not.
 
 Cases: texts of one to four words have one shingle, texts without words have none and link to
-nothing (each is a class of its own); a null text is empty; a null id counts as the largest id;
-rows that share an id are one document, which has the links of all its rows. Other columns are
-ignored by ``classes`` and kept by ``keep_one``.
+nothing (each is a class of its own); a null text is empty; a null id counts as the largest id; ids
+may be negative. Every row is a document of its own, whatever id it shares: it is judged by its own
+text, and rows alike in id and text are judged alike (each counts as a link of the other). Of such
+rows in the lead of a class ``keep_one`` keeps all. Other columns are ignored by ``classes`` and kept
+by ``keep_one``. Members are nodes by 64 bits of their print: of n different texts any two share a
+node, and so a class, with a probability of n^2/2^65.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import shared_folder, table
+from reposcope.llm.common import SEPARATORS, shared_folder, table
 from reposcope.llm.components import components
 from reposcope.llm.shingles import mix, shingle_sets
 
@@ -162,16 +165,23 @@ def _profiling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 prints = [np.add.reduceat(mix(sets + np.uint64(s)), starts).view(np.int64) if len(has) else np.empty(0, np.int64) for s in (1, 2)]
             sig = minhash(sets, counts)
+            key = [b.column(k).take(pa.array(has)) for k in (0, 2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(has)), pa.array(prints[0]), pa.array(prints[1]), pa.array(counts[has]), pa.array([x.tobytes() for x in sig], pa.binary())],
-                ["id", "p", "q", "n", "sig"],
+                [*key, pa.array(prints[0]), pa.array(prints[1]), pa.array(counts[has]), pa.array([x.tobytes() for x in sig], pa.binary())],
+                ["doc_id", "t", "p", "q", "n", "sig"],
             )
 
 
+def _row_key() -> list[Column]:
+    """What tells rows apart: the id and a hash of the text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")]
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """(id, p, q, n, sig): print of the shingle set, its size, MinHash values; no row without words."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
-    return docs.select(ids, "text").mapInArrow(_profiling, "id long, p long, q long, n long, sig binary")
+    """(doc_id, t, p, q, n, sig): hash of the text, print of its shingle set, the set's size, MinHash
+    values; no row without words."""
+    doc_id, t = _row_key()
+    return docs.select(doc_id, "text", t).mapInArrow(_profiling, "doc_id long, t long, p long, q long, n long, sig binary")
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,17 +270,20 @@ def links_between(a: list[np.ndarray], b: list[np.ndarray], similarity: Fraction
 
 
 def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, i, j, blk, id, copies, set): per member its links here, and a forest of them."""
+    """Rows (cluster, i, j, blk, id, copies, set): the links of each member here, and a forest of them."""
     for t, starts in by_group(batches, 3):
         ids, copies, i, j, blk = (t.column(c).to_numpy() for c in ("id", "copies", "i", "j", "blk"))
         sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
-        u, v, links, texts = [], [], [], []
+        u, v, links, edge = [], [], [], []
+
+        def told(a: np.ndarray, b: np.ndarray, n: np.ndarray, is_edge: bool) -> None:
+            u.append(a), v.append(b), links.append(n), edge.append(np.full(len(a), is_edge))
+
         for s, e in zip(starts, np.append(starts[1:], len(ids))):
-            if e - s < 2:
-                continue
             rows = np.arange(s, e)
-            one, two = (rows, rows) if i[s] == j[s] else (rows[blk[s:e] == i[s]], rows[blk[s:e] == j[s]])
-            if not len(one) or not len(two):
+            rows = rows[np.diff(ids[s:e], prepend=ids[s]).astype(bool) | (rows == s)]  # rows alike in id and text bring a member twice
+            one, two = (rows, rows) if i[s] == j[s] else (rows[blk[rows] == i[s]], rows[blk[rows] == j[s]])
+            if len(rows) < 2 or not len(one) or not len(two):
                 continue
             hit = links_between([sets[k] for k in one], [sets[k] for k in two])
             if one is two:
@@ -278,18 +291,12 @@ def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sides = [(one, two, hit)] if one is two else [(one, two, hit), (two, one, hit.T)]
             for x, y, h in sides:
                 some = h.any(axis=1)
-                u.append(ids[x[some]])
-                # the smallest linked id stands for the member's links; the rest of the forest is below
-                v.append(np.full(some.sum(), -1))
-                links.append(h[some] @ copies[y])
-                texts.append(h[some].sum(axis=1))
-            for a, b in _spanning(hit, one is two):
-                u.append(ids[one[[a]]])
-                v.append(ids[two[[b]]])
-                links.append(np.zeros(1, np.int64))
-                texts.append(np.zeros(1, np.int64))
+                told(ids[x[some]], ids[x[some]], h[some] @ copies[y], False)
+            pairs = np.array(_spanning(hit, one is two), dtype=np.int64).reshape(-1, 2)
+            told(ids[one[pairs[:, 0]]], ids[two[pairs[:, 1]]], np.zeros(len(pairs), np.int64), True)
         if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (u, v, links, texts)], ["u", "v", "links", "texts"])
+            columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (u, v, links)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(edge))], ["u", "v", "links", "edge"])
 
 
 def _spanning(hit: np.ndarray, same: bool) -> list[tuple[int, int]]:
@@ -323,19 +330,18 @@ def _setting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(docs: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(u, v, links, texts): with v = -1 a member's links in a pair of blocks, else an edge."""
+    """(u, v, links, edge): the links of member u in a pair of blocks (v is u), or an edge of the forest."""
     inside = clusters.union(clusters.select("v", "v").distinct()).select(F.col("u").alias("m"), F.col("v").alias("cluster"))
-    known = inside.join(members.select("id", "n", "copies", "p", "q"), F.col("m") == F.col("id")).drop("m")
+    known = inside.join(members.select("id", "n", "copies", "row"), F.col("m") == F.col("id")).drop("m")
     size = known.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int")
     placed = known.join(size.select(F.col("cluster").alias("k"), blocks.alias("nb")).hint("rebalance"), F.col("cluster") == F.col("k")).drop("k")
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    texts = docs.select(ids.alias("t"), "text")
-    # several rows may share an id: the set with the member's print is the one that counts
-    rows = placed.join(texts, F.col("id") == F.col("t")).select("id", "text", "cluster", "copies", "nb", "n")
+    doc_id, t = _row_key()
+    texts = docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("_id"), t.alias("_t"), "text")
+    rows = placed.join(texts, (F.col("row.id") == F.col("_id")) & (F.col("row.t") == F.col("_t"))).select("id", "text", "cluster", "copies", "nb", "n")
     sets = rows.mapInArrow(_setting, "id long, cluster long, copies long, nb int, n long, set binary")
-    sets = sets.filter(F.octet_length("set") == 8 * F.col("n")).select("id", "cluster", "copies", "nb", "set", _block_of(F.col("nb")).alias("blk"))
-    return _dealt(_in_pairs_of_blocks(sets, "cluster"), "cluster", "copies", "set").mapInArrow(_verifying, "u long, v long, links long, texts long")
+    sets = sets.select("id", "cluster", "copies", "nb", "set", _block_of(F.col("nb")).alias("blk"))
+    return _dealt(_in_pairs_of_blocks(sets, "cluster"), "cluster", "copies", "set").mapInArrow(_verifying, "u long, v long, links long, edge boolean")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -345,41 +351,55 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(id, class_id, n_links, n_copies) per distinct id that has words; a null id is ``NO_ID``.
+    """(doc_id, t, class_id, lead, n_links, n_copies) per row that has words; t is a hash of the text.
 
-    class_id is the smallest id that links lead to; n_links counts the other documents at the
-    similarity or more, of which n_copies have the same shingle set.
+    class_id is the smallest id that links lead to (a null id is ``NO_ID``), and lead the smallest t of
+    that id in the class; n_links counts the other documents at the similarity or more, of which
+    n_copies have the same shingle set.
     """
     rows = _stored(profiles(docs), "profiles")
-    members = rows.groupBy("p", "q").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig"))
-    members = _stored(members, "members")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("t").alias("t")))
+    members = rows.groupBy("p", "q").agg(first.alias("row"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    members = _stored(members.withColumn("id", F.col("p")), "members")
     clusters = components(candidate_edges(members))
     found = _stored(verified(docs, members, clusters), "links")
-    roots = components(found.filter("v >= 0").select("u", "v"))
-    links = found.filter("v < 0").groupBy("u").agg(F.sum("links").alias("links")).select(F.col("u").alias("l"), "links")
-    joined = members.select("id", "p", "q", "copies").join(roots.select(F.col("u").alias("r"), F.col("v").alias("root")), F.col("id") == F.col("r"), "left")
-    joined = joined.join(links, F.col("id") == F.col("l"), "left")
-    judged = joined.select(F.col("p").alias("mp"), F.col("q").alias("mq"), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    # only members with a link or a copy have more to say than that they stand alone; dealt evenly for the join
-    told = judged.filter("links > 0 or copies > 1").hint("rebalance")
-    out = rows.select("id", "p", "q").join(told, (F.col("p") == F.col("mp")) & (F.col("q") == F.col("mq")), "left")
+    roots = components(found.filter("edge").select("u", "v"))
+    links = found.filter("not edge").groupBy("u").agg(F.sum("links").alias("links")).select(F.col("u").alias("l"), "links")
+    # only members with a link or a copy have more to say than that they stand alone
+    linked = members.select("id", "p", "q", "copies", "row").join(links, F.col("id") == F.col("l"), "left").filter("links > 0 or copies > 1")
+    linked = linked.join(roots.select(F.col("u").alias("r"), F.col("v").alias("root")), F.col("id") == F.col("r"), "left")
+    linked = linked.select("p", "q", "row", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "p").alias("root"))
+    least = linked.groupBy("root").agg(F.min("row").alias("lead")).select(F.col("root").alias("k"), "lead").hint("rebalance")
+    told = linked.join(least, F.col("root") == F.col("k")).select(F.col("p").alias("mp"), F.col("q").alias("mq"), "lead", "links", "copies")
+    # dealt evenly for the join: one class may have very many rows
+    out = rows.select("doc_id", "t", "p", "q").join(told.hint("rebalance"), (F.col("p") == F.col("mp")) & (F.col("q") == F.col("mq")), "left")
     copies = F.coalesce("copies", F.lit(1)) - 1
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + copies).alias("n_links"), copies.alias("n_copies"))
+    own = F.coalesce("doc_id", F.lit(NO_ID))
+    class_id, lead = F.coalesce("lead.id", own).alias("class_id"), F.coalesce("lead.t", "t").alias("lead")
+    return out.select("doc_id", "t", class_id, lead, (F.coalesce("links", F.lit(0)) + copies).alias("n_links"), copies.alias("n_copies"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that are in the class of a smaller id, with all their columns."""
-    surplus = classes(docs).filter("class_id < id").select(F.col("id").alias("_surplus")).distinct()
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
-    return whole.join(surplus, F.col("_id") == F.col("_surplus"), "left_anti").select("_row.*")
+    """The documents with one of each class, that of the smallest id, with all their columns.
+
+    Of several with that id (or none) the one with the smallest hash of the text stays, with the rows
+    that are alike in both.
+    """
+    own = F.coalesce("doc_id", F.lit(NO_ID))
+    surplus = classes(docs).filter((F.col("class_id") != own) | (F.col("lead") != F.col("t"))).select(own.alias("_i"), F.col("t").alias("_h")).distinct()
+    doc_id, t = _row_key()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(doc_id, F.lit(NO_ID)).alias("_id"), t.alias("_t"))
+    return whole.join(surplus, (F.col("_id") == F.col("_i")) & (F.col("_t") == F.col("_h")), "left_anti").select("_row.*")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, class_id, n_links, n_copies (documents without words stand alone)."""
-    told = classes(docs).groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("n_copies").alias("n_copies"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
-    out = rows.join(told, F.col("_id") == F.col("id"), "left")
-    return out.select("doc_id", F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
+    kind = docs.schema["doc_id"].dataType
+    silent = F.btrim(F.coalesce("text", F.lit("")), F.lit(SEPARATORS)) == ""
+    none = F.lit(0).cast("long")
+    alone = docs.filter(silent).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("class_id"), none.alias("n_links"), none.alias("n_copies"))
+    told = classes(docs).select("doc_id", "class_id", "n_links", "n_copies").union(alone)
+    return told.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 _P, _Q = SIMILARITY.numerator, SIMILARITY.denominator

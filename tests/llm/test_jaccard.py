@@ -91,12 +91,49 @@ def test_large_group_of_near_copies(spark):
 def test_repeats_nulls_and_empty(spark):
     t = " ".join(map(str, range(40)))
     docs = spark.createDataFrame([(3, t), (3, t), (None, t), (5, t + " x"), (5, None), (9, "")], "doc_id long, text string")
-    got = sorted(((r.doc_id, r.class_id) for r in q.join(docs).collect()), key=str)
-    assert got == sorted([(3, 3), (3, 3), (None, 3), (5, 3), (5, 3), (9, 9)], key=str)
-    assert sorted(r.doc_id for r in q.keep_one(docs).collect()) == [3, 3, 9]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in q.join(docs).collect()), key=str)
+    assert got == sorted([(3, 3, 3), (3, 3, 3), (None, 3, 3), (5, 3, 3), (5, 5, 0), (9, 9, 0)], key=str)
+    assert sorted((r.doc_id, r.text) for r in q.keep_one(docs).fillna("").collect()) == [(3, t), (3, t), (5, ""), (9, "")]
     assert q.join(docs.limit(0)).count() == 0 and q.keep_one(docs.limit(0)).count() == 0
 
 
+def plain_rows(rows):
+    """Per row (class_id, n_links), and the rows kept, where ids are negative, shared or null."""
+    sets = [sets_of(t) for _, t in rows]
+    key = [(q.NO_ID if d is None else d) for d, _ in rows]
+    near = lambda a, b: bool(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if near(a, b):
+                    root[a] = root[b] = min(root[a], root[b])
+    out = []
+    for a, (d, _) in enumerate(rows):
+        out.append((d, min(key[b] for b in range(len(rows)) if root[b] == root[a]), sum(near(a, b) for b in range(len(rows)) if a != b)))
+    classes = {}
+    for a in range(len(rows)):
+        classes.setdefault(root[a], []).append(a)
+    return sorted(out, key=str), [[a for a in c if key[a] == min(key[b] for b in c)] for c in classes.values()]
+
+
+@pytest.mark.parametrize("ids", [
+    [-5, -4, -3, 0, 7, 8],  # negative ids
+    [1, 1, 2, 3, 4, 5],  # an id with two texts, each with a near copy of its own
+    [None, None, 2, None, 4, None],  # no ids
+])
+def test_odd_ids(spark, ids):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = list(zip(ids, [a, b, a + " z", b + " z", a + " y x", "alone here with five words"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, leads = plain_rows(rows)
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in q.join(docs).collect()), key=str) == want
+    kept = sorted((tuple(r) for r in q.keep_one(docs).collect()), key=str)
+    assert len(kept) == len(leads)
+    for lead in leads:  # exactly one of the rows that may lead each class
+        assert sum(rows[x] in kept for x in lead) == 1
+
+
 def test_pruning_table_and_forest():
     least = q.least_matches()
     assert least[16] <= 6 and 75 < least[128] < 95
