@@ -1,17 +1,18 @@
 """Quality rules with cross-document line frequency; DataFrame functions only.
 
-Per document some counts are taken within the row. Lines are normalised and hashed, distinct texts
-that hold a line are counted per host (the document's source), and lines above the limit are
-removed from all documents but the first of their host. A document is rejected if it fails a base
-rule, or if less than ``LEAST_LEFT`` of its characters are left (it is depleted). ``judge`` tells
-which are kept; ``keep`` returns those with the removed lines cut from the text.
+Per document some counts are taken within the row. Lines of any length are normalised and hashed,
+the distinct documents that hold a line are counted per host (the document's source), and lines
+above the limit are removed from all documents but the first of their host. A document is rejected
+if it fails a base rule, or if less than ``LEAST_LEFT`` of its characters are left (it is depleted).
+``judge`` tells which are kept; ``keep`` returns those with the removed lines cut from the text.
 
-Only lines of at most ``LINE_WORDS`` words are counted: longer lines that repeat are passages, and
-texts that are copies as a whole count once, so copies are left to near-duplicate removal.
+Of more than ``LINE_DOCS`` copies of a text within a host the first holder keeps its lines, and the
+others are depleted; fewer copies are left to near-duplicate removal.
 
 Cases: a null text counts as empty (no words, so it fails the base rule); a null host is a host of
-its own; rows that share doc_id and text are judged alike; rows that share only the doc_id are
-judged each by its own text; a null doc_id is never the first holder of a line, unless all are.
+its own; rows that share doc_id and text are one document and judged alike; rows that share only the
+doc_id are documents judged each by its own text; a null doc_id is never the first holder of a line,
+unless all are.
 Other columns are ignored by ``judge`` and kept by ``keep``, but for ``n_chars``, which follows a text
 that was cut; texts without such lines stay as they are.
 """
@@ -27,9 +28,8 @@ from reposcope.llm.common import SEPARATORS, table
 
 LEAST_WORDS = 50
 REPEATED_PERCENT = 50
-#: a line that more texts of a host hold is removed
-LINE_TEXTS = 20
-LINE_WORDS = 25
+#: a line that more documents of a host hold is removed
+LINE_DOCS = 20
 LEAST_LEFT = 0.3
 
 _GAP = r"[ \t-\r]+"
@@ -110,14 +110,12 @@ def base(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def lines_of(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Short lines of each row: its key, _place, _line (hash), _chars (of the line), _all (of the text)."""
+    """Lines of each row: its key, _place, _line (hash), _chars (of the line), _all (of the text)."""
     text = F.coalesce("text", F.lit(""))
     plain = F.transform(F.split(text, "\n"), lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(SEPARATORS)), _GAP, " ")))
-    counted = F.transform(
-        plain, lambda x, i: F.struct(i.alias("place"), F.xxhash64(x).alias("line"), F.char_length(x).alias("chars"), F.regexp_count(x, F.lit(" ")).alias("gaps"))
-    )
-    short = F.filter(counted, lambda x: (x["chars"] > 0) & (x["gaps"] < LINE_WORDS))
-    return docs.select(*_key(host), F.char_length(text).alias("_all"), F.explode(short).alias("_l")).select(
+    counted = F.transform(plain, lambda x, i: F.struct(i.alias("place"), F.xxhash64(x).alias("line"), F.char_length(x).alias("chars")))
+    full = F.filter(counted, lambda x: x["chars"] > 0)
+    return docs.select(*_key(host), F.char_length(text).alias("_all"), F.explode(full).alias("_l")).select(
         *KEY, "_all", F.col("_l.place").alias("_place"), F.col("_l.line").alias("_line"), F.col("_l.chars").alias("_chars")
     )
 
@@ -129,19 +127,19 @@ def _key(host: str) -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_id"), F.col(host).cast("string").alias("_host")]
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS) -> DataFrame:
-    """Lines that more than ``limit`` distinct texts of a host hold, with the first holder's id."""
+def frequent_lines(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS) -> DataFrame:
+    """Lines that more than ``limit`` documents of a host hold, with the first holder's id."""
     return (
         lines_of(docs, host)
-        .groupBy("_host", "_line", "_text_id")
-        .agg(F.min("doc_id").alias("_first"))
+        .groupBy("_host", "_line", "_text_id", "doc_id")
+        .agg(F.lit(1).alias("_one"))
         .groupBy("_host", "_line")
-        .agg(F.count("*").alias("_texts"), F.min("_first").alias("_first"))
-        .filter(F.col("_texts") > limit)
+        .agg(F.count("*").alias("_docs"), F.min("doc_id").alias("_first"))
+        .filter(F.col("_docs") > limit)
     )
 
 
-def removed(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS) -> DataFrame:
+def removed(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS) -> DataFrame:
     """Per key of a row with removed lines: _removed (their characters), _all (the text's) and _places."""
     # dealt evenly once more, so that a line which very many rows hold can be split in the join
     frequent = frequent_lines(docs, host, limit).select(F.col("_host").alias("_h"), F.col("_line").alias("_l"), "_first").hint("rebalance")
@@ -155,7 +153,7 @@ def _is_depleted(least_left: float) -> Column:
     return F.col("_all") - F.col("_removed") < least_left * F.col("_all")
 
 
-def depleted(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS, least_left: float = LEAST_LEFT) -> DataFrame:
+def depleted(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """Keys of the rows that keep less than ``least_left`` of their characters, with ``_removed``."""
     return removed(docs, host, limit).filter(_is_depleted(least_left)).select(*_other_key(), "_removed")
 
@@ -168,13 +166,13 @@ def _same_key() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_id") == F.col("__text_id")) & F.col("_host").eqNullSafe(F.col("__host"))
 
 
-def judge(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS, least_left: float = LEAST_LEFT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, kept."""
     rows = base(docs, host).join(depleted(docs, host, limit, least_left), _same_key(), "left")
     return rows.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.col("_removed").isNull()).alias("kept"))
 
 
-def keep(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS, least_left: float = LEAST_LEFT) -> DataFrame:
+def keep(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """The documents that are not rejected, with all their columns and without the removed lines."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # so that no name clashes
     row = docs.select(whole, *_key(host), words_of(F.coalesce("text", F.lit(""))).alias("_words"))
@@ -216,8 +214,8 @@ with t as (select doc_id, source, coalesce(text, '') as text from documents),
              coalesce(n, 0) as n_repeat_words
            from w left join r using (doc_id)),
      l as (select doc_id, source, text, lower({_TRIM}) as line from (select doc_id, source, text, unnest(ls) as l from w)),
-     s as (select doc_id, source, text, line from l where line <> '' and len(string_split(line, ' ')) <= {LINE_WORDS}),
-     f as (select source, line, min(doc_id) as first from s group by 1, 2 having count(distinct text) > {LINE_TEXTS}),
+     s as (select doc_id, source, text, line from l where line <> ''),
+     f as (select source, line, min(doc_id) as first from s group by 1, 2 having count(distinct doc_id) > {LINE_DOCS}),
      x as (select doc_id, sum(length(line)) as removed from s join f using (source, line) where doc_id <> first group by 1),
      j as (select b.*, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEATED_PERCENT} * n_words as base_failed,
              removed is not null and length(text) - removed < {LEAST_LEFT} * length(text) as depleted

@@ -65,15 +65,29 @@ def test_depleted_rows_are_rejected(spark):
     assert kept == {1, 100, 101, 102, 103, 104, 200, 300}
     assert sorted(r.doc_id for r in q.keep(docs).collect()) == sorted(kept)
     assert q.keep(docs).columns == docs.columns
-    # the same rows once more change nothing: texts are counted, not rows
+    # the same rows once more change nothing: documents are counted, not rows
     assert {r.doc_id for r in q.judge(docs.union(docs)).collect() if r.kept} == kept
     assert q.judge(docs.limit(0)).count() == 0 and q.keep(docs.limit(0)).count() == 0
 
 
-def test_copies_of_a_text_count_once(spark):
+def test_copies_are_documents(spark):
     text = "\n".join(_bodies(1)[0][i : i + 150] for i in range(0, 900, 150))
-    docs = spark.createDataFrame([(i, text, "h") for i in range(200)], "doc_id long, text string, source string")
-    assert q.judge(docs).filter("kept").count() == 200
+    rows = [(i, text, "h") for i in range(200)] + [(1000 + i, text + "\nx", "few") for i in range(q.LINE_DOCS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in q.judge(docs).filter("kept").collect()} == {0, *range(1000, 1000 + q.LINE_DOCS)}
+
+
+def test_long_notices_and_menus_of_equal_documents_go(spark):
+    """No length of line and no likeness of the documents keeps a line that many of them hold."""
+    notice = " ".join(f"clause{i}" for i in range(30))
+    rows = [(i, f"{b}\n{notice}", "long") for i, b in enumerate(_bodies(60))]
+    same = "\n".join(["Home | About", *_bodies(40)])
+    rows += [(100 + i, same, "equal") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    frequent = {(r._host, r._docs, r._first) for r in q.frequent_lines(docs).collect()}
+    assert frequent == {("long", 60, 0), ("equal", 60, 100)}
+    kept = {r.doc_id: r.text for r in q.keep(docs).collect()}
+    assert kept == {i: b if i else f"{b}\n{notice}" for i, b in enumerate(_bodies(60))} | {100: same}
 
 
 def test_frequent_lines_are_cut_from_kept_texts(spark):

@@ -23,15 +23,15 @@ def good(docs):
     held = {}
     for r in docs:
         for x in r.text.split("\n"):
-            if norm(x) and len(WORD.findall(x)) <= line_rules.LINE_WORDS:
-                held.setdefault((r.source, norm(x)), []).append((r.doc_id, r.text))
+            if norm(x):
+                held.setdefault((r.source, norm(x)), set()).add(r.doc_id)
     out = set()
     for r in docs:
         ws = WORD.findall(r.text)
         gone = 0
         for x in r.text.split("\n"):
-            at = held.get((r.source, norm(x)), [])
-            if len({t for _, t in at}) > line_rules.LINE_TEXTS and min(d for d, _ in at) != r.doc_id:
+            at = held.get((r.source, norm(x)), ())
+            if len(at) > line_rules.LINE_DOCS and min(at) != r.doc_id:
                 gone += len(norm(x))
         left = len(r.text) - gone
         if len(ws) >= 50 and 100 * brute_repeated(ws) <= 50 * len(ws) and (not gone or left >= line_rules.LEAST_LEFT * len(r.text)):
@@ -79,14 +79,14 @@ def test_stages_fit_the_contract():
 
 
 def cut(docs):
-    """doc_id -> the text without the lines that more texts of the host than the limit hold."""
+    """doc_id -> the text without the lines that more documents of the host than the limit hold."""
     norm = lambda x: " ".join(WORD.findall(x)).lower()
     held = {}
     for r in docs:
         for x in r.text.split("\n"):
-            if norm(x) and len(WORD.findall(x)) <= line_rules.LINE_WORDS:
-                held.setdefault((r.source, norm(x)), []).append((r.doc_id, r.text))
-    gone = {k: min(d for d, _ in at) for k, at in held.items() if len({t for _, t in at}) > line_rules.LINE_TEXTS}
+            if norm(x):
+                held.setdefault((r.source, norm(x)), set()).add(r.doc_id)
+    gone = {k: min(at) for k, at in held.items() if len(at) > line_rules.LINE_DOCS}
     return {r.doc_id: "\n".join(x for x in r.text.split("\n") if gone.get((r.source, norm(x)), r.doc_id) == r.doc_id) for r in docs}
 
 
