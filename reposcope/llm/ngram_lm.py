@@ -3,21 +3,27 @@
 An n-gram model: the maximum-likelihood estimate of each order is mixed with the next lower one by
 a weight that depends on how often the context was seen (buckets of its count, by powers of two),
 down to the unigrams and an even share for each of V + 1 tokens. The weights are learned by
-expectation-maximisation on the counts of held-out documents.
-
-1. Documents are cut into batches (ranges of their id). Each batch counts its distinct n-grams and
-   sends them once, whatever their number, to buckets of their hash, so no n-gram is a hot key.
-2. A bucket sums the counts and tells each batch the totals of the n-grams that it sent.
-3. Batches sum up their held-out tokens in cells: the context's bucket and the estimates on a
-   logarithmic grid. The cells, of bounded number at any size of the corpus, are what EM runs on.
-4. Each batch scores its documents with the totals and the weights.
+expectation-maximisation on the training tokens, each with itself deleted: its n-grams and their
+contexts count one less. Rows that are held out take no part in it; they only ask for totals.
+
+1. Documents are dealt into batches by a hash. Each batch counts its distinct unigrams and bigrams
+   and sends each once, whatever its number, to buckets of their hash, so no n-gram is a hot key.
+2. A bucket sums the counts and tells each batch the total of each n-gram that it sent,
+   and whether other batches sent it too.
+3. Of the longer n-grams a batch sends those alone that another batch may hold: both n-grams of one
+   token less in it were sent by others. All others are complete as they are. So most trigrams,
+   which occur in one batch, are never sent.
+4. Batches sum up their training tokens in cells: the context's bucket and the estimates on a
+   logarithmic grid (quarter powers of two, which makes the weights approximate). The cells, of
+   bounded number at any size of the corpus, are what EM runs on.
+5. Each batch scores its documents with the totals and the weights.
 
 All steps are one plan in which the texts are shuffled once. N-grams are known by 64-bit hashes.
 
 Cases: a null or empty text has the end token alone; without training documents every count and N
-and V are 0 (the base is then log10 of 1 per token, the model's share 1 per token); without
-held-out documents the weights are those EM starts from; a null id has the remainder of the empty
-text (0: held out); repeated rows each count and are each scored. Other columns are ignored.
+and V are 0 (the base is then log10 of 1 per token, the model's share 1 per token); a null id has
+the remainder of the empty text (0: held out); repeated rows each count and are each scored. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import crc_mod, pack_sorted, shard_bounds, shard_of, table, unpack_sorted
+from reposcope.llm.common import crc_mod, pack_sorted, table, unpack_sorted
 from reposcope.llm.jaccard import by_group
 from reposcope.llm.shingles import mix, word_hashes
 
@@ -98,6 +104,16 @@ class Batch:
         training = ~self.held[self.owner[self._at(n)]]
         return np.bincount(self.index[n - 1][training], minlength=len(self.grams[n - 1]))
 
+    def shared(self, n: int, elsewhere: np.ndarray | None) -> np.ndarray:
+        """Which distinct n-grams may occur in other batches: those whose two n-grams of one token less do."""
+        out = np.ones(len(self.grams[n - 1]), dtype=bool)
+        if n > 2:
+            open_ = np.zeros(len(self.tokens), dtype=bool)
+            open_[self._at(n - 1)] = elsewhere[self.index[n - 2]]
+            at = self._at(n)
+            out[self.index[n - 1]] = open_[at] & open_[at - 1]
+        return out
+
     def spread(self, n: int, totals: np.ndarray) -> np.ndarray:
         """Total of the n-gram that ends at each position; 0 where there is none."""
         out = np.zeros(len(self.tokens), dtype=np.int64)
@@ -139,13 +155,28 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _sent(batch: Batch, key: int, n: int, which: np.ndarray, buckets: int) -> list[tuple]:
+    grams, counts = batch.grams[n - 1][which], batch.counts(n)[which]
+    return [(b, n, key, pack_sorted(grams[at]), _pack(counts[at])) for b, at in by_bucket(grams, buckets)]
+
+
 def _counting(order: int, buckets: int):
+    """Counts of the orders that every batch sends whole."""
+
     def run(key, rows):  # without type hints: Spark would read them
-        batch, out = Batch(rows, order), []
-        for n in range(1, order + 1):
-            grams, counts = batch.grams[n - 1], batch.counts(n)
-            out += [(b, n, key[0].as_py(), pack_sorted(grams[at]), _pack(counts[at])) for b, at in by_bucket(grams, buckets)]
-        return _table(out, _COUNTS)
+        batch = Batch(rows, order)
+        return _table([x for n in range(1, order + 1) for x in _sent(batch, key[0].as_py(), n, batch.shared(n, None), buckets)], _COUNTS)
+
+    return run
+
+
+def _counting_longer(n: int, buckets: int):
+    """Counts of the n-grams that other batches may hold too."""
+
+    def run(key, rows, told):
+        batch = Batch(rows, n)
+        _, elsewhere = _totals(batch, told, n - 1, buckets)
+        return _table(_sent(batch, key[0].as_py(), n, batch.shared(n, elsewhere), buckets), _COUNTS)
 
     return run
 
@@ -158,26 +189,35 @@ def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = [unpack_sorted(x) for x in part.column("grams").to_pylist()]
             counts = np.concatenate([_unpack(x) for x in part.column("counts").to_pylist()])
             kinds, back = np.unique(np.concatenate(grams), return_inverse=True)
-            total = np.zeros(len(kinds), dtype=np.int64)
-            np.add.at(total, back, counts)
+            total = np.bincount(back, counts, len(kinds)).astype(np.int64)
+            told = 2 * total + (np.bincount(back, minlength=len(kinds)) > 1)  # the lowest bit: other batches sent it too
             bucket, n = part.column("bucket")[0].as_py(), part.column("n")[0].as_py()
-            rows = [(b, bucket, n, _pack(x), 0, 0) for b, x in zip(part.column("batch").to_pylist(), np.split(total[back], np.cumsum([len(g) for g in grams])[:-1]))]
+            rows = [(b, bucket, n, _pack(x), 0, 0) for b, x in zip(part.column("batch").to_pylist(), np.split(told[back], np.cumsum([len(g) for g in grams])[:-1]))]
             if n == 1:
                 token = total[kinds != START]
                 rows.append((-1, bucket, n, None, int(token.sum()), int((token > 0).sum())))
             yield from _table(rows, _TOTALS).to_batches()
 
 
-def _told(batch: Batch, told: pa.Table, order: int, buckets: int) -> list[np.ndarray]:
-    """Per order the total at each position."""
+def _totals(batch: Batch, told: pa.Table, order: int, buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per order the total of each distinct n-gram, as told, or the batch's own count if it was not sent;
+    and which of the last order other batches sent too."""
     got = {(b, n): x for b, n, x in zip(*(told.column(c).to_pylist() for c in ("bucket", "n", "totals")))}
-    out = []
+    out: list[np.ndarray] = []
+    elsewhere = np.empty(0, dtype=bool)
     for n in range(1, order + 1):
-        totals = np.zeros(len(batch.grams[n - 1]), dtype=np.int64)
-        for b, at in by_bucket(batch.grams[n - 1], buckets):
-            totals[at] = _unpack(got[b, n])
-        out.append(batch.spread(n, totals))
-    return out
+        which = np.flatnonzero(batch.shared(n, elsewhere))
+        totals, elsewhere = batch.counts(n).astype(np.int64), np.zeros(len(batch.grams[n - 1]), dtype=bool)
+        for b, at in by_bucket(batch.grams[n - 1][which], buckets):
+            x = _unpack(got[b, n])
+            totals[which[at]], elsewhere[which[at]] = x >> 1, x & 1
+        out.append(totals)
+    return out, elsewhere
+
+
+def _told(batch: Batch, told: pa.Table, order: int, buckets: int) -> list[np.ndarray]:
+    """Per order the total at each position."""
+    return [batch.spread(n + 1, t) for n, t in enumerate(_totals(batch, told, order, buckets)[0])]
 
 
 def _contexts(batch: Batch, totals: list[np.ndarray], at: np.ndarray, n: int) -> np.ndarray:
@@ -190,19 +230,22 @@ def bucket_of(count: np.ndarray) -> np.ndarray:
 
 
 def _cells(order: int, buckets: int):
-    """Held-out tokens by cell: a mixed-radix number of (bucket, estimate) per order and the unigram."""
+    """Training tokens by cell: a mixed-radix number of (bucket, estimate) per order and the unigram.
+
+    A token is left out of the counts that it is judged by.
+    """
 
     def run(key, rows, told):
         batch = Batch(rows, order)
         totals = _told(batch, told, order, buckets)
-        at = np.flatnonzero((batch.place > 0) & batch.held[batch.owner])
+        at = np.flatnonzero((batch.place > 0) & ~batch.held[batch.owner])
         cell = np.zeros(len(at), dtype=np.int64)
         for n in range(order, 1, -1):
-            context, gram = _contexts(batch, totals, at, n), totals[n - 1][at]
+            context, gram = (np.maximum(x - 1, 0) for x in (_contexts(batch, totals, at, n), totals[n - 1][at]))
             seen = (context > 0) & (gram > 0)
             share = np.where(seen, np.rint(GRID * np.log2(np.maximum(context, 1) / np.maximum(gram, 1))) + 1, 0).astype(np.int64)
             cell = (cell * BUCKETS + bucket_of(context)) * 256 + np.minimum(share, 255)
-        one = totals[0][at]
+        one = totals[0][at] - 1
         cell = cell * 256 + np.where(one > 0, np.rint(GRID * np.log2(np.maximum(one, 1))) + 1, 0).astype(np.int64)
         cells, n_ = np.unique(cell, return_counts=True)
         return pa.Table.from_arrays([pa.array(cells), pa.array(n_.astype(np.int64))], schema=_CELLS)
@@ -232,7 +275,7 @@ def first_weights(order: int) -> np.ndarray:
 
 
 def learn(order: int, cells: np.ndarray, n: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
-    """EM: the share of the held-out tokens of a bucket that stop at an order, of those that reach it."""
+    """EM: the share of the tokens of a bucket that stop at an order, of those that reach it."""
     weights = first_weights(order)
     weights[1] = 0.9
     if not len(cells) or not tokens:
@@ -317,19 +360,29 @@ def score(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, b
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
     total = text.agg(F.sum(size).alias("n")).first()["n"] or 0
     buckets = 1 << max(0, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
-    bounds = shard_bounds(text, "doc_id", size, batch_bytes)
+    batches = max(1, -(-total // batch_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = text.select(shard_of("doc_id", bounds).cast("int").alias("batch"), "doc_id", (crc_mod(F.col("doc_id"), HELD_OUT_MOD) == 0).alias("held"), "text")
+    # null ids and ids of many rows are told apart by their texts
+    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch")
+    rows = text.select(batch, "doc_id", (crc_mod(F.col("doc_id"), HELD_OUT_MOD) == 0).alias("held"), "text")
     by_batch = rows.groupBy("batch")
-    counts = by_batch.applyInArrow(_counting(order, buckets), _sql(_COUNTS))
-    place = F.col("bucket") * order + F.col("n") - 1  # a task for each bucket and order
-    sums = counts.repartitionById(max(parts, buckets * order), place).sortWithinPartitions("bucket", "n", "batch").mapInArrow(_summing, _sql(_TOTALS))
+
+    def summed(counts: DataFrame, orders: list[int]) -> DataFrame:
+        place = F.col("bucket") * len(orders) + F.col("n") - orders[0]  # a task for each bucket and order
+        dealt = counts.repartitionById(max(parts, buckets * len(orders)), place).sortWithinPartitions("bucket", "n", "batch")
+        return dealt.mapInArrow(_summing, _sql(_TOTALS))
+
+    whole = min(order, 2)
+    sums = summed(by_batch.applyInArrow(_counting(whole, buckets), _sql(_COUNTS)), list(range(1, whole + 1)))
     totals = sums.filter("batch >= 0")
+    for n in range(3, order + 1):
+        longer = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_counting_longer(n, buckets), _sql(_COUNTS))
+        totals = totals.union(summed(longer, [n]))
     cells = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_cells(order, buckets), _sql(_CELLS))
     corpus = sums.filter("batch < 0").select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("cell"), F.col("tokens").alias("n")), F.struct(F.lit(-2).cast("long").alias("cell"), F.col("kinds").alias("n")))).alias("x")).select("x.cell", "x.n")
     grid = cells.union(corpus).groupBy("cell").agg(F.sum("n").alias("n"))
     model = grid.groupBy(F.lit(0).alias("all")).applyInArrow(lambda rows: _learning(order)(rows.select(["cell", "n"])), _sql(_TOTALS))
-    every = model.select(F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))).alias("batch"), "bucket", "n", "totals", "tokens", "kinds")
+    every = model.select(F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), "bucket", "n", "totals", "tokens", "kinds")
     return by_batch.cogroup(totals.union(every).groupBy("batch")).applyInArrow(_scoring(order, buckets), _SCORES)
 
 
