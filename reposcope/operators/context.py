@@ -2,9 +2,9 @@
 
 Inputs are the flat ``tree`` files (README and setup.py already removed).
 The per-repository text is never assembled from the whole repository: a
-running token sum (window keyed by repo_id) keeps only the files that start
-inside the budget, so the collected text per repository is bounded by the
-budget plus one file (files are < 100 kB by the size rule).
+running token sum (``segments.running_before``, split over tasks) keeps only
+the files that start inside the budget, so the collected text per repository
+is bounded by the budget plus one file (files are < 100 kB by the size rule).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reposcope.functions import patterns as P
 from reposcope.functions import text as T
+from reposcope.operators.segments import running_before
 
 
 def prompt_parts(kind: str, project_name: Column | None, use_prompt: bool,
@@ -99,16 +100,22 @@ def ctx_all_data(tree: DataFrame, repos: DataFrame, max_tokens: int, use_prompt:
     return j.select("repo_id", F.concat("_pre", text, "_suf").alias("context"))
 
 
+def _within_budget(units: DataFrame, okey: str) -> DataFrame:
+    """Rows (repo_id, path_str, order key, _budget, _u) that start inside the budget of their repository."""
+    return running_before(units, "repo_id", okey, "_u").where(F.col("_before") < F.col("_budget"))
+
+
 def budget_concat_with_budget(t: DataFrame, order: str, sep: str = P.FILE_SEPARATOR) -> DataFrame:
-    """``budget_concat`` where the budget is a per-repository column ``_budget``."""
-    t = hash_order(t) if order == "hash" else t
-    t = t.where(~F.col("excluded")).withColumn("_txt", T.strip_ws("content"))
-    w = Window.partitionBy("repo_id").orderBy(order_col(order)).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_u", T.token_count("_txt") + T.token_count(F.lit(sep)))
-    t = t.withColumn("_before", F.coalesce(F.sum("_u").over(w), F.lit(0)))
-    kept = t.where(F.col("_before") < F.col("_budget"))
-    return kept.groupBy("repo_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col(order), "_txt"))),
+    """``budget_concat`` where the budget is a per-repository column ``_budget``.
+    The running sum sees names and counts only; texts are joined for the files that are kept."""
+    okey = order_col(order)
+    txt = T.strip_ws("content")
+    counts = t.select("repo_id", "path_str", "name", "ord", "excluded", "_budget", (T.token_count(txt) + T.token_count(F.lit(sep))).alias("_u"))
+    counts = hash_order(counts) if order == "hash" else counts
+    kept = _within_budget(counts.where(~F.col("excluded")).select("repo_id", "path_str", okey, "_budget", "_u"), okey)
+    texts = kept.select("repo_id", "path_str", okey).join(t.select("repo_id", "path_str", txt.alias("_txt")), ["repo_id", "path_str"])
+    return texts.groupBy("repo_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(okey, "_txt"))),
                                  lambda s: s["_txt"]), sep).alias("body"))
 
 
@@ -156,10 +163,8 @@ def ctx_file_names(tree: DataFrame, repos: DataFrame, max_tokens: int, use_promp
     prefix, suffix = prompt_parts("file_names", F.col("project_name"), use_prompt)
     r = r.select("repo_id", prefix.alias("_pre"), suffix.alias("_suf"))
     r = r.withColumn("_budget", _budget(F.col("_pre"), F.col("_suf"), max_tokens))
-    w = Window.partitionBy("repo_id").orderBy(order_col(order)).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.join(r.select("repo_id", "_budget"), "repo_id").withColumn("_u", T.token_count("name"))
-    t = t.withColumn("_before", F.coalesce(F.sum("_u").over(w), F.lit(0))).where(F.col("_before") < F.col("_budget"))
-    body = t.groupBy("repo_id").agg(
+    units = t.join(r.select("repo_id", "_budget"), "repo_id").select("repo_id", "name", order_col(order), "_budget", T.token_count("name").alias("_u"))
+    body = _within_budget(units, order_col(order)).groupBy("repo_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col(order), "name"))),
                                  lambda s: s["name"]), " ").alias("body"))
     j = r.join(body, "repo_id", "left")
@@ -174,14 +179,23 @@ def ctx_dummy(repos: DataFrame) -> DataFrame:
 
 def ctx_fallback(tree: DataFrame, repos: DataFrame, scores: DataFrame, max_tokens: int,
                  use_prompt: bool = False, order: str = "hash") -> DataFrame:
-    """Entrypoint -> random_file -> file_names, with the source used."""
-    e = ctx_entrypoint(tree, repos, scores, max_tokens, use_prompt, order).withColumnRenamed("context", "c_e")
-    r = ctx_random_file(tree, repos, max_tokens, use_prompt, order).withColumnRenamed("context", "c_r")
-    f = ctx_file_names(tree, repos, max_tokens, use_prompt, order).withColumnRenamed("context", "c_f")
-    j = repos.select("repo_id").join(e, "repo_id", "left").join(r, "repo_id", "left").join(f, "repo_id", "left")
-    src = (F.when(F.col("c_e").isNotNull(), "entrypoint").when(F.col("c_r").isNotNull(), "random_file")
-           .otherwise("file_names"))
-    return j.select("repo_id", F.coalesce("c_e", "c_r", "c_f").alias("context"), src.alias("source"))
+    """Entrypoint -> random_file -> file_names, with the source used. Which
+    of them a repository gets is decided on names and flags; each context is
+    built for the repositories that take it."""
+    python = ~F.col("excluded") & (T.python_base_name("name") != "")
+    scored = scores.select("repo_id").join(tree.select("repo_id").distinct(), "repo_id", "left_semi").distinct()
+    source = (repos.select("repo_id").join(scored.withColumn("_e", F.lit(True)), "repo_id", "left")
+              .join(tree.where(python).select("repo_id").distinct().withColumn("_r", F.lit(True)), "repo_id", "left")
+              .select("repo_id", F.when(F.col("_e"), "entrypoint").when(F.col("_r"), "random_file").otherwise("file_names").alias("source")))
+
+    def part(kind: str, build) -> DataFrame:
+        chosen = source.where(F.col("source") == kind)
+        of = lambda df: df.join(chosen.select("repo_id"), "repo_id", "left_semi")
+        return chosen.join(build(of(tree), of(repos)), "repo_id", "left").select("repo_id", "context", "source")
+
+    return (part("entrypoint", lambda t, r: ctx_entrypoint(t, r, scores, max_tokens, use_prompt, order))
+            .unionByName(part("random_file", lambda t, r: ctx_random_file(t, r, max_tokens, use_prompt, order)))
+            .unionByName(part("file_names", lambda t, r: ctx_file_names(t, r, max_tokens, use_prompt, order))))
 
 
 CREATORS = {

@@ -177,8 +177,18 @@ def filename_features(pyfiles: DataFrame, repos: DataFrame) -> DataFrame:
 
 def path_mentions(pyfiles: DataFrame, readmes: DataFrame) -> DataFrame:
     """Python files whose '/'-joined path occurs in the README text.
-    Equi-join on repo_id (one README per repo), substring test per file."""
-    r = readmes.select("repo_id", F.col("content").alias("readme"))
-    return (pyfiles.join(r, "repo_id")
-            .where(F.col("readme").contains(F.col("path_str")))
-            .select("repo_id", "path_str"))
+
+    A path ends where ``.py``, ``.pyc`` or ``.pyx`` does, so the only substrings
+    that can be one end there and have the length of a path of the repository.
+    Those are joined on (repo_id, path): the README is read once, whatever the
+    number of files, and is copied to none."""
+    lengths = pyfiles.groupBy("repo_id").agg(F.collect_set(F.length("path_str")).alias("lengths"))
+    r = readmes.select("repo_id", F.split("content", "").alias("c")).join(lengths, "repo_id")
+    at = lambda i: F.get(F.col("c"), i)
+    ends = F.filter(F.sequence(F.lit(3), F.greatest(F.size("c"), F.lit(3))),
+                    lambda e: (at(e - 1) == "y") & (at(e - 2) == "p") & (at(e - 3) == "."))
+    ends = F.flatten(F.transform(ends, lambda e: F.when(at(e).isin("c", "x"), F.array(e, e + 1)).otherwise(F.array(e))))
+    pieces = F.flatten(F.transform(ends, lambda e: F.transform(
+        F.filter("lengths", lambda n: n <= e), lambda n: F.array_join(F.slice("c", e - n + 1, n), ""))))
+    found = r.select("repo_id", F.explode(F.array_distinct(pieces)).alias("path_str"))
+    return pyfiles.select("repo_id", "path_str").join(found, ["repo_id", "path_str"], "left_semi")
