@@ -32,6 +32,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ from reposcope.llm.shingles import mix, word_hashes
 
 ORDER = 3
 HELD_OUT_MOD = 10
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 ADD = 0.1
 ROUNDS, STILL = 200, 1e-7
@@ -53,10 +54,19 @@ START, STOP = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _PLACE = np.random.default_rng(5).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values, and the place of each value among them."""
+    codes, kinds = pd.factorize(x)
+    order = np.argsort(kinds)
+    place = np.empty(len(kinds), dtype=np.int64)
+    place[order] = np.arange(len(kinds))
+    return kinds[order], place[codes]
+
+
 class Batch:
-    """Tokens of a batch end to end, and per order its distinct n-grams."""
+    """Tokens of a batch end to end, and for the orders from ``least`` its distinct n-grams."""
 
-    def __init__(self, rows: pa.Table, order: int):
+    def __init__(self, rows: pa.Table, order: int, least: int = 1):
         texts = [(x or "").encode("utf-8", "surrogatepass").lower() for x in rows.column("text").to_pylist()]
         self.held = np.array(rows.column("held").to_pylist(), dtype=bool)
         parts, lo = [], 0
@@ -79,11 +89,9 @@ class Batch:
         self.tokens[inner] = words
         self.owner = np.repeat(np.arange(len(texts)), self.size)
         self.place = np.arange(len(self.tokens)) - self.begin[self.owner]
-        self.grams, self.index = [], []
-        for n in range(1, order + 1):
-            grams, index = np.unique(self._ending(n), return_inverse=True)
-            self.grams.append(grams)
-            self.index.append(index)
+        self.least, self.grams, self.index = least, [None] * order, [None] * order
+        for n in range(least, order + 1):
+            self.grams[n - 1], self.index[n - 1] = distinct(self._ending(n))
 
     def _at(self, n: int) -> np.ndarray:
         """Positions where an n-gram ends; those of order 1 include the starts, as contexts."""
@@ -131,12 +139,17 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def _pack(x: np.ndarray) -> bytes:
-    x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-    return x.dtype.char.encode() + zlib.compress(x.tobytes(), 1)
+    """Counts, most of them small: a byte each, those from 255 on spelled out."""
+    large = np.flatnonzero(x >= 255)
+    small = zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1)
+    return len(small).to_bytes(4, "little") + small + zlib.compress(x[large].astype("<i8").tobytes(), 1)
 
 
-def _unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x[1:]), x[:1].decode()).astype(np.int64)
+def _unpack(blob: bytes) -> np.ndarray:
+    size = int.from_bytes(blob[:4], "little")
+    x = np.frombuffer(zlib.decompress(blob[4 : 4 + size]), np.uint8).astype(np.int64)
+    x[x == 255] = np.frombuffer(zlib.decompress(blob[4 + size :]), "<i8")
+    return x
 
 
 _COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("batch", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
@@ -174,7 +187,7 @@ def _counting_longer(n: int, buckets: int):
     """Counts of the n-grams that other batches may hold too."""
 
     def run(key, rows, told):
-        batch = Batch(rows, n)
+        batch = Batch(rows, n, 2)
         _, elsewhere = _totals(batch, told, n - 1, buckets)
         return _table(_sent(batch, key[0].as_py(), n, batch.shared(n, elsewhere), buckets), _COUNTS)
 
@@ -200,12 +213,12 @@ def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _totals(batch: Batch, told: pa.Table, order: int, buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per order the total of each distinct n-gram, as told, or the batch's own count if it was not sent;
-    and which of the last order other batches sent too."""
+    """Per order of the batch the total of each distinct n-gram, as told, or the batch's own count if it was
+    not sent; and which of the last order other batches sent too."""
     got = {(b, n): x for b, n, x in zip(*(told.column(c).to_pylist() for c in ("bucket", "n", "totals")))}
     out: list[np.ndarray] = []
     elsewhere = np.empty(0, dtype=bool)
-    for n in range(1, order + 1):
+    for n in range(batch.least, order + 1):
         which = np.flatnonzero(batch.shared(n, elsewhere))
         totals, elsewhere = batch.counts(n).astype(np.int64), np.zeros(len(batch.grams[n - 1]), dtype=bool)
         for b, at in by_bucket(batch.grams[n - 1][which], buckets):
@@ -376,7 +389,7 @@ def score(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, b
     sums = summed(by_batch.applyInArrow(_counting(whole, buckets), _sql(_COUNTS)), list(range(1, whole + 1)))
     totals = sums.filter("batch >= 0")
     for n in range(3, order + 1):
-        longer = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_counting_longer(n, buckets), _sql(_COUNTS))
+        longer = by_batch.cogroup(totals.filter("n > 1").groupBy("batch")).applyInArrow(_counting_longer(n, buckets), _sql(_COUNTS))
         totals = totals.union(summed(longer, [n]))
     cells = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_cells(order, buckets), _sql(_CELLS))
     corpus = sums.filter("batch < 0").select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("cell"), F.col("tokens").alias("n")), F.struct(F.lit(-2).cast("long").alias("cell"), F.col("kinds").alias("n")))).alias("x")).select("x.cell", "x.n")

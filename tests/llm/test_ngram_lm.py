@@ -174,6 +174,11 @@ def test_only_shared_trigrams_are_sent():
         assert sent[elsewhere].all() and sent.mean() < 0.4
 
 
+def test_packed_counts():
+    for x in ([], [0, 1, 254, 255, 256, 1 << 40, 3], [7] * 1000):
+        assert q._unpack(q._pack(np.array(x, dtype=np.int64))).tolist() == x
+
+
 def test_model_beats_base_on_held_out(spark):
     rows = q.op2(spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
     assert rows.score.sum() > rows.base_score.sum() * 0.99
