@@ -288,7 +288,13 @@ def readme_reasons(spark, sf):
     r = readmes(spark, sf)
     raw = r.select("repo_id", F.substring(M.markdown_text("content", P.RAW_TEXT_MAX_SPANS), 1,
                                           P.README_LANG_CHARS).alias("raw"))
-    return FL.readme_gate(repos(spark, sf), r, M.detect_language(raw, "repo_id", "raw", *_lang_model(spark, sf)))
+    return FL.readme_gate(repos(spark, sf), r, language_detector(spark, sf)(raw))
+
+
+def language_detector(spark, sf):
+    """T6 with the trained model, on (repo_id, raw)."""
+    model = _lang_model(spark, sf)
+    return lambda raw: M.detect_language(raw, "repo_id", "raw", *model)
 
 
 @query("readme_gate", duck(README_GATE + "\nSELECT repo_id, reason FROM rgate"))

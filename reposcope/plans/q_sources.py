@@ -6,11 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from reposcope.functions import patterns as P
 from reposcope.operators import context as CX
 from reposcope.plans.catalog import duck, gated_tree, query, readmes, repos, setups, tree
 from reposcope.plans.q_context import _HORDER, _RANDOM_FIRST, _single_duck
-from reposcope.plans.q_eval import README_GATE, readme_reasons
+from reposcope.plans.q_eval import README_GATE, language_detector, readme_reasons
 from reposcope.plans.q_report import RESPONSES, response_columns
 from reposcope.session import ensure_checkpoint_dir
 from reposcope.sources import jsonl
@@ -69,20 +68,18 @@ def _attach_meta(spark, sf):
     return jsonl.attach_meta(flat, meta)
 
 
-@query("stream_ingest", duck(f"""
-SELECT r.full_name, count(*) AS n_files FROM tree t JOIN repos r ON t.repo_id = r.repo_id
-WHERE t.repo_id IN (
-  SELECT repo_id FROM tree GROUP BY repo_id
-  HAVING count(*) > 0 AND count(*) <= {P.MAX_REPO_FILES}
-     AND count_if(regexp_extract(name, '^([a-zA-Z_0-9]+)\\.py[cx]?$', 1) <> '' AND NOT excluded) > 0)
-GROUP BY r.full_name"""))
+@query("stream_ingest", duck(README_GATE + """
+SELECT r.full_name, count(*) AS n_files FROM tree_ok t JOIN repos r ON t.repo_id = r.repo_id
+WHERE t.repo_id IN (SELECT repo_id FROM rgate WHERE reason = 'ok') GROUP BY r.full_name"""))
 def _stream_ingest(spark, sf):
-    """ST1: dataset JSONL as a file stream, run twice (the rerun adds nothing)."""
-    src = _write_dataset(spark, sf)
+    """ST1: the records of all repositories, gated or not, as a file stream, run
+    twice (the rerun adds nothing); the stream's gates choose."""
+    src = _run_dir(spark, "records")
+    jsonl.write_dataset(jsonl.dataset_records(tree(spark, sf), readmes(spark, sf), setups(spark, sf), repos(spark, sf)), src)
     run = _run_dir(spark, "ingest")
     sink, ckpt = run + "/sink", run + "/checkpoint"
-    ST.run_ingest(spark, src, sink, ckpt)
-    ST.run_ingest(spark, src, sink, ckpt)
+    for _ in range(2):
+        ST.run_ingest(spark, src, sink, ckpt, detector=language_detector(spark, sf))
     return spark.read.parquet(sink).groupBy("full_name").agg(F.count(F.lit(1)).alias("n_files"))
 
 

@@ -4,45 +4,64 @@ Both run as Structured Streaming file-source queries with a checkpoint and
 ``trigger(availableNow=True)``. Each micro-batch writes its output into its
 own ``epoch=<id>`` folder with overwrite, so a replayed batch (after an
 executor or driver failure) replaces its own output instead of duplicating
-it; an anti-join against earlier epochs keeps every key exactly once.
+it. The ingest is two streams: the first parses records and puts them through
+both gates, the second keeps the first accepted record of each repository, by
+keyed state, and flattens it. No table of earlier names is read again.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reposcope.functions import patterns as P
 from reposcope.operators import filters as FL
+from reposcope.operators import metrics as M
 from reposcope.sources import jsonl
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def ingest_batch(batch: DataFrame, epoch: int, sink: str) -> None:
-    """Drop repositories that an earlier batch took in and repeats within the
-    batch, then flatten, gate (P10) and append. Which repositories are in is
-    read from a table of their names beside the sink, not from the files."""
-    spark = batch.sparkSession
-    names = sink.rstrip("/") + "_names"
+#: detects languages: (repo_id, raw) -> (repo_id, pred_lang)
+Detector = Callable[[DataFrame], DataFrame]
+GATED_SCHEMA = "full_name string, value string"
+
+
+def judged(lines: DataFrame, detector: Detector | None = None) -> DataFrame:
+    """(full_name, value, reason) per distinct record with a name: the reason of
+    the repository gate (P10) if it rejects, else that of the README gate (P11;
+    left out without a ``detector``). Records are judged one by one, also those
+    that share a name."""
+    parsed = lines.select("value", F.from_json("value", jsonl.RECORD_SCHEMA).alias("r")).where("r.meta.full_name IS NOT NULL")
+    recs = parsed.select("value", F.sha2("value", 256).alias("repo_id"), "r.*").dropDuplicates(["repo_id"])
+    files = jsonl.flatten_tree(recs.select("repo", F.struct(F.col("repo_id").alias("full_name")).alias("meta")))
+    reasons = FL.repo_gate(files.withColumnRenamed("full_name", "repo_id"), repos=recs).select("repo_id", F.col("reason").alias("files_reason"))
+    out = recs.select("repo_id", F.col("meta.full_name").alias("full_name"), "value").join(reasons, "repo_id")
+    reason = F.col("files_reason")
+    if detector is not None:
+        readme = F.from_json(F.get("references", F.lit(0)), "struct<name:string, excluded:boolean, content:string>")
+        readmes = recs.select("repo_id", readme.alias("f")).where("f.name IS NOT NULL").select("repo_id", "f.*")
+        raw = F.substring(M.markdown_text("content", P.RAW_TEXT_MAX_SPANS), 1, P.README_LANG_CHARS)
+        gate = FL.readme_gate(recs, readmes, detector(readmes.select("repo_id", raw.alias("raw"))))
+        out = out.join(gate.select("repo_id", F.col("reason").alias("readme_reason")), "repo_id")
+        reason = F.when(reason != "ok", reason).otherwise(F.col("readme_reason"))
+    return out.select("full_name", "value", reason.alias("reason"))
+
+
+def gate_batch(batch: DataFrame, epoch: int, work: str, detector: Detector | None = None) -> None:
+    """Accepted records under ``gated``, the names and reasons of the others under ``rejected``."""
+    rows = judged(batch, detector)
+    folder = os.path.join(work, "judged", f"epoch={epoch}")
+    rows.write.mode("overwrite").parquet(folder)
+    rows = batch.sparkSession.read.parquet(folder)
+    rows.where("reason <> 'ok'").select("full_name", "reason").write.mode("overwrite").parquet(os.path.join(work, "rejected", f"epoch={epoch}"))
+    rows.where("reason = 'ok'").select("full_name", "value").write.mode("overwrite").parquet(os.path.join(work, "gated", f"epoch={epoch}"))
+
+
+def store_batch(batch: DataFrame, epoch: int, sink: str) -> None:
+    """Files of the repositories that are new: state has dropped the rest."""
     recs = batch.select(F.from_json("value", jsonl.RECORD_SCHEMA).alias("r")).select("r.*")
-    recs = recs.withColumn("_name", F.col("meta.full_name")).where(F.col("_name").isNotNull())
-    if _exists(spark, names):
-        earlier = spark.read.parquet(names).where(F.col("epoch") != epoch).select("_name").distinct()
-        recs = recs.join(earlier, "_name", "left_anti")
-    recs = recs.dropDuplicates(["_name"]).drop("_name")
-    files = jsonl.flatten_tree(recs)
-    gate = FL.repo_gate(files.withColumnRenamed("full_name", "repo_id")).withColumnRenamed("repo_id", "full_name")
-    ok = gate.where(F.col("reason") == "ok").select("full_name")
-    new = files.join(ok, "full_name", "left_semi")
-    new.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch}"))
-    # names come last: a batch that is cut off before is replayed in full
-    (spark.read.parquet(os.path.join(sink, f"epoch={epoch}")).select(F.col("full_name").alias("_name")).distinct()
-     .write.mode("overwrite").parquet(os.path.join(names, f"epoch={epoch}")))
+    jsonl.flatten_tree(recs).write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch}"))
 
 
 def _rated(reader, max_files_per_trigger: int | None):
@@ -50,13 +69,23 @@ def _rated(reader, max_files_per_trigger: int | None):
     return reader if max_files_per_trigger is None else reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
 
+def _drain(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()).awaitTermination()
+
+
 def run_ingest(spark: SparkSession, source_dir: str, sink: str, checkpoint: str,
-               max_files_per_trigger: int | None = None) -> None:
-    """ST1: process every JSONL file under ``source_dir`` not seen before."""
-    stream = _rated(spark.readStream.schema("value string"), max_files_per_trigger).text(source_dir)
-    q = (stream.writeStream.foreachBatch(lambda df, eid: ingest_batch(df, eid, sink))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+               max_files_per_trigger: int | None = None, detector: Detector | None = None) -> str:
+    """ST1: process every JSONL file under ``source_dir`` not seen before. What
+    the gates let through and what they reject lies in the returned folder,
+    beside the sink. The state of the second stream holds names alone."""
+    work = sink.rstrip("/") + "_work"
+    lines = _rated(spark.readStream.schema("value string"), max_files_per_trigger).text(source_dir)
+    _drain(lines, lambda df, epoch: gate_batch(df, epoch, work, detector), os.path.join(checkpoint, "gate"))
+    gated = os.path.join(work, "gated")
+    spark.createDataFrame([], GATED_SCHEMA).write.mode("ignore").parquet(os.path.join(gated, "epoch=-1"))
+    accepted = spark.readStream.schema(GATED_SCHEMA).parquet(gated).select("full_name", "value").dropDuplicates(["full_name"])
+    _drain(accepted, lambda df, epoch: store_batch(df, epoch, sink), os.path.join(checkpoint, "store"))
+    return work
 
 
 REQUEST_SCHEMA = "repo_id bigint, prompt string, model string"
@@ -73,7 +102,4 @@ def run_requests(spark: SparkSession, source_dir: str, sink: str, checkpoint: st
         out = RP.responses(df, contexts, generate=generate)
         out.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch}"))
 
-    stream = _rated(spark.readStream.schema(REQUEST_SCHEMA), max_files_per_trigger).json(source_dir)
-    q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(_rated(spark.readStream.schema(REQUEST_SCHEMA), max_files_per_trigger).json(source_dir), batch, checkpoint)

@@ -1,6 +1,7 @@
 """Splits, JSONL round trip, streaming ingest and scans."""
 
 import io
+import json
 import os
 import tempfile
 import zipfile
@@ -69,6 +70,54 @@ def test_stream_rerun_adds_nothing(spark):
     assert n1 == n2 == 5
 
 
+def _record(name, files, readme=("README.md", False, "word " * 2000), tag=""):
+    kids = [{"name": n, "excluded": x, "content": None if x else tag + "pass"} for n, x in files]
+    ref = [json.dumps(dict(zip(("name", "excluded", "content"), readme)))] if readme else []
+    refs = ",".join(ref)
+    tree = json.dumps({"name": "repo", "children": kids})
+    return f'{{"repo":{tree},"references":[{refs}],"setuppy":null,"removed_files":[],"meta":{json.dumps({"full_name": name, "name": name})}}}'
+
+
+def _put(folder, name, lines):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write("".join(x + "\n" for x in lines))
+
+
+def test_ingest_gates_repeats_and_replays(spark):
+    base = tempfile.mkdtemp(prefix="rs-ingest-")
+    src, sink, ckpt = (f"{base}/{x}" for x in ("src", "sink", "ckpt"))
+    detector = lambda raw: raw.select("repo_id", F.when(F.col("raw").contains("mot"), "fr").otherwise("en").alias("pred_lang"))
+    py = [("main.py", False), ("b.txt", False)]
+    _put(src, "1.json", [
+        _record("u/good", py), _record("u/good", py), _record("u/good", py, tag="x"), _record("u/nopython", [("a.txt", False)]), _record("u/empty", []),
+        _record("u/excluded", [("main.py", True)]), _record("u/noreadme", py, None), _record("u/short", py, ("README.md", False, "few")),
+        _record("u/french", py, ("README.md", False, "mot " * 2000)), _record("u/rst", py, ("README.rst", False, "word " * 2000)), "no json", "{}"])
+    run = lambda: ST.run_ingest(spark, src, sink, ckpt, detector=detector)
+    stored = lambda: sorted((r.full_name, r.path_str) for r in spark.read.parquet(sink).collect())
+    work = run()
+    assert stored() == [("u/good", "b.txt"), ("u/good", "main.py")]
+    rejected = {(r.full_name, r.reason) for r in spark.read.parquet(f"{work}/rejected").collect()}
+    assert rejected == {("u/nopython", "no_python_file"), ("u/empty", "no_files"), ("u/excluded", "no_python_file"), ("u/noreadme", "missing"),
+                        ("u/short", "too_short"), ("u/french", "not_english"), ("u/rst", "not_markdown")}
+    run()
+    assert len(stored()) == 2
+    # a late repeat adds nothing; a repository that was rejected before may come again and pass
+    _put(src, "2.json", [_record("u/good", py, tag="late"), _record("u/short", py), _record("u/new", py)])
+    run()
+    want = sorted((n, p) for n in ("u/good", "u/short", "u/new") for p in ("main.py", "b.txt"))
+    assert stored() == want
+    # the last batches of both streams are replayed, as after a failure between output and commit
+    for stream in ("gate", "store"):
+        commits = f"{ckpt}/{stream}/commits"
+        last = max(int(x) for x in os.listdir(commits) if x.isdigit())
+        for name in (str(last), f".{last}.crc"):
+            if os.path.exists(f"{commits}/{name}"):
+                os.remove(f"{commits}/{name}")
+    run()
+    assert stored() == want
+
+
 def test_scan_files(spark):
     root = tempfile.mkdtemp(prefix="rs-scan-")
     files = {"r1/main.py": b"print(1)\n", "r1/pkg/__init__.py": b"", "r1/pkg/__pycache__/x.pyc": b"\x00\x01",
