@@ -14,7 +14,7 @@ contexts count one less. Rows that are held out take no part in it; they only as
    token less in it were sent by others. All others are complete as they are. So most trigrams,
    which occur in one batch, are never sent.
 4. Batches sum up their training tokens in cells: the context's bucket and the estimates on a
-   logarithmic grid (quarter powers of two, which makes the weights approximate). The cells, of
+   logarithmic grid (half powers of two, which makes the weights approximate). The cells, of
    bounded number at any size of the corpus, are what EM runs on.
 5. Each batch scores its documents with the totals and the weights.
 
@@ -47,7 +47,7 @@ BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 ADD = 0.1
 ROUNDS, STILL = 200, 1e-7
-GRID = 4  # steps of the estimates' grid per power of two
+GRID = 2  # steps of the estimates' grid per power of two
 BUCKETS = 40  # of a context's count: 0, 1, 2-3, 4-7 ...
 
 START, STOP = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
@@ -385,18 +385,22 @@ def score(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, b
         dealt = counts.repartitionById(max(parts, buckets * len(orders)), place).sortWithinPartitions("bucket", "n", "batch")
         return dealt.mapInArrow(_summing, _sql(_TOTALS))
 
+    def by(df: DataFrame) -> DataFrame:
+        """Dealt by batch once; a union of such tables needs no further exchange."""
+        return df.repartition(parts, "batch")
+
     whole = min(order, 2)
     sums = summed(by_batch.applyInArrow(_counting(whole, buckets), _sql(_COUNTS)), list(range(1, whole + 1)))
-    totals = sums.filter("batch >= 0")
+    totals = by(sums.filter("batch >= 0"))
     for n in range(3, order + 1):
         longer = by_batch.cogroup(totals.filter("n > 1").groupBy("batch")).applyInArrow(_counting_longer(n, buckets), _sql(_COUNTS))
-        totals = totals.union(summed(longer, [n]))
+        totals = totals.union(by(summed(longer, [n])))
     cells = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_cells(order, buckets), _sql(_CELLS))
     corpus = sums.filter("batch < 0").select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("cell"), F.col("tokens").alias("n")), F.struct(F.lit(-2).cast("long").alias("cell"), F.col("kinds").alias("n")))).alias("x")).select("x.cell", "x.n")
     grid = cells.union(corpus).groupBy("cell").agg(F.sum("n").alias("n"))
     model = grid.groupBy(F.lit(0).alias("all")).applyInArrow(lambda rows: _learning(order)(rows.select(["cell", "n"])), _sql(_TOTALS))
     every = model.select(F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), "bucket", "n", "totals", "tokens", "kinds")
-    return by_batch.cogroup(totals.union(every).groupBy("batch")).applyInArrow(_scoring(order, buckets), _SCORES)
+    return by_batch.cogroup(totals.union(by(every)).groupBy("batch")).applyInArrow(_scoring(order, buckets), _SCORES)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def alike(got, want):
 
 
 def plain_em(rows, order):
-    """Weights from the training tokens, one by one, each without itself; shares on quarter powers of two."""
+    """Weights from the training tokens, one by one, each without itself; shares on the grid of powers of two."""
     count, seen = {}, []
     for d, t in rows:
         if not held(d):
@@ -113,7 +113,7 @@ def plain_em(rows, order):
                     seen.append((ws, i))
     uni = {g: c for g, c in count.items() if len(g) == 1 and g != ("<s>",)}
     n_all, kinds = sum(uni.values()), len(uni)
-    grid = lambda x: 2.0 ** (round(math.log2(x) * 4) / 4)
+    grid = lambda x: 2.0 ** (round(math.log2(x) * q.GRID) / q.GRID)
     bucket = lambda c: math.floor(math.log2(c)) + 1 if c else 0
     facts = {}
     for ws, i in seen:
