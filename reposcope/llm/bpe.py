@@ -1,9 +1,11 @@
 """Byte-level BPE by a pair occurrence index.
 
-Per Arrow batch the distinct pre-tokens that the task has not met before are laid end to end. An
-index maps the rank of every mergeable pair to all its positions there; the active ranks are
+Per slice of bounded bytes the distinct pre-tokens that the task has not met before are laid end to
+end. An index maps the rank of every mergeable pair to all its positions there; the active ranks are
 applied in ascending order from a heap, and each merge updates the lists of the two pairs that it
-makes. Texts are then gathered from the encoded pre-tokens with numpy.
+makes. All positions of a rank are merged at once with numpy; a vocabulary in which a merge can make
+a pair of lower rank takes them one by one. Texts are then gathered from the encoded pre-tokens, and
+decoded bytes from one flat table of the tokens, with numpy.
 
 Cases: a null text counts as empty and gives no tokens; the vocabulary's added tokens are found
 in the text first and become their own ids; rows are independent, so repeated rows and ids, empty
@@ -26,10 +28,24 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reposcope.llm.common import text_slices
+
 #: fixed value: the pre-token pattern of byte-level vocabularies
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: pre-tokens that a task remembers before it starts afresh
 REMEMBERED = 400_000
+SLICE_BYTES = 8 << 20
+#: below this code point all characters are in every edition of Unicode; they have a pattern of their own
+LATIN = 0x250
+
+
+def latin_pattern() -> str:
+    """``PRETOKEN`` for texts of characters below ``LATIN``, with its classes spelled out."""
+    kinds = {c: unicodedata.category(chr(c))[0] for c in range(LATIN)}
+    of = lambda wanted: "".join(re.escape(chr(c)) for c in range(LATIN) if wanted(c))
+    letters, numbers = of(lambda c: kinds[c] == "L"), of(lambda c: kinds[c] == "N")
+    spaces = of(lambda c: c in (*range(9, 14), 32, 0x85, 0xA0))
+    return (f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
 
 
 def newer_letters() -> str:
@@ -107,6 +123,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.findall = regex.compile(PRETOKEN).findall
+        self.latin = re.compile(latin_pattern()).findall
+        self.beyond = re.compile(f"[{chr(LATIN)}-\U0010ffff]").search
         self.newer = re.compile(f"[{vocabulary.newer}]").search if vocabulary.newer else lambda _: None
         self.size = len(vocabulary.tokens)
         self.by_rank = {rank: (pair // self.size, pair % self.size, new) for pair, (rank, new) in vocabulary.ranks.items()}
@@ -117,6 +135,7 @@ class Encoder:
             if a in byte and b in byte:
                 self.pairs[byte[a], byte[b]] = rank
         self.none = none
+        self.index = PairIndex(vocabulary.ranks, self.size)
         special = "|".join(regex.escape(t) for t, _ in vocabulary.added)
         self.special = regex.compile(f"({special})").split if special else None
         self.special_id = dict(vocabulary.added)
@@ -128,6 +147,8 @@ class Encoder:
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens; where the pattern engines may differ, as the library's own engine cuts them."""
+        if text.isascii() or self.beyond(text) is None:
+            return self.latin(text)
         if self.newer(text) is None:
             return self.findall(text)
         from tokenizers.pre_tokenizers import ByteLevel
@@ -173,8 +194,12 @@ class Encoder:
         at = np.flatnonzero(rank < self.none)
         at = at[np.argsort(rank[at], kind="stable")]
         ranks, begin = np.unique(rank[at], return_index=True)
-        where = dict(zip(ranks.tolist(), [x.tolist() for x in np.split(at, begin[1:])])) if len(at) else {}
-        out = np.array(_merge(symbols.tolist(), where, self.by_rank, self.v.ranks, self.size), dtype=np.int64)
+        where = dict(zip(ranks.tolist(), np.split(at, begin[1:]))) if len(at) else {}
+        if self.index.ascending:
+            out = self.index.merge(symbols, where)
+        else:
+            lists = {k: x.tolist() for k, x in where.items()}
+            out = np.array(_merge(symbols.tolist(), lists, self.by_rank, self.v.ranks, self.size), dtype=np.int64)
         special = out <= -2
         special &= ~inside  # a dead slot inside a piece also holds a negative value
         ids = np.where(special, -2 - out, out)
@@ -183,6 +208,75 @@ class Encoder:
         return ids[keep].astype(np.uint32), counts.astype(np.int64)
 
 
+class PairIndex:
+    """Ranks of pairs, looked up for many pairs at a time."""
+
+    def __init__(self, ranks: dict[int, tuple[int, int]], size: int):
+        self.size = size
+        self.keys = np.array(sorted(ranks), dtype=np.int64)
+        self.rank = np.array([ranks[k][0] for k in self.keys.tolist()], dtype=np.int64)
+        self.by_rank = {r: (k // size, k % size, new) for k, (r, new) in ranks.items()}
+        made = np.full(size, -1, dtype=np.int64)  # the first merge that makes a token
+        for r, (_, _, new) in sorted(self.by_rank.items(), reverse=True):
+            made[new] = r
+        left, right = (self.keys // size, self.keys % size) if len(self.keys) else (self.keys, self.keys)
+        #: no merge makes a pair of its own or a lower rank, so ranks come up in ascending order
+        self.ascending = bool((self.rank > np.maximum(made[left], made[right])).all()) and len(self.by_rank) == len({n for _, _, n in self.by_rank.values()})
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; -1 for none, or where a symbol is no token."""
+        if not len(self.keys):
+            return np.full(len(left), -1, dtype=np.int64)
+        key = left * self.size + right
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[i] == key) & (left >= 0) & (right >= 0), self.rank[i], -1)
+
+    def merge(self, sym: np.ndarray, where: dict[int, np.ndarray]) -> np.ndarray:
+        """Applies the ranks of the index in ascending order; slots that are merged away get -1."""
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        lists = {r: [x] for r, x in where.items()}
+        heap = list(lists)
+        heapq.heapify(heap)
+        while heap:
+            rank = heapq.heappop(heap)
+            left, right, new = self.by_rank[rank]
+            parts = lists.pop(rank)
+            i = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+            i = i[sym[i] == left]
+            j = after[i]
+            # the last slot closes a piece, so every token has a slot after it
+            fits = sym[j] == right
+            i, j = i[fits], j[fits]
+            if left == right and len(i) > 1:  # in a row of equal tokens every other pair is taken
+                chained = np.concatenate([[False], i[1:] == j[:-1]])
+                run = np.maximum.accumulate(np.where(chained, 0, np.arange(len(i))))
+                take = (np.arange(len(i)) - run) % 2 == 0
+                i, j = i[take], j[take]
+            if not len(i):
+                continue
+            q = after[j]
+            sym[i], sym[j] = new, -1
+            after[i] = q
+            before[q] = i
+            p = before[i]
+            inner = np.flatnonzero(p >= 0)
+            at = np.concatenate([i, p[inner]])
+            found = self.ranks_of(sym[at], np.concatenate([sym[q], sym[i[inner]]]))
+            at, found = at[found >= 0], found[found >= 0]
+            if len(at):
+                order = np.argsort(found, kind="stable")
+                at, found = at[order], found[order]
+                cuts = np.flatnonzero(np.diff(found)) + 1
+                for r, x in zip(found[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts)):
+                    if r in lists:
+                        lists[r].append(x)
+                    else:
+                        lists[r] = [x]
+                        heapq.heappush(heap, r)
+        return sym
+
+
 def _merge(sym: list[int], where: dict[int, list[int]], by_rank: dict, ranks: dict, size: int) -> list[int]:
     """Applies the ranks of the index in ascending order to the symbols; merged-away slots get -1."""
     n = len(sym)
@@ -242,28 +336,37 @@ def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def encoding(vocabulary: Vocabulary, slice_rows: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def encoding(vocabulary: Vocabulary, slice_bytes: int = SLICE_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for whole in batches:
-            for at in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(at, slice_rows)
-                ids = encoder.encode(_texts(batch.column(1)))
-                blobs = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), blobs], ["doc_id", "ids"])
+        for batch in text_slices(batches, 1, slice_bytes):
+            ids = encoder.encode(_texts(batch.column(1)))
+            blobs = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), blobs], ["doc_id", "ids"])
 
     return run
 
 
-def decoding(tokens: list[bytes], slice_rows: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Decoder:
+    """The bytes of all tokens end to end."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.length = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def text(self, ids: bytes) -> str:
+        n = np.frombuffer(ids, "<u4")
+        return gather(self.flat, self.start[n], self.length[n]).tobytes().decode("utf-8", "replace")
+
+
+def decoding(tokens: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(tokens)
         for whole in batches:
-            for at in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(at, slice_rows)
-                texts = [
-                    b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace")
-                    for x in batch.column(1).to_pylist()
-                ]
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = [decoder.text(x or b"") for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return run

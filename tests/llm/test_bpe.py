@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import pytest
@@ -47,6 +48,38 @@ def test_forgetting_changes_nothing(library, vocabulary, monkeypatch):
         assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_merging_one_by_one_gives_the_same(library, vocabulary):
+    encoder = bpe.Encoder(vocabulary)
+    assert encoder.index.ascending
+    encoder.index.ascending = False
+    for text, ids in zip(ODD, encoder.encode(ODD)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_lower_rank_may_come_up():
+    """With a merge whose result joins a pair of lower rank the order is kept as well."""
+    size = 4
+    ranks = {0 * size + 1: (1, 2), 2 * size + 1: (0, 3)}
+    assert not bpe.PairIndex(ranks, size).ascending
+    assert bpe.PairIndex({0 * size + 1: (0, 2), 2 * size + 1: (1, 3)}, size).ascending
+
+
+def test_latin_pattern_cuts_like_the_general_one():
+    r = random.Random(3)
+    general, latin = bpe.regex.compile(bpe.PRETOKEN).findall, bpe.re.compile(bpe.latin_pattern()).findall
+    alphabet = [chr(c) for c in range(bpe.LATIN) if not 0x1C <= c <= 0x1F] + list("  's'll\n\t  ab") * 20
+    for _ in range(3000):
+        text = "".join(r.choice(alphabet) for _ in range(r.randrange(30)))
+        assert latin(text) == general(text), repr(text)
+
+
+def test_one_very_long_pretoken(library, vocabulary):
+    text = "".join(random.Random(1).choices("abcdeé", k=300_000))
+    (ids,) = bpe.Encoder(vocabulary).encode([text])
+    assert bpe.Decoder(vocabulary.tokens).text(ids.astype("<u4").tobytes()) == text
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_query_matches_the_library(spark, library):
     rows = bpe.op9(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
