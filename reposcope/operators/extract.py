@@ -102,17 +102,19 @@ def inheritance_counts(pyfiles: DataFrame) -> DataFrame:
 
 def setup_entrypoint_modules(content: Column) -> Column:
     """ARRAY<ARRAY<STRING>> of modules named by ``entry_points`` list
-    members of the form 'name = mod.path:func' (exactly one '=' and one ':')."""
+    members of the form 'name = mod.path:func' (exactly one '=' and one ':'),
+    quoted or not."""
     dicts = F.regexp_extract_all(content, F.lit(P.ENTRY_POINTS_RE), 1)
 
     def lists_of(d):
         return F.regexp_extract_all(d, F.lit(P.LIST_RE), 1)
 
     def members_of(lst):
-        a = F.regexp_extract_all(lst, F.lit(P.QUOTED_RE), 1)
-        b = F.regexp_extract_all(lst, F.lit(P.QUOTED_RE), 2)
-        return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")),
-                           lambda m: F.when(m["a"] != "", m["a"]).otherwise(m["b"]))
+        double, single, plain = (F.regexp_extract_all(lst, F.lit(P.MEMBER_RE), k) for k in (1, 2, 3))
+        # a plain member with a colon before a blank is a mapping, no string
+        plain = F.transform(plain, lambda m: F.when(m.rlike(r":(?:\s|$)"), "").otherwise(F.regexp_replace(m, r"\s+", " ")))
+        return F.transform(F.arrays_zip(double.alias("a"), single.alias("b"), plain.alias("c")),
+                           lambda m: F.concat(m["a"], m["b"], m["c"]))
 
     members = F.flatten(F.transform(F.flatten(F.transform(dicts, lists_of)), members_of))
     eq = F.transform(members, lambda s: F.split(F.trim(s), "="))

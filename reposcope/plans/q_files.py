@@ -333,9 +333,10 @@ def _filename_features(spark, sf):
 _ENTRY_DUCK = f"""
 ep_dicts AS (SELECT repo_id, unnest(regexp_extract_all(content, '{_sq(P.ENTRY_POINTS_RE)}', 1)) AS d FROM setups),
 ep_lists AS (SELECT repo_id, unnest(regexp_extract_all(d, '{_sq(P.LIST_RE)}', 1)) AS l FROM ep_dicts),
-ep_members AS (SELECT repo_id, CASE WHEN a <> '' THEN a ELSE b END AS m FROM (
-    SELECT repo_id, unnest(regexp_extract_all(l, '{_sq(P.QUOTED_RE)}', 1)) AS a,
-           unnest(regexp_extract_all(l, '{_sq(P.QUOTED_RE)}', 2)) AS b FROM ep_lists) s),
+ep_members AS (SELECT repo_id, coalesce(a, '') || coalesce(b, '') || CASE WHEN c IS NULL OR regexp_matches(c, ':(\\s|$)') THEN '' ELSE regexp_replace(c, '\\s+', ' ', 'g') END AS m FROM (
+    SELECT repo_id, unnest(regexp_extract_all(l, '{_sq(P.MEMBER_RE)}', 1)) AS a,
+           unnest(regexp_extract_all(l, '{_sq(P.MEMBER_RE)}', 2)) AS b,
+           unnest(regexp_extract_all(l, '{_sq(P.MEMBER_RE)}', 3)) AS c FROM ep_lists) s),
 ep_eq AS (SELECT repo_id, string_split(trim(m), '=') AS parts FROM ep_members),
 ep_rhs AS (SELECT repo_id, string_split(trim(parts[2]), ':') AS parts FROM ep_eq WHERE len(parts) = 2),
 entry_mods AS (SELECT DISTINCT repo_id, list_transform(string_split(parts[1], '.'), lambda x: trim(x)) AS module

@@ -34,6 +34,17 @@ def test_setup_entrypoints(spark):
     assert _entry_modules(spark, "setup(name='harbour', packages=['harbour.dock'])") == []
 
 
+def test_setup_entrypoints_without_quotes(spark):
+    """Members may be plain, quoted or mixed; comments and mappings are none."""
+    plain = "entry_points = {console_scripts: [dock = harbour.dock:main, crane=harbour.crane:lift], other: [ map =\n harbour.chart:show ]}"
+    assert _entry_modules(spark, plain) == ["harbour.chart", "harbour.crane", "harbour.dock"]
+    mixed = """entry_points={'a': ["one = p.one:f", two = p.two:g,  # three = p.three:h
+        'four = p.four:i', five: p.five, six = p.six: j, seven = p.seven:k],
+        # eight = p.eight:l
+        'b': []}"""
+    assert _entry_modules(spark, mixed) == ["p.four", "p.one", "p.seven", "p.two"]
+
+
 def test_module_exec(spark):
     df = spark.createDataFrame([("first python3 -m harbour.dock --open, then python  -m crane -x",)], "content string")
     got = {".".join(m) for m in df.select(X.module_exec_mentions(F.col("content"))).first()[0]}
