@@ -48,27 +48,27 @@ def text_slices(batches: Iterable[pa.RecordBatch], at: int, limit: int) -> Itera
             yield batch.slice(int(lo), int(hi - lo))
 
 
-def pack_sorted(x: np.ndarray) -> bytes:
-    """Ascending 64-bit values whose lowest bits are much alike, in about six bytes each.
+def pack_sorted(x: np.ndarray, width: int = 8) -> bytes:
+    """Ascending values of ``width`` bytes whose lowest bits are much alike, in about two bytes less each.
 
-    The steps of the upper sixteen bits and the lowest byte compress well, the five bytes between
-    them are noise and stay as they are.
+    The steps of the upper sixteen bits and the lowest byte compress well, the bytes between them are
+    noise and stay as they are.
     """
-    top = np.diff((x >> np.uint64(48)).astype(np.uint16), prepend=np.uint16(0))
+    top = np.diff((x >> np.uint64(8 * width - 16)).astype(np.uint16), prepend=np.uint16(0))
     cells = x.astype("<u8").view(np.uint8).reshape(-1, 8)
     ends = zlib.compress(top.astype("<u2").tobytes() + cells[:, 0].tobytes(), 1)
-    return len(ends).to_bytes(4, "little") + ends + cells[:, 1:6].tobytes()
+    return len(ends).to_bytes(4, "little") + ends + cells[:, 1 : width - 2].tobytes()
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
+def unpack_sorted(blob: bytes, width: int = 8) -> np.ndarray:
     size = int.from_bytes(blob[:4], "little")
-    ends, middle = zlib.decompress(blob[4 : 4 + size]), np.frombuffer(blob, np.uint8, offset=4 + size).reshape(-1, 5)
+    ends, middle = zlib.decompress(blob[4 : 4 + size]), np.frombuffer(blob, np.uint8, offset=4 + size).reshape(-1, width - 3)
     n = len(middle)
     cells = np.zeros((n, 8), dtype=np.uint8)
     cells[:, 0] = np.frombuffer(ends, np.uint8, offset=2 * n)
-    cells[:, 1:6] = middle
-    top = np.cumsum(np.frombuffer(ends, "<u2", n), dtype=np.uint64) << np.uint64(48)
-    return cells.reshape(-1).view("<u8").astype(np.uint64) | top
+    cells[:, 1 : width - 2] = middle
+    top = np.cumsum(np.frombuffer(ends, "<u2", n), dtype=np.uint64) & np.uint64(0xFFFF)
+    return cells.reshape(-1).view("<u8").astype(np.uint64) | top << np.uint64(8 * width - 16)
 
 
 def crc_mod(key: Column, m: int) -> Column:

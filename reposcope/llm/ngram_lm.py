@@ -18,7 +18,8 @@ contexts count one less. Rows that are held out take no part in it; they only as
    bounded number at any size of the corpus, are what EM runs on.
 5. Each batch scores its documents with the totals and the weights.
 
-All steps are one plan in which the texts are shuffled once. N-grams are known by 64-bit hashes.
+All steps are one plan in which the texts are shuffled once. Words are known by 64-bit hashes, longer
+n-grams by 56 bits of theirs.
 
 Cases: a null or empty text has the end token alone; without training documents every count and N
 and V are 0 (the base is then log10 of 1 per token, the model's share 1 per token); a null id has
@@ -105,7 +106,7 @@ class Batch:
             out = np.full(len(at), n, dtype=np.uint64)
             for k in range(n):
                 out += self.tokens[at - k] * _PLACE[k]
-            return mix(out)
+            return mix(out) >> np.uint64(8)
 
     def counts(self, n: int) -> np.ndarray:
         """Training count of each distinct n-gram of the batch."""
@@ -170,7 +171,12 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def _sent(batch: Batch, key: int, n: int, which: np.ndarray, buckets: int) -> list[tuple]:
     grams, counts = batch.grams[n - 1][which], batch.counts(n)[which]
-    return [(b, n, key, pack_sorted(grams[at]), _pack(counts[at])) for b, at in by_bucket(grams, buckets)]
+    return [(b, n, key, pack_sorted(grams[at], _width(n)), _pack(counts[at])) for b, at in by_bucket(grams, buckets)]
+
+
+def _width(n: int) -> int:
+    """Bytes of an n-gram's hash."""
+    return 8 if n == 1 else 7
 
 
 def _counting(order: int, buckets: int):
@@ -199,7 +205,8 @@ def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, starts in by_group(batches, 2):
         for s, e in zip(starts, np.append(starts[1:], t.num_rows)):
             part = t.slice(s, e - s)
-            grams = [unpack_sorted(x) for x in part.column("grams").to_pylist()]
+            width = _width(part.column("n")[0].as_py())
+            grams = [unpack_sorted(x, width) for x in part.column("grams").to_pylist()]
             counts = np.concatenate([_unpack(x) for x in part.column("counts").to_pylist()])
             kinds, back = np.unique(np.concatenate(grams), return_inverse=True)
             total = np.bincount(back, counts, len(kinds)).astype(np.int64)
@@ -393,7 +400,7 @@ def score(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, b
     sums = summed(by_batch.applyInArrow(_counting(whole, buckets), _sql(_COUNTS)), list(range(1, whole + 1)))
     totals = by(sums.filter("batch >= 0"))
     for n in range(3, order + 1):
-        longer = by_batch.cogroup(totals.filter("n > 1").groupBy("batch")).applyInArrow(_counting_longer(n, buckets), _sql(_COUNTS))
+        longer = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_counting_longer(n, buckets), _sql(_COUNTS))
         totals = totals.union(by(summed(longer, [n])))
     cells = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_cells(order, buckets), _sql(_CELLS))
     corpus = sums.filter("batch < 0").select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("cell"), F.col("tokens").alias("n")), F.struct(F.lit(-2).cast("long").alias("cell"), F.col("kinds").alias("n")))).alias("x")).select("x.cell", "x.n")

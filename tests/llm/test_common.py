@@ -12,6 +12,8 @@ from reposcope.llm import common as c
 def test_packing(values):
     x = np.array(sorted(values), dtype=np.uint64)
     assert (c.unpack_sorted(c.pack_sorted(x)) == x).all() and len(c.unpack_sorted(c.pack_sorted(x))) == len(x)
+    y = x >> np.uint64(8)
+    assert (c.unpack_sorted(c.pack_sorted(y, 7), 7) == y).all()
 
 
 def test_packed_size():
