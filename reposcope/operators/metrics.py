@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from reposcope.functions import text as T
+from reposcope.operators import sentences as SE
+from reposcope.session import cut_lineage
 
 MAX_ORDER = 4
 
@@ -325,10 +327,11 @@ def markdown_text(c, max_spans: int | None = None) -> Column:
 SENTENCE_SPLIT = r"(?<=[.!?])[ \t\x0B\f\r]++|\n"
 
 
-def sentence_tokens(c) -> Column:
-    """One sentence per element (split after . ! ? and at line ends), each
-    tokenised like ROUGE; empty sentences dropped."""
-    sents = F.split(T.strip_ws(c), SENTENCE_SPLIT)
+def sentence_tokens(c, model: SE.Model | None = None) -> Column:
+    """One sentence per element, each tokenised like ROUGE; empty sentences
+    dropped. Boundaries are those of a learned ``model``, or without one every
+    . ! ? before a blank and every line end."""
+    sents = F.split(T.strip_ws(c), SENTENCE_SPLIT) if model is None else SE.sentences(c, model)
     toks = F.transform(sents, lambda s: T.rouge_tokens(s))
     return F.filter(toks, lambda t: F.size(t) > 0)
 
@@ -404,9 +407,11 @@ def stem_sentences_udf(texts: pd.Series) -> pd.Series:
 
 
 def rouge_lsum(pairs: DataFrame, key: str = "pair_id", pred: str = "prediction", ref: str = "reference",
-               stem: bool = False) -> DataFrame:
+               stem: bool = False, model: SE.Model | None = None) -> DataFrame:
     """ROUGE-Lsum F1 per pair (sentence split, union LCS)."""
-    p = pairs.select(key, sentence_tokens(pred).alias("sp"), sentence_tokens(ref).alias("sr"))
+    p = pairs.select(key, sentence_tokens(pred, model).alias("sp"), sentence_tokens(ref, model).alias("sr"))
+    if model is not None:
+        p = cut_lineage(p)
     if stem:
         p = p.withColumns({c: stem_sentences_udf(F.col(c)) for c in ("sp", "sr")})
     return p.select(key, F.round(lsum_udf("sr", "sp"), 6).alias("rougeLsum"))

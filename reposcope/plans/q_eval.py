@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reposcope.functions import patterns as P
 from reposcope.functions import text as T
 from reposcope.operators import metrics as M
+from reposcope.operators import sentences as SE
 from reposcope.plans.catalog import _sq, duck, query, readmes
 from reposcope.sources import corpus
 from reposcope.sources.tables import read_table
@@ -121,8 +122,39 @@ def _rouge_l(spark, sf):
 
 @query("rouge_lsum")
 def _rouge_lsum(spark, sf):
-    """Per-pair ROUGE-Lsum F1 (sentence split + union LCS)."""
-    return M.rouge_lsum(pairs(spark, sf))
+    """Per-pair ROUGE-Lsum F1 (learned sentence boundaries + union LCS)."""
+    return M.rouge_lsum(pairs(spark, sf), model=SE.learn(read_table(spark, sf, "documents")))
+
+
+_BASES = f"""
+sw AS (SELECT regexp_extract(w, '{_sq(SE.BARE)}', 1) AS w FROM (
+  SELECT unnest(list_filter(regexp_split_to_array(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '{WS}+'), lambda x: x <> '')) AS w FROM documents) t),
+sb AS (SELECT lower(regexp_replace(w, '[.,;:!?]$', '')) AS base, suffix(w, '.') AS p FROM sw),
+sc AS (SELECT base, count_if(p) AS n_with, count_if(NOT p) AS n_without FROM sb WHERE regexp_matches(base, '{SE.ABBREVIATED}') GROUP BY base)"""
+
+
+@query("sentence_word_counts", "WITH" + _BASES + "\nSELECT base, CAST(n_with AS BIGINT) AS n_with, CAST(n_without AS BIGINT) AS n_without FROM sc")
+def _sentence_word_counts(spark, sf):
+    """How often each word stands before a period, and not."""
+    return SE.word_counts(read_table(spark, sf, "documents"))
+
+
+@query("abbreviations", "WITH" + _BASES + f""",
+st AS (SELECT least(greatest(CAST(sum(n_with) AS DOUBLE) / CAST(sum(n_with + n_without) AS DOUBLE), 1e-9), 1 - 1e-9) AS r FROM sc),
+ss AS (SELECT base, n_with AS a, n_without AS b, length(base) - length(replace(base, '.', '')) AS inside, length(replace(base, '.', '')) AS letters FROM sc WHERE n_with > 0),
+sr AS (SELECT base, round(2 * (a * ln({SE.RATE} / r) + b * ln((1 - {SE.RATE}) / (1 - r))) * exp(-letters) * (inside + 1) * pow(CAST(letters AS DOUBLE), -b), 6) AS score FROM ss, st)
+SELECT base, score FROM sr WHERE score >= {SE.ABBREVIATION}""")
+def _abbreviations(spark, sf):
+    """The words that are abbreviations, with their scores."""
+    return SE.abbreviations(SE.word_counts(read_table(spark, sf, "documents")))
+
+
+@query("sentence_split")
+def _sentence_split(spark, sf):
+    """Sentences per document, by boundaries learned from all documents."""
+    docs = read_table(spark, sf, "documents")
+    s = SE.sentences("text", SE.learn(docs))
+    return docs.select("doc_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "\n")).alias("sentences_md5"))
 
 
 @query("stem_tokens")
