@@ -163,12 +163,6 @@ def write_report(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_html_docs(docs: DataFrame, path: str) -> None:
-    """HTML documents stored as (file_name, html) Parquet rows, written in
-    parallel by every partition (a per-file writer can be layered on top)."""
-    docs.write.mode("overwrite").parquet(path)
-
-
 def write_predictions(preds: DataFrame, path: str) -> None:
     """Prediction rows as JSON lines (one folder per system)."""
     preds.write.mode("errorifexists").json(path)

@@ -13,14 +13,15 @@ from reposcope.plans.q_context import MAX_TOKENS, _HORDER, _RANDOM_FIRST, _file_
 from reposcope.plans.q_files import WSCLS
 
 INPUT_TOKENS = 0  # of the README, as a prompt
+PROMPT_TOKENS = 20  # of the README, in the queries with a prompt
 SYSTEMS = ["random_file", "file_names"]
 
 
-def _preds(spark, sf, system):
+def _preds(spark, sf, system, tokens=INPUT_TOKENS):
     t, r = tree(spark, sf), repos(spark, sf)
     ctx = (CX.ctx_random_file(t, r, MAX_TOKENS, use_prompt=False) if system == "random_file"
            else CX.ctx_file_names(t, r, MAX_TOKENS, use_prompt=False))
-    return RP.predictions(ctx, readmes(spark, sf), r, INPUT_TOKENS, system)
+    return RP.predictions(ctx, readmes(spark, sf), r, tokens, system)
 
 
 def _words_duck(x: str, n: int) -> str:
@@ -44,20 +45,22 @@ def _esc(x: str) -> str:
     return f"replace({y}, chr(10), '<br/>')"
 
 
-def _pred_duck(system: str, ctx_cte: str) -> str:
+def _pred_duck(system: str, ctx_cte: str, tokens: int = INPUT_TOKENS) -> str:
     gen = "(CASE WHEN length(input_text) > 0 THEN input_text || ' ' || context ELSE context END)"
     return f"""
 pred_{system} AS (
   SELECT repo_id, full_name, html_url, description, input_text, reference, context, '{system}' AS system,
          {_rstrip(gen)} AS result, {_rstrip(f'substr({gen}, length(input_text) + 1)')} AS diff
   FROM (SELECT r.repo_id, r.full_name, r.html_url, r.description, c.context, m.content AS reference,
-               {_words_duck('m.content', INPUT_TOKENS)} AS input_text
+               {_words_duck('m.content', tokens)} AS input_text
         FROM repos r JOIN {ctx_cte} c ON r.repo_id = c.repo_id JOIN readmes m ON r.repo_id = m.repo_id) x)"""
 
 
 _PRED = (_HORDER + "," + _RANDOM_FIRST + "," + _single_duck("random_file", False, "rf_first") + ","
          + _file_names_duck(False) + "," + _pred_duck("random_file", "random_file_ctx") + ","
          + _pred_duck("file_names", "file_names_ctx"))
+_PROMPTED = (_HORDER + "," + _RANDOM_FIRST + "," + _single_duck("random_file", False, "rf_first") + ","
+             + _pred_duck("random_file", "random_file_ctx", PROMPT_TOKENS))
 
 
 @query("postprocess", duck(_PRED + """
@@ -67,6 +70,17 @@ def _postprocess(spark, sf):
     return p.select("full_name", F.md5("result").alias("result_md5"), F.md5("diff").alias("diff_md5"))
 
 
+@query("edit_record_prompted", duck(_PROMPTED + """
+SELECT full_name, md5(input_text) AS prompt_md5, md5(result) AS result_md5, md5(diff) AS diff_md5,
+       CAST(length(result) - length(diff) AS INT) AS edit_start FROM pred_random_file"""))
+def _edit_record_prompted(spark, sf):
+    """P15, P16 behind a prompt: what is generated follows the first words of the README."""
+    p = _preds(spark, sf, "random_file", PROMPT_TOKENS)
+    e = p.select("full_name", "input_text", "result").join(RP.edit_records(p), "full_name")
+    return e.select("full_name", F.md5("input_text").alias("prompt_md5"), F.md5("result").alias("result_md5"),
+                    F.md5("edit.text").alias("diff_md5"), F.col("edit.start").cast("int").alias("edit_start"))
+
+
 @query("edit_record", duck(_PRED + """
 SELECT full_name, 'insertion' AS edit_type, CAST(length(result) - length(diff) AS INT) AS edit_start,
        md5(diff) AS edit_text_md5 FROM pred_random_file"""))
@@ -103,6 +117,20 @@ def _report_html(spark, sf):
     return h.select("file_name", F.md5("html").alias("html_md5"), F.length("html").cast("bigint").alias("n_chars"))
 
 
+@query("write_html", duck(_PRED + f"""
+SELECT replace(full_name, '/', '.') || '.html' AS file_name, md5({_HTML_V1}) AS html_md5, full_name AS mapped FROM pred_random_file"""))
+def _write_html(spark, sf):
+    """One HTML file per repository and the mapping to it, read back."""
+    from reposcope.plans.q_sources import _run_dir
+    from reposcope.sources import pages
+    folder = _run_dir(spark, "pages")
+    p = _preds(spark, sf, "random_file")
+    of = p.select("full_name", F.concat(F.replace("full_name", F.lit("/"), F.lit(".")), F.lit(".html")).alias("file_name"))
+    pages.write_pages(RP.report_html(p).join(of, "file_name").select("full_name", "file_name", "html"), folder)
+    mapping = spark.read.schema("full_name string, file_name string").json(f"{folder}/mapping-*.jsonl")
+    return pages.read_pages(spark, folder).join(mapping, "file_name").select("file_name", F.md5("html").alias("html_md5"), F.col("full_name").alias("mapped"))
+
+
 def _all_preds(spark, sf):
     return _preds(spark, sf, SYSTEMS[0]).unionByName(_preds(spark, sf, SYSTEMS[1]))
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from reposcope.functions import patterns as P
 from reposcope.operators import filters as FL
+from reposcope.operators.segments import running_before
+from reposcope.session import stored
 
 ARCHIVE_SCHEMA = ("user string, repo string, path_str string, n_bytes long, data binary, status string")
 
@@ -44,68 +46,99 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 BATCH_BYTES = 32 << 20
+#: bytes of files that one task reads; a file counts as so many at least
+SPLIT_BYTES, LEAST_BYTES = 128 << 20, 4096
 
+_ENTRY = "repo string, rel string, is_dir boolean, n_bytes long"
 
-def _files_below(fs, top: str):
-    """File infos of a repository: directories that the ignore rules drop are
-    not entered, and links to directories are not followed."""
+
+def _listed(batches, root: str):
+    """The entries of each folder (repo, rel). Directories that the ignore rules drop are not
+    entered, and links to directories are not followed; directly below the root only folders
+    count, as repositories."""
     import os
     import re
 
     from pyarrow.fs import FileSelector, FileType, LocalFileSystem
-    rules = re.compile(P.IGNORE_RE)
-    local = isinstance(fs, LocalFileSystem)
-    todo = [top]
-    while todo:
-        folder = todo.pop()
-        for info in sorted(fs.get_file_info(FileSelector(folder)), key=lambda i: i.path, reverse=True):
-            rel = info.path[len(top) + 1:]
-            if info.type == FileType.Directory:
-                if not rules.search(f"./{rel}/") and not (local and os.path.islink(info.path)):
-                    todo.append(info.path)
-            elif info.type == FileType.File and not rules.search(f"./{rel}"):
-                yield rel, info
-
-
-def _walk(batches, root: str):
-    """Rows of the repositories, in batches of about ``BATCH_BYTES``."""
+    fs, base = _fs_and_path(root)
+    rules, local = re.compile(P.IGNORE_RE), isinstance(fs, LocalFileSystem)
+    for b in batches:
+        for repo, rel in zip(b["repo"], b["rel"]):
+            folder = "/".join(x for x in (base, repo, rel) if x)
+            rows = []
+            for info in fs.get_file_info(FileSelector(folder)):
+                if not repo:
+                    if info.type == FileType.Directory:
+                        rows.append((info.base_name, "", True, 0))
+                    continue
+                inside = f"{rel}/{info.base_name}" if rel else info.base_name
+                if info.type == FileType.Directory:
+                    if not rules.search(f"./{inside}/") and not (local and os.path.islink(info.path)):
+                        rows.append((repo, inside, True, 0))
+                elif info.type == FileType.File and not rules.search(f"./{inside}"):
+                    rows.append((repo, inside, False, info.size))
+            yield pd.DataFrame(rows, columns=["repo", "rel", "is_dir", "n_bytes"])
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(repo, path_str, n_bytes) of all files below ``root/<repo>``, not read yet. Tasks list the
+    folders, one round per level; a level is stored, so that no folder is listed twice."""
+    folders = spark.createDataFrame([("", "")], "repo string, rel string")
+    files = None
+    while True:
+        level = stored(folders.mapInPandas(lambda it: _listed(it, root), schema=_ENTRY), "listing")
+        found = level.where(~F.col("is_dir")).select("repo", F.col("rel").alias("path_str"), "n_bytes")
+        files = found if files is None else files.unionByName(found)
+        below = level.where("is_dir").select("repo", "rel")
+        if below.isEmpty():
+            return files
+        # dealt evenly: the folders of a level may come from one listing
+        folders = below.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _read(batches, root: str):
+    """Contents of listed files, in batches of about ``BATCH_BYTES``; a file that has gone since is left out."""
     fs, base = _fs_and_path(root)
     columns = ["repo", "path_str", "n_bytes", "data"]
     rows, held = [], 0
     for b in batches:
-        for repo in b["repo"]:
-            for rel, info in _files_below(fs, f"{base}/{repo}"):
-                # P2 before any IO: content is read only below the size limit
-                data = None
-                if info.size < P.MAX_FILE_BYTES:
-                    with fs.open_input_stream(info.path) as src:
+        for repo, rel, size in zip(b["repo"], b["path_str"], b["n_bytes"]):
+            data = None
+            if size < P.MAX_FILE_BYTES:  # P2 before any IO: content is read only below the size limit
+                try:
+                    with fs.open_input_stream(f"{base}/{repo}/{rel}") as src:
                         data = src.read()
-                rows.append((repo, rel, info.size, data))
-                held += len(data or b"") + 200
-                if held > BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, held = [], 0
+                except FileNotFoundError:
+                    continue
+            rows.append((repo, rel, size, data))
+            held += len(data or b"") + 200
+            if held > BATCH_BYTES:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
     yield pd.DataFrame(rows, columns=columns)
 
 
+def in_splits(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The listing in partitions of about ``split_bytes`` to read each, whatever the repositories' sizes."""
+    read = F.when(F.col("n_bytes") < P.MAX_FILE_BYTES, F.col("n_bytes")).otherwise(F.lit(0))
+    sized = files.select(F.lit(0).alias("_all"), F.struct("repo", "path_str").alias("_at"), "n_bytes", F.greatest(read, F.lit(LEAST_BYTES)).alias("_n"))
+    total = sized.agg(F.sum("_n")).first()[0] or 0
+    placed = running_before(sized, "_all", "_at", "_n")
+    split = F.floor(F.col("_before") / split_bytes).cast("int")
+    return placed.repartitionById(1 + total // split_bytes, split).select("_at.repo", "_at.path_str", "n_bytes")
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """``root/<repo>/<path...>`` -> flat file rows
     (repo, path ARRAY, path_str, name, excluded, content, n_bytes).
 
     Spark's file index hides names starting with '_' or '.', which would drop
-    every ``__init__.py``; so this is a custom scan: the driver lists only the
-    top-level repository directories (metadata, as Spark's own file listing
-    does), and executors walk and read each repository (``mapInPandas``),
-    reading content only for files under the size limit. P1-P4 follow as
-    column rules."""
-    from pyarrow.fs import FileSelector, FileType
-    fs, base = _fs_and_path(root)
-    repos = sorted(i.base_name for i in fs.get_file_info(FileSelector(base)) if i.type == FileType.Directory)
-    slots = spark.sparkContext.defaultParallelism
-    listing = spark.createDataFrame([(r,) for r in repos], "repo string")
-    listing = listing.repartition(max(1, min(len(repos), slots * 4)))
-    rows = listing.mapInPandas(lambda it: _walk(it, root),
-                               schema="repo string, path_str string, n_bytes long, data binary")
+    every ``__init__.py``; so this is a custom scan: tasks list the folders
+    level by level, the files found are cut into splits by bytes, and tasks
+    read them (``mapInPandas``), content only for files under the size limit.
+    The driver lists nothing. P1-P4 follow as column rules."""
+    rows = in_splits(list_files(spark, root)).mapInPandas(
+        lambda it: _read(it, root), schema="repo string, path_str string, n_bytes long, data binary")
     return _finish(rows)
 
 

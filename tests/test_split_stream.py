@@ -136,6 +136,51 @@ def test_scan_files(spark):
     assert got[("r1", "bad.txt")] == (False, "okok")
 
 
+def test_scan_in_small_splits(spark):
+    """Folders are listed by tasks, level by level, and files read in splits by bytes, hidden and odd names included."""
+    root = tempfile.mkdtemp(prefix="rs-splits-")
+    want = {}
+    for repo in range(5):
+        for i in range(1 + 30 * (repo == 2)):
+            rel = f"d{i % 3}/e é/_f{i}.py"
+            os.makedirs(os.path.dirname(f"{root}/r{repo}/{rel}"), exist_ok=True)
+            want[f"r{repo}", rel] = f"x = {i}\n" * (i + 1)
+            with open(f"{root}/r{repo}/{rel}", "w") as f:
+                f.write(want[f"r{repo}", rel])
+    os.makedirs(f"{root}/empty/a/b")
+    os.symlink(f"{root}/r2", f"{root}/r1/link")
+    listing = scan.list_files(spark, root)
+    splits = scan.in_splits(listing, 5 * scan.LEAST_BYTES)
+    sizes = [r["n"] for r in splits.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == len(want) == listing.count() and max(sizes) <= 6 and len(sizes) >= 6
+    assert {(r.repo, r.path_str): r.content for r in scan.scan_files(spark, root).collect()} == want
+    nothing = tempfile.mkdtemp(prefix="rs-nothing-")
+    assert scan.scan_files(spark, nothing).count() == 0
+
+
+def test_pages_are_files_with_a_mapping(spark):
+    from reposcope.sources import pages
+    folder = tempfile.mkdtemp(prefix="rs-pages-") + "/out"
+    docs = spark.createDataFrame([(i, f"page{i}.html", f"<p>é{i}</p>\n" * i) for i in range(20)], "id long, file_name string, html string").repartition(4)
+    pages.write_pages(docs, folder)
+    assert {(r.file_name, r.html) for r in pages.read_pages(spark, folder).collect()} == {(r.file_name, r.html) for r in docs.collect() if r.html}
+    mapping = spark.read.schema("id long, file_name string").json(f"{folder}/mapping-*.jsonl")
+    assert sorted((r.id, r.file_name) for r in mapping.collect()) == [(i, f"page{i}.html") for i in range(20)]
+    with open(f"{folder}/_SUCCESS") as f:
+        assert json.load(f) == {"n_files": 20, "n_bytes": sum(len(r.html.encode()) for r in docs.collect())}
+    for bad in (docs, docs.withColumn("file_name", F.lit("../x.html"))):
+        try:
+            pages.write_pages(bad, folder if bad is docs else folder + "2")
+            raise AssertionError("accepted")
+        except Exception as e:
+            assert "accepted" not in str(e)
+    assert not os.path.exists(f"{folder}2/_SUCCESS")
+    # written again over a half-written folder, as after a failure
+    os.remove(f"{folder}/_SUCCESS")
+    pages.write_pages(docs, folder, "overwrite")
+    assert pages.read_pages(spark, folder).count() == 19 and os.path.exists(f"{folder}/page0.html")  # an empty page is a file without a row
+
+
 def test_scan_archives(spark):
     root = tempfile.mkdtemp(prefix="rs-zip-")
     os.makedirs(os.path.join(root, "u", "good"))
