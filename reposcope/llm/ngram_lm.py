@@ -142,8 +142,8 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
 def _pack(x: np.ndarray) -> bytes:
     """Counts, most of them small: a byte each, those from 255 on spelled out."""
     large = np.flatnonzero(x >= 255)
-    small = zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1)
-    return len(small).to_bytes(4, "little") + small + zlib.compress(x[large].astype("<i8").tobytes(), 1)
+    small = zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 6)
+    return len(small).to_bytes(4, "little") + small + zlib.compress(x[large].astype("<i8").tobytes(), 6)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -193,6 +193,8 @@ def _counting_longer(n: int, buckets: int):
     """Counts of the n-grams that other batches may hold too."""
 
     def run(key, rows, told):
+        if not rows.num_rows:  # of batch -1, see _summing
+            return _table([], _COUNTS)
         batch = Batch(rows, n, 2)
         _, elsewhere = _totals(batch, told, n - 1, buckets)
         return _table(_sent(batch, key[0].as_py(), n, batch.shared(n, elsewhere), buckets), _COUNTS)
@@ -201,7 +203,7 @@ def _counting_longer(n: int, buckets: int):
 
 
 def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and n: totals for each batch, and once per group the tokens and kinds."""
+    """Rows sorted by bucket and n: totals for each batch, and for batch -1, which has no texts, once per group the tokens and kinds."""
     for t, starts in by_group(batches, 2):
         for s, e in zip(starts, np.append(starts[1:], t.num_rows)):
             part = t.slice(s, e - s)
@@ -210,7 +212,8 @@ def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.concatenate([_unpack(x) for x in part.column("counts").to_pylist()])
             kinds, back = np.unique(np.concatenate(grams), return_inverse=True)
             total = np.bincount(back, counts, len(kinds)).astype(np.int64)
-            told = 2 * total + (np.bincount(back, minlength=len(kinds)) > 1)  # the lowest bit: other batches sent it too
+            # 0 for an n-gram of one batch, which knows its total; the lowest bit tells that others sent it too
+            told = np.where(np.bincount(back, minlength=len(kinds)) > 1, 2 * total + 1, 0)
             bucket, n = part.column("bucket")[0].as_py(), part.column("n")[0].as_py()
             rows = [(b, bucket, n, _pack(x), 0, 0) for b, x in zip(part.column("batch").to_pylist(), np.split(told[back], np.cumsum([len(g) for g in grams])[:-1]))]
             if n == 1:
@@ -230,7 +233,7 @@ def _totals(batch: Batch, told: pa.Table, order: int, buckets: int) -> tuple[lis
         totals, elsewhere = batch.counts(n).astype(np.int64), np.zeros(len(batch.grams[n - 1]), dtype=bool)
         for b, at in by_bucket(batch.grams[n - 1][which], buckets):
             x = _unpack(got[b, n])
-            totals[which[at]], elsewhere[which[at]] = x >> 1, x & 1
+            totals[which[at]], elsewhere[which[at]] = np.where(x & 1, x >> 1, totals[which[at]]), x & 1
         out.append(totals)
     return out, elsewhere
 
@@ -252,10 +255,14 @@ def bucket_of(count: np.ndarray) -> np.ndarray:
 def _cells(order: int, buckets: int):
     """Training tokens by cell: a mixed-radix number of (bucket, estimate) per order and the unigram.
 
-    A token is left out of the counts that it is judged by.
+    A token is left out of the counts that it is judged by. The sums of batch -1 come as cells -1
+    (tokens) and -2 (kinds).
     """
 
     def run(key, rows, told):
+        if not rows.num_rows:
+            sums = [sum(told.column(c).to_pylist()) for c in ("tokens", "kinds")]
+            return pa.Table.from_arrays([pa.array([-1, -2], pa.int64()), pa.array(sums, pa.int64())], schema=_CELLS)
         batch = Batch(rows, order)
         totals = _told(batch, told, order, buckets)
         at = np.flatnonzero((batch.place > 0) & ~batch.held[batch.owner])
@@ -398,13 +405,12 @@ def score(docs: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, b
 
     whole = min(order, 2)
     sums = summed(by_batch.applyInArrow(_counting(whole, buckets), _sql(_COUNTS)), list(range(1, whole + 1)))
-    totals = by(sums.filter("batch >= 0"))
+    totals = by(sums)
     for n in range(3, order + 1):
         longer = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_counting_longer(n, buckets), _sql(_COUNTS))
         totals = totals.union(by(summed(longer, [n])))
     cells = by_batch.cogroup(totals.groupBy("batch")).applyInArrow(_cells(order, buckets), _sql(_CELLS))
-    corpus = sums.filter("batch < 0").select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("cell"), F.col("tokens").alias("n")), F.struct(F.lit(-2).cast("long").alias("cell"), F.col("kinds").alias("n")))).alias("x")).select("x.cell", "x.n")
-    grid = cells.union(corpus).groupBy("cell").agg(F.sum("n").alias("n"))
+    grid = cells.groupBy("cell").agg(F.sum("n").alias("n"))
     model = grid.groupBy(F.lit(0).alias("all")).applyInArrow(lambda rows: _learning(order)(rows.select(["cell", "n"])), _sql(_TOTALS))
     every = model.select(F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), "bucket", "n", "totals", "tokens", "kinds")
     return by_batch.cogroup(totals.union(by(every)).groupBy("batch")).applyInArrow(_scoring(order, buckets), _SCORES)
