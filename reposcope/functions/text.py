@@ -6,6 +6,8 @@ constructs so that a single 100 kB line cannot overflow the Java regex stack.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from reposcope.functions import patterns as P
 # Whitespace as Python's str.strip() sees it for ASCII input.
 WS = r"[ \t\n\x0B\f\r]"
 # Default regex tokenizer: runs of letters/digits, or runs of other
-# non-space characters (pluggable, see ``token_pieces``).
+# non-space characters (``Tokenizer`` takes any other expression).
 TOKEN = r"[\p{L}\p{N}]++|[^\p{L}\p{N} \t\n\x0B\f\r]++"
 TOKEN_RE2 = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\x0B\f\r]+"
 # A token together with the whitespace before it; concatenating the first n
@@ -83,19 +85,33 @@ def cleanse_file(c) -> Column:
     return strip_ws(x)
 
 
-def token_pieces(c) -> Column:
-    return F.regexp_extract_all(col(c), F.lit(PIECE), 0)
+@dataclass(frozen=True)
+class Tokenizer:
+    """What a token is, as an expression that matches one; white space separates tokens and is
+    no part of them. Possessive or bounded constructs keep long texts safe."""
+
+    token: str = TOKEN
+
+    def count(self, c) -> Column:
+        return F.size(F.regexp_extract_all(col(c), F.lit(self.token), 0))
+
+    def pieces(self, c) -> Column:
+        """Tokens with the white space before them; the first n make the exact prefix of n tokens."""
+        return F.regexp_extract_all(col(c), F.lit(f"{WS}*+(?:{self.token})"), 0)
+
+
+DEFAULT_TOKENIZER = Tokenizer()
 
 
-def token_count(c) -> Column:
-    """Number of tokens of the default regex tokenizer."""
-    return F.size(F.regexp_extract_all(col(c), F.lit(TOKEN), 0))
+def token_count(c, tokenizer: Tokenizer = DEFAULT_TOKENIZER) -> Column:
+    """Number of tokens."""
+    return tokenizer.count(c)
 
 
-def truncate_tokens(c, n) -> Column:
+def truncate_tokens(c, n, tokenizer: Tokenizer = DEFAULT_TOKENIZER) -> Column:
     """Text prefix holding the first ``n`` tokens; unchanged when it fits."""
     x = col(c)
-    pieces = token_pieces(x)
+    pieces = tokenizer.pieces(x)
     n = F.lit(n) if isinstance(n, int) else n
     return F.when(F.size(pieces) <= n, x).otherwise(
         F.array_join(F.slice(pieces, 1, F.greatest(n, F.lit(0))), ""))

@@ -52,8 +52,8 @@ def order_col(order: str) -> str:
     return "hkey" if order == "hash" else "ord"
 
 
-def _budget(prefix: Column, suffix: Column, max_tokens: int) -> Column:
-    used = T.token_count(prefix) + T.token_count(suffix)
+def _budget(prefix: Column, suffix: Column, max_tokens: int, tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> Column:
+    used = T.token_count(prefix, tokenizer) + T.token_count(suffix, tokenizer)
     return F.when(used < max_tokens, F.lit(max_tokens) - used).otherwise(
         F.raise_error(F.lit("prompt does not fit into the token budget")))
 
@@ -79,24 +79,24 @@ def sample_names(tree: DataFrame, n: int = P.N_FILE_NAMES, order: str = "hash")
 
 
 def budget_concat(tree: DataFrame, budget: int, sep: str = P.FILE_SEPARATOR,
-                  order: str = "hash") -> DataFrame:
+                  order: str = "hash", tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """Non-excluded files (stripped) joined by ``sep`` in file order,
     keeping only files that start inside the token budget (bounded collect);
     callers truncate the joined text exactly."""
-    return budget_concat_with_budget(tree.withColumn("_budget", F.lit(budget)), order, sep)
+    return budget_concat_with_budget(tree.withColumn("_budget", F.lit(budget)), order, sep, tokenizer)
 
 
 def ctx_all_data(tree: DataFrame, repos: DataFrame, max_tokens: int, use_prompt: bool = False,
-                 order: str = "hash") -> DataFrame:
+                 order: str = "hash", tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """All files, budget-concatenated."""
     r = repos.select("repo_id", F.col("name").alias("project_name"))
     prefix, suffix = prompt_parts("all_data", F.col("project_name"), use_prompt)
     r = r.select("repo_id", prefix.alias("_pre"), suffix.alias("_suf"))
-    r = r.withColumn("_budget", _budget(F.col("_pre"), F.col("_suf"), max_tokens))
+    r = r.withColumn("_budget", _budget(F.col("_pre"), F.col("_suf"), max_tokens, tokenizer))
     t = tree.join(r.select("repo_id", "_budget"), "repo_id")
-    body = budget_concat_with_budget(t, order)
+    body = budget_concat_with_budget(t, order, tokenizer=tokenizer)
     j = r.join(body, "repo_id", "left")
-    text = T.truncate_tokens(F.coalesce("body", F.lit("")), F.col("_budget"))
+    text = T.truncate_tokens(F.coalesce("body", F.lit("")), F.col("_budget"), tokenizer)
     return j.select("repo_id", F.concat("_pre", text, "_suf").alias("context"))
 
 
@@ -105,12 +105,13 @@ def _within_budget(units: DataFrame, okey: str) -> DataFrame:
     return running_before(units, "repo_id", okey, "_u").where(F.col("_before") < F.col("_budget"))
 
 
-def budget_concat_with_budget(t: DataFrame, order: str, sep: str = P.FILE_SEPARATOR) -> DataFrame:
+def budget_concat_with_budget(t: DataFrame, order: str, sep: str = P.FILE_SEPARATOR,
+                              tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """``budget_concat`` where the budget is a per-repository column ``_budget``.
     The running sum sees names and counts only; texts are joined for the files that are kept."""
     okey = order_col(order)
     txt = T.strip_ws("content")
-    counts = t.select("repo_id", "path_str", "name", "ord", "excluded", "_budget", (T.token_count(txt) + T.token_count(F.lit(sep))).alias("_u"))
+    counts = t.select("repo_id", "path_str", "name", "ord", "excluded", "_budget", (T.token_count(txt, tokenizer) + T.token_count(F.lit(sep), tokenizer)).alias("_u"))
     counts = hash_order(counts) if order == "hash" else counts
     kept = _within_budget(counts.where(~F.col("excluded")).select("repo_id", "path_str", okey, "_budget", "_u"), okey)
     texts = kept.select("repo_id", "path_str", okey).join(t.select("repo_id", "path_str", txt.alias("_txt")), ["repo_id", "path_str"])
@@ -120,7 +121,8 @@ def budget_concat_with_budget(t: DataFrame, order: str, sep: str = P.FILE_SEPARA
 
 
 def _single_file_ctx(chosen: DataFrame, repos: DataFrame, kind: str, max_tokens: int,
-                     use_prompt: bool, names: DataFrame | None = None) -> DataFrame:
+                     use_prompt: bool, names: DataFrame | None = None,
+                     tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """Cleansed single file + prompt, truncated to the remaining budget."""
     r = repos.select("repo_id", F.col("name").alias("project_name"))
     if names is not None:
@@ -129,46 +131,47 @@ def _single_file_ctx(chosen: DataFrame, repos: DataFrame, kind: str, max_tokens:
                                   F.col("names") if names is not None else None)
     j = chosen.join(r, "repo_id")
     j = j.select("repo_id", T.cleanse_file("content").alias("_c"), prefix.alias("_pre"), suffix.alias("_suf"))
-    b = _budget(F.col("_pre"), F.col("_suf"), max_tokens)
-    return j.select("repo_id", F.concat("_pre", T.truncate_tokens("_c", b), "_suf").alias("context"))
+    b = _budget(F.col("_pre"), F.col("_suf"), max_tokens, tokenizer)
+    return j.select("repo_id", F.concat("_pre", T.truncate_tokens("_c", b, tokenizer), "_suf").alias("context"))
 
 
 def ctx_random_file(tree: DataFrame, repos: DataFrame, max_tokens: int, use_prompt: bool = False,
-                    order: str = "hash") -> DataFrame:
+                    order: str = "hash", tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """First non-excluded Python file in file order, cleansed."""
     t = hash_order(tree) if order == "hash" else tree
     py = t.where(~F.col("excluded") & (T.python_base_name("name") != ""))
     w = Window.partitionBy("repo_id").orderBy(order_col(order))
     first = py.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return _single_file_ctx(first, repos, "random_file", max_tokens, use_prompt)
+    return _single_file_ctx(first, repos, "random_file", max_tokens, use_prompt, tokenizer=tokenizer)
 
 
 def ctx_entrypoint(tree: DataFrame, repos: DataFrame, scores: DataFrame, max_tokens: int,
-                   use_prompt: bool = False, order: str = "hash") -> DataFrame:
+                   use_prompt: bool = False, order: str = "hash",
+                   tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """Cleansed best-scored file (ties: traversal order) plus up to 10
     file names. ``scores``: (repo_id, path_str, score)."""
     s = scores.join(tree.select("repo_id", "path_str", "ord", "content"), ["repo_id", "path_str"])
     w = Window.partitionBy("repo_id").orderBy(F.col("score").desc(), "ord")
     best = s.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     names = sample_names(tree, order=order)
-    return _single_file_ctx(best, repos, "entrypoint", max_tokens, use_prompt, names)
+    return _single_file_ctx(best, repos, "entrypoint", max_tokens, use_prompt, names, tokenizer)
 
 
 def ctx_file_names(tree: DataFrame, repos: DataFrame, max_tokens: int, use_prompt: bool = False,
-                   order: str = "hash") -> DataFrame:
+                   order: str = "hash", tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """C4: all file names in file order, space-joined, truncated. Names are
     budget-cut the same way as file bodies (bounded collect)."""
     t = hash_order(tree) if order == "hash" else tree
     r = repos.select("repo_id", F.col("name").alias("project_name"))
     prefix, suffix = prompt_parts("file_names", F.col("project_name"), use_prompt)
     r = r.select("repo_id", prefix.alias("_pre"), suffix.alias("_suf"))
-    r = r.withColumn("_budget", _budget(F.col("_pre"), F.col("_suf"), max_tokens))
-    units = t.join(r.select("repo_id", "_budget"), "repo_id").select("repo_id", "name", order_col(order), "_budget", T.token_count("name").alias("_u"))
+    r = r.withColumn("_budget", _budget(F.col("_pre"), F.col("_suf"), max_tokens, tokenizer))
+    units = t.join(r.select("repo_id", "_budget"), "repo_id").select("repo_id", "name", order_col(order), "_budget", T.token_count("name", tokenizer).alias("_u"))
     body = _within_budget(units, order_col(order)).groupBy("repo_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col(order), "name"))),
                                  lambda s: s["name"]), " ").alias("body"))
     j = r.join(body, "repo_id", "left")
-    return j.select("repo_id", F.concat("_pre", T.truncate_tokens(F.coalesce("body", F.lit("")), F.col("_budget")),
+    return j.select("repo_id", F.concat("_pre", T.truncate_tokens(F.coalesce("body", F.lit("")), F.col("_budget"), tokenizer),
                                         "_suf").alias("context"))
 
 
@@ -178,7 +181,8 @@ def ctx_dummy(repos: DataFrame) -> DataFrame:
 
 
 def ctx_fallback(tree: DataFrame, repos: DataFrame, scores: DataFrame, max_tokens: int,
-                 use_prompt: bool = False, order: str = "hash") -> DataFrame:
+                 use_prompt: bool = False, order: str = "hash",
+                 tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """Entrypoint -> random_file -> file_names, with the source used. Which
     of them a repository gets is decided on names and flags; each context is
     built for the repositories that take it."""
@@ -193,9 +197,9 @@ def ctx_fallback(tree: DataFrame, repos: DataFrame, scores: DataFrame, max_token
         of = lambda df: df.join(chosen.select("repo_id"), "repo_id", "left_semi")
         return chosen.join(build(of(tree), of(repos)), "repo_id", "left").select("repo_id", "context", "source")
 
-    return (part("entrypoint", lambda t, r: ctx_entrypoint(t, r, scores, max_tokens, use_prompt, order))
-            .unionByName(part("random_file", lambda t, r: ctx_random_file(t, r, max_tokens, use_prompt, order)))
-            .unionByName(part("file_names", lambda t, r: ctx_file_names(t, r, max_tokens, use_prompt, order))))
+    return (part("entrypoint", lambda t, r: ctx_entrypoint(t, r, scores, max_tokens, use_prompt, order, tokenizer))
+            .unionByName(part("random_file", lambda t, r: ctx_random_file(t, r, max_tokens, use_prompt, order, tokenizer)))
+            .unionByName(part("file_names", lambda t, r: ctx_file_names(t, r, max_tokens, use_prompt, order, tokenizer))))
 
 
 CREATORS = {
@@ -207,7 +211,7 @@ CREATORS = {
     "fallback": lambda tree, repos, max_tokens, scores=None, **o: ctx_fallback(tree, repos, scores, max_tokens, **o),
 }
 """U4: context creators by name, all called as (tree, repos, max_tokens, scores=...,
-use_prompt=..., order=...) -> (repo_id, context, ...)."""
+use_prompt=..., order=..., tokenizer=...) -> (repo_id, context, ...)."""
 
 
 def create_context(name: str, tree: DataFrame, repos: DataFrame, max_tokens: int, **options) -> DataFrame:
@@ -217,14 +221,15 @@ def create_context(name: str, tree: DataFrame, repos: DataFrame, max_tokens: int
 
 
 def training_pairs(contexts: DataFrame, readmes: DataFrame, max_source_tokens: int,
-                   max_target_tokens: int, source_prefix: str = "") -> DataFrame:
+                   max_target_tokens: int, source_prefix: str = "",
+                   tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """(context, reference) per repository; empty sides dropped, source
     prefix added, both sides truncated to their token limits (``padded`` gives
     arrays of a fixed length)."""
     j = contexts.join(readmes.select("repo_id", F.col("content").alias("reference")), "repo_id")
     j = j.where((F.length("context") > 0) & (F.length("reference") > 0))
-    src = T.truncate_tokens(F.concat(F.lit(source_prefix), F.col("context")), max_source_tokens)
-    tgt = T.truncate_tokens("reference", max_target_tokens)
+    src = T.truncate_tokens(F.concat(F.lit(source_prefix), F.col("context")), max_source_tokens, tokenizer)
+    tgt = T.truncate_tokens("reference", max_target_tokens, tokenizer)
     return j.select("repo_id", src.alias("source"), tgt.alias("target"))
 
 

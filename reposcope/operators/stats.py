@@ -11,21 +11,22 @@ from reposcope.operators.segments import medians
 STAT_METRICS = ["n_reference_tokens", "n_repo_tokens", "n_excluded", "n_files"]
 
 
-def repo_stats(tree: DataFrame, readmes: DataFrame, repos: DataFrame) -> DataFrame:
+def repo_stats(tree: DataFrame, readmes: DataFrame, repos: DataFrame,
+               tokenizer: T.Tokenizer = T.DEFAULT_TOKENIZER) -> DataFrame:
     """A2: per repository reference tokens, repo tokens (sum over Python
     files), #Python files, #excluded (excluded or not Python) and the
     per-file token counts in path order. One aggregate keyed by repo_id; the
     only list is the result's own, one number per file of the repository."""
     is_py = (T.python_base_name("name") != "") & ~F.col("excluded")
     per_file = tree.select("repo_id", "path_str", is_py.alias("_py"),
-                           F.when(is_py, T.token_count("content")).alias("_n"))
+                           F.when(is_py, T.token_count("content", tokenizer)).alias("_n"))
     per_repo = per_file.groupBy("repo_id").agg(
         F.count_if(~F.col("_py")).alias("n_excluded"),
         F.count_if(F.col("_py")).alias("n_files"),
         F.sum(F.coalesce("_n", F.lit(0))).alias("n_repo_tokens"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_py"), F.struct("path_str", "_n")))),
                                  lambda x: x["_n"].cast("string")), ",").alias("n_file_tokens"))
-    ref = readmes.select("repo_id", T.token_count("content").alias("n_reference_tokens"))
+    ref = readmes.select("repo_id", T.token_count("content", tokenizer).alias("n_reference_tokens"))
     return (repos.select("repo_id", "full_name")
             .join(per_repo, "repo_id", "left")
             .join(ref, "repo_id", "left")

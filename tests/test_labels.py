@@ -130,3 +130,16 @@ def test_context_does_not_follow_the_readme(spark):
         "repo_id", "path_str", F.round(WK.posterior({c: 0.7 for c in FILE_VOTES}, 0.5, FILE_VOTES), 6)).collect()))
     other = readmes.withColumn("content", F.lit("```python\nimport pkg.app\n```\npkg/app.py"))
     assert score(readmes, setups) == score(other, setups.withColumn("content", F.lit("setup()")))
+
+
+def test_contexts_with_another_tokenizer(spark):
+    """With single characters as tokens a budget of 9 is nine characters that are no white space."""
+    from reposcope.functions import text as T
+    letters = T.Tokenizer(r"[^ \t\n\x0B\f\r]")
+    rows = [(1, 0, ["a.py"], "a.py", "a.py", False, "one two three"), (1, 1, ["b.py"], "b.py", "b.py", False, "four")]
+    tree = spark.createDataFrame(rows, "repo_id long, ord int, path array<string>, path_str string, name string, excluded boolean, content string")
+    repos = spark.createDataFrame([(1, "proj")], "repo_id long, name string")
+    build = lambda kind: CX.create_context(kind, tree, repos, 9, order="traversal", tokenizer=letters).first().context
+    assert build("all_data") == "one two thr" and build("random_file") == "one two thr"
+    assert build("file_names") == "a.py b.py"[:10]
+    assert spark.createDataFrame([("ab c",)], "t string").select(T.token_count("t", letters)).first()[0] == 3
