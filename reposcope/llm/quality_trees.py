@@ -1,6 +1,6 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-The statistics of whole texts are computed in tasks, one Arrow batch at a time. The trees are
+The statistics of whole texts are computed in tasks, in slices of bounded bytes. The trees are
 fitted on the driver from a sample of at most ``SAMPLE`` labelled rows (picked by a hash of the id,
 so always the same ones); their flattened arrays, a few hundred kB, go with the scoring tasks,
 which walk all rows and trees of a batch level by level in numpy.
@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import crc_mod, table
+from reposcope.llm.common import crc_mod, table, text_slices
 
 #: labelled rows that the trees are fitted on at most
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAST, RIDGE = 60, 4, 64, 0.2, 20.0, 1.0
 HELD_OUT_MOD = 5
+SLICE_BYTES = 4 << 20
 KEEP_AT = 0.3
 
 FEATURES = (
@@ -167,7 +168,7 @@ def sample(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> tuple[n
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 1, SLICE_BYTES):
             x = matrix(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
@@ -181,7 +182,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """(doc_id, score) per document row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 1, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees.scores(matrix(b.column(1).to_pylist())))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
