@@ -101,7 +101,7 @@ def test_beats_the_linear_fit_where_the_order_is_not_linear(spark):
             x = [float(rng.normal()), float(rng.integers(0, 2)), float(rng.integers(0, 2))]
             rows.append((g, x, -abs(x[0]) + 1.5 * (x[1] * x[2])))
     train, test = table(spark, rows[:480]), table(spark, rows[480:])
-    boosted = B.fit_boosted_ranker(train, ["x0", "x1", "x2"], "y", trees=20, depth=3)
+    boosted = B.fit_boosted_ranker(train, ["x0", "x1", "x2"], "y", trees=12, depth=3)
     linear = RK.fit_pairwise_ranker(train, ["x0", "x1", "x2"], "y")
     a, b = pair_accuracy(B.score(boosted, test)), pair_accuracy(RK.score(linear, test, ["x0", "x1", "x2"]))
     assert a > 0.9 and b < 0.8

@@ -95,7 +95,7 @@ def test_ingest_takes_a_repository_once(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/sink").groupBy("full_name").count().collect()
     assert {(r.full_name, r["count"]) for r in got} == {("u/a", 2), ("u/b", 2), ("u/c", 2)}
     # a batch that is replayed replaces its own output
-    ST.ingest_batch(spark.createDataFrame([(_record("u/c", tree),)], "value string"), 1, f"{tmp_path}/sink")
+    ST.store_batch(spark.createDataFrame([("u/c", _record("u/c", tree))], ST.GATED_SCHEMA), 1, f"{tmp_path}/sink")
     assert spark.read.parquet(f"{tmp_path}/sink").count() == 6
 
 
