@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reposcope.session import cut_lineage, stored
+from reposcope.session import cut_lineage, merged, stored
 
 TREES, DEPTH, BINS, RATE, RIDGE = 20, 3, 32, 0.3, 1.0
 #: gains are compared to this many digits, so that the order of summation does not choose a split
@@ -108,7 +108,7 @@ def _weighted(cells: DataFrame) -> DataFrame:
     below = F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     pairs = sizes.withColumn("p", F.col("m") * below)
     total = pairs.groupBy("g").agg(F.try_divide(F.sum("m"), F.sum("p")).alias("weight")).where("weight IS NOT NULL")
-    return cells.join(total, "g")
+    return cells.join(merged(total), "g")
 
 
 def _gradients(cells: DataFrame, score: Column) -> DataFrame:
@@ -120,7 +120,7 @@ def _gradients(cells: DataFrame, score: Column) -> DataFrame:
              .withColumn("above", F.sum("down").over(w.rowsBetween(1, Window.unboundedFollowing))).na.fill(0.0, ["below", "above"]))
     pulled = F.exp(-F.col("s")) * F.col("below")
     pushed = F.exp("s") * F.col("above")
-    rows = scored.join(sides.select("g", "y", "below", "above"), ["g", "y"])
+    rows = scored.join(merged(sides.select("g", "y", "below", "above")), ["g", "y"])
     factor = F.col("n") * F.col("weight")
     return rows.groupBy("bins").agg(F.sum(factor * (pushed - pulled)).alias("grad"), F.sum(factor * (pushed + pulled)).alias("hess"))
 
