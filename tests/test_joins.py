@@ -1,8 +1,10 @@
-"""Joins of tables that grow: none may send a side whole through the driver."""
+"""Work on tables that grow: no join sends a side whole through the driver, texts are read once."""
 
 import pytest
 
 from reposcope.operators import graph as G
+from reposcope.operators import metrics as M
+from reposcope.operators import sentences as SE
 from reposcope.plans import registry
 from reposcope.session import stored
 
@@ -29,3 +31,48 @@ def corpus_dir(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["assemble_features", "best_file", "ctx_entrypoint", "ctx_fallback"])
 def test_features_and_what_reads_them_are_merged(spark, corpus_dir, name):
     assert "Broadcast" not in _plan(registry.all_queries()[name][0](spark, corpus_dir))
+
+
+def test_ngrams_of_both_sides_are_counted_without_a_join(spark):
+    rows = [("a", ["x", "x", "y"], ["x", "x", "x"]), ("a", ["z"], ["y"]), ("b", [], ["x"]), (None, ["x"], ["x"])]
+    got = M.clipped_matches(spark.createDataFrame(rows, "k string, p array<string>, r array<string>"), "k", "p", "r", [1, 2])
+    assert "Join" not in _plan(got)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 3), ("a", 2, 1)]
+
+
+def test_bigram_counts_are_stored_once(spark):
+    docs = spark.createDataFrame([("one two one",), ("alone",), ("",), (None,)], "text string")
+    big, ctx, vocab = M.train_bigram_lm(docs)
+    assert "regexp_extract_all" not in _plan(big) + _plan(ctx)
+    assert sorted(map(tuple, big.collect())) == [("one", "two", 1), ("two", "one", 1)]
+    assert sorted(map(tuple, ctx.collect())) == [("one", 1), ("two", 1)] and vocab == 4
+
+
+def test_context_counts_are_merged(spark):
+    big, ctx, vocab = M.train_bigram_lm(spark.createDataFrame([("one two one",)], "text string"))
+    docs = spark.createDataFrame([(1, "two one")], "id int, text string")
+    assert "Broadcast" not in _plan(M.token_logprobs(docs, "id", "text", big, ctx, vocab))
+
+
+def test_trigrams_are_counted_within_their_row(spark):
+    docs = spark.createDataFrame([("aaaa", "en"), ("bbb", "fr")], "text string, lang string")
+    counted = docs.select(M._counted(M.char_trigrams("text")).alias("c")).collect()
+    assert [{x["gram"]: x["k"] for x in r["c"]} for r in counted] == [{" aa": 1, "aaa": 2, "aa ": 1}, {" bb": 1, "bbb": 1, "bb ": 1}]
+    texts = spark.createDataFrame([(1, "aaa"), (2, "bb"), (3, ""), (3, "bbb"), (4, None)], "id int, text string")
+    got = M.detect_language(texts, "id", "text", *M.train_language_model(docs))
+    assert "partial_count" not in _plan(got.select("pred_lang", "id")).split("log_num")[0]
+    assert {r["id"]: r["pred_lang"] for r in got.collect()} == {1: "en", 2: "fr", 3: "fr", 4: "none"}
+
+
+def test_words_of_a_text_are_cut_once(spark):
+    docs = spark.createDataFrame([("Dr. Who came. He left",), ("",), (None,)], "text string")
+    for counts in (SE.word_counts(docs), SE.starter_counts(docs, ["dr"])):
+        assert "size(" not in _plan(counts)
+    assert ("who", 1, 0) in set(map(tuple, SE.starter_counts(docs, ["dr"]).collect()))
+    assert ("he", 1, 1) in set(map(tuple, SE.starter_counts(docs, ["dr"]).collect()))
+
+
+def test_scores_come_from_stored_counts(spark):
+    docs = spark.createDataFrame([("Dr. Who met Dr. No. He left. Then he came. He is Dr. Who.",)] * 3, "text string")
+    for scored in (SE.abbreviations(SE.word_counts(docs)), SE.starters(SE.starter_counts(docs, ["dr"]))):
+        assert "Generate" not in _plan(scored) and "FileScan parquet" in _plan(scored)
