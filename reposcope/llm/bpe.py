@@ -34,7 +34,7 @@ from reposcope.llm.common import text_slices
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: pre-tokens that a task remembers before it starts afresh
 REMEMBERED = 400_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: below this code point all characters are in every edition of Unicode; they have a pattern of their own
 LATIN = 0x250
 
@@ -127,15 +127,15 @@ class Encoder:
         self.beyond = re.compile(f"[{chr(LATIN)}-\U0010ffff]").search
         self.newer = re.compile(f"[{vocabulary.newer}]").search if vocabulary.newer else lambda _: None
         self.size = len(vocabulary.tokens)
-        self.by_rank = {rank: (pair // self.size, pair % self.size, new) for pair, (rank, new) in vocabulary.ranks.items()}
+        self.index = PairIndex(vocabulary.ranks, self.size)
+        self.by_rank = self.index.by_rank
         none = len(vocabulary.ranks)
-        self.pairs = np.full((256, 256), none, dtype=np.int64)
+        self.pairs = np.full((256, 256), none, dtype=np.int32)
         byte = {int(t): b for b, t in enumerate(vocabulary.first)}
         for rank, (a, b, _) in self.by_rank.items():
             if a in byte and b in byte:
                 self.pairs[byte[a], byte[b]] = rank
         self.none = none
-        self.index = PairIndex(vocabulary.ranks, self.size)
         special = "|".join(regex.escape(t) for t, _ in vocabulary.added)
         self.special = regex.compile(f"({special})").split if special else None
         self.special_id = dict(vocabulary.added)
@@ -186,14 +186,17 @@ class Encoder:
         closing = np.cumsum(sizes + 1) - 1
         inside = np.ones(len(data), dtype=bool)
         inside[closing] = False
-        symbols = np.where(inside, self.v.first[data], -1)
+        symbols = self.v.first.astype(np.int32)[data]
+        symbols[closing] = -1
         for i, p in enumerate(pieces):
             if isinstance(p, tuple):
                 symbols[closing[i]] = -2 - self.special_id[p[0]]
-        rank = np.where(inside[:-1] & inside[1:], self.pairs[data[:-1], data[1:]], self.none)
-        at = np.flatnonzero(rank < self.none)
+        rank = self.pairs[data[:-1], data[1:]]
+        rank[~(inside[:-1] & inside[1:])] = self.none
+        at = np.flatnonzero(rank < self.none).astype(np.int32)
         at = at[np.argsort(rank[at], kind="stable")]
         ranks, begin = np.unique(rank[at], return_index=True)
+        del rank
         where = dict(zip(ranks.tolist(), np.split(at, begin[1:]))) if len(at) else {}
         if self.index.ascending:
             out = self.index.merge(symbols, where)
@@ -227,14 +230,14 @@ class PairIndex:
         """The rank of each pair; -1 for none, or where a symbol is no token."""
         if not len(self.keys):
             return np.full(len(left), -1, dtype=np.int64)
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[i] == key) & (left >= 0) & (right >= 0), self.rank[i], -1)
 
     def merge(self, sym: np.ndarray, where: dict[int, np.ndarray]) -> np.ndarray:
         """Applies the ranks of the index in ascending order; slots that are merged away get -1."""
         n = len(sym)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         lists = {r: [x] for r, x in where.items()}
         heap = list(lists)
         heapq.heapify(heap)
@@ -384,10 +387,16 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decoding(vocabulary.tokens), f"doc_id {kind}, ids binary, text string")
 
 
+def there_and_back(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids, text): ``encode`` and ``decode`` in the same Python worker, one per task instead of two."""
+    to_ids, to_text = encoding(vocabulary), decoding(vocabulary.tokens)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: to_text(to_ids(batches)), f"doc_id {kind}, ids binary, text string")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: number of tokens, digest of the ids, digest of the decoded text."""
-    vocabulary = Vocabulary.load(path)
-    return decode(encode(docs, vocabulary), vocabulary).select(
+    return there_and_back(docs, Vocabulary.load(path)).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

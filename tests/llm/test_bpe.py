@@ -96,3 +96,27 @@ def test_nulls_empty_table_and_other_columns(spark):
     rows = bpe.digests(docs, bpe.default_path()).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 1), (1, 0), (1, 0), (2, 1)]
     assert bpe.digests(docs.limit(0), bpe.default_path()).count() == 0
+
+
+def test_ids_and_texts_come_from_one_worker(spark):
+    """A task that encodes and decodes holds one Python process, and the rows are those of the two operators."""
+    docs = spark.createDataFrame([(1, "one two  two"), (2, None), (2, "é 漢 1\n2<|endoftext|>"), (None, "")], "doc_id long, text string")
+    vocabulary = bpe.Vocabulary.load(bpe.default_path())
+    plan = bpe.digests(docs, bpe.default_path())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    key = lambda r: (r.doc_id or 0, r.text)
+    assert sorted(bpe.there_and_back(docs, vocabulary).collect(), key=key) == sorted(bpe.decode(bpe.encode(docs, vocabulary), vocabulary).collect(), key=key)
+
+
+def test_a_slice_of_new_words_takes_little_memory(vocabulary):
+    """The arrays of the merge have 32 bits: less than 50 bytes at the peak for each byte of a slice."""
+    import tracemalloc
+
+    r = random.Random(5)
+    words = [" " + "".join(r.choices("etaoinshrdlu", k=9)) for _ in range(60_000)]
+    encoder = bpe.Encoder(vocabulary)
+    tracemalloc.start()
+    encoder._apply(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * 600_000
