@@ -8,6 +8,10 @@ computed in tasks from whole texts, in slices of bounded bytes. Two more weigh e
 the share of toxic rows among the training rows that hold it (drawn towards the share of its list),
 so that a listed word that is harmless in this corpus counts little.
 
+Insults that no list has are learned: words and starts of words, in any language, that the toxic
+training rows hold much oftener than the others (``learned``). They are counted in Spark, and the
+``LEXICON`` that tell most go with the tasks. Their weights are log ratios of those rates.
+
 Trees are fitted on the driver from at most ``SAMPLE`` labelled rows, picked by a hash of the id.
 The calibration maps the trees' scores to the share of toxic rows: it is fitted on the scores that
 each row gets from trees grown without its fold. Both go with the scoring tasks, a few hundred kB.
@@ -20,6 +24,7 @@ often as they occur; with labels of one class only every score is near that clas
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +40,12 @@ from reposcope.llm.quality_trees import Trees, fit
 
 #: labelled rows that the trees are fitted on at most
 SAMPLE = 20_000
+#: learned words and starts at most; toxic rows that hold one, and how much oftener, at least
+LEXICON, LEAST_ROWS, LEAST_RATIO = 2_000, 4, 2.0
+#: lengths of the starts of words
+STARTS = range(4, 9)
+#: words that a task remembers, and counts that it keeps, before it starts afresh
+REMEMBERED = 300_000
 #: rows whose remainder modulo the first number is the second are held out
 HELD_OUT = (3, 1)
 TOXIC_AT = 0.7
@@ -75,7 +86,7 @@ FEATURES = (
     "mixed_words", "capitals", "shouted", "exclaims", "questions", "punctuation", "punctuation_runs", "log_words", "first_insult",
 )
 #: features that need the weights of the listed words
-WEIGHED = ("weight_density", "surest_word")
+WEIGHED = ("weight_density", "surest_word", "learned_sum", "learned_density", "learned_surest", "learned_kinds")
 #: rows that the list's share counts as in the weight of a word
 DRAWN = 2.0
 
@@ -99,8 +110,26 @@ def revealed(token: str) -> str:
     return next((w for w in (plain, twice, once) if w in _LISTED), "")
 
 
-def features(text: str) -> tuple[list[float], Counter]:
-    """The features of one text, in the order of ``FEATURES``, and its listed words."""
+def units(word: str) -> list[str]:
+    """A word and its starts, marked so that neither is a listed word."""
+    return [f"={word}", *(f"^{word[:n]}" for n in STARTS if n < len(word))]
+
+
+class Lexicon(dict):
+    """The learned units of each word, found when a word is first met."""
+
+    def __init__(self, learned: frozenset[str] = frozenset()):
+        self.learned = learned
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = found = tuple(u for u in units(word) if u in self.learned)
+        return found
+
+
+def features(text: str, lexicon: Lexicon | None = None) -> tuple[list[float], Counter]:
+    """The features of one text, in the order of ``FEATURES``, and its listed words and learned units."""
     words = _WORD.findall(text.lower())
     n, size = max(len(words), 1), max(len(text), 1)
     bad = [i for i, w in enumerate(words) if w in INSULTS]
@@ -134,16 +163,23 @@ def features(text: str) -> tuple[list[float], Counter]:
         "first_insult": bad[0] / n if bad else 1.0,
     }
     listed = Counter([words[i] for i in (*bad, *threats)] + hidden)
+    if lexicon is not None and lexicon.learned:
+        for w, c in Counter(words).items():
+            for u in lexicon[w]:
+                listed[u] += c
     return [float(value[f]) for f in FEATURES], listed
 
 
-def matrix(texts: list[str | None]) -> tuple[np.ndarray, list[Counter]]:
-    rows = [features(t or "") for t in texts]
+def matrix(texts: list[str | None], lexicon: Lexicon | None = None) -> tuple[np.ndarray, list[Counter]]:
+    rows = [features(t or "", lexicon) for t in texts]
     return np.array([r[0] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES)), [r[1] for r in rows]
 
 
 def word_weights(listed: list[Counter], y: np.ndarray) -> dict[str, float]:
-    """Share of toxic rows among those that hold a word, for every listed word."""
+    """Share of toxic rows among those that hold a word, for every listed word.
+
+    For learned units it is how much oftener toxic rows hold them, as a logarithm, 0 at least.
+    """
     share = float(y.mean()) if len(y) else 0.5
     seen, toxic = Counter(), Counter()
     for words, label in zip(listed, y):
@@ -153,16 +189,21 @@ def word_weights(listed: list[Counter], y: np.ndarray) -> dict[str, float]:
     for group in (INSULTS, THREATS):
         pooled = (sum(toxic[w] for w in group) + DRAWN * share) / (sum(seen[w] for w in group) + DRAWN)
         out |= {w: (toxic[w] + DRAWN * pooled) / (seen[w] + DRAWN) for w in group}
-    return out
+    bad, good = float((y > 0.5).sum()) + 1, float((y <= 0.5).sum()) + 1
+    of = lambda u: math.log((toxic[u] + 0.5) / bad * good / (seen[u] - toxic[u] + 0.5))
+    return out | {u: max(of(u), 0.0) for u in seen if u not in out}
 
 
 def weighed(x: np.ndarray, listed: list[Counter], weights: dict[str, float]) -> np.ndarray:
     """The features with those of ``WEIGHED`` beside them."""
     more = np.zeros((len(x), len(WEIGHED)))
     for i, words in enumerate(listed):
-        if words:
-            more[i] = sum(c * weights[w] for w, c in words.items()), max(map(weights.__getitem__, words))
-    more[:, 0] /= np.maximum(np.expm1(x[:, FEATURES.index("log_words")]), 1)
+        if known := [(c, weights[w]) for w, c in words.items() if w in _LISTED]:
+            more[i, :2] = sum(c * v for c, v in known), max(v for _, v in known)
+        if found := sorted((weights.get(u, 0.0), c) for u, c in words.items() if u not in _LISTED):
+            total = sum(c * v for v, c in found)
+            more[i, 2:] = total, total, found[-1][0], sum(v > 1 for v, _ in found)
+    more[:, [0, 3]] /= np.maximum(np.expm1(x[:, [FEATURES.index("log_words")]]), 1)
     return np.hstack([x, more])
 
 
@@ -213,8 +254,39 @@ def train(x: np.ndarray, listed: list[Counter], y: np.ndarray, fold: np.ndarray)
     return Model(weights, trees, *isotonic(raw, y))
 
 
+def learned(joined: DataFrame, toxic: float, clean: float, at_most: int = LEXICON) -> frozenset[str]:
+    """The units that tell toxic rows best, by the rows of either label that hold them.
+
+    joined: (text, _y). Tasks send one row per unit and ``REMEMBERED`` counts, never one per word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, bad = Counter(), Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([bad[u] for u in seen], pa.int64())], ["unit", "n", "bad"])
+
+        for b in text_slices(batches, 0, SLICE_BYTES):
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held = {u for w in set(_WORD.findall((text or "").lower())) for u in units(w)}
+                seen.update(held)
+                if y > 0.5:
+                    bad.update(held)
+                if len(seen) > REMEMBERED:
+                    yield told()
+                    seen, bad = Counter(), Counter()
+        yield told()
+
+    counted = joined.select("text", "_y").mapInArrow(run, "unit string, n long, bad long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    ratio = (F.col("bad") + 0.5) / F.lit(toxic + 1) * F.lit(clean + 1) / (F.col("n") - F.col("bad") + 0.5)
+    kept = counted.filter(F.col("bad") >= LEAST_ROWS).select("unit", "bad", ratio.alias("ratio")).filter(F.col("ratio") >= LEAST_RATIO)
+    best = kept.orderBy((F.col("bad") * F.log("ratio")).desc(), "unit").limit(at_most)
+    return frozenset(r.unit for r in best.collect())
+
+
 def sample(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> tuple[np.ndarray, list[Counter], np.ndarray, np.ndarray]:
-    """Features, listed words, labels and folds of at most ``at_most`` labelled rows outside the held-out part."""
+    """Features, listed words and learned units, labels and folds of at most ``at_most`` labelled rows outside the held-out part."""
     mod, out = HELD_OUT
     picked = (
         labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("double").alias("_y"))
@@ -226,9 +298,13 @@ def sample(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> tuple[n
     )
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "_id", "_y", "_fold")
 
+    told = picked.agg(F.count(F.when(F.col("_y") > 0.5, 1)).alias("bad"), F.count(F.lit(1)).alias("n")).first()
+    found = learned(joined, told.bad, told.n - told.bad)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(found)
         for b in text_slices(batches, 0, SLICE_BYTES):
-            x, listed = matrix(b.column(0).to_pylist())
+            x, listed = matrix(b.column(0).to_pylist(), lexicon)
             words = pa.array([sorted(c.items()) for c in listed], pa.map_(pa.string(), pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(list(x), pa.list_(pa.float64())), words], ["id", "y", "fold", "x", "listed"])
 
@@ -243,9 +319,12 @@ def sample(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> tuple[n
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) per document row."""
 
+    found = frozenset(model.weights) - _LISTED
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(found)
         for b in text_slices(batches, 1, SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(*matrix(b.column(1).to_pylist())), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(*matrix(b.column(1).to_pylist(), lexicon)), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")

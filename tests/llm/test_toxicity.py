@@ -83,3 +83,24 @@ def test_cases(spark):
     model = t.train(x, listed, y, fold)
     assert len(y) == 0 and t.score(docs.limit(0), model).count() == 0
     assert {r.score for r in t.score(docs, model).collect()} == {0.5}
+
+
+def test_insults_of_no_list_are_learned(spark):
+    """A root with ever new endings marks the toxic rows; clean rows hold it at most once, or not at all."""
+    words = ["lantar", "moseno", "pirdel", "sukamo", "tenvir", "odrane"]
+    ends = ["an", "eth", "ilo", "orn", "usk", "yma", "ede", "opt"]
+    bad = lambda i: i % 4 == 0
+    text = lambda i: " ".join(words[(i * k) % 6] for k in range(1, 30)) + (f" vromb{ends[i % 8]} x vromb{ends[i // 8 % 8]}" if bad(i) else "")
+    docs = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string")
+    labels = docs.select("doc_id", (t.F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    got = {r.doc_id: r.score for r in t.score(docs, t.train(*t.sample(docs, labels))).collect()}
+    assert {i for i, s in got.items() if s >= t.TOXIC_AT} == {i for i in range(600) if bad(i)}
+
+
+def test_units_and_their_weights():
+    assert t.units("abcdef") == ["=abcdef", "^abcd", "^abcde"] and t.units("abc") == ["=abc"]
+    lexicon = t.Lexicon(frozenset({"^vrom", "=vromba"}))
+    listed = t.features("Vromba vrombi x idiot", lexicon)[1]
+    assert dict(listed) == {"^vrom": 2, "=vromba": 1, "idiot": 1}
+    w = t.word_weights([listed, t.Counter()], np.array([1.0, 0.0]))
+    assert w["^vrom"] == pytest.approx(np.log(1.5 / 2 * 2 / 0.5)) and w["idiot"] < 1
