@@ -11,7 +11,7 @@ from reposcope.plans.catalog import duck, gated_tree, query, readmes, repos, set
 from reposcope.plans.q_context import _HORDER, _RANDOM_FIRST, _single_duck
 from reposcope.plans.q_eval import README_GATE, language_detector, readme_reasons
 from reposcope.plans.q_report import RESPONSES, response_columns
-from reposcope.session import ensure_checkpoint_dir
+from reposcope.session import ensure_checkpoint_dir, merged, stored
 from reposcope.sources import jsonl
 from reposcope.streaming import ingest as ST
 
@@ -34,9 +34,9 @@ FROM repos r WHERE r.repo_id IN (SELECT repo_id FROM tree_ok) AND r.repo_id IN (
 def _write_dataset_q(spark, sf):
     """S5 + P10 + P11 + P17: dataset JSONL of the repositories that pass both
     gates, read back; one row per written line."""
-    ok = readme_reasons(spark, sf).where("reason = 'ok'").select("repo_id")
+    ok = stored(readme_reasons(spark, sf).where("reason = 'ok'").select("repo_id"), "readme-ok")
     path = _run_dir(spark, "dataset")
-    recs = jsonl.dataset_records(gated_tree(spark, sf).join(ok, "repo_id", "left_semi"), readmes(spark, sf), setups(spark, sf), repos(spark, sf))
+    recs = jsonl.dataset_records(gated_tree(spark, sf).join(merged(ok), "repo_id", "left_semi"), readmes(spark, sf), setups(spark, sf), repos(spark, sf))
     jsonl.write_dataset(recs, path)
     back = jsonl.read_records(spark, path)
     return back.select(F.col("meta.full_name").alias("full_name"), F.size("removed_files").alias("n_removed"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.session import cut_lineage
+from reposcope.session import cut_lineage, stored
 
 FILE_JSON = "struct<name:string, excluded:boolean, content:string, children:array<string>>"
 RECORD_SCHEMA = ("struct<repo:string, references:array<string>, setuppy:string, removed_files:array<string>, "
@@ -33,21 +33,22 @@ def _dir_json(name, children_json):
 
 def nest_tree(tree: DataFrame) -> DataFrame:
     """(repo_id, path, name, excluded, content, ord) -> (repo_id, tree_json).
-    Children keep traversal order (smallest ``ord`` below them)."""
-    items = tree.select("repo_id", F.slice("path", 1, F.size("path") - 1).alias("parent"),
-                        _file_json(F.col("name"), F.col("excluded"), F.col("content")).alias("json"),
-                        F.col("ord").alias("okey"))
-    depth = tree.agg(F.max(F.size("path"))).first()[0] or 1
-    for level in range(depth - 1, 0, -1):
-        inner = items.where(F.size("parent") == level)
-        rest = items.where(F.size("parent") != level)
-        dirs = inner.groupBy("repo_id", "parent").agg(
+    Children keep traversal order (smallest ``ord`` below them). The files are
+    stored once, by level; a round reads its own and the folders from below."""
+    files = stored(tree.select("repo_id", F.slice("path", 1, F.size("path") - 1).alias("parent"),
+                               _file_json(F.col("name"), F.col("excluded"), F.col("content")).alias("json"),
+                               F.col("ord").alias("okey"), (F.size("path") - 1).alias("level")), "items", "level")
+    at = lambda level: files.where(F.col("level") == level).drop("level")
+    depth = files.agg(F.max("level")).first()[0] or 0
+    items = at(depth)
+    for level in range(depth, 0, -1):
+        dirs = items.groupBy("repo_id", "parent").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("okey", "json"))), lambda s: s["json"]),
                          ",").alias("children"),
             F.min("okey").alias("okey"))
-        up = dirs.select("repo_id", F.slice("parent", 1, level - 1).alias("parent"),
+        up = dirs.select("repo_id", F.slice("parent", 1, F.lit(level - 1)).alias("parent"),
                          _dir_json(F.element_at("parent", -1), F.col("children")).alias("json"), "okey")
-        items = cut_lineage(rest.unionByName(up))
+        items = at(level - 1).unionByName(cut_lineage(up))
     root = items.groupBy("repo_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("okey", "json"))), lambda s: s["json"]),
                      ",").alias("children"))
@@ -89,9 +90,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.from_json("value", RECORD_SCHEMA).alias("r")).select("r.*")
 
 
-def flatten_tree(records: DataFrame, key: str = "full_name") -> DataFrame:
+def flatten_tree(records: DataFrame, key: str = "full_name", content: bool = True) -> DataFrame:
     """P5: (key, path ARRAY<STRING>, path_str, name, excluded, content, ord).
-    One round per directory level; ``ord`` is the position in traversal order."""
+    One round per directory level, which parses its nodes once; ``ord`` is the
+    position in traversal order. Without ``content`` that column is left out."""
+    texts = ["content"] if content else []
     frontier = records.select(F.col(f"meta.{key}").alias(key), F.array().cast("array<string>").alias("path"),
                               F.array().cast("array<int>").alias("pos"), F.col("repo").alias("json"))
     files = None
@@ -101,18 +104,19 @@ def flatten_tree(records: DataFrame, key: str = "full_name") -> DataFrame:
                                                                        F.array().cast("array<string>"))).alias("i", "json"))
         parsed = kids.select(key, "path", F.concat("pos", F.array("i")).alias("pos"), "json",
                              F.from_json("json", FILE_JSON).alias("c"))
-        leaf = parsed.where(F.col("c.children").isNull()).select(
-            key, F.concat("path", F.array(F.col("c.name"))).alias("path"), "pos",
-            F.col("c.name").alias("name"), F.col("c.excluded").alias("excluded"), F.col("c.content").alias("content"))
-        leaf = cut_lineage(leaf)
+        is_dir = F.col("c.children").isNotNull()
+        level = stored(parsed.select(
+            key, F.concat("path", F.array(F.col("c.name"))).alias("path"), "pos", F.col("c.name").alias("name"),
+            F.col("c.excluded").alias("excluded"), *[F.col(f"c.{t}").alias(t) for t in texts],
+            F.when(is_dir, F.col("json")).alias("json"), F.coalesce(is_dir, F.lit(False)).alias("is_dir")), "level", "is_dir")
+        leaf = level.where(~F.col("is_dir")).drop("json", "is_dir")
         files = leaf if files is None else files.unionByName(leaf)
-        frontier = cut_lineage(parsed.where(F.col("c.children").isNotNull()).select(
-            key, F.concat("path", F.array(F.col("c.name"))).alias("path"), "pos", "json"))
+        frontier = level.where("is_dir").select(key, "path", "pos", "json")
         if frontier.isEmpty():
             break
     from pyspark.sql import Window
     w = Window.partitionBy(key).orderBy("pos")
-    flat = files.select(key, "path", F.array_join("path", "/").alias("path_str"), "name", "excluded", "content",
+    flat = files.select(key, "path", F.array_join("path", "/").alias("path_str"), "name", "excluded", *texts,
                         (F.row_number().over(w) - 1).cast("int").alias("ord"))
     return assert_unique_paths(flat, key)
 

@@ -7,6 +7,7 @@ from reposcope.operators import metrics as M
 from reposcope.operators import sentences as SE
 from reposcope.plans import registry
 from reposcope.session import stored
+from reposcope.sources import jsonl
 
 
 def _plan(df) -> str:
@@ -76,3 +77,31 @@ def test_scores_come_from_stored_counts(spark):
     docs = spark.createDataFrame([("Dr. Who met Dr. No. He left. Then he came. He is Dr. Who.",)] * 3, "text string")
     for scored in (SE.abbreviations(SE.word_counts(docs)), SE.starters(SE.starter_counts(docs, ["dr"]))):
         assert "Generate" not in _plan(scored) and "FileScan parquet" in _plan(scored)
+
+
+def test_trigrams_of_the_training_texts_are_cut_once(spark):
+    docs = spark.createDataFrame([("aaa", "en"), ("bb", "fr"), ("", "de"), (None, "en")], "text string, lang string")
+    counts, lang = M.train_language_model(docs)
+    assert "regexp_extract_all" not in _plan(counts) + _plan(lang)
+    assert sorted((r["lang"], r["gram"], round(r["log_num"], 4)) for r in counts.collect()) == [
+        ("en", " aa", 0.6931), ("en", "aa ", 0.6931), ("en", "aaa", 0.6931), ("fr", " bb", 0.6931), ("fr", "bb ", 0.6931)]
+
+
+RECORD_TREE = [(1, 0, ["src", "a", "x.py"], "x.py", False, "x = 1"), (1, 1, ["src", "b.py"], "b.py", False, None), (1, 2, ["c.py"], "c.py", False, "")]
+
+
+def _nested(spark):
+    rows = spark.createDataFrame(RECORD_TREE, "repo_id long, ord int, path array<string>, name string, excluded boolean, content string")
+    return jsonl.nest_tree(rows)
+
+
+def test_files_are_nested_from_one_stored_table_by_level(spark):
+    nested = _nested(spark)
+    assert "PartitionFilters: [isnotnull(level" in _plan(nested)
+    assert nested.collect()[0]["tree_json"] == (
+        '{"name":"repo","children":[{"name":"src","children":[{"name":"a","children":[{"name":"x.py","excluded":false,"content":"x = 1"}]},'
+        '{"name":"b.py","excluded":false}]},{"name":"c.py","excluded":false,"content":""}]}')
+
+
+def test_no_files_make_no_tree(spark):
+    assert jsonl.nest_tree(spark.createDataFrame([], "repo_id long, ord int, path array<string>, name string, excluded boolean, content string")).collect() == []
