@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from reposcope.functions import patterns as P
 from reposcope.operators import filters as FL
 from reposcope.operators import metrics as M
+from reposcope.session import merged, stored
 from reposcope.sources import jsonl
 
 #: detects languages: (repo_id, raw) -> (repo_id, pred_lang)
@@ -31,19 +32,21 @@ def judged(lines: DataFrame, detector: Detector | None = None) -> DataFrame:
     """(full_name, value, reason) per distinct record with a name: the reason of
     the repository gate (P10) if it rejects, else that of the README gate (P11;
     left out without a ``detector``). Records are judged one by one, also those
-    that share a name."""
-    parsed = lines.select("value", F.from_json("value", jsonl.RECORD_SCHEMA).alias("r")).where("r.meta.full_name IS NOT NULL")
-    recs = parsed.select("value", F.sha2("value", 256).alias("repo_id"), "r.*").dropDuplicates(["repo_id"])
-    files = jsonl.flatten_tree(recs.select("repo", F.struct(F.col("repo_id").alias("full_name")).alias("meta")))
+    that share a name. The records are parsed once, and their trees are flattened
+    without the texts."""
+    distinct = lines.select("value", F.sha2("value", 256).alias("repo_id")).dropDuplicates(["repo_id"])
+    parsed = distinct.select("value", "repo_id", F.from_json("value", jsonl.RECORD_SCHEMA).alias("r")).where("r.meta.full_name IS NOT NULL")
+    recs = stored(parsed.select("value", "repo_id", "r.repo", "r.references", "r.meta"), "records")
+    files = jsonl.flatten_tree(recs.select("repo", F.struct(F.col("repo_id").alias("full_name")).alias("meta")), content=False)
     reasons = FL.repo_gate(files.withColumnRenamed("full_name", "repo_id"), repos=recs).select("repo_id", F.col("reason").alias("files_reason"))
-    out = recs.select("repo_id", F.col("meta.full_name").alias("full_name"), "value").join(reasons, "repo_id")
+    out = recs.select("repo_id", F.col("meta.full_name").alias("full_name"), "value").join(merged(reasons), "repo_id")
     reason = F.col("files_reason")
     if detector is not None:
         readme = F.from_json(F.get("references", F.lit(0)), "struct<name:string, excluded:boolean, content:string>")
         readmes = recs.select("repo_id", readme.alias("f")).where("f.name IS NOT NULL").select("repo_id", "f.*")
         raw = F.substring(M.markdown_text("content", P.RAW_TEXT_MAX_SPANS), 1, P.README_LANG_CHARS)
         gate = FL.readme_gate(recs, readmes, detector(readmes.select("repo_id", raw.alias("raw"))))
-        out = out.join(gate.select("repo_id", F.col("reason").alias("readme_reason")), "repo_id")
+        out = out.join(merged(gate.select("repo_id", F.col("reason").alias("readme_reason"))), "repo_id")
         reason = F.when(reason != "ok", reason).otherwise(F.col("readme_reason"))
     return out.select("full_name", "value", reason.alias("reason"))
 

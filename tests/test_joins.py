@@ -8,6 +8,7 @@ from reposcope.operators import sentences as SE
 from reposcope.plans import registry
 from reposcope.session import stored
 from reposcope.sources import jsonl
+from reposcope.streaming import ingest
 
 
 def _plan(df) -> str:
@@ -105,3 +106,14 @@ def test_files_are_nested_from_one_stored_table_by_level(spark):
 
 def test_no_files_make_no_tree(spark):
     assert jsonl.nest_tree(spark.createDataFrame([], "repo_id long, ord int, path array<string>, name string, excluded boolean, content string")).collect() == []
+
+
+def test_records_are_judged_from_a_stored_table(spark):
+    line = '{"repo":%s,"references":[],"setuppy":null,"removed_files":[],"meta":{"full_name":"u/r"}}' % _nested(spark).collect()[0]["tree_json"]
+    lines = spark.createDataFrame([(line,), (line,), ('{"repo":{"name":"repo","children":[]},"meta":{"full_name":"u/e"}}',), ("no record",), (None,)], "value string")
+    got = ingest.judged(lines)
+    assert "ExistingRDD" not in _plan(got)
+    assert sorted((r["full_name"], r["reason"]) for r in got.collect()) == [("u/e", "no_files"), ("u/r", "ok")]
+    recs = spark.createDataFrame([(line,)], "value string").selectExpr(f"from_json(value, '{jsonl.RECORD_SCHEMA}') AS r").select("r.*")
+    flat = jsonl.flatten_tree(recs, content=False)
+    assert "content" not in flat.columns and [(r["path_str"], r["ord"]) for r in flat.orderBy("ord").collect()] == [("src/a/x.py", 0), ("src/b.py", 1), ("c.py", 2)]
