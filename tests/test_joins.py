@@ -80,6 +80,12 @@ def test_scores_come_from_stored_counts(spark):
         assert "Generate" not in _plan(scored) and "FileScan parquet" in _plan(scored)
 
 
+@pytest.mark.parametrize("name", ["ctx_entrypoint_ranked", "feature_matrix", "group_sizes", "label_model_em", "label_proba", "majority_vote",
+                                  "nonabstain_ratio", "rank_files", "train_ranker", "train_ranker_linear", "votes"])
+def test_queries_over_features_broadcast_nothing(spark, corpus_dir, name):
+    assert "Broadcast" not in _plan(registry.all_queries()[name][0](spark, corpus_dir))
+
+
 def test_trigrams_of_the_training_texts_are_cut_once(spark):
     docs = spark.createDataFrame([("aaa", "en"), ("bb", "fr"), ("", "de"), (None, "en")], "text string, lang string")
     counts, lang = M.train_language_model(docs)
