@@ -1,6 +1,7 @@
 """Work on tables that grow: no join sends a side whole through the driver, texts are read once."""
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from reposcope.operators import graph as G
 from reposcope.operators import metrics as M
@@ -86,6 +87,19 @@ def test_queries_over_features_broadcast_nothing(spark, corpus_dir, name):
     assert "Broadcast" not in _plan(registry.all_queries()[name][0](spark, corpus_dir))
 
 
+@pytest.mark.parametrize("name, steps", [("graph_degree", 1), ("assemble_features", 8), ("train_ranker", 20)])
+def test_steps_before_the_last_broadcast_offsets_alone(spark, corpus_dir, monkeypatch, name, steps):
+    """The tables that are written or checkpointed on the way: their joins are merged too, but for
+    that of ``global_rank`` with a row per partition."""
+    registry.all_queries()["votes"][0](spark, corpus_dir)
+    plans, write, cut = [], DataFrameWriter.parquet, type(spark.range(0)).checkpoint
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (plans.append(_plan(self._df)), write(self, *a, **b))[1])
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda self, *a, **b: (plans.append(_plan(self)), cut(self, *a, **b))[1])
+    registry.all_queries()[name][0](spark, corpus_dir)
+    assert len(plans) >= steps and any("SortMergeJoin" in p for p in plans)
+    assert [x for p in plans for x in p.splitlines() if "Broadcast" in x and "Join" in x and "_pid" not in x] == []
+
+
 def test_trigrams_of_the_training_texts_are_cut_once(spark):
     docs = spark.createDataFrame([("aaa", "en"), ("bb", "fr"), ("", "de"), (None, "en")], "text string, lang string")
     counts, lang = M.train_language_model(docs)
