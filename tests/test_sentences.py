@@ -74,3 +74,15 @@ def test_counts_and_scores_match_plain_python(spark):
         if a and score >= SE.ABBREVIATION:
             scores[base] = round(score, 4)
     assert {r.base: round(r.score, 4) for r in SE.abbreviations(SE.word_counts(docs)).collect()} == scores
+
+
+def test_summaries_by_words_beyond_the_constants(spark, monkeypatch):
+    from reposcope.operators import metrics as M
+
+    texts = corpus(120)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = [(k % 7, a, b) for k, (a, b) in enumerate(zip(texts[:20] + [None, ""], texts[20:40] + ["x.", None]))]
+    pairs = spark.createDataFrame(rows, "pair_id int, prediction string, reference string")
+    want = sorted(M.rouge_lsum(pairs, model=SE.learn(docs)).collect())
+    monkeypatch.setattr(SE, "MOST", 1)
+    assert sorted(M.rouge_lsum(pairs, model=SE.learn(docs)).collect()) == want
