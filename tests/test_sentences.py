@@ -76,6 +76,37 @@ def test_counts_and_scores_match_plain_python(spark):
     assert {r.base: round(r.score, 4) for r in SE.abbreviations(SE.word_counts(docs)).collect()} == scores
 
 
+ODD = ["The dr. Lind sang home. Then prof. Holm (slept) again... The end", "Then prof. The dr. Then\nThe prof.\n\n dr. lind", "", " \n ", None]
+
+
+def _all_sentences(docs, model):
+    return sorted(((r.text, r.s) for r in SE.split(docs, "text", "s", model).collect()), key=repr)
+
+
+def test_words_beyond_the_constants_are_joined(spark, monkeypatch):
+    texts = corpus(200) + ODD + ODD  # texts may repeat
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = SE.learn(docs)
+    assert len(whole.abbreviations) == len(whole.starters) == 2 and whole.more is None
+    want = sorted(((t, s) for t, s in docs.select("text", SE.sentences("text", whole).alias("s")).collect()), key=repr)
+    assert ("Then prof. The dr. Then\nThe prof.\n\n dr. lind", ["Then prof.", "The dr.", "Then", "The prof.", "dr. lind"]) in want
+    for most in (1, 0):
+        monkeypatch.setattr(SE, "MOST", most)
+        model = SE.learn(docs)
+        assert len(model.abbreviations) == len(model.starters) == most
+        more = {(r.starts, r.word) for r in model.more.collect()}
+        assert more | {(False, w) for w in model.abbreviations} | {(True, w) for w in model.starters} == {(False, "dr"), (False, "prof"), (True, "the"), (True, "then")}
+        assert _all_sentences(docs, model) == want
+
+
+def test_starters_are_counted_behind_all_abbreviations(spark):
+    docs = spark.createDataFrame([(t,) for t in corpus(50) + ODD], "text string")
+    want = sorted(SE.starter_counts(docs, ["dr", "prof"]).collect())
+    more = spark.createDataFrame([("prof",), ("dr",), ("etc",)], "word string")
+    assert sorted(SE.starter_counts(docs, [], more=more).collect()) == want
+    assert sorted(SE.starter_counts(docs, ["dr"], more=more.where("word <> 'dr'")).collect()) == want
+
+
 def test_summaries_by_words_beyond_the_constants(spark, monkeypatch):
     from reposcope.operators import metrics as M
 
@@ -86,3 +117,15 @@ def test_summaries_by_words_beyond_the_constants(spark, monkeypatch):
     want = sorted(M.rouge_lsum(pairs, model=SE.learn(docs)).collect())
     monkeypatch.setattr(SE, "MOST", 1)
     assert sorted(M.rouge_lsum(pairs, model=SE.learn(docs)).collect()) == want
+
+
+def test_a_thousand_abbreviations_and_more_are_known(spark):
+    b = "bcdfghjklmnpqrstvwxz"
+    shorts = [x + y + z for x in b for y in b for z in b][:SE.MOST + 50]
+    texts = [" ".join(f"one day we saw {s}. and went on" for s in shorts[lo:lo + 10]) + " for a day." for lo in range(0, len(shorts), 10)]
+    docs = spark.createDataFrame([(t,) for t in texts for _ in range(40)], "text string")
+    model = SE.learn(docs)
+    assert len(model.abbreviations) == SE.MOST
+    assert {r.word for r in model.more.where("NOT starts").collect()} | set(model.abbreviations) == set(shorts)
+    text = " ".join(f"{s}. Ab," for s in shorts)
+    assert SE.split(spark.createDataFrame([(text,)], "t string"), "t", "s", model).first()["s"] == [text]
