@@ -9,8 +9,9 @@ consecutive strings with one anchor form a fragment. The space of anchors is dea
 
 1. Each batch sends the anchors it holds; a bucket tells it which of them other batches hold too.
 2. For those anchors the batch sends its suffix array, the sorted distinct fragments. A bucket takes
-   the batches in order. It scans each new array against its levels, then adds it as a level of
-   rank 0; two levels of equal rank merge into one of the next, so there are logarithmically many.
+   the batches in order, a group of small arrays at a time. It scans a group against its levels, and
+   each array against those before it in the group, then adds the group as a level of rank 0; two
+   levels of equal rank merge into one of the next, so there are logarithmically many.
    Fragments that no level holds as a whole are looked up string by string in a second family,
    which holds the strings of the anchors that have several fragments. Bytes are compared, always.
 3. The batch gets a bit per string (does it start in an earlier batch?), adds what repeats within
@@ -26,7 +27,6 @@ cuts may fall within a character, so kept text is binary. Other columns are igno
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from reposcope.llm.common import pack_sorted, shard_bounds, shard_of, table, unpack_sorted
 from reposcope.llm.jaccard import NO_ID, by_group
-from reposcope.llm.shingles import _BYTE, _INVERSE, mix, powers
+from reposcope.llm.shingles import _BASE, _BYTE, _INVERSE, mix, powers
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -45,19 +45,16 @@ BATCH_BYTES = 4 << 20
 #: text per bucket of anchors; a sixteenth of its bytes become anchors of eight bytes
 BUCKET_BYTES = 32 << 20
 HEAVY = 1 << 16
+#: bytes of fragments that a bucket scans at a time, or one batch's
+GROUP_BYTES = 4 << 20
 END = 0xFF  # closes a stored string; no UTF-8 text holds this byte
 
 _FRAGMENT = 8 + LENGTH + MOST - 1 + 1  # anchor, bytes, END
-_STRING = LENGTH + 1
-_SHIFTS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _shifts(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, kept for the next batch of the task."""
-    if not _SHIFTS or next(iter(_SHIFTS)) < n:
-        _SHIFTS.clear()
-        _SHIFTS[n + 1] = powers(n + 1), powers(n + 1, _INVERSE)
-    return next(iter(_SHIFTS.values()))
+_STRING = 8 + LENGTH + 1  # hash, bytes, END
+_BLOCK = 1 << 15  # places hashed at a time, within the processor's cache
+_CODEC = pa.Codec("zstd", 1)
+#: powers of the hash base and of its inverse; those of further places are products with a power per block
+_FORTH, _BACK = powers(_BLOCK + SPAN), powers(_BLOCK + SPAN, _INVERSE)
 
 
 class Batch:
@@ -74,36 +71,45 @@ class Batch:
         self.begin = np.cumsum(self.sizes) - self.sizes
         self._fragments()
 
-    def hashes(self, at: np.ndarray | slice, size: int) -> np.ndarray:
+    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
         """64-bit hashes of the ``size`` bytes from each place on."""
         with np.errstate(over="ignore"):
-            _, back = _shifts(len(self.data))
-            if isinstance(at, slice):
-                n = len(self.total) - size
-                return mix((self.total[size:] - self.total[:n]) * back[:n])
-            return mix((self.total[at + size] - self.total[at]) * back[at])
+            back = _BACK[at & (_BLOCK - 1)] * self.back[at // _BLOCK]
+            return mix((self.total[at + size] - self.total[at]) * back)
+
+    def _lowest(self, n: int) -> np.ndarray:
+        """The smallest hash of the grams of the string at each of the first ``n`` places."""
+        out = np.empty(n, dtype=np.uint64)
+        for lo in range(0, n, _BLOCK):
+            hi = min(lo + _BLOCK, n) + SPAN - 1
+            back = _BACK[: hi - lo] * self.back[lo // _BLOCK]
+            low = mix((self.total[lo + GRAM : hi + GRAM] - self.total[lo:hi]) * back)
+            reach = 1
+            while reach < SPAN:  # smallest of ``reach`` grams, doubled until it spans a string
+                step = min(reach, SPAN - reach)
+                low = np.minimum(low[:-step], low[step:])
+                reach += step
+            out[lo : lo + _BLOCK] = low
+        return out
 
     def _fragments(self) -> None:
         """start, strings (how many), anchor, owner (document) of each fragment."""
         n = len(self.data)
         with np.errstate(over="ignore"):
             self.total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self.data] * _shifts(n)[0][:n], dtype=np.uint64, out=self.total[1:])
+            forth, self.back = (powers(n // _BLOCK + 1, np.uint64(pow(int(x), _BLOCK, 1 << 64))) for x in (_BASE, _INVERSE))
+            for lo in range(0, n, _BLOCK):
+                part = _BYTE[self.data[lo : lo + _BLOCK]] * (_FORTH[: min(_BLOCK, n - lo)] * forth[lo // _BLOCK])
+                part[0] += self.total[lo]
+                np.cumsum(part, dtype=np.uint64, out=self.total[lo + 1 : lo + 1 + len(part)])
         many = np.maximum(self.sizes - LENGTH + 1, 0)
         if not many.any():
-            self.start = self.strings = self.owner = np.empty(0, np.int64)
-            self.anchor = np.empty(0, np.uint64)
+            self.start = self.strings = self.owner = self.of_anchor = np.empty(0, np.int64)
+            self.anchor = self.anchors = np.empty(0, np.uint64)
             return
-        low = self.hashes(slice(None), GRAM)
-        reach = 1
-        while reach < SPAN:  # smallest of ``reach`` grams, doubled until it spans a string
-            step = min(reach, SPAN - reach)
-            low = np.minimum(low[:-step], low[step:])
-            reach += step
-        valid = np.zeros(len(low) + 1, dtype=np.int8)
-        np.add.at(valid, self.begin[many > 0], 1)
-        np.add.at(valid, (self.begin + many)[many > 0], -1)
-        valid = np.cumsum(valid[:-1]).astype(bool)
+        with np.errstate(over="ignore"):
+            low = self._lowest(n - LENGTH + 1)
+        valid = np.repeat(np.tile([True, False], len(many)), np.stack([many, self.sizes - many], axis=1).reshape(-1))[: len(low)]
         new = np.ones(len(low), dtype=bool)
         new[1:] = low[1:] != low[:-1]
         new[self.begin[many > 0]] = True
@@ -120,6 +126,11 @@ class Batch:
             start, owner, strings = np.repeat(start, pieces) + k * MOST, np.repeat(owner, pieces), np.repeat(strings, pieces)
             strings = np.minimum(strings - k * MOST, MOST)
         self.start, self.strings, self.owner, self.anchor = start, strings, owner, low[start]
+        # the distinct anchors, which of them each fragment has, and the fragments by anchor
+        self.by_anchor = np.argsort(self.anchor)
+        self.anchors, self.heads, of = _heads(self.anchor[self.by_anchor])
+        self.of_anchor = np.empty(len(of), dtype=np.int64)
+        self.of_anchor[self.by_anchor] = of
 
     def stored(self, which: np.ndarray) -> np.ndarray:
         """Fragments as fixed-width strings: anchor, bytes, END."""
@@ -127,16 +138,15 @@ class Batch:
         out[:, :8] = self.anchor[which].astype(">u8").view(np.uint8).reshape(-1, 8)
         size = self.strings[which] + LENGTH - 1
         cell = np.arange(_FRAGMENT - 9)
-        place = np.minimum(self.start[which][:, None] + cell, len(self.data) - 1)
-        out[:, 8:-1] = np.where(cell < size[:, None], self.data[place], 0) if len(which) else 0
+        if len(which):
+            wide = np.concatenate([self.data, np.zeros(len(cell), dtype=np.uint8)])
+            np.multiply(np.lib.stride_tricks.sliding_window_view(wide, len(cell))[self.start[which]], cell < size[:, None], out=out[:, 8:-1])
         out[np.arange(len(which)), 8 + size] = END
         return out.reshape(-1).view(f"S{_FRAGMENT}")
 
     def single(self, places: np.ndarray) -> np.ndarray:
-        """The strings that begin at the places, with END."""
-        out = np.full((len(places), _STRING), END, dtype=np.uint8)
-        out[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[places] if len(places) else 0
-        return out.reshape(-1).view(f"S{_STRING}")
+        """The strings that begin at the places, with hash and END."""
+        return _filed(np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[places] if len(places) else np.empty((0, LENGTH), np.uint8))
 
     def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin of every string of the fragments, and the fragment's position in ``which``."""
@@ -146,11 +156,41 @@ class Batch:
 
 
 # ---- levels ------------------------------------------------------------------------------
+def _heads(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, where each begins, and which of them each element is."""
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return x[at], at, np.cumsum(new) - 1
+
+
+def _filed(cells: np.ndarray) -> np.ndarray:
+    """Strings of LENGTH bytes, one per row, behind a hash of theirs that makes their order cheap."""
+    out = np.full((len(cells), _STRING), END, dtype=np.uint8)
+    out[:, 8:-1] = cells
+    whole = LENGTH // 8 * 8
+    h = np.zeros(len(cells), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for word in (*np.ascontiguousarray(cells[:, :whole]).view(np.uint64).T, *cells[:, whole:].T.astype(np.uint64)):
+            h = mix(h ^ word) * _BYTE[0]
+    out[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.reshape(-1).view(f"S{_STRING}")
+
+
+def _prefix(strings: np.ndarray) -> np.ndarray:
+    """The first eight bytes, in the order of the strings: an anchor, or a string's hash."""
+    cells = strings.view(np.uint8).reshape(len(strings), strings.dtype.itemsize)[:, :8]
+    out = np.zeros((len(strings), 8), dtype=np.uint8)
+    out[:, : cells.shape[1]] = cells
+    return out.view(">u8").reshape(-1).astype(np.uint64)
+
+
 class Family:
     """Sorted arrays of strings; two of equal rank merge into one of the next rank."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, np.ndarray]] = []
+        self.prefixes: list[np.ndarray] = []  # of the levels
 
     def add(self, batch: np.ndarray) -> None:
         """``batch`` is sorted and holds nothing that a level holds."""
@@ -159,34 +199,52 @@ class Family:
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             _, old = self.levels.pop()
+            self.prefixes.pop()
             batch = np.sort(np.concatenate([old, batch]), kind="stable")  # merges two runs
             rank += 1
         self.levels.append((rank, batch))
+        self.prefixes.append(_prefix(batch))
 
     def holds(self, batch: np.ndarray) -> np.ndarray:
         """Which of the sorted strings a level holds."""
         found = np.zeros(len(batch), dtype=bool)
-        for _, level in self.levels:
-            at = np.minimum(np.searchsorted(level, batch), len(level) - 1)
-            found |= level[at] == batch
+        prefix = _prefix(batch)
+        for (_, level), there in zip(self.levels, self.prefixes):
+            at = np.minimum(np.searchsorted(there, prefix), len(level) - 1)
+            same = np.flatnonzero(there[at] == prefix)
+            hit = level[at[same]] == batch[same]
+            found[same[hit]] = True
+            # strings that share a prefix with others are searched as a whole
+            same, at = same[~hit], at[same[~hit]]
+            same = same[(at + 1 < len(level)) & (there[np.minimum(at + 1, len(level) - 1)] == prefix[same])]
+            if len(same):
+                at = np.minimum(np.searchsorted(level, batch[same]), len(level) - 1)
+                found[same] |= level[at] == batch[same]
         return found
 
 
-def _anchors(fragments: np.ndarray) -> np.ndarray:
-    return fragments.view(np.uint8).reshape(-1, _FRAGMENT)[:, :8].copy().view(">u8").reshape(-1).astype(np.uint64)
-
-
 def _strings(fragments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every string of the stored fragments, which fragment it is of, and its number there."""
     cells = fragments.view(np.uint8).reshape(-1, _FRAGMENT)
     n = np.char.str_len(fragments) - 9 - LENGTH + 1 if len(fragments) else np.empty(0, np.int64)
     k = np.repeat(np.arange(len(fragments)), n)
     number = np.arange(len(k)) - (np.cumsum(n) - n)[k]
-    out = np.full((len(k), _STRING), END, dtype=np.uint8)
-    if len(k):
-        view = np.lib.stride_tricks.sliding_window_view(cells, LENGTH, axis=1)
-        out[:, :LENGTH] = view[k, 8 + number]
-    return out.reshape(-1).view(f"S{_STRING}"), k, number
+    if not len(k):
+        return _filed(np.empty((0, LENGTH), np.uint8)), k, number
+    return _filed(np.lib.stride_tricks.sliding_window_view(cells, LENGTH, axis=1)[k, 8 + number]), k, number
+
+
+def _first_seen(strings: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct strings, the smallest batch of each, and which of them each string is."""
+    prefix = _prefix(strings)
+    order = np.lexsort((batch, prefix))
+    same = prefix[order[1:]] == prefix[order[:-1]]
+    if (strings[order[1:][same]] != strings[order[:-1][same]]).any():  # a prefix of several strings
+        order = np.lexsort((batch, strings))
+    values, at, of = _heads(strings[order])
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = of
+    return values, batch[order[at]], back
 
 
 class Bucket:
@@ -196,57 +254,65 @@ class Bucket:
         self.fragments, self.strings, self.dealt = Family(), Family(), Family()
         self.several = np.empty(0, np.uint64)  # anchors whose strings are in ``strings``
 
-    def scan(self, batch: np.ndarray) -> np.ndarray:
-        """Per sorted fragment a bit per string: does an earlier batch hold it? Then adds the batch."""
-        out = np.zeros(len(batch), dtype=np.uint32)
-        whole = self.fragments.holds(batch)
-        out[whole] = np.uint32((1 << MOST) - 1)
+    def scan(self, batches: list[np.ndarray]) -> list[np.ndarray]:
+        """Per fragment of the batches, which come in order, a bit per string: does an earlier batch hold it? Then adds them."""
+        number = np.repeat(np.arange(len(batches)), [len(x) for x in batches])
+        distinct, first, of = _first_seen(np.concatenate(batches), number)
+        bits = np.zeros(len(distinct), dtype=np.uint32)  # of the first batch with a fragment; others hold it whole
+        whole = self.fragments.holds(distinct)
+        bits[whole] = np.uint32((1 << MOST) - 1)
         rest = np.flatnonzero(~whole)
-        anchor = _anchors(batch[rest])
+        anchor = _prefix(distinct[rest])
         met = np.zeros(len(rest), dtype=bool)
+        met[1:] |= anchor[1:] == anchor[:-1]
+        met[:-1] |= anchor[1:] == anchor[:-1]
         fresh = np.setdiff1d(anchor, self.several)
         known = []
-        for _, level in self.fragments.levels:
-            there = _anchors(level)
-            lo, hi = np.searchsorted(there, anchor), np.searchsorted(there, anchor, side="right")
-            met |= hi > lo
+        for (_, level), there in zip(self.fragments.levels, self.fragments.prefixes):
+            at = np.searchsorted(there, anchor)
+            met |= there[np.minimum(at, len(there) - 1)] == anchor
             lo, hi = np.searchsorted(there, fresh), np.searchsorted(there, fresh, side="right")
             n = hi - lo
             known.append(level[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
         if met.any():
             # an anchor gets its second fragment: from now on its strings are filed one by one
             self.several = np.union1d(self.several, anchor[met])
-            old = np.concatenate(known) if known else batch[:0]
+            old = np.concatenate(known) if known else distinct[:0]
             if len(old):
                 text = np.unique(_strings(old)[0])
                 self.strings.add(text[~self.strings.holds(text)])
-            text, k, number = _strings(batch[rest[met]])
-            text, back = np.unique(text, return_inverse=True)
+            some = rest[met]
+            text, k, place = _strings(distinct[some])
+            text, earliest, back = _first_seen(text, first[some[k]])
             held = self.strings.holds(text)
-            hit = held[back]
-            np.bitwise_or.at(out, rest[met][k[hit]], np.uint32(1) << number[hit].astype(np.uint32))
+            hit = held[back] | (earliest[back] < first[some[k]])
+            np.bitwise_or.at(bits, some[k[hit]], np.uint32(1) << place[hit].astype(np.uint32))
             self.strings.add(text[~held])
-        self.fragments.add(batch[rest])
-        return out
+        self.fragments.add(distinct[rest])
+        out = np.where(number == first[of], bits[of], np.uint32((1 << MOST) - 1))
+        return np.split(out, np.cumsum([len(x) for x in batches])[:-1])
 
-    def scan_strings(self, batch: np.ndarray) -> np.ndarray:
-        held = self.dealt.holds(batch)
-        self.dealt.add(batch[~held])
-        return held
+    def scan_strings(self, batches: list[np.ndarray]) -> list[np.ndarray]:
+        number = np.repeat(np.arange(len(batches)), [len(x) for x in batches])
+        distinct, first, of = _first_seen(np.concatenate(batches), number)
+        held = self.dealt.holds(distinct)
+        self.dealt.add(distinct[~held])
+        return np.split(held[of] | (first[of] < number), np.cumsum([len(x) for x in batches])[:-1])
 
 
 # ---- tasks -------------------------------------------------------------------------------
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+    return x.nbytes.to_bytes(8, "little") + (_CODEC.compress(x.tobytes(), asbytes=True) if len(x) else b"")
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+    size = int.from_bytes(x[:8], "little")
+    return np.frombuffer(_CODEC.decompress(x[8:], size) if size else b"", kind)
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions) of the keys by their lower bits, positions in ascending order."""
-    b = (keys & np.uint64(buckets - 1)).astype(np.int64)
+    b = (keys & np.uint64(buckets - 1)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(b, kind="stable")
     cuts = np.searchsorted(b[order], np.arange(buckets + 1))
     for k in range(buckets):
@@ -257,7 +323,7 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray
 def _holding(buckets: int):
     def run(key, rows):  # without type hints: Spark would read them
         batch = Batch(rows)
-        anchors, n = np.unique(batch.anchor, return_counts=True)
+        anchors, n = batch.anchors, np.bincount(batch.of_anchor, minlength=len(batch.anchors))
         out = [(key[0].as_py(), b, pack_sorted(anchors[at]), _pack(np.minimum(n[at], 0xFFFF).astype(np.uint16))) for b, at in _by_bucket(anchors, buckets)]
         return _table(out, _HELD)
 
@@ -284,12 +350,12 @@ class _Shared:
 
     def __init__(self, rows: pa.Table, flags: pa.Table, buckets: int):
         self.batch, self.buckets = Batch(rows), buckets
-        anchors = np.unique(self.batch.anchor)
+        anchors = self.batch.anchors
         flag = np.zeros(len(anchors), dtype=np.uint8)
         told = {b: _unpack(f, np.uint8) for b, f in zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist())}
         for b, at in _by_bucket(anchors, buckets):
             flag[at] = told[b]
-        of = flag[np.searchsorted(anchors, self.batch.anchor)] if len(anchors) else np.empty(0, np.uint8)
+        of = flag[self.batch.of_anchor]
         self.shared = np.flatnonzero(of == 1)
         self.fragments, self.of_fragment = np.unique(self.batch.stored(self.shared), return_inverse=True)
         self.places, _ = self.batch.places(np.flatnonzero(of == 2))
@@ -298,7 +364,7 @@ class _Shared:
 
     def parts(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """bucket -> positions of its fragments, and of its strings."""
-        out = {b: (at, np.empty(0, np.int64)) for b, at in _by_bucket(_anchors(self.fragments), self.buckets)}
+        out = {b: (at, np.empty(0, np.int64)) for b, at in _by_bucket(_prefix(self.fragments), self.buckets)}
         for b, at in _by_bucket(self.string_hash, self.buckets):
             out[b] = (out.get(b, (np.empty(0, np.int64),))[0], at)
         return out
@@ -323,13 +389,26 @@ def _scanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, bucket = None, Bucket()
     for t in batches:
         for lo in range(0, t.num_rows, 64):
-            out = []
-            for c, b, flags, fragments, strings in zip(*(x.to_pylist() for x in t.slice(lo, 64).columns)):
-                if b != at:
-                    at, bucket = b, Bucket()
-                bits = bucket.scan(_unpack(fragments, f"S{_FRAGMENT}"))
-                held = bucket.scan_strings(_unpack(strings, f"S{_STRING}"))
-                out.append((c, b, flags, _pack(bits), _pack(held)))
+            out, group, size = [], [], 0
+
+            def scanned() -> None:
+                """What the bucket says of the group, which it then holds."""
+                if group:
+                    bits = bucket.scan([_unpack(x[3], f"S{_FRAGMENT}") for x in group])
+                    held = bucket.scan_strings([_unpack(x[4], f"S{_STRING}") for x in group])
+                    out.extend((*x[:3], _pack(f), _pack(w)) for x, f, w in zip(group, bits, held))
+                    group.clear()
+
+            for row in zip(*(x.to_pylist() for x in t.slice(lo, 64).columns)):
+                new = sum(int.from_bytes(x[:8], "little") for x in row[3:])
+                if row[1] != at or size + new > GROUP_BYTES:
+                    scanned()
+                    size = 0
+                if row[1] != at:
+                    at, bucket = row[1], Bucket()
+                group.append(row)
+                size += new
+            scanned()
             yield from _table(out, _BITS).to_batches()
 
 
@@ -347,6 +426,7 @@ def _cutting(buckets: int):
         number = place - batch.start[s.shared[some]][k]
         gone.append(place[(bits[s.of_fragment[some]][k] >> number.astype(np.uint32)) & 1 == 1])
         gone.append(_repeated_within(batch))
+        batch.total = None
         return _cut(rows, batch, np.concatenate(gone))
 
     return run
@@ -357,12 +437,9 @@ def _repeated_within(batch: Batch) -> np.ndarray:
     none = np.empty(0, np.int64)
     if not len(batch.anchor):
         return none
-    anchors, back = np.unique(batch.anchor, return_inverse=True)
-    low = np.full(len(anchors), np.iinfo(np.int64).max)
-    np.minimum.at(low, back, batch.ids[batch.owner])
-    high = np.full(len(anchors), np.iinfo(np.int64).min)
-    np.maximum.at(high, back, batch.ids[batch.owner])
-    which = np.flatnonzero((low < high)[back])
+    ids = batch.ids[batch.owner[batch.by_anchor]]
+    low, high = np.minimum.reduceat(ids, batch.heads), np.maximum.reduceat(ids, batch.heads)
+    which = np.flatnonzero((low < high)[batch.of_anchor])
     place, k = batch.places(which)
     if not len(place):
         return none
@@ -383,26 +460,31 @@ def _repeated_within(batch: Batch) -> np.ndarray:
 
 
 def _cut(rows: pa.Table, batch: Batch, gone: np.ndarray) -> pa.Table:
-    edge = np.zeros(len(batch.data) + 1, dtype=np.int64)
-    np.add.at(edge, gone, 1)
-    np.add.at(edge, gone + LENGTH, -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    kind = rows.schema.field("doc_id").type
-    spans, kept = [], []
-    for b, size, raw in zip(batch.begin, batch.sizes, batch.raw):
-        c = covered[b : b + size]
-        if not c.any():
-            spans.append([])
-            kept.append(raw)
-            continue
-        turn = np.flatnonzero(np.diff(c.astype(np.int8), prepend=0, append=0))
-        spans.append([{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2])])
-        kept.append(batch.data[b : b + size][~c].tobytes())
+    marked = np.zeros(len(batch.data), dtype=bool)
+    marked[gone] = True
+    gone = np.flatnonzero(marked)
+    edge = np.zeros(len(batch.data) + 1, dtype=np.int8)  # LENGTH strings hold a byte at most
+    edge[gone] = 1
+    edge[gone + LENGTH] -= 1
+    covered = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    # a span begins and ends within its document
+    some = batch.sizes > 0
+    begins, ends = covered.copy(), covered.copy()
+    begins[1:] &= ~covered[:-1]
+    ends[:-1] &= ~covered[1:]
+    at = batch.begin[some]
+    begins[at] = covered[at]
+    at = at + batch.sizes[some] - 1
+    ends[at] = covered[at]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    owner = np.searchsorted(batch.begin, start, side="right") - 1  # the last of those that begin there is not empty
+    offsets = lambda n: pa.array(np.append(0, np.cumsum(n)), pa.int32())
+    places = [pa.array(x - batch.begin[owner], pa.int32()) for x in (start, end)]
+    spans = pa.ListArray.from_arrays(offsets(np.bincount(owner, minlength=len(batch.ids))), pa.StructArray.from_arrays(places, ["start", "end"]))
+    left = offsets(batch.sizes - np.bincount(owner, end - start, minlength=len(batch.ids)).astype(np.int64))
+    kept = pa.Array.from_buffers(pa.binary(), len(batch.ids), [None, left.buffers()[1], pa.py_buffer(batch.data[~covered])])
     ids = [None if x == NO_ID else int(x) for x in batch.ids]
-    return pa.Table.from_arrays(
-        [pa.array(ids, kind), pa.array(batch.sizes), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
-        ["doc_id", "n_bytes", "spans", "kept"],
-    )
+    return pa.Table.from_arrays([pa.array(ids, rows.schema.field("doc_id").type), pa.array(batch.sizes), spans, kept], ["doc_id", "n_bytes", "spans", "kept"])
 
 
 _HELD = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("n", pa.binary())])

@@ -90,3 +90,50 @@ def test_query_matches_the_definition(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in q.op1(spark, d).collect()}
     assert got == {i: (n, n - len(k), len(s), hashlib.sha256(k).hexdigest()) for i, n, s, k in brute(rows)}
+
+
+def batches_of(rows, size):
+    """Fragments of ``size`` rows at a time, sorted and distinct, as a batch sends them."""
+    import pyarrow as pa
+
+    rows = sorted(rows, key=lambda x: (q.NO_ID if x[0] is None else x[0], x[1] or ""))
+    tables = [pa.table({"doc_id": pa.array([x[0] for x in rows[lo : lo + size]], pa.int64()), "text": pa.array([x[1] for x in rows[lo : lo + size]], pa.string())}) for lo in range(0, len(rows), size)]
+    return [np.unique(b.stored(np.arange(len(b.start)))) for b in map(q.Batch, tables)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_group_of_batches_is_scanned_as_its_batches_are(seed):
+    arrays = batches_of(corpus(seed), 3)
+    one = q.Bucket()
+    want = [one.scan([x])[0] for x in arrays]
+    assert any(x.any() for x in want)
+    for size in (2, 7, len(arrays)):
+        b = q.Bucket()
+        got = [x for lo in range(0, len(arrays), size) for x in b.scan(arrays[lo : lo + size])]
+        for x, y, f in zip(got, want, arrays):
+            many = np.char.str_len(f) - 9 - N + 1  # bits beyond a fragment's strings mean nothing
+            low = ((np.uint64(1) << many.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+            assert ((x & low) == (y & low)).all()
+
+
+def test_small_arrays_share_a_scan(monkeypatch):
+    import pyarrow as pa
+
+    arrays = batches_of(corpus(5), 1)[:40]
+    rows = [(c, b, None, q._pack(x), q._pack(np.empty(0, f"S{q._STRING}"))) for b in (0, 1) for c, x in enumerate(arrays)]
+    calls, scan = [], q.Bucket.scan
+    monkeypatch.setattr(q.Bucket, "scan", lambda self, *a: calls.append(1) or scan(self, *a))
+    out = pa.Table.from_batches(list(q._scanning(iter(q._table(rows, q._ARRAYS).to_batches()))))
+    assert list(zip(out["bucket"].to_pylist(), out["batch"].to_pylist())) == [(b, c) for c, b, *_ in rows]
+    assert len(calls) <= 4  # each array alone before: 80
+    bits = out["bits"].to_pylist()
+    assert [list(q._unpack(x, np.uint32)) for x in bits[:40]] == [list(q._unpack(x, np.uint32)) for x in bits[40:]]
+
+
+def test_equal_prefixes_are_told_apart():
+    f = q.Family()
+    f.add(np.array([b"same-prefix-a", b"same-prefix-c", b"same-prefix-e"]))
+    probe = np.array([b"other", b"same-prefix-a", b"same-prefix-b", b"same-prefix-c", b"same-prefix-d", b"same-prefix-e", b"same-prefix-f"])
+    assert f.holds(probe).tolist() == [False, True, False, True, False, True, False]
+    values, first, of = q._first_seen(np.array([b"same-prefix-b", b"same-prefix-a", b"same-prefix-b", b"same-prefix-a"]), np.array([2, 1, 0, 1]))
+    assert values.tolist() == [b"same-prefix-a", b"same-prefix-b"] and first.tolist() == [1, 0] and of.tolist() == [1, 0, 1, 0]
