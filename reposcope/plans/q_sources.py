@@ -11,7 +11,7 @@ from reposcope.plans.catalog import duck, gated_tree, query, readmes, repos, set
 from reposcope.plans.q_context import _HORDER, _RANDOM_FIRST, _single_duck
 from reposcope.plans.q_eval import README_GATE, language_detector, readme_reasons
 from reposcope.plans.q_report import RESPONSES, response_columns
-from reposcope.session import ensure_checkpoint_dir, merged, stored
+from reposcope.session import ensure_checkpoint_dir, merged, scratch, stored
 from reposcope.sources import jsonl
 from reposcope.streaming import ingest as ST
 
@@ -75,7 +75,8 @@ def _stream_ingest(spark, sf):
     """ST1: the records of all repositories, gated or not, as a file stream, run
     twice (the rerun adds nothing); the stream's gates choose."""
     src = _run_dir(spark, "records")
-    jsonl.write_dataset(jsonl.dataset_records(tree(spark, sf), readmes(spark, sf), setups(spark, sf), repos(spark, sf)), src)
+    with scratch(spark):
+        jsonl.write_dataset(jsonl.dataset_records(tree(spark, sf), readmes(spark, sf), setups(spark, sf), repos(spark, sf)), src, compression="gzip")
     run = _run_dir(spark, "ingest")
     sink, ckpt = run + "/sink", run + "/checkpoint"
     for _ in range(2):

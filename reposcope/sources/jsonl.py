@@ -12,12 +12,14 @@ The number of rounds is the tree depth, not the data size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.session import cut_lineage, stored
+from reposcope.session import discard, stored
 
 FILE_JSON = "struct<name:string, excluded:boolean, content:string, children:array<string>>"
+#: a file's text in a tree as Spark writes it; within a JSON string the quotes would be escaped
+CONTENT = r'"content":"(?:[^"\\]++|\\.)*+"'
 RECORD_SCHEMA = ("struct<repo:string, references:array<string>, setuppy:string, removed_files:array<string>, "
                  "meta:struct<full_name:string, name:string, created_at:string, html_url:string, description:string>>")
 
@@ -34,13 +36,14 @@ def _dir_json(name, children_json):
 def nest_tree(tree: DataFrame) -> DataFrame:
     """(repo_id, path, name, excluded, content, ord) -> (repo_id, tree_json).
     Children keep traversal order (smallest ``ord`` below them). The files are
-    stored once, by level; a round reads its own and the folders from below."""
+    stored once, by level; a round reads its own and the folders from below, and
+    both go when it has stored its folders."""
     files = stored(tree.select("repo_id", F.slice("path", 1, F.size("path") - 1).alias("parent"),
                                _file_json(F.col("name"), F.col("excluded"), F.col("content")).alias("json"),
                                F.col("ord").alias("okey"), (F.size("path") - 1).alias("level")), "items", "level")
     at = lambda level: files.where(F.col("level") == level).drop("level")
     depth = files.agg(F.max("level")).first()[0] or 0
-    items = at(depth)
+    items, below = at(depth), None
     for level in range(depth, 0, -1):
         dirs = items.groupBy("repo_id", "parent").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("okey", "json"))), lambda s: s["json"]),
@@ -48,7 +51,12 @@ def nest_tree(tree: DataFrame) -> DataFrame:
             F.min("okey").alias("okey"))
         up = dirs.select("repo_id", F.slice("parent", 1, F.lit(level - 1)).alias("parent"),
                          _dir_json(F.element_at("parent", -1), F.col("children")).alias("json"), "okey")
-        items = at(level - 1).unionByName(cut_lineage(up))
+        folders = stored(up, "folders")
+        # what this round has read is in the folders
+        discard(files, f"level={level}")
+        if below is not None:
+            discard(below)
+        items, below = at(level - 1).unionByName(folders), folders
     root = items.groupBy("repo_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("okey", "json"))), lambda s: s["json"]),
                      ",").alias("children"))
@@ -79,9 +87,9 @@ def dataset_records(tree: DataFrame, readmes: DataFrame, setups: DataFrame, repo
     return j.select("repo_id", line.alias("value"))
 
 
-def write_dataset(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_dataset(records: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
     """JSONL text files; refuses to overwrite unless asked."""
-    records.select("value").write.mode(mode).text(path)
+    records.select("value").write.mode(mode).text(path, compression=compression)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -90,14 +98,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.from_json("value", RECORD_SCHEMA).alias("r")).select("r.*")
 
 
+def without_texts(tree_json) -> Column:
+    """The tree, as ``RECORD_SCHEMA`` parses it, without the texts of its files."""
+    return F.regexp_replace(tree_json, CONTENT, '"content":null')
+
+
 def flatten_tree(records: DataFrame, key: str = "full_name", content: bool = True) -> DataFrame:
     """P5: (key, path ARRAY<STRING>, path_str, name, excluded, content, ord).
-    One round per directory level, which parses its nodes once; ``ord`` is the
-    position in traversal order. Without ``content`` that column is left out."""
+    One round per directory level, which parses its nodes once and drops those of
+    the level above; ``ord`` is the position in traversal order. Without
+    ``content`` that column is left out."""
     texts = ["content"] if content else []
     frontier = records.select(F.col(f"meta.{key}").alias(key), F.array().cast("array<string>").alias("path"),
                               F.array().cast("array<int>").alias("pos"), F.col("repo").alias("json"))
-    files = None
+    files = above = None
     while True:  # one round per level, down to the last
         node = frontier.select(key, "path", "pos", F.from_json("json", FILE_JSON).alias("n"))
         kids = node.select(key, "path", "pos", F.posexplode(F.coalesce(F.col("n.children"),
@@ -108,7 +122,10 @@ def flatten_tree(records: DataFrame, key: str = "full_name", content: bool = Tru
         level = stored(parsed.select(
             key, F.concat("path", F.array(F.col("c.name"))).alias("path"), "pos", F.col("c.name").alias("name"),
             F.col("c.excluded").alias("excluded"), *[F.col(f"c.{t}").alias(t) for t in texts],
-            F.when(is_dir, F.col("json")).alias("json"), F.coalesce(is_dir, F.lit(False)).alias("is_dir")), "level", "is_dir")
+            F.when(is_dir, F.col("json")).alias("json"), F.coalesce(is_dir, F.lit(False)).alias("is_dir")), "level", "is_dir", codec="zstd")
+        if above is not None:
+            discard(above, "is_dir=true")  # its folders are in this level now
+        above = level
         leaf = level.where(~F.col("is_dir")).drop("json", "is_dir")
         files = leaf if files is None else files.unionByName(leaf)
         frontier = level.where("is_dir").select(key, "path", "pos", "json")

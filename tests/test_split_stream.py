@@ -211,3 +211,51 @@ def test_duplicate_paths_raise(spark):
     df = spark.createDataFrame([("r", "a.py"), ("r", "a.py")], "full_name string, path_str string")
     with pytest.raises(Exception):
         jsonl.assert_unique_paths(df).collect()
+
+
+def _kept(spark, *names):
+    from reposcope.session import ensure_checkpoint_dir
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return {x for x in os.listdir(top) if x.startswith(names)}
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    from reposcope.session import discard, scratch, stored
+    df = spark.range(5).selectExpr("id", "id % 2 AS part")
+    with scratch(spark):
+        stays = stored(df, "outer")
+        with scratch(spark):
+            stored(df, "inner")
+            assert _kept(spark, "inner-")
+        assert not _kept(spark, "inner-") and stays.count() == 5
+    assert not _kept(spark, "outer-")
+    cut = stored(df, "cut", "part")
+    discard(cut, "part=1")
+    assert cut.where("part = 0").count() == 3
+    discard(cut)
+    assert not _kept(spark, "cut-")
+
+
+def test_ingest_leaves_no_tables_of_its_batches(spark):
+    names = ("records-", "level-", "judged-", "items-", "folders-")
+    base, before = tempfile.mkdtemp(prefix="rs-disk-"), _kept(spark, *names)
+    py = [("main.py", False), ("b.txt", False)]
+    _put(f"{base}/src", "1.json", [_record("u/good", py), _record("u/good", py), _record("u/other", py), _record("u/empty", [])])
+    for _ in range(2):
+        work = ST.run_ingest(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt")
+    assert _kept(spark, *names) == before and sorted(x for x in os.listdir(work)) == ["gated", "rejected"]
+    assert spark.read.parquet(f"{base}/sink").count() == 4
+    assert sorted(r.full_name for r in spark.read.parquet(f"{work}/gated").collect()) == ["u/good", "u/other"]  # of equal records one
+
+
+def test_trees_lose_their_texts_alone(spark):
+    texts = ["x = 1", '"content":"a"', "\\", "\\\\\"", 'say "content":"', '{"content":"x","children":[]}', "", "a\nb\t\u2028é", "\\" * 50_000 + '"' * 50_000, None]
+    kids = [{"name": f"f{i}.py", "excluded": i % 3 == 0, "content": t} for i, t in enumerate(texts)]
+    kids.append({"name": "content", "children": [{"name": '"content":"y"', "excluded": False, "content": "z"}, {"name": "none", "excluded": True}]})
+    line = json.dumps({"repo": {"name": "repo", "children": kids}, "references": [], "setuppy": None, "removed_files": [], "meta": {"full_name": "u/r"}}, indent=None)
+    recs = spark.createDataFrame([(line,)], "value string").select(F.from_json("value", jsonl.RECORD_SCHEMA).alias("r")).select("r.*")
+    slim = recs.withColumn("repo", jsonl.without_texts("repo"))
+    assert len(slim.first()["repo"]) < 1000 and '"z"' not in slim.first()["repo"]
+    paths = lambda df: sorted(df.select("path_str", "excluded", "ord").collect())
+    assert paths(jsonl.flatten_tree(slim, content=False)) == paths(jsonl.flatten_tree(recs, content=False)) == paths(jsonl.flatten_tree(recs))
+    assert {r.content for r in jsonl.flatten_tree(slim).collect()} == {None}
